@@ -21,7 +21,7 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def positioned(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Add _before (rows with a smaller value) and _total (rows of the group)."""
+    """Add _before (rows with a smaller value), _sum_before (their sum) and _total (rows of the group)."""
     grid = F.array(*[F.lit((i + 1) / SPLITS) for i in range(SPLITS - 1)])
     splits = counts.groupBy(*keys).agg(
         F.percentile_approx(value, grid, 1000).alias("_splits"), F.sum("_count").alias("_total"))
@@ -29,14 +29,18 @@ def positioned(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     tagged = counts.alias("l").join(splits.alias("r"), on, "inner").select(
         *[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{value}").alias(value), "_count", "_total",
         F.size(F.filter("_splits", lambda s: s < F.col(f"l.{value}"))).alias("_range"))
-    sizes = tagged.groupBy(*keys, "_range").agg(F.sum("_count").alias("_rows"))
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_rows").over(
-        W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    weighted = F.col("_count") * F.col(value)
+    sizes = tagged.groupBy(*keys, "_range").agg(F.sum("_count").alias("_rows"), F.sum(weighted).alias("_mass"))
+    prior = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_rows").over(prior), F.lit(0)).alias("_offset"),
+                           F.coalesce(F.sum("_mass").over(prior), F.lit(0)).alias("_mass_offset"))
     inside = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    local = tagged.withColumn("_local", F.coalesce(F.sum("_count").over(inside), F.lit(0)))
+    local = tagged.withColumns({"_local": F.coalesce(F.sum("_count").over(inside), F.lit(0)),
+                                "_mass_local": F.coalesce(F.sum(weighted).over(inside), F.lit(0))})
     joined = local.alias("l").join(offsets.alias("r"), on & (F.col("l._range") == F.col("r._range")), "inner")
     return joined.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{value}").alias(value), "_count",
-                         "_total", (F.col("_offset") + F.col("_local")).alias("_before"))
+                         "_total", (F.col("_offset") + F.col("_local")).alias("_before"),
+                         (F.col("_mass_offset") + F.col("_mass_local")).alias("_sum_before"))
 
 
 def _same_keys(keys: list[str]) -> Column:
@@ -52,6 +56,14 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> Data
         *keys, value, (F.col("_before") + (F.col("_count") + 1) / 2.0).alias(name))
 
 
+def lowest_share_mean(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
+    """Mean of the ceil(share * n) smallest values of every group."""
+    ordered = positioned(value_counts(df, keys, value), keys, value)
+    size = F.ceil(F.col("_total") * F.lit(share))
+    taken = F.greatest(F.lit(0), F.least(F.col("_count"), size - F.col("_before")))
+    return ordered.groupBy(*keys).agg((F.sum(taken * F.col(value)) / F.sum(taken)).alias(name))
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolation quantiles, one column per named probability."""
     ordered = positioned(value_counts(df, keys, value), keys, value)

@@ -377,12 +377,12 @@ def f10(spark, folder):
     return T.bars(spark, folder).select("ticker", (F.unix_date("date").cast("bigint") * 86400).alias("time"), F.col("close").alias("value"))
 
 
-@study("f11_math", f"""SELECT ticker, session, {r('ln(1 + volume)')} AS log_volume, {r('ln(close)')} AS log_close, {r('exp(ret) - 1')} AS grown, {r('sqrt(abs(ret))')} AS root,
+@study("f11_math", f"""SELECT ticker, session, {r('ln(1 + volume)')} AS log_volume, {r('ln(close)')} AS log_close, {r('exp(least(1::DOUBLE, ret)) - 1')} AS grown, {r('sqrt(abs(ret))')} AS root,
   {r('greatest(-0.5::DOUBLE, least(0.5::DOUBLE, ret))')} AS clipped FROM moves WHERE ret IS NOT NULL""", "moves")
 def f11(spark, folder):
     return moves(spark, folder).where("ret is not null").select(
         "ticker", "session", rounded(F.log1p("volume")).alias("log_volume"), rounded(F.log("close")).alias("log_close"),
-        rounded(F.expm1("ret")).alias("grown"), rounded(F.sqrt(F.abs("ret"))).alias("root"), rounded(clip("ret", -0.5, 0.5)).alias("clipped"))
+        rounded(F.expm1(F.least(F.lit(1.0), F.col("ret")))).alias("grown"), rounded(F.sqrt(F.abs("ret"))).alias("root"), rounded(clip("ret", -0.5, 0.5)).alias("clipped"))
 
 
 @study("f12_safe_ratio", f"""SELECT l_orderkey, l_linenumber, {r('CASE WHEN l_discount <> 0 THEN l_tax / l_discount END')} AS ratio,

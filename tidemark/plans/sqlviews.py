@@ -22,15 +22,28 @@ def with_views(body: str, needs: str) -> str:
 
     for n in needs.split():
         visit(n)
+    body = _plain_counts(body)
     if not order:
         return body.strip()
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    ctes = ",\n".join(f"{n} AS ({_plain_counts(VIEWS[n][1])})" for n in order)
     body = body.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
 
 
+def _plain_counts(text: str) -> str:
+    """Write count_if(c) as a filtered count, whose type is BIGINT."""
+    while "count_if(" in text:
+        start = text.index("count_if(")
+        depth, end = 1, start + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        text = text[:start] + "count(*) FILTER (WHERE " + text[start + len("count_if("):end - 1] + ")" + text[end:]
+    return text
+
+
 def r(expression: str, digits: int = 6) -> str:
     """Rounded double without a negative zero."""
     return f"(round(CAST({expression} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE))"
