@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ordering
 from tidemark.functions.scalars import ratio
+from tidemark.session import stage
 
 MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
@@ -136,6 +137,7 @@ def flag_distance_correlation(rows: DataFrame, keys: Sequence[str], x: str, y: s
     """
     keys = list(keys)
     counts = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_count"))
+    counts = stage(counts, "flag-counts")
     whole = ordering.positioned(counts.groupBy(*keys, y).agg(F.sum("_count").alias("_count")), keys, y)
     sides = ordering.positioned(counts, [*keys, x], y)
 
@@ -150,7 +152,7 @@ def flag_distance_correlation(rows: DataFrame, keys: Sequence[str], x: str, y: s
     mass = F.sum(size * F.col(y)).over(W.partitionBy(*keys))
     after = F.col("_total") - F.col("_before") - size
     row_sum = F.col(y) * F.col("_before") - F.col("_sum_before") + (mass - F.col("_sum_before") - size * F.col(y)) - F.col(y) * after
-    reach = whole.select(*keys, y, F.col("_total").alias("n"), (row_sum / F.col("_total")).alias("_b"), size, "_before", "_total")
+    reach = stage(whole.select(*keys, y, F.col("_total").alias("n"), (row_sum / F.col("_total")).alias("_b"), size, "_before", "_total"), "reach")
     moments = reach.groupBy(*keys).agg(
         F.max("n").alias("n"), spread(size).alias("all_pairs"), F.sum(size * F.col("_b") * F.col("_b")).alias("bb"),
         F.sum(size * F.col(y)).alias("sy"), F.sum(size * F.col(y) * F.col(y)).alias("syy"))

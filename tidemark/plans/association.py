@@ -16,6 +16,7 @@ from tidemark.plans.basics import option_dense
 from tidemark.plans.market import CATEGORIES, HORIZONS, aligned, dense, extended_panel, moves, study_panel
 from tidemark.plans.registry import study
 from tidemark.plans.sqlviews import draw, r, view
+from tidemark.session import snapshot
 from tidemark.sources import tables as T
 
 FEATURES = [f"event__{c}" for c in CATEGORIES] + ["sequence_a_before_b"]
@@ -32,6 +33,10 @@ view("event_days", "aligned sessions", """SELECT g.ticker, g.category, s.session
 
 
 def event_grid(spark, folder):
+    return snapshot(spark, folder, "event-grid", _event_grid)
+
+
+def _event_grid(spark, folder):
     """Filings per ticker, category and session, zeros included."""
     rows = aligned(spark, folder)
     last = T.sessions(spark, folder).agg(F.max("session")).scalar()
@@ -104,7 +109,7 @@ def w15(spark, folder):
 
 
 @study("w16_repeat_suppression", """
-WITH texts AS (SELECT a.issuer, a.accession, a.session, coalesce(array_to_string(list_sort(list(l.label)) FILTER (WHERE l.label IS NOT NULL), ' '), '') AS body
+WITH texts AS (SELECT a.issuer, a.accession, a.session, coalesce(string_agg(l.label, ' ' ORDER BY l.label), '') AS body
   FROM aligned a LEFT JOIN filing_labels l USING (accession) WHERE a.session IS NOT NULL GROUP BY 1, 2, 3),
 days AS (SELECT issuer, body, list_sort(list(DISTINCT session)) AS days FROM texts GROUP BY 1, 2),
 kept AS (SELECT issuer, body, unnest(list_reduce(list_transform(days, lambda d: [d]), lambda a, b: CASE WHEN b[1] - a[-1] > 63 THEN list_append(a, b[1]) ELSE a END)) AS session FROM days)
@@ -186,6 +191,11 @@ def long(spark, folder, features=FEATURES, lags=LAGS, targets=TARGETS):
     return E.long_cells(study_panel(spark, folder), features, lags, targets)
 
 
+def flag_rows(spark, folder):
+    """The zero-lag five-session return cells, written once for the rank-based estimators."""
+    return snapshot(spark, folder, "flag-rows", lambda s, f: long(s, f, lags=[0], targets=[("return", 5), ("volatility", 5)]))
+
+
 @study("a1_pair_moments", f"""
 SELECT feature, lag, kind, horizon, ticker, n, {r('sx', 3)} AS sx, {r('sy', 3)} AS sy, {r('sxx', 3)} AS sxx, {r('syy', 3)} AS syy, {r('sxy', 3)} AS sxy
 FROM (SELECT feature, lag, kind, horizon, ticker, {_N} FROM cells GROUP BY ALL)""", "cells")
@@ -205,7 +215,7 @@ WITH k AS (SELECT feature, lag, kind, horizon, rank() OVER (PARTITION BY feature
   rank() OVER (PARTITION BY feature, lag, kind, horizon ORDER BY y) + (count(*) OVER (PARTITION BY feature, lag, kind, horizon, y) - 1) / 2 AS y FROM cells WHERE horizon = 5 AND lag = 0)
 SELECT feature, lag, kind, horizon, {r(corr_sql())} AS spearman FROM (SELECT feature, lag, kind, horizon, {_N} FROM k GROUP BY ALL)""", "cells")
 def a3(spark, folder):
-    rows = long(spark, folder, lags=[0], targets=[("return", 5), ("volatility", 5)])
+    rows = flag_rows(spark, folder)
     return E.spearman(rows, CELL).withColumn("spearman", rounded("spearman"))
 
 
@@ -395,7 +405,7 @@ j AS (SELECT feature, x, bin, count(*) AS nxy FROM b GROUP BY ALL),
 m AS (SELECT *, sum(nxy) OVER (PARTITION BY feature, x)::DOUBLE AS nx, sum(nxy) OVER (PARTITION BY feature, bin)::DOUBLE AS ny, sum(nxy) OVER (PARTITION BY feature)::DOUBLE AS n FROM j)
 SELECT feature, CAST(max(n) AS BIGINT) AS rows, {r('sum(nxy / n * ln(nxy * n / (nx * ny)))')} AS mutual_information FROM m GROUP BY 1""", "cells")
 def a21(spark, folder):
-    rows = long(spark, folder, lags=[0], targets=[("return", 5)])
+    rows = flag_rows(spark, folder).where("kind = 'return'")
     return E.mutual_information(rows, ["feature"], "x", "y", 8).withColumn("mutual_information", rounded("mutual_information"))
 
 
@@ -409,7 +419,7 @@ v AS (SELECT feature, n, n1, n0, 2 * n1 * n0 / (n * n) AS ma, allp / (n * n) AS
   2 * n1 * n0 / (n * n) - 2 * (n1 * n0 * n0 + n0 * n1 * n1) / (n * n * n) AS va, (2 * n * syy - 2 * sy * sy) / (n * n) - 2 * bb / n AS vb FROM s)
 SELECT feature, CAST(n AS BIGINT) AS rows, {r('CASE WHEN n1 >= 4 AND n0 >= 4 THEN sqrt(greatest(0::DOUBLE, cross_part + ma * mb) / sqrt((va + ma * ma) * (vb + mb * mb))) END', 5)} AS distance_correlation FROM v""", "cells")
 def a22(spark, folder):
-    rows = long(spark, folder, lags=[0], targets=[("return", 5)])
+    rows = flag_rows(spark, folder).where("kind = 'return'")
     return E.flag_distance_correlation(rows, ["feature"], "x", "y").select("feature", big("rows").alias("rows"), rounded("distance_correlation", 5).alias("distance_correlation"))
 
 

@@ -13,7 +13,7 @@ from tidemark.operators import panel as P
 from tidemark.plans.market import aligned, dense, moves, study_panel
 from tidemark.plans.registry import study
 from tidemark.plans.sqlviews import draw, r, view
-from tidemark.session import fresh_path, stage
+from tidemark.session import fresh_path, snapshot
 from tidemark.sources import files as S
 from tidemark.sources import tables as T
 
@@ -214,6 +214,10 @@ view("option_dense", "dense option_bars", """SELECT d.ticker, d.session, d.date,
 
 
 def option_dense(spark, folder):
+    return snapshot(spark, folder, "option-dense", _option_dense)
+
+
+def _option_dense(spark, folder):
     """Stock close with the call and put marks of the same ticker and session."""
     marks = T.option_bars(spark, folder).groupBy("ticker", "date").pivot("contract_type", ["call", "put"]).agg(
         F.max("close").alias("close"), F.max("volume").alias("volume"))

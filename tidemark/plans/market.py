@@ -9,27 +9,36 @@ from tidemark.functions.scalars import big, flag, ratio, rounded
 from tidemark.operators import panel as P
 from tidemark.plans.registry import study
 from tidemark.plans.sqlviews import r, view
+from tidemark.session import snapshot
 from tidemark.sources import tables as T
 
 HORIZONS = [1, 5, 21]
 CATEGORIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-def dense(spark, folder):
+def _dense(spark, folder):
     return P.densify(T.bars(spark, folder), T.sessions(spark, folder))
 
 
+def dense(spark, folder):
+    return snapshot(spark, folder, "dense", _dense)
+
+
 def moves(spark, folder):
     return P.moves(dense(spark, folder))
 
 
 def aligned(spark, folder):
+    return snapshot(spark, folder, "aligned", _aligned)
+
+
+def _aligned(spark, folder):
     return P.align_forward(T.filings(spark, folder), T.sessions(spark, folder), "available_date")
 
 
 @study("j1_densify_grid", "SELECT ticker, session, date, close, volume FROM dense", "dense")
 def j1(spark, folder):
-    return dense(spark, folder).select("ticker", "session", "date", "close", "volume")
+    return _dense(spark, folder).select("ticker", "session", "date", "close", "volume")
 
 
 @study("j2_benchmark_attach", f"""
@@ -45,7 +54,7 @@ def j2(spark, folder):
 
 @study("j3_forward_session", "SELECT issuer, accession, available_date, session, session_date FROM aligned", "aligned")
 def j3(spark, folder):
-    return aligned(spark, folder).select("issuer", "accession", "available_date", "session", "session_date")
+    return _aligned(spark, folder).select("issuer", "accession", "available_date", "session", "session_date")
 
 
 @study("w1_past_returns", f"""
@@ -148,6 +157,10 @@ PANEL_FLAGS = [f"event__{c}" for c in CATEGORIES] + ["recent_a", "sequence_a_bef
 
 
 def study_panel(spark, folder):
+    return snapshot(spark, folder, "study-panel", _study_panel)
+
+
+def _study_panel(spark, folder):
     return P.study_panel(T.bars(spark, folder), T.sessions(spark, folder), aligned(spark, folder), CATEGORIES, HORIZONS,
                          T.BENCHMARK, "1-URGENT", "2-HIGH", 5)
 
@@ -156,7 +169,7 @@ def study_panel(spark, folder):
        + ", ".join(f'CAST("{f}" AS INTEGER) AS "{f}"' for f in PANEL_FLAGS) + ", "
        + ", ".join(f"target_end_{h}" for h in HORIZONS) + " FROM panel", "panel")
 def e1(spark, folder):
-    return study_panel(spark, folder).select(
+    return _study_panel(spark, folder).select(
         "ticker", "session", "date", *[rounded(v).alias(v) for v in PANEL_VALUES],
         *[F.col(f"`{f}`").cast("int").alias(f) for f in PANEL_FLAGS], *[f"target_end_{h}" for h in HORIZONS])
 
@@ -191,6 +204,10 @@ EXT_VALUES = (["return1", "return5", "return20", "return60", "vol20", "vol60", "
 
 
 def extended_panel(spark, folder):
+    return snapshot(spark, folder, "extended-panel", _extended_panel)
+
+
+def _extended_panel(spark, folder):
     return P.extended_panel(
         T.bars(spark, folder, "nation"), T.sessions(spark, folder),
         F.concat(F.lit("I"), (F.substring("ticker", 2, 9).cast("int") % 5).cast("string")), EXT_HORIZONS, T.BENCHMARK)
@@ -199,6 +216,6 @@ def extended_panel(spark, folder):
 @study("e2_extended_panel", "SELECT ticker, issuer, session, date, " + ", ".join(f"{r(v)} AS {v}" for v in EXT_VALUES) + ", "
        + ", ".join(f"{r(f'abs(return_{h})')} AS absolute_{h}, target_end_{h}" for h in EXT_HORIZONS) + " FROM extended", "extended")
 def e2(spark, folder):
-    return extended_panel(spark, folder).select(
+    return _extended_panel(spark, folder).select(
         "ticker", "issuer", "session", "date", *[rounded(v).alias(v) for v in EXT_VALUES + [f"absolute_{h}" for h in EXT_HORIZONS]],
         *[f"target_end_{h}" for h in EXT_HORIZONS])

@@ -39,3 +39,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SNAPSHOTS: dict[tuple[str, str, str], str] = {}
+
+
+def snapshot(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
+    """A stage table built once per application and source folder, then read by every study.
+
+    `build` is only called the first time; later calls read the written files
+    with the usual column pruning and filter pushdown.
+    """
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _SNAPSHOTS:
+        path = fresh_path(spark, name)
+        build(spark, folder).write.parquet(path)
+        _SNAPSHOTS[key] = path
+    return spark.read.parquet(_SNAPSHOTS[key])
