@@ -15,7 +15,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import counter_draw
-from tidemark.functions.text import combinations
 
 
 def label_days(activations: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,10 +53,21 @@ def windowed(sequence_rows: DataFrame, windows: Sequence[int]) -> DataFrame:
 
 
 def itemsets(filings: DataFrame, longest: int) -> DataFrame:
-    """(issuer, accession, pattern, length): label combinations inside each filing's own array."""
-    lists = F.flatten(F.array(*[
-        F.transform(combinations(F.col("labels"), k), lambda p, k=k: F.struct(p.alias("pattern"), F.lit(k).alias("length"))) for k in range(2, longest + 1)]))
-    return filings.select("issuer", "accession", "session", F.explode(lists).alias("p")).select("issuer", "accession", "session", "p.*")
+    """(issuer, accession, session, pattern, length): label combinations inside each filing's own array.
+
+    A combination grows by the labels after its last one, so every level is an
+    explode of the same row and nothing is shuffled.
+    """
+    level = filings.select("issuer", "accession", "session", "labels", F.posexplode("labels").alias("last", "pattern"))
+    found = None
+    for length in range(2, longest + 1):
+        open_rows = level.where(F.col("last") + 1 < F.size("labels"))
+        level = open_rows.select("issuer", "accession", "session", "labels", "pattern",
+                                 F.explode(F.sequence(F.col("last") + 1, F.size("labels") - 1)).alias("last"))
+        level = level.withColumn("pattern", F.concat_ws("&", "pattern", F.get("labels", F.col("last"))))
+        rows = level.select("issuer", "accession", "session", "pattern", F.lit(length).alias("length"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def support(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -73,11 +73,11 @@ def sessions_of(rows):
 # ---------------------------------------------------------------- as-of and offset joins
 
 @study("j4_aged_marks", f"""
-SELECT ticker, session, {r("CASE WHEN session - s <= 3 THEN c END")} AS mark, CASE WHEN session - s <= 3 THEN session - s END AS age
+SELECT ticker, session, CASE WHEN session - s <= 3 THEN c END AS mark, CASE WHEN session - s <= 3 THEN session - s END AS age
 FROM (SELECT d.ticker, d.session, o.session AS s, o.call AS c FROM option_dense d ASOF LEFT JOIN (SELECT ticker, session, call FROM option_dense WHERE call IS NOT NULL) o ON o.ticker = d.ticker AND d.session >= o.session)""", "option_dense")
 def j4(spark, folder):
     mark, age = J.aged_mark("call", 3)
-    return option_dense(spark, folder).select("ticker", "session", rounded(mark).alias("mark"), age.alias("age"))
+    return option_dense(spark, folder).select("ticker", "session", mark.alias("mark"), age.alias("age"))
 
 
 MAX_AGE = 4 * 3600 * 1000000000
@@ -99,10 +99,10 @@ def asof_quotes(spark, folder):
     return snapshot(spark, folder, "asof-quotes", lambda s, f: J.latest_quote(cutoffs(s, f), T.quotes(s, f), ["ticker", "leg"], MAX_AGE))
 
 
-@study("j5_latest_quote", f"SELECT ticker, session, leg, ts_ns, {r('bid')} AS bid, {r('ask')} AS ask FROM asof_quotes", "asof_quotes")
+@study("j5_latest_quote", f"SELECT ticker, session, leg, ts_ns, bid, ask FROM asof_quotes", "asof_quotes")
 def j5(spark, folder):
     found = J.latest_quote(cutoffs(spark, folder), T.quotes(spark, folder), ["ticker", "leg"], MAX_AGE)
-    return found.select("ticker", "session", "leg", "ts_ns", rounded("bid").alias("bid"), rounded("ask").alias("ask"))
+    return found.select("ticker", "session", "leg", "ts_ns", "bid", "ask")
 
 
 @study("j6_session_shift", "SELECT a.ticker, a.session, a.close, b.close AS close_5 FROM dense a LEFT JOIN dense b ON b.ticker = a.ticker AND b.session = a.session - 5 WHERE a.close IS NOT NULL", "dense")
@@ -285,12 +285,12 @@ def dividend_days(spark, folder):
 @study("j26_dividends_held", f"""
 WITH d AS (SELECT v.ticker, v.cash, s.session FROM dividends v ASOF JOIN sessions s ON v.ex_date <= s.date WHERE currency = 'USD'),
 p AS (SELECT DISTINCT ticker, session AS entry_session, session + 10 AS exit_session FROM cohort WHERE session + 10 <= (SELECT max(session) FROM sessions))
-SELECT p.ticker, p.entry_session, p.exit_session, {r('coalesce(sum(d.cash), 0)')} AS cash FROM p LEFT JOIN d ON d.ticker = p.ticker AND d.session > p.entry_session AND d.session <= p.exit_session GROUP BY 1, 2, 3""", "dividends sessions cohort")
+SELECT p.ticker, p.entry_session, p.exit_session, {r('coalesce(sum(d.cash), 0)', 8)} AS cash FROM p LEFT JOIN d ON d.ticker = p.ticker AND d.session > p.entry_session AND d.session <= p.exit_session GROUP BY 1, 2, 3""", "dividends sessions cohort")
 def j26(spark, folder):
     last = T.sessions(spark, folder).agg(F.max("session")).scalar()
     held = sessions_of(cohort(spark, folder)).select("ticker", F.col("session").alias("entry_session"), (F.col("session") + 10).alias("exit_session")).where(F.col("exit_session") <= last)
     totals = J.running_total(dividend_days(spark, folder), ["ticker"], "cash", "total")
-    return J.interval_sum(held, totals, ["ticker"], "total", "cash").withColumn("cash", rounded("cash"))
+    return J.interval_sum(held, totals, ["ticker"], "total", "cash").withColumn("cash", rounded("cash", 8))
 
 
 # ---------------------------------------------------------------- ordered selection
