@@ -1,4 +1,4 @@
 """All query modules, imported once so that they register themselves."""
 
-from tidemark.plans import association, basics, contrasts, events, inference, market  # noqa: F401
+from tidemark.plans import association, basics, contrasts, events, inference, market, outcomes  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -80,7 +80,7 @@ def j4(spark, folder):
     return option_dense(spark, folder).select("ticker", "session", mark.alias("mark"), age.alias("age"))
 
 
-MAX_AGE = 4 * 3600 * 1000000000
+MAX_AGE = 12 * 3600 * 1000000000
 
 
 def cutoffs(spark, folder):

@@ -84,7 +84,7 @@ view("filing_labels", "", """SELECT DISTINCT l_orderkey AS accession, p_brand AS
 view("contracts", "", """SELECT concat_ws('-', 'C', CAST(p_partkey AS VARCHAR), side) AS contract,
       'T' || (p_partkey % 5) AS ticker, side AS contract_type,
       CAST(2000 AS DOUBLE) * (CAST(0.8 AS DOUBLE) + (p_retailprice - 900) / 250) AS strike,
-      DATE '1995-01-06' + CAST(7 * (p_partkey * 37 % 370) AS INTEGER) AS expiry,
+      DATE '1995-01-06' + CAST(28 * (p_partkey % 92) AS INTEGER) AS expiry,
       CASE WHEN p_size = 50 THEN 10 ELSE 100 END AS shares,
       CASE p_type WHEN 'PROMO' THEN 'european' WHEN 'SMALL' THEN 'other' ELSE 'american' END AS style,
       p_size = 49 AS extra

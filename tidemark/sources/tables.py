@@ -16,7 +16,7 @@ BENCHMARK = "T4"
 EVENT_LABELS = ["Brand#7", "Brand#12"]
 SIDES = ["call", "put"]
 FIRST_EXPIRY = "1995-01-06"
-EXPIRY_WEEKS = 370
+EXPIRY_STEP_DAYS, EXPIRY_STEPS = 28, 92
 OPTION_SCALE = 0.05
 
 
@@ -96,7 +96,7 @@ def contracts(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws("-", F.lit("C"), F.col("p_partkey").cast("string"), "contract_type").alias("contract"),
         F.concat(F.lit("T"), (F.col("p_partkey") % 5).cast("string")).alias("ticker"), "contract_type",
         (2000 * (0.8 + (F.col("p_retailprice") - 900) / 250)).alias("strike"),
-        F.date_add(F.lit(FIRST_EXPIRY).cast("date"), (7 * (F.col("p_partkey") * 37 % EXPIRY_WEEKS)).cast("int")).alias("expiry"),
+        F.date_add(F.lit(FIRST_EXPIRY).cast("date"), (EXPIRY_STEP_DAYS * (F.col("p_partkey") % EXPIRY_STEPS)).cast("int")).alias("expiry"),
         F.when(F.col("p_size") == 50, 10).otherwise(100).alias("shares"),
         F.when(F.col("p_type") == "PROMO", "european").when(F.col("p_type") == "SMALL", "other")
         .otherwise("american").alias("style"),
