@@ -299,9 +299,9 @@ view("settled", "candidates records", f"""SELECT {', '.join('r.' + k for k in RK
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_RK} ORDER BY session, priority) AS k FROM candidates) WHERE k = 1) x USING ({_RK}) WHERE r.ineligible IS NULL""")
 
 
-@study("l1_settlement", f"SELECT {_RK}, CAST(exit_session AS INTEGER) AS exit_session, exit_reason, {r('stock_exit', 5)} AS stock_exit FROM settled", "settled")
+@study("l1_settlement", f"SELECT {_RK}, CAST(exit_session AS INTEGER) AS exit_session, exit_reason, stock_exit FROM settled", "settled")
 def l1(spark, folder):
-    return O.settle(paths(spark, folder), RKEY).select(*RKEY, "exit_session", "exit_reason", rounded("stock_exit", 5).alias("stock_exit"))
+    return O.settle(paths(spark, folder), RKEY).select(*RKEY, "exit_session", "exit_reason", "stock_exit")
 
 
 def fee(s: str, o: str) -> str:
@@ -526,8 +526,11 @@ def c19(spark, folder):
     rows = effect_rows(quartets(spark, folder)).where("value is not null")
     yearly = effect_table(rows.withColumn("slice", F.concat(F.lit("year:"), F.col("year").cast("string"))), ["slice", "shape", "metric"])
     parts = rows.groupBy("shape", "metric", "ticker").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("shape", "metric")
-    rest = parts.select(F.concat(F.lit("without:"), "ticker").alias("slice"), "shape", "metric", (F.sum("n").over(w) - F.col("n")).alias("pairs"), (F.count(F.lit(1)).over(w) - 1).alias("issuers"), F.try_divide(F.sum("s").over(w) - F.col("s"), F.sum("n").over(w) - F.col("n")).alias("estimate")).where("pairs > 0")
+    every = rows.agg(F.array_sort(F.collect_set("ticker"))).scalar()
+    total = parts.groupBy("shape", "metric").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"), F.count(F.lit(1)).alias("tk")).withColumn("ticker", F.explode(every))
+    rest = total.join(parts, ["shape", "metric", "ticker"], "left").select(
+        F.concat(F.lit("without:"), "ticker").alias("slice"), "shape", "metric", (F.col("tn") - F.coalesce("n", F.lit(0))).alias("pairs"), (F.col("tk") - F.col("n").isNotNull().cast("int")).alias("issuers"),
+        F.try_divide(F.col("ts") - F.coalesce("s", F.lit(0.0)), F.col("tn") - F.coalesce("n", F.lit(0))).alias("estimate")).where("pairs > 0")
     rest = rest.withColumn("status", F.when((F.col("pairs") >= 20) & (F.col("issuers") >= 5), "eligible_descriptive").otherwise("insufficient_support"))
     return yearly.unionByName(rest).withColumn("estimate", rounded("estimate"))
 
