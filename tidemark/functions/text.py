@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Clause rules and term lists.
@@ -44,32 +44,30 @@ def combinations(items: Column, length: int, joiner: str = "&") -> Column:
     return F.transform(state, lambda s: s["text"])
 
 
-def financing_status(excerpt: Column) -> Column:
-    """struct(status, evidence): completed only with an explicit receipt in the same or a neighbouring clause."""
-    parts = clauses(squeezed(excerpt))
-    marks = F.transform(parts, lambda c: F.struct(
-        c.alias("clause"), (~c.rlike(CONDITIONAL_WORDS)).alias("plain"),
-        (c.rlike(DEBT_WORDS) & c.rlike(COMPLETION_WORDS)).alias("deal"),
-        (c.rlike(RECEIPT_WORDS) & c.rlike(FUNDS_WORDS)).alias("receipt")))
-
-    def receipt_at(i: Column) -> Column:
-        spot = F.get(marks, i)
-        return F.coalesce(spot["plain"] & spot["receipt"], F.lit(False))
-
-    deals = F.filter(F.transform(marks, lambda m, i: F.struct(
-        (m["plain"] & m["deal"]).alias("ok"),
-        F.when(receipt_at(i), m["clause"])
-        .when(receipt_at(i - 1), F.concat_ws(" ", m["clause"], F.get(parts, i - 1)))
-        .when(receipt_at(i + 1), F.concat_ws(" ", m["clause"], F.get(parts, i + 1))).alias("evidence"))),
-        lambda d: d["ok"])
-    proven = F.filter(deals, lambda d: d["evidence"].isNotNull())
-    planned = squeezed(excerpt).rlike(CONDITIONAL_WORDS) & squeezed(excerpt).rlike(DEBT_WORDS)
-
-    def outcome(status: str, evidence: Column) -> Column:
-        return F.struct(F.lit(status).alias("status"), evidence.alias("evidence"))
-
-    return (F.when(excerpt.isNull() | (F.trim(excerpt) == ""), outcome("unknown", F.lit("missing_excerpt")))
-            .when(F.size(proven) > 0, outcome("completed", F.get(proven, F.lit(0))["evidence"]))
-            .when(F.size(deals) > 0, outcome("unknown", F.lit("completion_without_explicit_receipt_wording")))
-            .when(planned, outcome("planned", F.lit("no_unqualified_completion_and_receipt")))
-            .otherwise(outcome("unknown", F.lit("insufficient_affirmative_completion_and_receipt"))))
+def financing_status(rows: DataFrame, excerpt: str) -> DataFrame:
+    """Add status and evidence: completed only with an explicit receipt in the same or a neighbouring clause.
+
+    Every step is its own column, so a clause meets each pattern once.
+    """
+    clean = squeezed(F.col(excerpt))
+    marked = rows.withColumn("_clean", clean).withColumn("_parts", clauses(F.col("_clean"))).withColumn("_marks", F.transform("_parts", lambda c: F.struct(
+        (~c.rlike(CONDITIONAL_WORDS)).alias("plain"), (c.rlike(DEBT_WORDS) & c.rlike(COMPLETION_WORDS)).alias("deal"),
+        (c.rlike(RECEIPT_WORDS) & c.rlike(FUNDS_WORDS)).alias("receipt"))))
+    roles = marked.withColumn("_deals", F.array_compact(F.transform("_marks", lambda m, i: F.when(m["plain"] & m["deal"], i)))).withColumn(
+        "_receipts", F.array_compact(F.transform("_marks", lambda m, i: F.when(m["plain"] & m["receipt"], i))))
+
+    def has(i: Column) -> Column:
+        return F.array_contains(F.col("_receipts"), i)
+
+    near = F.transform("_deals", lambda d: F.when(has(d), F.struct(d.alias("a"), d.alias("b"))).when(has(d - 1), F.struct(d.alias("a"), (d - 1).alias("b")))
+                       .when(has(d + 1), F.struct(d.alias("a"), (d + 1).alias("b"))))
+    found = roles.withColumn("_proof", F.get(F.array_compact(near), F.lit(0)))
+    here, there = F.get("_parts", F.col("_proof.a")), F.get("_parts", F.col("_proof.b"))
+    missing = F.col(excerpt).isNull() | (F.col("_clean") == "")
+    planned = F.col("_clean").rlike(CONDITIONAL_WORDS) & F.col("_clean").rlike(DEBT_WORDS)
+    proven = F.col("_proof").isNotNull()
+    status = F.when(missing, "unknown").when(proven, "completed").when(F.size("_deals") > 0, "unknown").when(planned, "planned").otherwise("unknown")
+    evidence = (F.when(missing, "missing_excerpt").when(proven & (F.col("_proof.a") == F.col("_proof.b")), here).when(proven, F.concat_ws(" ", here, there))
+                .when(F.size("_deals") > 0, "completion_without_explicit_receipt_wording").when(planned, "no_unqualified_completion_and_receipt")
+                .otherwise("insufficient_affirmative_completion_and_receipt"))
+    return found.withColumns({"status": status, "evidence": evidence}).drop("_clean", "_parts", "_marks", "_deals", "_receipts", "_proof")

@@ -241,8 +241,8 @@ EXCERPTS = ["The company issued senior secured notes. It received the proceeds."
 def x3(spark, folder):
     tail = F.get(F.array(*[F.lit(e) for e in EXCERPTS]), (F.col("doc_id") % len(EXCERPTS)).cast("int"))
     excerpt = F.when(tail != "", F.concat_ws(" ", "text", tail))
-    out = T.table(spark, folder, "documents").select("doc_id", X.financing_status(excerpt).alias("x"))
-    return out.select("doc_id", "x.status", F.md5("x.evidence").alias("evidence_hash"))
+    out = X.financing_status(T.table(spark, folder, "documents").select("doc_id", excerpt.alias("excerpt")), "excerpt")
+    return out.select("doc_id", "status", F.md5("evidence").alias("evidence_hash"))
 
 
 @study("x4_excerpt_merge", """
