@@ -26,7 +26,7 @@ def calendar(sessions: DataFrame) -> DataFrame:
 
 
 def densify(bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One row for every ticker and session; close and volume NULL where no bar exists."""
+    """One row for every ticker and session; the bar's columns are NULL where no bar exists."""
     last = sessions.agg(F.max("session").alias("last")).scalar()
     grid = bars.select("ticker").distinct().select(
         "ticker", F.explode(F.sequence(F.lit(0), last)).alias("session"))
@@ -117,19 +117,17 @@ def attach_benchmark(panel: DataFrame, benchmark: DataFrame, names: Sequence[str
     return panel.join(F.broadcast(market), "session", "left")
 
 
-def study_panel(bars: DataFrame, sessions: DataFrame, aligned: DataFrame, categories: Sequence[str],
+def study_panel(dense: DataFrame, aligned: DataFrame, categories: Sequence[str],
                 horizons: Sequence[int], benchmark: str, first: str, second: str, gap: int) -> DataFrame:
     """Controls, forward outcomes, one-day event flags, and the ordered-sequence flag."""
-    dense = moves(densify(bars, sessions))
-    wide = dense.select(
+    wide = moves(dense).select(
         "ticker", "session", "date", "close", past_return(5).alias("past_return_5"),
         past_return(20).alias("past_return_20"), rolling_std(20).alias("past_vol_20"),
         F.log1p("volume").alias("past_log_volume"),
         *[forward_return(h).alias(f"return_{h}") for h in horizons],
         *[forward_volatility(h).alias(f"volatility_{h}") for h in horizons],
         *[target_end(h).alias(f"target_end_{h}") for h in horizons])
-    market = wide.where(F.col("ticker") == benchmark).withColumnRenamed("past_return_5", "past_return_5_")
-    market = market.select("session", F.col("past_return_5_").alias("market_past_return_5"))
+    market = dense.where(F.col("ticker") == benchmark).select("session", past_return(5).alias("market_past_return_5"))
     wide = wide.where(F.col("ticker") != benchmark).join(F.broadcast(market), "session", "left")
     flags = event_days(aligned.where(F.col("category").isin(list(categories)))).groupBy("ticker", "session").pivot(
         "category", list(categories)).agg(F.max(F.lit(1)))
@@ -142,11 +140,9 @@ def study_panel(bars: DataFrame, sessions: DataFrame, aligned: DataFrame, catego
                             "market_past_return_5")))
 
 
-def extended_panel(bars: DataFrame, sessions: DataFrame, issuer: Column, horizons: Sequence[int],
-                   benchmark: str) -> DataFrame:
+def extended_panel(dense: DataFrame, issuer: Column, horizons: Sequence[int], benchmark: str) -> DataFrame:
     """Eleven controls, four outcome kinds and the share-class weight."""
-    dense = moves(densify(bars, sessions))
-    wide = dense.select(
+    wide = moves(dense).select(
         "ticker", issuer.alias("issuer"), "session", "date", "close", "volume",
         *[past_return(h).alias(f"return{h}") for h in (1, 5, 20, 60)],
         *[rolling_rms(h).alias(f"vol{h}") for h in (20, 60)],
@@ -157,7 +153,9 @@ def extended_panel(bars: DataFrame, sessions: DataFrame, issuer: Column, horizon
         *[target_end(h).alias(f"target_end_{h}") for h in horizons])
     for h in horizons:
         wide = wide.withColumn(f"absolute_{h}", F.abs(F.col(f"return_{h}")))
-    market = wide.where(F.col("ticker") == benchmark).select(
+    alone = moves(dense.where(F.col("ticker") == benchmark)).select(
+        "session", past_return(5).alias("return5"), past_return(20).alias("return20"), rolling_rms(20).alias("vol20"))
+    market = alone.select(
         "session", F.col("return5").alias("market_return5"), F.col("return20").alias("market_return20"),
         F.col("vol20").alias("market_vol20"))
     share = 1 / F.count(F.lit(1)).over(W.partitionBy("issuer", "session"))

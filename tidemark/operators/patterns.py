@@ -34,18 +34,28 @@ def last_before(days: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def sequences(days: DataFrame, before: DataFrame, keys: Sequence[str], length: int, window: int) -> DataFrame:
-    """(keys, session, label, pattern, length, span): sequences ending at a session, span = sessions they cover."""
-    level = days.select(*keys, "session", "label", F.col("label").alias("pattern"), F.col("session").alias("start"))
+    """(keys, session, prefix, length, span): what can stand before a session's own label.
+
+    The part before the last label is the same for every label of that session,
+    so it is grown once per (keys, session); `closed` adds the last label.
+    """
+    active = days.select(*keys, "session").distinct()
+    level = active.select("*", F.lit(None).cast("string").alias("prefix"), F.col("session").alias("start"))
+    previous = before.withColumnRenamed("session", "start")
     found = None
     for size in range(2, length + 1):
-        previous = before.withColumnRenamed("session", "start")
         level = level.join(previous, [*keys, "start"]).where(F.col("session") - F.col("earlier_session") <= window).select(
-            *keys, "session", "label", F.concat_ws(">", "earlier", "pattern").alias("pattern"), F.col("earlier_session").alias("start"))
-        rows = level.select(*keys, "session", "label", "pattern", F.lit(size).alias("length"), (F.col("session") - F.col("start")).alias("span"))
+            *keys, "session", F.concat_ws(">", "earlier", "prefix").alias("prefix"), F.col("earlier_session").alias("start"))
+        rows = level.select(*keys, "session", "prefix", F.lit(size).alias("length"), (F.col("session") - F.col("start")).alias("span"))
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
+def closed(prefixes: DataFrame, days: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sequences with their last label and the filings that carry it."""
+    return prefixes.join(days, [*keys, "session"]).withColumn("pattern", F.concat_ws(">", "prefix", "label"))
+
+
 def windowed(sequence_rows: DataFrame, windows: Sequence[int]) -> DataFrame:
     """One row per window that is wide enough for the sequence."""
     fits = F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: w >= F.col("span"))

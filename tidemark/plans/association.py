@@ -13,7 +13,7 @@ from tidemark.operators import gates as G
 from tidemark.operators import panel as P
 from tidemark.operators import series as Z
 from tidemark.plans.basics import option_dense
-from tidemark.plans.market import CATEGORIES, HORIZONS, aligned, dense, extended_panel, moves, study_panel
+from tidemark.plans.market import CATEGORIES, HORIZONS, aligned, dense, extended_panel, moves, study_panel, sessions, nation_dense
 from tidemark.plans.registry import study
 from tidemark.plans.sqlviews import draw, r, view
 from tidemark.session import snapshot
@@ -39,7 +39,7 @@ def event_grid(spark, folder):
 def _event_grid(spark, folder):
     """Filings per ticker, category and session, zeros included."""
     rows = aligned(spark, folder)
-    last = T.sessions(spark, folder).agg(F.max("session")).scalar()
+    last = sessions(spark, folder).agg(F.max("session")).scalar()
     grid = rows.select("ticker", "category").distinct().select("*", F.explode(F.sequence(F.lit(0), last)).alias("session"))
     return grid.join(P.event_days(rows), ["ticker", "category", "session"], "left").na.fill(0, ["filings"])
 
@@ -99,8 +99,7 @@ WITH m AS (SELECT session, ticker, close / lag(close, 20) OVER (PARTITION BY tic
 p AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY momentum DESC, ticker) AS place FROM m WHERE session % 21 = 0 AND momentum > 0)
 SELECT session, ticker, CAST(place AS INTEGER) AS place, {r('momentum')} AS momentum, {r('least(1::DOUBLE / count(*) OVER (PARTITION BY session), 0.3::DOUBLE)')} AS weight FROM p WHERE place <= 3""", "nation_dense")
 def w14(spark, folder):
-    wide = P.densify(T.bars(spark, folder, "nation"), T.sessions(spark, folder))
-    return Z.momentum_weights(wide, 20, 3, 0.3, 21).withColumns({"momentum": rounded("momentum"), "weight": rounded("weight")})
+    return Z.momentum_weights(nation_dense(spark, folder), 20, 3, 0.3, 21).withColumns({"momentum": rounded("momentum"), "weight": rounded("weight")})
 
 
 @study("w15_drawdown", f"""SELECT ticker, session, {r('close / max(close) OVER (PARTITION BY ticker ORDER BY session) - 1')} AS drawdown, max(close) OVER (PARTITION BY ticker ORDER BY session) AS peak FROM dense""", "dense")
@@ -158,7 +157,7 @@ def w18(spark, folder):
 SELECT a.accession, b.buffer, s.date AS observation_date FROM aligned a CROSS JOIN (VALUES (0), (1), (3), (5)) b(buffer) LEFT JOIN sessions s ON s.session = a.session + b.buffer WHERE a.session IS NOT NULL""", "aligned")
 def w19(spark, folder):
     rows = aligned(spark, folder).where("session is not null").select("accession", "session", F.explode(F.array(*[F.lit(b) for b in (0, 1, 3, 5)])).alias("buffer"))
-    days = T.sessions(spark, folder).select(F.col("session").alias("at"), F.col("date").alias("observation_date"))
+    days = sessions(spark, folder).select(F.col("session").alias("at"), F.col("date").alias("observation_date"))
     return rows.withColumn("at", F.col("session") + F.col("buffer")).join(P.calendar(days), "at", "left").select("accession", "buffer", "observation_date")
 
 

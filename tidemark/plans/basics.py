@@ -10,10 +10,10 @@ from tidemark.functions.scalars import (big, clip, counter_draw, first_reason, f
                                         uniform_draw)
 from tidemark.operators import gates as G
 from tidemark.operators import panel as P
-from tidemark.plans.market import aligned, dense, moves, study_panel
+from tidemark.plans.market import aligned, dense, market_grid, moves, sessions, study_panel
 from tidemark.plans.registry import study
 from tidemark.plans.sqlviews import draw, r, view
-from tidemark.session import fresh_path, snapshot
+from tidemark.session import fresh_path
 from tidemark.sources import files as S
 from tidemark.sources import tables as T
 
@@ -214,15 +214,8 @@ view("option_dense", "dense option_bars", """SELECT d.ticker, d.session, d.date,
 
 
 def option_dense(spark, folder):
-    return snapshot(spark, folder, "option-dense", _option_dense)
-
-
-def _option_dense(spark, folder):
     """Stock close with the call and put marks of the same ticker and session."""
-    marks = T.option_bars(spark, folder).groupBy("ticker", "date").pivot("contract_type", ["call", "put"]).agg(
-        F.max("close").alias("close"), F.max("volume").alias("volume"))
-    return dense(spark, folder).withColumnsRenamed({"close": "stock", "volume": "stock_volume"}).join(
-        marks.withColumnsRenamed({"call_close": "call", "put_close": "put"}), ["ticker", "date"], "left")
+    return market_grid(spark, folder).withColumnsRenamed({"close": "stock", "volume": "stock_volume"})
 
 
 @study("p6_prior_liquidity", """
@@ -481,7 +474,7 @@ SELECT accession, session, CASE WHEN session IS NULL THEN 'outside_grid' WHEN se
   CASE WHEN session IS NULL OR session < 84 OR session + 21 > (SELECT max(session) FROM sessions) THEN 'excluded' ELSE 'accepted' END AS outcome FROM aligned""", "aligned")
 def u6(spark, folder):
     rows = aligned(spark, folder)
-    last = T.sessions(spark, folder).agg(F.max("session")).scalar()
+    last = sessions(spark, folder).agg(F.max("session")).scalar()
     reason = first_reason((F.col("session").isNull(), "outside_grid"), (F.col("session") < 84, "insufficient_history"),
                           (F.col("session") + 21 > last, "outcome_outside_history"))
     return rows.withColumn("reason", reason).select("accession", "session", "reason", F.when(F.col("reason").isNull(), "accepted").otherwise("excluded").alias("outcome"))

@@ -13,7 +13,7 @@ from tidemark.operators import panel as P
 from tidemark.operators import patterns as N
 from tidemark.operators import series as Z
 from tidemark.plans.basics import option_dense
-from tidemark.plans.market import CATEGORIES, aligned, dense, moves
+from tidemark.plans.market import CATEGORIES, aligned, dense, moves, sessions
 from tidemark.plans.registry import study
 from tidemark.plans.sqlviews import draw, r, view
 from tidemark.session import snapshot
@@ -170,7 +170,7 @@ def j15(spark, folder):
 def early_scaled_events(spark, folder):
     """Event sessions scaled by the sample deviation of the first 40 % of sessions."""
     rows = complete(spark, folder)
-    cut = F.floor(T.sessions(spark, folder).agg(F.count(F.lit(1))).scalar() * 0.4)
+    cut = F.floor(sessions(spark, folder).agg(F.count(F.lit(1))).scalar() * 0.4)
     early = rows.where(F.col("session") < cut)
     scales = {f"scale_{n}": F.coalesce(F.nullif(early.agg(F.stddev_samp(n)).scalar(), F.lit(0.0)), F.lit(1.0)) for n in NAMES}
     return rows.join(sessions_of(cohort(spark, folder)), ["ticker", "session"], "left_semi").withColumns(scales)
@@ -278,7 +278,7 @@ def j25(spark, folder):
 def dividend_days(spark, folder):
     """USD cash per ticker and session of the ex-date, on the dense grid."""
     rows = T.dividends(spark, folder).where("currency = 'USD'")
-    cash = P.align_forward(rows, T.sessions(spark, folder), "ex_date").groupBy("ticker", "session").agg(F.sum("cash").alias("cash"))
+    cash = P.align_forward(rows, sessions(spark, folder), "ex_date").groupBy("ticker", "session").agg(F.sum("cash").alias("cash"))
     return dense(spark, folder).select("ticker", "session").join(cash, ["ticker", "session"], "left")
 
 
@@ -287,7 +287,7 @@ WITH d AS (SELECT v.ticker, v.cash, s.session FROM dividends v ASOF JOIN session
 p AS (SELECT DISTINCT ticker, session AS entry_session, session + 10 AS exit_session FROM cohort WHERE session + 10 <= (SELECT max(session) FROM sessions))
 SELECT p.ticker, p.entry_session, p.exit_session, {r('coalesce(sum(d.cash), 0)', 8)} AS cash FROM p LEFT JOIN d ON d.ticker = p.ticker AND d.session > p.entry_session AND d.session <= p.exit_session GROUP BY 1, 2, 3""", "dividends sessions cohort")
 def j26(spark, folder):
-    last = T.sessions(spark, folder).agg(F.max("session")).scalar()
+    last = sessions(spark, folder).agg(F.max("session")).scalar()
     held = sessions_of(cohort(spark, folder)).select("ticker", F.col("session").alias("entry_session"), (F.col("session") + 10).alias("exit_session")).where(F.col("exit_session") <= last)
     totals = J.running_total(dividend_days(spark, folder), ["ticker"], "cash", "total")
     return J.interval_sum(held, totals, ["ticker"], "total", "cash").withColumn("cash", rounded("cash", 8))
@@ -353,7 +353,7 @@ def label_grid(spark, folder):
     rows = labelled(spark, folder).select("issuer", "session", F.array_contains("labels", A).alias("ha"), F.array_contains("labels", B).alias("hb"))
     counts = rows.where("session is not null").groupBy("issuer", "session").agg(
         F.count_if("ha").alias("a"), F.count_if("hb").alias("b"), F.count_if(F.col("ha") & F.col("hb")).alias("ab"))
-    last = T.sessions(spark, folder).agg(F.max("session")).scalar()
+    last = sessions(spark, folder).agg(F.max("session")).scalar()
     grid = rows.select("issuer").distinct().select("issuer", F.explode(F.sequence(F.lit(0), last)).alias("session"))
     return grid.join(counts, ["issuer", "session"], "left").na.fill(0, ["a", "b", "ab"])
 
@@ -402,7 +402,7 @@ def e10(spark, folder):
 def anchors(spark, folder):
     """Event anchors and ordinary ones 84 sessions earlier, each with a reason when not usable."""
     rows = cohort(spark, folder).select("issuer", "ticker", "accession", "filing_date", F.col("session").alias("first_session"))
-    placed = P.align_forward(rows, T.sessions(spark, folder), "filing_date").withColumn("pre", F.col("session") - 1)
+    placed = P.align_forward(rows, sessions(spark, folder), "filing_date").withColumn("pre", F.col("session") - 1)
     both = placed.select("issuer", "ticker", "accession", F.explode(F.array(
         F.struct(F.lit("event").alias("cohort"), F.col("pre").alias("pre_session"), F.col("first_session").alias("first_session")),
         F.struct(F.lit("ordinary").alias("cohort"), (F.col("pre") - 84).alias("pre_session"), (F.col("first_session") - 84).alias("first_session")))).alias("x")).select("issuer", "ticker", "accession", "x.*")
@@ -492,8 +492,8 @@ def sequence_rows(spark, folder):
     def build(s, f):
         days = cat_days(s, f)
         before = N.last_before(days, ["issuer"])
-        return N.sequences(days, before, ["issuer"], 4, max(WINDOWS)).join(days, ["issuer", "session", "label"])
-    return snapshot(spark, folder, "sequences", build)
+        return N.sequences(days, before, ["issuer"], 4, max(WINDOWS))
+    return N.closed(snapshot(spark, folder, "sequences", build), cat_days(spark, folder), ["issuer"])
 
 
 @study("e6_gapped_sequences", """
@@ -533,7 +533,7 @@ def e8(spark, folder):
 
 @study("e9_lagged_activation", "SELECT issuer, label, session + lag AS session, lag, filings FROM cat_days, (VALUES (0), (1), (5), (21)) v(lag) WHERE session + lag <= (SELECT max(session) FROM sessions)", "cat_days sessions")
 def e9(spark, folder):
-    last = T.sessions(spark, folder).agg(F.max("session")).scalar()
+    last = sessions(spark, folder).agg(F.max("session")).scalar()
     rows = cat_days(spark, folder).select("issuer", "label", "session", "filings", F.explode(F.array(*[F.lit(k) for k in (0, 1, 5, 21)])).alias("lag"))
     return rows.withColumn("session", F.col("session") + F.col("lag")).where(F.col("session") <= last)
 
@@ -544,7 +544,7 @@ view("placebo", "aligned sessions", f"""WITH p AS (SELECT session, year(date) AS
 
 
 def placebo(spark, folder):
-    return snapshot(spark, folder, "placebo", lambda s, f: N.circular_shift(aligned(s, f).where("session is not null"), T.sessions(s, f), 3, 23))
+    return snapshot(spark, folder, "placebo", lambda s, f: N.circular_shift(aligned(s, f).where("session is not null"), sessions(s, f), 3, 23))
 
 
 @study("e15_shifted_calendar", "SELECT replica, issuer, accession, placebo_session, segment FROM placebo", "placebo")
@@ -561,7 +561,7 @@ SELECT p.replica, p.issuer, p.session, CAST(CASE WHEN z.session IS NULL THEN pri
 def e16(spark, folder):
     moved = placebo(spark, folder)
     days = moved.groupBy("replica", "issuer", F.col("placebo_session").alias("session")).agg(F.count(F.lit(1)).alias("filings"))
-    last = T.sessions(spark, folder).agg(F.max("session")).scalar()
+    last = sessions(spark, folder).agg(F.max("session")).scalar()
     grid = moved.select("replica", "issuer").distinct().select("*", F.explode(F.sequence(F.lit(0), last)).alias("session")).join(days, ["replica", "issuer", "session"], "left").na.fill(0, ["filings"])
     prior = grid.select("replica", "issuer", "session", Z.prior_count("filings", 21, ["replica", "issuer"]).alias("prior"))
     zone = N.censored_zone(moved, 21).withColumn("z", F.lit(1))

@@ -10,7 +10,7 @@ from tidemark.operators import estimators as E
 from tidemark.operators import resample as R
 from tidemark.plans.association import flag_rows
 from tidemark.plans.events import cat_days, features, matched, placebo
-from tidemark.plans.market import dense, study_panel
+from tidemark.plans.market import dense, study_panel, sessions
 from tidemark.plans.registry import study
 from tidemark.plans.sqlviews import draw, r, view
 from tidemark.session import snapshot
@@ -34,11 +34,11 @@ view("losses", "cat_days features", """SELECT c.label || '|' || year(f.date) AS
 
 
 def moving_weights(spark, folder):
-    return R.moving_block_weights(T.sessions(spark, folder), DRAWS, BLOCK, SEED)
+    return R.moving_block_weights(sessions(spark, folder), DRAWS, BLOCK, SEED)
 
 
 def year_weights(spark, folder):
-    return snapshot(spark, folder, "year-weights", lambda s, f: R.year_block_weights(T.sessions(s, f), DRAWS, BLOCK, SEED))
+    return snapshot(spark, folder, "year-weights", lambda s, f: R.year_block_weights(sessions(s, f), DRAWS, BLOCK, SEED))
 
 
 def issuer_weights(spark, folder):
@@ -109,7 +109,7 @@ def r5(spark, folder):
 
 @study("r6_year_block_weights", "SELECT CAST(draw AS INTEGER) AS draw, CAST(session AS INTEGER) AS session, weight FROM year_weights", "year_weights")
 def r6(spark, folder):
-    return R.year_block_weights(T.sessions(spark, folder), DRAWS, BLOCK, SEED)
+    return R.year_block_weights(sessions(spark, folder), DRAWS, BLOCK, SEED)
 
 
 view("loss_draws", "losses year_weights", """SELECT comparison, draw, sum(weight * s) / sum(weight * n) AS estimate FROM (SELECT comparison, session, sum(value) AS s, count(*) AS n FROM losses GROUP BY 1, 2) JOIN year_weights USING (session) GROUP BY 1, 2""")
@@ -307,7 +307,7 @@ def r18(spark, folder):
     sums = losses(spark, folder).groupBy("comparison", "session").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
     parts = None
     for first in range(0, DRAWS, 33):
-        weights = R.year_block_weights(T.sessions(spark, folder), 33, BLOCK, SEED, first)
+        weights = R.year_block_weights(sessions(spark, folder), 33, BLOCK, SEED, first)
         batch = R.weighted_means(sums, weights, ["comparison"], ["session"], "s", "n")
         parts = batch if parts is None else parts.unionByName(batch)
     return parts.groupBy("comparison").agg(F.count("estimate").alias("draws"), rounded(F.avg("estimate")).alias("mean_draw"), rounded(F.min("estimate")).alias("low"), rounded(F.max("estimate")).alias("high"))

@@ -16,12 +16,22 @@ HORIZONS = [1, 5, 21]
 CATEGORIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-def _dense(spark, folder):
-    return P.densify(T.bars(spark, folder), T.sessions(spark, folder))
+def sessions(spark, folder):
+    """The numbered trading days, read once from the source."""
+    return snapshot(spark, folder, "sessions", T.sessions)
+
+
+def market_grid(spark, folder):
+    """Stock, call and put series on the dense grid; every study starts from this one table."""
+    return snapshot(spark, folder, "market-grid", lambda s, f: P.densify(T.market_days(s, f), sessions(s, f)))
 
 
 def dense(spark, folder):
-    return snapshot(spark, folder, "dense", _dense)
+    return market_grid(spark, folder).select("ticker", "session", "date", "close", "volume")
+
+
+def nation_dense(spark, folder):
+    return snapshot(spark, folder, "nation-grid", lambda s, f: P.densify(T.bars(s, f, "nation"), sessions(s, f)))
 
 
 def moves(spark, folder):
@@ -33,12 +43,12 @@ def aligned(spark, folder):
 
 
 def _aligned(spark, folder):
-    return P.align_forward(T.filings(spark, folder), T.sessions(spark, folder), "available_date")
+    return P.align_forward(T.filings(spark, folder), sessions(spark, folder), "available_date")
 
 
 @study("j1_densify_grid", "SELECT ticker, session, date, close, volume FROM dense", "dense")
 def j1(spark, folder):
-    return _dense(spark, folder).select("ticker", "session", "date", "close", "volume")
+    return P.densify(T.bars(spark, folder), T.sessions(spark, folder)).select("ticker", "session", "date", "close", "volume")
 
 
 @study("j2_benchmark_attach", f"""
@@ -161,7 +171,7 @@ def study_panel(spark, folder):
 
 
 def _study_panel(spark, folder):
-    return P.study_panel(T.bars(spark, folder), T.sessions(spark, folder), aligned(spark, folder), CATEGORIES, HORIZONS,
+    return P.study_panel(dense(spark, folder), aligned(spark, folder), CATEGORIES, HORIZONS,
                          T.BENCHMARK, "1-URGENT", "2-HIGH", 5)
 
 
@@ -209,7 +219,7 @@ def extended_panel(spark, folder):
 
 def _extended_panel(spark, folder):
     return P.extended_panel(
-        T.bars(spark, folder, "nation"), T.sessions(spark, folder),
+        nation_dense(spark, folder),
         F.concat(F.lit("I"), (F.substring("ticker", 2, 9).cast("int") % 5).cast("string")), EXT_HORIZONS, T.BENCHMARK)
 
 

@@ -16,7 +16,7 @@ from tidemark.operators import series as Z
 from tidemark.plans.association import trades
 from tidemark.plans.basics import option_dense
 from tidemark.plans.events import MAX_AGE, asof_quotes, dividend_days, features, labelled, matched
-from tidemark.plans.market import aligned, dense, moves
+from tidemark.plans.market import aligned, dense, moves, sessions
 from tidemark.plans.registry import study
 from tidemark.plans.sqlviews import r, view
 from tidemark.session import snapshot
@@ -249,7 +249,7 @@ _RK = ", ".join(RKEY)
 
 
 def actions(spark, folder):
-    rows = P.align_forward(T.dividends(spark, folder), T.sessions(spark, folder), "ex_date").where("session is not null")
+    rows = P.align_forward(T.dividends(spark, folder), sessions(spark, folder), "ex_date").where("session is not null")
     return rows.groupBy("ticker", "session").agg(F.sum(F.when(F.col("currency") == "USD", F.col("cash"))).alias("cash"), F.max("declared").alias("declared"), F.bool_or(F.col("currency") != "USD").alias("unsupported"))
 
 
@@ -265,9 +265,9 @@ def records(spark, folder):
             otm = F.col("strike") / F.col("ds") - 1 if shape == "covered_call" else 1 - F.col("strike") / F.col("ds")
             legs.append(joined.withColumn("achieved_otm", otm))
         both = legs[0].unionByName(legs[1]).withColumn("stock_only", F.explode(F.array(F.lit(False), F.lit(True))))
-        days = P.next_session(T.sessions(s, f)).select(F.date_sub("day", 1).alias("expiry"), (F.col("session") - 1).alias("expiry_session"))
-        last = T.sessions(s, f).agg(F.max("session")).scalar()
-        end = T.sessions(s, f).agg(F.max("date")).scalar()
+        days = P.next_session(sessions(s, f)).select(F.date_sub("day", 1).alias("expiry"), (F.col("session") - 1).alias("expiry_session"))
+        last = sessions(s, f).agg(F.max("session")).scalar()
+        end = sessions(s, f).agg(F.max("date")).scalar()
         placed = both.join(F.broadcast(days), "expiry", "left").withColumn("expiry_session", F.when(F.col("expiry") >= end, last).otherwise(F.col("expiry_session")))
         target = F.col("session") + 1 + HORIZON
         missing = F.col("ds").isNull() | F.col("do").isNull() | F.col("stock_entry").isNull() | F.col("option_entry").isNull()
@@ -566,7 +566,7 @@ def nav(spark, folder):
         t = trades(s, f)
         moves_ = t.select("ticker", F.col("entry_date").alias("date"), F.lit(1).alias("q"), (-F.col("entry_price")).alias("c")).unionByName(
             t.where("exit_date is not null").select("ticker", F.col("exit_date").alias("date"), F.lit(-1).alias("q"), F.col("exit_price").alias("c")))
-        positions = moves_.join(P.calendar(T.sessions(s, f)), "date").groupBy("ticker", "session").agg(F.sum("q").alias("quantity_delta"), F.sum("c").alias("cash_delta"))
+        positions = moves_.join(P.calendar(sessions(s, f)), "date").groupBy("ticker", "session").agg(F.sum("q").alias("quantity_delta"), F.sum("c").alias("cash_delta"))
         out = O.net_value(positions, dense(s, f).withColumnRenamed("close", "mark"), ["ticker"])
         return out.select("ticker", "session", "date", (F.col("nav") + 100000).alias("nav"), (F.col("cash") + 100000).alias("cash"), "quantity")
     return snapshot(spark, folder, "nav", build)
@@ -605,7 +605,7 @@ view("nav_year", "nav_filled", "SELECT ticker, year(date) AS year, session, date
 @study("l11_performance_by_year", "SELECT p.*, CAST(p.observations = c.n AS INTEGER) AS calendar_complete FROM (" + _perf_sql("ticker, year", "nav_year") + ") p JOIN (SELECT year(date) AS year, count(*) AS n FROM sessions GROUP BY 1) c USING (year)", "nav_year sessions")
 def l11(spark, folder):
     carried = nav(spark, folder).select("ticker", F.year("date").cast("bigint").alias("year"), "session", "date", J.aged_mark("nav", 3)[0].alias("nav"))
-    days = T.sessions(spark, folder).groupBy(F.year("date").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    days = sessions(spark, folder).groupBy(F.year("date").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"))
     out = O.performance(carried, ["ticker", "year"], 100000.0, O.RATE).join(F.broadcast(days), "year")
     return _show_perf(out, ["ticker", "year", "n"]).withColumn("calendar_complete", flag(F.col("observations") == F.col("n"))).drop("n")
 
@@ -619,6 +619,6 @@ def l12(spark, folder):
     t = trades(spark, folder)
     marks = t.select("ticker", F.col("entry_date").alias("date"), F.lit("buy_marker").alias("series"), F.col("entry_price").alias("value")).unionByName(
         t.where("exit_date is not null").select("ticker", F.col("exit_date").alias("date"), F.lit("sell_marker").alias("series"), F.col("exit_price").alias("value")))
-    marks = marks.join(P.calendar(T.sessions(spark, folder)), "date").select("ticker", "session", "series", "value")
+    marks = marks.join(P.calendar(sessions(spark, folder)), "date").select("ticker", "session", "series", "value")
     digits = F.when(F.col("series") == "equity", rounded("value", 3)).otherwise(F.col("value"))
     return bars.unionByName(equity).unionByName(marks).select("ticker", "session", "series", digits.alias("value"))

@@ -29,25 +29,35 @@ def cents(value: str) -> Column:
     return F.round(F.col(value) * 100).cast("bigint")
 
 
-def bars(spark: SparkSession, folder: str, level: str = "region") -> DataFrame:
-    """(ticker, date, close, volume): volume-weighted daily price of a region or nation."""
-    return _price_bars(spark, folder, level, None)
-
+def market_days(spark: SparkSession, folder: str, level: str = "region") -> DataFrame:
+    """(ticker, date, close, volume, call, call_volume, put, put_volume) from one pass over the lines.
 
-def _price_bars(spark: SparkSession, folder: str, level: str, returnflag: str | None) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
-    if returnflag is not None:
-        lines = lines.where(F.col("l_returnflag") == returnflag)
-    key = _level_key(level)
+    The stock series takes all lines of a region or nation; the call and put
+    marks take the lines with return flag A and R. Unused series are pruned.
+    """
     homes = (table(spark, folder, "supplier")
              .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-             .select("s_suppkey", F.concat(F.lit("T"), F.col(key).cast("string")).alias("ticker")))
-    return (lines.select("l_suppkey", F.to_date("l_shipdate").alias("date"), cents("l_extendedprice").alias("amount"),
-                         "l_quantity")
-            .join(homes, F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy("ticker", "date")
-            .agg(F.sum("amount").alias("amount"), F.sum("l_quantity").alias("volume"))
-            .select("ticker", "date", (F.col("amount") / 100.0 / F.col("volume")).alias("close"), "volume"))
+             .select("s_suppkey", F.concat(F.lit("T"), F.col(_level_key(level)).cast("string")).alias("ticker")))
+    lines = table(spark, folder, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("date"), cents("l_extendedprice").alias("amount"),
+                                                    "l_quantity", "l_returnflag")
+    sums = []
+    for name, flag in (("stock", None), ("call", "A"), ("put", "R")):
+        for column in ("amount", "l_quantity"):
+            value = F.col(column) if flag is None else F.when(F.col("l_returnflag") == flag, F.col(column))
+            sums.append(F.sum(value).alias(f"{name}_{column}"))
+    days = lines.join(homes, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("ticker", "date").agg(*sums)
+
+    def price(name: str) -> Column:
+        return F.col(f"{name}_amount") / 100.0 / F.col(f"{name}_l_quantity")
+
+    return days.select("ticker", "date", price("stock").alias("close"), F.col("stock_l_quantity").alias("volume"),
+                       (price("call") * OPTION_SCALE).alias("call"), F.col("call_l_quantity").alias("call_volume"),
+                       (price("put") * OPTION_SCALE).alias("put"), F.col("put_l_quantity").alias("put_volume"))
+
+
+def bars(spark: SparkSession, folder: str, level: str = "region") -> DataFrame:
+    """(ticker, date, close, volume): volume-weighted daily price of a region or nation."""
+    return market_days(spark, folder, level).select("ticker", "date", "close", "volume")
 
 
 def _level_key(level: str) -> str:
@@ -105,9 +115,9 @@ def contracts(spark: SparkSession, folder: str) -> DataFrame:
 
 def option_bars(spark: SparkSession, folder: str) -> DataFrame:
     """(ticker, contract_type, date, close, volume): one option mark series per ticker and side."""
-    calls = _price_bars(spark, folder, "region", "A").withColumn("contract_type", F.lit("call"))
-    puts = _price_bars(spark, folder, "region", "R").withColumn("contract_type", F.lit("put"))
-    return calls.unionByName(puts).withColumn("close", F.col("close") * OPTION_SCALE)
+    sides = F.array(*[F.struct(F.lit(x).alias("contract_type"), F.col(x).alias("close"), F.col(f"{x}_volume").alias("volume")) for x in SIDES])
+    return market_days(spark, folder).select("ticker", "date", F.explode(sides).alias("s")).select(
+        "ticker", "s.contract_type", "date", "s.close", "s.volume").where("close is not null")
 
 
 def quotes(spark: SparkSession, folder: str) -> DataFrame:
