@@ -24,3 +24,12 @@ def study(name: str, sql: str | None = None, views: str = ""):
         return fn
 
     return register
+
+
+def run(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """Run one study, several, or all of them by name; every value is a lazy DataFrame."""
+    chosen = list(QUERIES) if names is None else names
+    unknown = [n for n in chosen if n not in QUERIES]
+    if unknown:
+        raise KeyError(f"unknown studies: {unknown}")
+    return {n: QUERIES[n](spark, folder) for n in chosen}
