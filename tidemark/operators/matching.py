@@ -105,11 +105,11 @@ def _take_turns(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(kept, columns=pairs.columns) if kept else pairs.iloc[:0]
 
 
-def balance(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
+def balance(pairs: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Standardized mean difference of every feature over matched pairs."""
     parts = []
     for n in names:
         diff = F.avg(f"e_{n}") - F.avg(f"c_{n}")
         pooled = F.sqrt((F.var_samp(f"e_{n}") + F.var_samp(f"c_{n}")) / 2)
         parts.append(F.try_divide(diff, pooled).alias(f"smd_{n}"))
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), *parts)
+    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), *parts)

@@ -85,7 +85,7 @@ def s5(spark, folder):
     path = fresh_path(spark, "panel")
     S.write_snapshot(panel, path, "ticker")
     table = fresh_path(spark, "panel-csv")
-    spark.read.parquet(path).select(*panel.columns).write.option("header", True).csv(table)
+    spark.read.schema(panel.schema).parquet(path).select(*panel.columns).write.option("header", True).csv(table)
     back = spark.read.schema(panel.schema).option("header", True).csv(table)
     return back.select("ticker", "session", rounded("past_return_5").alias("past_return_5"), rounded("return_5").alias("return_5"), "target_end_5")
 

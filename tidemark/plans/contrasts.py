@@ -151,8 +151,8 @@ def c9(spark, folder):
     e = rows.select("ticker", "session", F.col("return_5").alias("e_value"), *[F.col(n).alias(f"e_{n}") for n in NAMES])
     c = rows.select("ticker", F.col("session").alias("control_session"), F.col("return_5").alias("c_value"), *[F.col(n).alias(f"c_{n}") for n in NAMES])
     pairs = unique_matches(spark, folder).join(e, ["ticker", "session"]).join(c, ["ticker", "control_session"]).where("e_value is not null and c_value is not null")
-    pairs = pairs.withColumn("difference", F.col("e_value") - F.col("c_value")).withColumn("all", F.lit("all"))
-    balance = M.balance(pairs, NAMES).withColumn("all", F.lit("all"))
+    pairs = pairs.withColumn("difference", F.col("e_value") - F.col("c_value")).withColumn("all", F.substring("ticker", 1, 1))
+    balance = M.balance(pairs, NAMES, ["all"])
     middle = ordering.quantiles(pairs, ["all"], "difference", {"median": 0.5})
     mean = pairs.groupBy("all").agg(F.avg("difference").alias("mean"))
     joined = balance.join(middle, "all").join(mean, "all")
@@ -178,7 +178,7 @@ g AS (SELECT CASE WHEN past_vol_20 > cut THEN 'high' ELSE 'low' END AS regime, C
 SELECT regime, event, count(*) AS rows, {r('avg(y)')} AS mean, {r('avg(CASE WHEN y < -0.02::DOUBLE THEN 1::DOUBLE ELSE 0 END)')} AS tail_probability, {r('quantile_cont(y, 0.5)')} AS median, {r('quantile_cont(y, 0.1)')} AS q10, {r('quantile_cont(y, 0.9)')} AS q90 FROM g GROUP BY 1, 2""", "panel")
 def c11(spark, folder):
     panel = study_panel(spark, folder)
-    early = panel.where(F.col("session") < panel.agg(F.max("session")).scalar() * 0.4).withColumn("all", F.lit(1))
+    early = panel.where(F.col("session") < panel.agg(F.max("session")).scalar() * 0.4).withColumn("all", F.substring("ticker", 1, 1))
     cut = ordering.quantiles(early, ["all"], "past_vol_20", {"cut": 0.5}).agg(F.max("cut")).scalar()
     rows = panel.where("return_5 is not null").select(F.when(F.col("past_vol_20") > cut, "high").otherwise("low").alias("regime"), F.col(f"`{EVENT}`").cast("int").alias("event"), "return_5")
     out = E.distribution(rows, ["regime", "event"], "return_5", -0.02)
@@ -210,7 +210,7 @@ view("pairs5", "matched features", """SELECT m.ticker, m.session, e.return_5 - c
 WITH s AS (SELECT ticker, sum(difference) AS s, count(*) AS n FROM pairs5 GROUP BY 1), l AS (SELECT (sum(s) OVER () - s) / (sum(n) OVER () - n) AS rest FROM s)
 SELECT (SELECT count(*) FROM pairs5) AS pairs, {r('(SELECT avg(difference) FROM pairs5)')} AS mean, {r('(SELECT quantile_cont(difference, 0.5) FROM pairs5)')} AS median, {r('min(rest)')} AS leave_one_low, {r('max(rest)')} AS leave_one_high FROM l""", "pairs5")
 def c13(spark, folder):
-    rows = paired(spark, folder).withColumn("all", F.lit("all"))
+    rows = paired(spark, folder).withColumn("all", F.substring("ticker", 1, 1))
     sums = rows.groupBy("all", "ticker").agg(F.sum("difference").alias("s"), F.count(F.lit(1)).alias("n"))
     span = E.leave_one_range(sums, ["all"], "s", "n")
     middle = ordering.quantiles(rows, ["all"], "difference", {"median": 0.5})
@@ -299,9 +299,9 @@ def c23(spark, folder):
     """Mechanism and outcome difference of one study: mean, conditional coefficient and worst decile side by side."""
     rows = complete(spark, folder).where("return_5 is not null").select("ticker", "session", F.col("return_5").alias("y"), "vol20", "return20")
     m = matched(spark, folder)
-    both = m.select("ticker", "session", F.lit(1).alias("event")).unionByName(m.select("ticker", F.col("control_session").alias("session"), F.lit(0).alias("event"))).distinct().join(rows, ["ticker", "session"]).withColumn("study", F.lit("primary"))
+    both = m.select("ticker", "session", F.lit(1).alias("event")).unionByName(m.select("ticker", F.col("control_session").alias("session"), F.lit(0).alias("event"))).distinct().join(rows, ["ticker", "session"]).withColumn("study", F.substring("ticker", 1, 1))
     grams = L.within(L.products(both, ["study"], ["event", "vol20", "return20", "y"]), ["study"], 4)
     coef = L.solve(grams, ["study"], ["event", "vol20", "return20"], limit=1e8).where("name = 'event'").select("study", "coef")
     means = both.groupBy("study").agg(F.count(F.lit(1)).alias("rows"), (F.avg(F.when(F.col("event") == 1, F.col("y"))) - F.avg(F.when(F.col("event") == 0, F.col("y")))).alias("difference"))
     tails = ordering.lowest_share_mean(both, ["study", "event"], "y", 0.1, "t").groupBy("study").agg((F.max(F.when(F.col("event") == 1, F.col("t"))) - F.max(F.when(F.col("event") == 0, F.col("t")))).alias("tail_difference"))
-    return means.join(coef, "study").join(tails, "study").select("study", "rows", *[rounded(c).alias(c) for c in ("difference", "coef", "tail_difference")])
+    return means.join(coef, "study").join(tails, "study").select(F.lit("primary").alias("study"), "rows", *[rounded(c).alias(c) for c in ("difference", "coef", "tail_difference")])

@@ -421,9 +421,11 @@ def e11(spark, folder):
     events = sessions_of(cohort(spark, folder)).select("ticker", "session", F.lit("event").alias("role"))
     ordinary = matched(spark, folder).select("ticker", F.col("control_session").alias("session"), F.lit("ordinary").alias("role"))
     parts = component_matched(spark, folder).select("ticker", F.col("control_session").alias("session"), F.lit("component").alias("role"))
-    grid = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(s).alias("shape")) for v in ("primary", "delayed", "doubled_cost") for s in ("covered_call", "protective_put")])
-    rows = events.unionByName(ordinary).unionByName(parts).select("*", F.explode(grid).alias("g"))
-    return rows.groupBy("g.variant", "g.shape", "role").agg(F.count(F.lit(1)).alias("anchors"))
+    counts = events.unionByName(ordinary).unionByName(parts).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    grid = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(s).alias("shape"), F.lit(o).alias("role")) for v in ("primary", "delayed", "doubled_cost")
+                     for s in ("covered_call", "protective_put") for o in ("event", "ordinary", "component")])
+    planned = spark.range(1).select(F.explode(grid).alias("g")).select("g.*")
+    return planned.join(counts, "role", "left").select("variant", "shape", "role", F.coalesce("n", F.lit(0)).alias("anchors"))
 
 
 @study("e12_context_flags", """

@@ -370,9 +370,9 @@ def leg_cash(spark, folder):
     return legs.select(*KEY, "strike", "shape", "leg", "sign", cash.alias("cash"), "costs")
 
 
-@study("l5_leg_cash_flow", f"SELECT ticker, pair_session, role, shape, costs, count(*) AS legs, {r('sum(cash)', 4)} AS opening_cash FROM leg_cash GROUP BY 1, 2, 3, 4, 5", "leg_cash")
+@study("l5_leg_cash_flow", f"SELECT ticker, pair_session, role, shape, costs, count(*) AS legs, CAST(sum(CAST(round(cash * 1000000) AS BIGINT)) AS DOUBLE) / 1000000 AS opening_cash FROM leg_cash GROUP BY 1, 2, 3, 4, 5", "leg_cash")
 def l5(spark, folder):
-    return leg_cash(spark, folder).groupBy(*KEY, "shape", "costs").agg(F.count(F.lit(1)).alias("legs"), rounded(F.sum("cash"), 4).alias("opening_cash"))
+    return leg_cash(spark, folder).groupBy(*KEY, "shape", "costs").agg(F.count(F.lit(1)).alias("legs"), (F.sum(F.round(F.col("cash") * 1000000).cast("bigint")) / 1000000).alias("opening_cash"))
 
 
 @study("l6_reserve_interest", f"""SELECT ticker, pair_session, role, shape, costs, {r('100 * any_value(strike)', 5)} AS reserve, {r('(100 * any_value(strike) + sum(cash)) * (exp(0.04::DOUBLE * 14 / 365.25::DOUBLE) - 1)', 4)} AS interest, {r('sum(cash) / (100 * any_value(strike))')} AS collateral_return FROM leg_cash GROUP BY 1, 2, 3, 4, 5""", "leg_cash")
