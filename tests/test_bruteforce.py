@@ -89,6 +89,12 @@ def test_sequences_match_enumeration(spark):
                     if all(p < q for p, q in zip(times, times[1:])):
                         want.add((w, ">".join([c for _, c in combo] + [last]), t))
     assert got == want
+    prefixes = N.sequences(days, N.last_before(days, ["issuer"]), ["issuer"], 3, 10)
+    support = {(r["window"], r["pattern"]): r["activations"] for r in N.windowed_support(prefixes, days, "issuer", [3, 10]).collect()}
+    counts = {}
+    for w, p, _ in want:
+        counts[(w, f"seq{w}:{p}")] = counts.get((w, f"seq{w}:{p}"), 0) + 1
+    assert support == counts
 
 
 def test_latest_quote_matches_scan(spark):

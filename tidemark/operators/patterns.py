@@ -62,6 +62,26 @@ def windowed(sequence_rows: DataFrame, windows: Sequence[int]) -> DataFrame:
     return sequence_rows.withColumn("window", F.explode(fits))
 
 
+def windowed_support(prefixes: DataFrame, days: DataFrame, issuer: str, windows: Sequence[int]) -> DataFrame:
+    """(pattern, window, length, source_filings, source_issuers, activations) of all sequences.
+
+    Rows are summed by issuer with one conditional sum per window; windows become
+    rows and patterns become text only after that reduction.
+    """
+    joined = prefixes.join(days, [issuer, "session"])
+    sums = []
+    for w in windows:
+        inside = F.col("span") <= w
+        sums += [F.sum(F.when(inside, F.col("filings"))).alias(f"f_{w}"), F.count_if(inside).alias(f"a_{w}")]
+    by_issuer = joined.groupBy("prefix", "label", "length", issuer).agg(*sums)
+    rows = F.array(*[F.struct(F.lit(w).alias("window"), F.col(f"f_{w}").alias("filings"), F.col(f"a_{w}").alias("activations")) for w in windows])
+    long = by_issuer.select("prefix", "label", "length", F.explode(rows).alias("r")).select("prefix", "label", "length", "r.*").where("activations > 0")
+    return long.groupBy("prefix", "label", "length", "window").agg(
+        F.sum("filings").alias("source_filings"), F.count(F.lit(1)).alias("source_issuers"), F.sum("activations").alias("activations")).select(
+        F.concat(F.lit("seq"), F.col("window").cast("string"), F.lit(":"), F.concat_ws(">", "prefix", "label")).alias("pattern"),
+        "window", "length", "source_filings", "source_issuers", "activations")
+
+
 def itemsets(filings: DataFrame, longest: int) -> DataFrame:
     """(issuer, accession, session, pattern, length): label combinations inside each filing's own array.
 

@@ -495,16 +495,14 @@ def sequence_rows(spark, folder):
         days = cat_days(s, f)
         before = N.last_before(days, ["issuer"])
         return N.sequences(days, before, ["issuer"], 4, max(WINDOWS))
-    return N.closed(snapshot(spark, folder, "sequences", build), cat_days(spark, folder), ["issuer"])
+    return snapshot(spark, folder, "sequences", build)
 
 
 @study("e6_gapped_sequences", """
 SELECT 'seq' || w || ':' || pattern AS pattern, w AS "window", length, CAST(sum(filings) AS BIGINT) AS source_filings, count(DISTINCT issuer) AS source_issuers, count(*) AS activations
 FROM sequences, (VALUES (5), (21), (63)) v(w) WHERE span <= w GROUP BY 1, 2, 3""", "sequences")
 def e6(spark, folder):
-    rows = N.windowed(sequence_rows(spark, folder), WINDOWS)
-    return rows.groupBy(F.concat(F.lit("seq"), F.col("window").cast("string"), F.lit(":"), "pattern").alias("pattern"), "window", "length").agg(
-        F.sum("filings").alias("source_filings"), F.count_distinct("issuer").alias("source_issuers"), F.count(F.lit(1)).alias("activations"))
+    return N.windowed_support(sequence_rows(spark, folder), cat_days(spark, folder), "issuer", WINDOWS)
 
 
 @study("e7_pattern_catalog", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -51,8 +52,13 @@ def snapshot(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
     with the usual column pruning and filter pushdown.
     """
     key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _SNAPSHOTS:
-        path = fresh_path(spark, name)
-        build(spark, folder).write.parquet(path)
-        _SNAPSHOTS[key] = path
-    return spark.read.parquet(_SNAPSHOTS[key])
+    if key in _SNAPSHOTS:
+        try:
+            return spark.read.parquet(_SNAPSHOTS[key])
+        except AnalysisException:  # the shared folder was cleared: build the table again
+            del _SNAPSHOTS[key]
+    path = fresh_path(spark, name)
+    rows = build(spark, folder)
+    rows.write.parquet(path)
+    _SNAPSHOTS[key] = path
+    return spark.read.schema(rows.schema).parquet(path)
