@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licences, secrets, shards, url_filter
+from tidemark.llm import langid, licences, main_text, packing, secrets, shards, simhash, url_filter
 from tidemark.llm.common import table
 
 # Fixed values of the URL rules.
@@ -21,6 +21,14 @@ def op3_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(table(spark, folder, "pages"))
+
+
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find(table(spark, folder, "documents")).drop("text_key", "found")
 
@@ -30,6 +38,14 @@ def op8_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
+
+
 def _licence_sql() -> str:
     rows = []
     for name, texts in licences.TEMPLATES.items():
@@ -50,5 +66,7 @@ scored as (select doc_id, line, licence, max(2.0 * len(list_intersect(list_disti
 select doc_id, cast(line as integer) line, licence, round(dice, 9) dice from scored where dice >= {licences.THRESHOLD}"""
 
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op3_licence_scan": op3_licence_scan, "op5_secret_scan": op5_secret_scan, "op8_byte_shards": op8_byte_shards}
+QUERIES = {"op2_url_filter": op2_url_filter, "op3_licence_scan": op3_licence_scan, "op4_best_fit_packing": op4_best_fit_packing,
+           "op7_main_text": op7_main_text, "op5_secret_scan": op5_secret_scan, "op8_byte_shards": op8_byte_shards,
+           "op9_simhash_groups": op9_simhash_groups, "op10_language_id": op10_language_id}
 ORACLES = {"op3_licence_scan": _licence_sql()}
