@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licences, main_text, packing, secrets, shards, simhash, url_filter
+from tidemark.llm import fingerprints, langid, licences, main_text, packing, secrets, shards, simhash, url_filter
 from tidemark.llm.common import table
 
 # Fixed values of the URL rules.
@@ -13,6 +13,10 @@ ALLOW = ["org/", "com/fr/"]
 BLOCK = ["example.org/es/", "example.org/en/1", "com/de/"]
 
 
+def op1_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, folder, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), ALLOW, BLOCK)
 
@@ -66,7 +70,7 @@ scored as (select doc_id, line, licence, max(2.0 * len(list_intersect(list_disti
 select doc_id, cast(line as integer) line, licence, round(dice, 9) dice from scored where dice >= {licences.THRESHOLD}"""
 
 
-QUERIES = {"op2_url_filter": op2_url_filter, "op3_licence_scan": op3_licence_scan, "op4_best_fit_packing": op4_best_fit_packing,
+QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op2_url_filter": op2_url_filter, "op3_licence_scan": op3_licence_scan, "op4_best_fit_packing": op4_best_fit_packing,
            "op7_main_text": op7_main_text, "op5_secret_scan": op5_secret_scan, "op8_byte_shards": op8_byte_shards,
            "op9_simhash_groups": op9_simhash_groups, "op10_language_id": op10_language_id}
 ORACLES = {"op3_licence_scan": _licence_sql()}
