@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, langid, licences, main_text, packing, secrets, shards, simhash, url_filter
+from tidemark.llm import decontaminate, fingerprints, langid, licences, main_text, packing, secrets, shards, simhash, url_filter
 from tidemark.llm.common import table
 
 # Fixed values of the URL rules.
@@ -29,6 +29,10 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op6_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_key")
+
+
 def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.extract(table(spark, folder, "pages"))
 
@@ -71,6 +75,6 @@ select doc_id, cast(line as integer) line, licence, round(dice, 9) dice from sco
 
 
 QUERIES = {"op1_document_fingerprints": op1_document_fingerprints, "op2_url_filter": op2_url_filter, "op3_licence_scan": op3_licence_scan, "op4_best_fit_packing": op4_best_fit_packing,
-           "op7_main_text": op7_main_text, "op5_secret_scan": op5_secret_scan, "op8_byte_shards": op8_byte_shards,
+           "op6_benchmark_leaks": op6_benchmark_leaks, "op7_main_text": op7_main_text, "op5_secret_scan": op5_secret_scan, "op8_byte_shards": op8_byte_shards,
            "op9_simhash_groups": op9_simhash_groups, "op10_language_id": op10_language_id}
 ORACLES = {"op3_licence_scan": _licence_sql()}
