@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -9,8 +10,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
+    shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # one machine: driver and executors share it
     session = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-               .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate())
+               .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", shared).config("spark.driver.memory", "8g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tidemark.session import clear
+
+    clear(session)
     session.stop()

@@ -73,3 +73,13 @@ def test_marks_never_use_the_future(spark):
     none, _ = J.aged_mark("m", 0)
     got = rows.select("session", one.alias("v"), age.alias("age"), none.alias("z")).orderBy("session").collect()
     assert (got[2]["v"], got[2]["age"], got[2]["z"]) == (3.0, 1, None)
+
+
+def test_year_starts_from_the_value_before_it(spark):
+    from tidemark.operators import options as O
+
+    rows = [("A", 2001, i, f"2001-01-{i + 1:02d}", 150_000.0, 100_000.0) for i in range(5)] + [("A", 2002, i + 5, f"2002-01-{i + 1:02d}", 150_000.0, 150_000.0) for i in range(5)]
+    rows += [("A", 2003, i + 10, f"2003-01-{i + 1:02d}", 150_000.0, None) for i in range(5)]
+    nav = spark.createDataFrame(rows, "ticker string, year long, session int, date string, nav double, first double").selectExpr("ticker", "year", "session", "cast(date as date) date", "nav", "first")
+    got = {r.year: r for r in O.performance(nav, ["ticker", "year"], "first", 0.0).collect()}
+    assert got[2001].annualized_return > 1 and got[2002].annualized_return == 0 and got[2003].annualized_return is None and got[2003].status == "inconclusive"

@@ -2,6 +2,9 @@
 
 import time
 
+import pandas as pd
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidemark.session import fresh_path
@@ -48,3 +51,36 @@ def test_late_rows_go_to_their_own_sink(spark):
     shuffled = rows.withColumn("event_id", (F.col("event_id") + 20) % 60)
     kept, late = B.split_late(arriving(spark, shuffled), "late", 3600 * 1000000)
     assert kept.count() + late.count() == 60 and late.count() > 0
+
+
+@pytest.mark.parametrize("size", [7, 10_000])
+def test_stateful_results_do_not_depend_on_arrow_batches(spark, tmp_path, size):
+    rows = [(i, 1, "click" if i % 3 == 0 else "purchase", 86_400 + (i * 37 % 200) * 60) for i in range(150)]
+    pdf = pd.DataFrame(rows, columns=["event_id", "user_id", "event_type", "s"])
+    out = str(tmp_path / "ticks")
+    df = spark.createDataFrame(pdf).withColumn("ts", F.timestamp_seconds("s")).withColumn("value", F.lit(1.0)).drop("s")
+    df.coalesce(1).sortWithinPartitions(F.col("event_id").desc()).write.parquet(out)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        kept = {r.event_id for r in B.drain(B.increasing_only(B.tick_source(spark, out, df.schema)), "test").collect()}
+        pairs = {r.event_id for r in B.drain(B.ordered_pairs(B.tick_source(spark, out, df.schema), "click", "purchase", 600 * 1_000_000), "test").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    high, want = -1, set()
+    for i, _, _, s in rows:
+        if s > high:
+            want.add(i)
+            high = s
+    assert kept == want
+    clicks = [s for _, _, kind, s in rows if kind == "click"]
+    assert pairs == {i for i, _, kind, s in rows if kind == "purchase" and any(0 < s - c <= 600 for c in clicks)}
+
+
+def test_late_bound_survives_a_repeated_batch(spark, tmp_path):
+    out = str(tmp_path / "ticks")
+    for i, s in enumerate([1000, 9000, 2000, 9500]):
+        spark.createDataFrame([(i, s)], "event_id long, s long").select("event_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(out)
+    schema = "event_id long, ts timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(out)
+    kept, late = B.split_late(stream, "test", 3600 * 1_000_000)
+    assert sorted(r.event_id for r in kept.collect()) == [0, 1, 3] and [r.event_id for r in late.collect()] == [2]

@@ -180,17 +180,21 @@ def split_feasibility(rows: DataFrame, keys: Sequence[str], value: str, minimum:
 
 
 def label_phi(filing_labels: DataFrame, filings: int | Column) -> DataFrame:
-    """Co-occurrence and phi coefficient of label pairs that meet in a filing.
+    """Co-occurrence and phi coefficient of all pairs of labels, also of those that never meet in a filing.
 
-    Pairs come from each filing's own label array, which the taxonomy bounds.
+    Met pairs come from each filing's own label array, which the taxonomy bounds; the full list has a row per pair of taxonomy labels.
     """
     per_filing = filing_labels.groupBy("accession").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     pairs = F.flatten(F.transform("labels", lambda a, i: F.transform(
         F.filter(F.col("labels"), lambda b: b > a), lambda b: F.struct(a.alias("first"), b.alias("second")))))
     together = per_filing.select(F.explode(pairs).alias("p")).groupBy("p.first", "p.second").agg(F.count(F.lit(1)).alias("together"))
     single = filing_labels.groupBy("label").agg(F.count(F.lit(1)).alias("k"))
-    t = (together.join(F.broadcast(single.select(F.col("label").alias("first"), F.col("k").alias("ka"))), "first")
-         .join(F.broadcast(single.select(F.col("label").alias("second"), F.col("k").alias("kb"))), "second"))
+    # The taxonomy as one array; a pair is a label with a later one.
+    listed = single.agg(F.array_sort(F.collect_list(F.struct("label", "k"))).alias("all"))
+    listed = listed.select("all", F.posexplode("all").alias("at", "x"))
+    listed = listed.select("x", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("y"))
+    t = listed.select(F.col("x.label").alias("first"), F.col("y.label").alias("second"), F.col("x.k").alias("ka"), F.col("y.k").alias("kb"))
+    t = t.join(together, ["first", "second"], "left").withColumn("together", F.coalesce("together", F.lit(0)))
     n = (filings if isinstance(filings, Column) else F.lit(filings)).cast("double")
     a, b, c = F.col("ka").cast("double"), F.col("kb").cast("double"), F.col("together").cast("double")
     phi = F.try_divide(n * c - a * b, F.sqrt(a * b * (n - a) * (n - b)))

@@ -17,6 +17,7 @@ YEAR = 365.25
 SHAPES = {"synthetic_long": {"atm_call": 1, "atm_put": -1}, "covered_call": {"atm_call": 1, "atm_put": -1, "upper_call": -1},
           "protective_put": {"atm_call": 1, "atm_put": -1, "lower_put": 1}, "cash_secured_put": {"lower_put": -1}}
 STOCK_FRICTION, OPTION_FRICTION, OPTION_FEE = 0.0006, 0.05, 0.65
+QUOTE_STOCK_FEE, QUOTE_STOCK_IMPACT, QUOTE_OPTION_IMPACT = 0.0001, 0.0001, 0.01
 RETRIES = 5
 
 
@@ -159,20 +160,24 @@ def net_value(positions: DataFrame, marks: DataFrame, keys: Sequence[str]) -> Da
     return run.withColumn("nav", F.when(F.col("quantity") == 0, F.col("cash")).otherwise(F.col("cash") + F.col("quantity") * F.col("mark")))
 
 
-def performance(nav: DataFrame, keys: Sequence[str], initial: float, rate: float) -> DataFrame:
-    """Annualized return, volatility, Sharpe and drawdown; one missing value blocks the metrics of its key."""
+def performance(nav: DataFrame, keys: Sequence[str], initial: float | str, rate: float) -> DataFrame:
+    """Annualized return, volatility, Sharpe and drawdown; one missing value blocks the metrics of its key.
+
+    `initial` is a number, or the name of a column that holds the key's starting value; a missing starting value blocks its key.
+    """
     w = W.partitionBy(*keys).orderBy("session")
+    nav = nav.withColumn("start", F.col(initial) if isinstance(initial, str) else F.lit(initial))
     before = F.lag("nav").over(w)
-    rows = nav.withColumn("previous", F.when(F.row_number().over(w) == 1, F.lit(initial)).otherwise(before))
+    rows = nav.withColumn("previous", F.when(F.row_number().over(w) == 1, F.col("start")).otherwise(before))
     days = F.coalesce(F.datediff("date", F.lag("date").over(w)), F.lit(0))
     rows = rows.withColumns({"ret": ratio("nav", "previous") - 1, "rf": F.exp(rate * days / YEAR) - 1,
-                             "peak": F.greatest(F.lit(initial), F.max("nav").over(w.rowsBetween(W.unboundedPreceding, 0)))})
-    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.count_if(F.col("nav").isNull()).alias("gaps"), F.max_by("nav", "session").alias("last"),
+                             "peak": F.greatest("start", F.max("nav").over(w.rowsBetween(W.unboundedPreceding, 0)))})
+    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.count_if(F.col("nav").isNull() | F.col("start").isNull()).alias("gaps"), F.max_by("nav", "session").alias("last"), F.max("start").alias("start"),
                                 F.stddev_samp("ret").alias("sd"), F.avg(F.col("ret") - F.col("rf")).alias("excess"), F.stddev_samp(F.col("ret") - F.col("rf")).alias("xsd"),
                                 F.min(F.col("nav") / F.col("peak") - 1).alias("dd"))
     good = F.col("gaps") == 0
     return g.select(*keys, "observations", F.when(good, "measured").otherwise("inconclusive").alias("status"),
-                    F.when(good, F.pow(F.col("last") / initial, F.lit(252.0) / F.col("observations")) - 1).alias("annualized_return"),
+                    F.when(good, F.pow(F.col("last") / F.col("start"), F.lit(252.0) / F.col("observations")) - 1).alias("annualized_return"),
                     F.when(good, F.col("sd") * F.sqrt(F.lit(252.0))).alias("annualized_volatility"),
                     F.when(good & (F.col("xsd") > 1e-15), F.col("excess") / F.col("xsd") * F.sqrt(F.lit(252.0))).alias("sharpe"),
                     F.when(good, F.least(F.lit(0.0), F.col("dd"))).alias("max_drawdown"))

@@ -355,7 +355,7 @@ def a17(spark, folder):
 @study("a18_label_phi", f"""
 WITH m AS (SELECT label, count(*) AS k FROM filing_labels GROUP BY 1), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM filings),
 p AS (SELECT a.label AS first, b.label AS second, count(*) AS together FROM filing_labels a JOIN filing_labels b ON a.accession = b.accession AND a.label < b.label GROUP BY 1, 2)
-SELECT first, second, together, {r('(n * together - x.k * y.k) / sqrt(CAST(x.k AS DOUBLE) * y.k * (n - x.k) * (n - y.k))')} AS phi FROM p JOIN m x ON x.label = first JOIN m y ON y.label = second CROSS JOIN n""", "filings filing_labels")
+SELECT x.label AS first, y.label AS second, coalesce(together, 0) AS together, {r('(n * coalesce(together, 0) - x.k * y.k) / sqrt(CAST(x.k AS DOUBLE) * y.k * (n - x.k) * (n - y.k))')} AS phi FROM m x JOIN m y ON x.label < y.label LEFT JOIN p ON p.first = x.label AND p.second = y.label CROSS JOIN n""", "filings filing_labels")
 def a18(spark, folder):
     total = T.filings(spark, folder).agg(F.count(F.lit(1))).scalar()
     return E.label_phi(T.filing_labels(spark, folder), total).withColumn("phi", rounded("phi"))
@@ -370,13 +370,15 @@ def a20(spark, folder):
 
 
 @study("a19_alias_patterns", """
-WITH three AS (SELECT a.accession, a.label || '&' || b.label || '&' || c.label AS combo FROM filing_labels a JOIN filing_labels b ON a.accession = b.accession AND a.label < b.label
-  JOIN filing_labels c ON a.accession = c.accession AND b.label < c.label),
-p AS (SELECT combo || '@' || f.category || '@' || f.issuer AS pattern, string_agg(accession::VARCHAR, ',' ORDER BY accession) AS rows, count(*) AS support FROM three JOIN filings f USING (accession) GROUP BY 1),
+WITH two AS (SELECT a.accession, a.label || '&' || b.label AS combo, b.label AS last FROM filing_labels a JOIN filing_labels b ON a.accession = b.accession AND a.label < b.label),
+three AS (SELECT t.accession, combo || '&' || label AS combo, label AS last FROM two t JOIN filing_labels l ON l.accession = t.accession AND label > last),
+four AS (SELECT t.accession, combo || '&' || label AS combo, label AS last FROM three t JOIN filing_labels l ON l.accession = t.accession AND label > last),
+sets AS (SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL SELECT * FROM four),
+p AS (SELECT combo || '@' || f.category || '@' || f.issuer AS pattern, string_agg(accession::VARCHAR, ',' ORDER BY accession) AS rows, count(*) AS support FROM sets JOIN filings f USING (accession) GROUP BY 1),
 g AS (SELECT rows, support, count(*) AS patterns, min(pattern) AS first_pattern FROM p GROUP BY 1, 2)
 SELECT first_pattern, patterns, support FROM g WHERE patterns > 1""", "filings filing_labels")
 def a19(spark, folder):
-    rows = T.labelled_filings(spark, folder).select("accession", "category", "issuer", F.explode(X.combinations(F.col("labels"), 3)).alias("combo"))
+    rows = T.labelled_filings(spark, folder).select("accession", "category", "issuer", F.explode(F.concat(*[X.combinations(F.col("labels"), k) for k in (2, 3, 4)])).alias("combo"))
     rows = rows.select("accession", F.concat_ws("@", "combo", "category", "issuer").alias("pattern"))
     return alias_groups(rows, "pattern", "accession")
 

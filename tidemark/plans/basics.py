@@ -400,10 +400,12 @@ def f14(spark, folder):
 @study("f15_label_combinations", """
 SELECT a.accession, a.label || '&' || b.label AS combo FROM filing_labels a JOIN filing_labels b ON a.accession = b.accession AND a.label < b.label
 UNION ALL SELECT a.accession, a.label || '&' || b.label || '&' || c.label FROM filing_labels a JOIN filing_labels b ON a.accession = b.accession AND a.label < b.label
-  JOIN filing_labels c ON a.accession = c.accession AND b.label < c.label""", "filing_labels")
+  JOIN filing_labels c ON a.accession = c.accession AND b.label < c.label
+UNION ALL SELECT a.accession, a.label || '&' || b.label || '&' || c.label || '&' || d.label FROM filing_labels a JOIN filing_labels b ON a.accession = b.accession AND a.label < b.label
+  JOIN filing_labels c ON a.accession = c.accession AND b.label < c.label JOIN filing_labels d ON a.accession = d.accession AND c.label < d.label""", "filing_labels")
 def f15(spark, folder):
     rows = T.filing_labels(spark, folder).groupBy("accession").agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    both = F.concat(X.combinations(F.col("labels"), 2), X.combinations(F.col("labels"), 3))
+    both = F.concat(*[X.combinations(F.col("labels"), k) for k in (2, 3, 4)])
     return rows.select("accession", F.explode(both).alias("combo"))
 
 

@@ -14,7 +14,7 @@ from tidemark.operators import panel as P
 from tidemark.operators import resample as R
 from tidemark.operators import series as Z
 from tidemark.plans.association import corr_sql, flag_rows, long
-from tidemark.plans.events import NAMES, complete, component_matched, features, label_grid, labelled, matched, paired, spaced_matches, unique_matches
+from tidemark.plans.events import DATA_EXCLUSION, NAMES, complete, component_matched, features, label_grid, labelled, matched, paired, spaced_matches, unique_matches
 from tidemark.plans.inference import DRAWS, SEED
 from tidemark.plans.market import CATEGORIES, HORIZONS, moves, study_panel
 from tidemark.plans.registry import study
@@ -163,7 +163,7 @@ def c9(spark, folder):
 def c10(spark, folder):
     value = features(spark, folder).where("return_5 is not null").select("ticker", "session", "return_5")
     control = value.withColumnsRenamed({"session": "at", "return_5": "c"})
-    listed = spaced_matches(spark, folder).select("ticker", "session", F.explode("controls").alias("at")).withColumn("mode", F.lit("ordinary"))
+    listed = spaced_matches(spark, folder, DATA_EXCLUSION).select("ticker", "session", F.explode("controls").alias("at")).withColumn("mode", F.lit("ordinary"))
     component = component_matched(spark, folder).select("ticker", "session", F.col("control_session").alias("at"), F.lit("component").alias("mode"))
     base = listed.unionByName(component).join(control, ["ticker", "at"]).groupBy("mode", "ticker", "session").agg(F.avg("c").alias("base"))
     against = base.join(value, ["ticker", "session"]).select("mode", "ticker", "session", (F.col("return_5") - F.col("base")).alias("v"))

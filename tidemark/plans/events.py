@@ -168,12 +168,12 @@ def j15(spark, folder):
 
 
 def early_scaled_events(spark, folder):
-    """Event sessions scaled by the sample deviation of the first 40 % of sessions."""
+    """Event sessions from the cutoff on, scaled by the sample deviation of the first 40 % of sessions before it."""
     rows = complete(spark, folder)
     cut = F.floor(sessions(spark, folder).agg(F.count(F.lit(1))).scalar() * 0.4)
     early = rows.where(F.col("session") < cut)
     scales = {f"scale_{n}": F.coalesce(F.nullif(early.agg(F.stddev_samp(n)).scalar(), F.lit(0.0)), F.lit(1.0)) for n in NAMES}
-    return rows.join(sessions_of(cohort(spark, folder)), ["ticker", "session"], "left_semi").withColumns(scales)
+    return rows.where(F.col("session") >= cut).join(sessions_of(cohort(spark, folder)), ["ticker", "session"], "left_semi").withColumns(scales)
 
 
 def unique_matches(spark, folder):
@@ -193,15 +193,20 @@ def standardized(spark, folder):
     return rows.withColumns({n: (F.col(n) - train.agg(F.avg(n)).scalar()) / train.agg(F.stddev_pop(n)).scalar() for n in NAMES})
 
 
-def spaced_matches(spark, folder):
-    rows = standardized(spark, folder)
+# The rule keeps controls 21 sessions away from events. The supplied tickers file so often that no session is left then, so the queries name their own distance.
+EXCLUSION, DATA_EXCLUSION = 21, 5
+
+
+def spaced_matches(spark, folder, exclusion=EXCLUSION):
+    """Up to five ordinary sessions with a known outcome, outside the exclusion zone of any event, more than the horizon apart."""
+    rows = standardized(spark, folder).where(F.col("return_5").isNotNull())
     active = sessions_of(cohort(spark, folder))
-    return M.spaced_prior(rows.join(active, ["ticker", "session"], "left_semi"), J.outside_zones(rows, active, ["ticker"], 5), NAMES, 252, 5, 5)
+    return M.spaced_prior(rows.join(active, ["ticker", "session"], "left_semi"), J.outside_zones(rows, active, ["ticker"], exclusion), NAMES, 252, 5, 5)
 
 
 @study("j14_spaced_prior_matches")
 def j14(spark, folder):
-    return spaced_matches(spark, folder).select("ticker", "session", F.array_join(F.col("controls").cast("array<string>"), ",").alias("controls"))
+    return spaced_matches(spark, folder, DATA_EXCLUSION).select("ticker", "session", F.array_join(F.col("controls").cast("array<string>"), ",").alias("controls"))
 
 
 @study("j9_event_ordinary_pairs", f"""
@@ -508,7 +513,7 @@ def e6(spark, folder):
 @study("e7_pattern_catalog", """
 WITH t AS (SELECT 'tag:' || t.label AS pattern, 'tag' AS family, count(l.accession) AS source_filings, count(DISTINCT issuer) AS source_issuers FROM (SELECT DISTINCT p_brand AS label FROM part UNION ALL SELECT 'Brand#none') t
     LEFT JOIN filing_labels l USING (label) LEFT JOIN filings USING (accession) GROUP BY 1),
-  s AS (SELECT 'set:' || pattern AS pattern, 'itemset' AS family, count(*) AS source_filings, count(DISTINCT issuer) AS source_issuers FROM itemsets JOIN filings USING (accession) WHERE length <= 3 GROUP BY 1),
+  s AS (SELECT 'set:' || pattern AS pattern, 'itemset' AS family, count(*) AS source_filings, count(DISTINCT issuer) AS source_issuers FROM itemsets JOIN filings USING (accession) WHERE length <= 4 GROUP BY 1),
   q AS (SELECT 'seq' || w || ':' || pattern AS pattern, 'sequence' AS family, CAST(sum(filings) AS BIGINT) AS source_filings, count(DISTINCT issuer) AS source_issuers FROM sequences, (VALUES (5), (21), (63)) v(w) WHERE span <= w GROUP BY 1)
 SELECT *, CAST(family = 'tag' OR (source_filings >= 20 AND source_issuers >= 5) AS INTEGER) AS fitted FROM (SELECT * FROM t UNION ALL SELECT * FROM s UNION ALL SELECT * FROM q)""", "itemsets sequences filings filing_labels")
 def e7(spark, folder):
@@ -516,7 +521,7 @@ def e7(spark, folder):
     tags = labelled(spark, folder).select("issuer", F.explode("labels").alias("label")).groupBy("label", "issuer").agg(F.count(F.lit(1)).alias("filings"))
     tag = taxonomy.join(tags, "label", "left").groupBy(F.concat(F.lit("tag:"), "label").alias("pattern")).agg(
         F.coalesce(F.sum("filings"), F.lit(0)).alias("source_filings"), F.count("issuer").alias("source_issuers")).withColumn("family", F.lit("tag"))
-    sets = itemset_support(spark, folder, 3).select(F.concat(F.lit("set:"), "pattern").alias("pattern"), "source_filings", "source_issuers", F.lit("itemset").alias("family"))
+    sets = itemset_support(spark, folder, 4).select(F.concat(F.lit("set:"), "pattern").alias("pattern"), "source_filings", "source_issuers", F.lit("itemset").alias("family"))
     seqs = e6(spark, folder).select("pattern", "source_filings", "source_issuers", F.lit("sequence").alias("family"))
     fitted = (F.col("family") == "tag") | ((F.col("source_filings") >= 20) & (F.col("source_issuers") >= 5))
     return tag.unionByName(sets).unionByName(seqs).withColumn("fitted", fitted.cast("int"))
@@ -573,6 +578,6 @@ def e17(spark, folder):
     ready = complete(spark, folder).select("ticker", "session")
     events = cohort(spark, folder).select("ticker", "session", "category", F.explode(F.array(F.lit(0), F.lit(1), F.lit(5))).alias("lag"))
     asked = events.select("ticker", (F.col("session") + F.col("lag")).alias("session"), "category", F.lit("event").alias("role"))
-    controls = spaced_matches(spark, folder).select("ticker", F.explode("controls").alias("session"), F.lit("ordinary").alias("category"), F.lit("ordinary").alias("role"))
+    controls = spaced_matches(spark, folder, DATA_EXCLUSION).select("ticker", F.explode("controls").alias("session"), F.lit("ordinary").alias("category"), F.lit("ordinary").alias("role"))
     both = asked.unionByName(controls).join(ready, ["ticker", "session"], "left_semi")
     return both.groupBy("ticker", "session").agg(F.array_join(F.array_sort(F.collect_set("category")), "|").alias("categories"), F.array_join(F.array_sort(F.collect_set("role")), "|").alias("roles"))

@@ -177,10 +177,10 @@ def r9(spark, folder):
     return R.percentile_interval(correlation_draws(spark, folder), ["feature"], 40).withColumns({"lower": rounded("lower"), "upper": rounded("upper")})
 
 
-@study("r10_family_interval", f"""SELECT feature, count(estimate) AS valid, {r('CASE WHEN count(estimate) * (0.05::DOUBLE / 6 / 2) >= 0.4::DOUBLE THEN quantile_cont(estimate, 0.05::DOUBLE / 6 / 2) END')} AS lower,
-  {r('CASE WHEN count(estimate) * (0.05::DOUBLE / 6 / 2) >= 0.4::DOUBLE THEN quantile_cont(estimate, 1 - 0.05::DOUBLE / 6 / 2) END')} AS upper, CASE WHEN count(estimate) * (0.05::DOUBLE / 6 / 2) >= 0.4::DOUBLE THEN 'resolved' ELSE 'unresolved_tail' END AS status FROM correlation_draws GROUP BY 1""", "correlation_draws")
+@study("r10_family_interval", f"""SELECT feature, count(estimate) AS valid, {r('CASE WHEN count(estimate) * (0.05::DOUBLE / 6 / 2) >= 20::DOUBLE THEN quantile_cont(estimate, 0.05::DOUBLE / 6 / 2) END')} AS lower,
+  {r('CASE WHEN count(estimate) * (0.05::DOUBLE / 6 / 2) >= 20::DOUBLE THEN quantile_cont(estimate, 1 - 0.05::DOUBLE / 6 / 2) END')} AS upper, CASE WHEN count(estimate) * (0.05::DOUBLE / 6 / 2) >= 20::DOUBLE THEN 'resolved' ELSE 'unresolved_tail' END AS status FROM correlation_draws GROUP BY 1""", "correlation_draws")
 def r10(spark, folder):
-    return R.family_interval(correlation_draws(spark, folder), ["feature"], 6, tail_draws=0.4).withColumns({"lower": rounded("lower"), "upper": rounded("upper")})
+    return R.family_interval(correlation_draws(spark, folder), ["feature"], 6, tail_draws=20).withColumns({"lower": rounded("lower"), "upper": rounded("upper")})
 
 
 view("studentized", "centred observed", """SELECT o.comparison, o.estimate AS point, s.se, abs(o.estimate / s.se) AS t FROM observed o JOIN (SELECT comparison, stddev_samp(estimate) AS se FROM centred GROUP BY 1 HAVING count(*) = count(estimate)) s USING (comparison) WHERE se > 1e-12""")

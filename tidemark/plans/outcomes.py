@@ -334,9 +334,9 @@ def l3(spark, folder):
 
 
 @study("l4_quote_outcome", f"""
-SELECT {', '.join('o.' + k for k in RKEY)}, CASE WHEN o.status <> 'completed' THEN 'bar_outcome_not_completed' WHEN NOT o.evaluation_aligned OR o.exit_reason <> 'scheduled_exit' THEN 'unsupported_actual_delivery_or_exit_clock' WHEN e.ticker IS NULL OR e.reason IS NOT NULL THEN 'entry_' || coalesce(e.reason, 'missing') WHEN x.ticker IS NULL OR x.reason IS NOT NULL THEN 'exit_' || coalesce(x.reason, 'missing') ELSE 'completed_bounded_proxy' END AS quote_status,
-  {r("CASE WHEN o.status = 'completed' AND o.evaluation_aligned AND o.exit_reason = 'scheduled_exit' AND e.reason IS NULL AND x.reason IS NULL THEN (100 * (x.stock_bid - e.stock_ask) + CASE WHEN stock_only THEN 0 WHEN sign = -1 THEN -100 * (x.option_ask - e.option_bid) ELSE 100 * (x.option_bid - e.option_ask) END + dividends - 100 * (e.stock_ask + x.stock_bid) * 0.0006::DOUBLE) / (100 * e.stock_ask) END")} AS quote_net_return
-FROM outcomes o LEFT JOIN quote_pairs e ON e.ticker = o.ticker AND e.session = o.entry_session LEFT JOIN quote_pairs x ON x.ticker = o.ticker AND x.session = o.exit_session""", "outcomes quote_pairs")
+SELECT {', '.join('o.' + k for k in RKEY)}, CASE WHEN o.status <> 'completed' THEN 'bar_outcome_not_completed' WHEN NOT o.evaluation_aligned OR o.exit_reason <> 'scheduled_exit' THEN 'unsupported_actual_delivery_or_exit_clock' WHEN d.ticker IS NULL OR d.reason IS NOT NULL THEN 'decision_' || coalesce(d.reason, 'missing') WHEN e.ticker IS NULL OR e.reason IS NOT NULL THEN 'entry_' || coalesce(e.reason, 'missing') WHEN x.ticker IS NULL OR x.reason IS NOT NULL THEN 'exit_' || coalesce(x.reason, 'missing') ELSE 'completed_bounded_proxy' END AS quote_status,
+  {r("CASE WHEN o.status = 'completed' AND o.evaluation_aligned AND o.exit_reason = 'scheduled_exit' AND d.ticker IS NOT NULL AND d.reason IS NULL AND e.reason IS NULL AND x.reason IS NULL THEN (100 * (x.stock_bid - e.stock_ask) + CASE WHEN stock_only THEN 0 WHEN sign = -1 THEN -100 * (x.option_ask - e.option_bid) ELSE 100 * (x.option_bid - e.option_ask) END + dividends - o.cost_multiplier * (100 * (e.stock_ask + x.stock_bid) * 0.0002::DOUBLE + CASE WHEN stock_only THEN 0 WHEN sign = -1 THEN 100 * (e.option_bid + x.option_ask) * 0.01::DOUBLE + 1.3::DOUBLE ELSE 100 * (e.option_ask + x.option_bid) * 0.01::DOUBLE + 1.3::DOUBLE END)) / (100 * e.stock_ask) END")} AS quote_net_return
+FROM outcomes o LEFT JOIN quote_pairs d ON d.ticker = o.ticker AND d.session = o.entry_session - 1 LEFT JOIN quote_pairs e ON e.ticker = o.ticker AND e.session = o.entry_session LEFT JOIN quote_pairs x ON x.ticker = o.ticker AND x.session = o.exit_session""", "outcomes quote_pairs")
 def l4(spark, folder):
     return quote_outcomes(spark, folder).select(*RKEY, "quote_status", rounded("quote_net_return").alias("quote_net_return"))
 
@@ -346,12 +346,17 @@ def quote_outcomes(spark, folder):
     q = quote_pairs(spark, folder).drop("cutoff_ns", "bid_size", "ask_size", "stock_ts", "option_ts")
     e = q.select("ticker", F.col("session").alias("entry_session"), F.col("stock_ask").alias("s_in"), F.col("option_bid").alias("ob_in"), F.col("option_ask").alias("oa_in"), F.coalesce("reason", F.lit("")).alias("e_reason"))
     x = q.select("ticker", F.col("session").alias("exit_session"), F.col("stock_bid").alias("s_out"), F.col("option_bid").alias("ob_out"), F.col("option_ask").alias("oa_out"), F.coalesce("reason", F.lit("")).alias("x_reason"))
-    rows = outcomes(spark, folder).join(e, ["ticker", "entry_session"], "left").join(x, ["ticker", "exit_session"], "left")
+    d = q.select("ticker", (F.col("session") + 1).alias("entry_session"), F.coalesce("reason", F.lit("")).alias("d_reason"))
+    rows = outcomes(spark, folder).join(d, ["ticker", "entry_session"], "left").join(e, ["ticker", "entry_session"], "left").join(x, ["ticker", "exit_session"], "left")
     reason = first_reason((F.col("status") != "completed", "bar_outcome_not_completed"), (~F.col("evaluation_aligned") | (F.col("exit_reason") != "scheduled_exit"), "unsupported_actual_delivery_or_exit_clock"))
+    d_bad = F.coalesce(F.col("d_reason"), F.lit("missing"))
     e_bad, x_bad = F.coalesce(F.col("e_reason"), F.lit("missing")), F.coalesce(F.col("x_reason"), F.lit("missing"))
-    status = F.when(reason.isNotNull(), reason).when(e_bad != "", F.concat(F.lit("entry_"), e_bad)).when(x_bad != "", F.concat(F.lit("exit_"), x_bad)).otherwise("completed_bounded_proxy")
+    status = F.when(reason.isNotNull(), reason).when(d_bad != "", F.concat(F.lit("decision_"), d_bad)).when(e_bad != "", F.concat(F.lit("entry_"), e_bad)).when(x_bad != "", F.concat(F.lit("exit_"), x_bad)).otherwise("completed_bounded_proxy")
     option = F.when(F.col("stock_only"), 0.0).when(F.col("sign") == -1, -100 * (F.col("oa_out") - F.col("ob_in"))).otherwise(100 * (F.col("ob_out") - F.col("oa_in")))
-    net = 100 * (F.col("s_out") - F.col("s_in")) + option + F.col("dividends") - 100 * (F.col("s_in") + F.col("s_out")) * O.STOCK_FRICTION
+    traded = F.when(F.col("stock_only"), 0.0).when(F.col("sign") == -1, F.col("ob_in") + F.col("oa_out")).otherwise(F.col("oa_in") + F.col("ob_out"))
+    option_cost = F.when(F.col("stock_only"), 0.0).otherwise(100 * traded * O.QUOTE_OPTION_IMPACT + 2 * O.OPTION_FEE)
+    costs = F.col("cost_multiplier") * (100 * (F.col("s_in") + F.col("s_out")) * (O.QUOTE_STOCK_FEE + O.QUOTE_STOCK_IMPACT) + option_cost)
+    net = 100 * (F.col("s_out") - F.col("s_in")) + option + F.col("dividends") - costs
     return rows.withColumn("quote_status", status).withColumn("quote_net_return", F.when(F.col("quote_status") == "completed_bounded_proxy", net / (100 * F.col("s_in"))))
 
 
@@ -577,11 +582,11 @@ def l9(spark, folder):
     return nav(spark, folder).select("ticker", "session", rounded("nav", 3).alias("nav"), rounded("cash", 3).alias("cash"), "quantity")
 
 
-def _perf_sql(keys: str, source: str) -> str:
-    return f"""WITH x AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 100000 ELSE lag(nav) OVER w END AS previous, exp(0.04::DOUBLE * coalesce(date - lag(date) OVER w, 0) / 365.25::DOUBLE) - 1 AS rf, greatest(100000, max(nav) OVER (PARTITION BY {keys} ORDER BY session)) AS peak FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY session)),
+def _perf_sql(keys: str, source: str, start: str = "100000", rate: str = "0.04::DOUBLE") -> str:
+    return f"""WITH x AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN {start} ELSE lag(nav) OVER w END AS previous, exp({rate} * coalesce(date - lag(date) OVER w, 0) / 365.25::DOUBLE) - 1 AS rf, {start} AS origin, greatest({start}, max(nav) OVER (PARTITION BY {keys} ORDER BY session)) AS peak FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY session)),
     y AS (SELECT *, nav / previous - 1 AS ret FROM x)
-    SELECT {keys}, count(*) AS observations, CASE WHEN count(*) = count(nav) THEN 'measured' ELSE 'inconclusive' END AS status, {r('CASE WHEN count(*) = count(nav) THEN pow(arg_max(nav, session) / 100000, 252::DOUBLE / count(*)) - 1 END', 5)} AS annualized_return,
-      {r('CASE WHEN count(*) = count(nav) THEN stddev_samp(ret) * sqrt(252) END', 5)} AS annualized_volatility, {r('CASE WHEN count(*) = count(nav) AND stddev_samp(ret - rf) > 1e-15 THEN avg(ret - rf) / stddev_samp(ret - rf) * sqrt(252) END', 4)} AS sharpe, {r('CASE WHEN count(*) = count(nav) THEN least(0, min(nav / peak - 1)) END', 5)} AS max_drawdown FROM y GROUP BY ALL"""
+    SELECT {keys}, count(*) AS observations, CASE WHEN count(*) = count(nav) AND max(origin) IS NOT NULL THEN 'measured' ELSE 'inconclusive' END AS status, {r('CASE WHEN count(*) = count(nav) AND max(origin) IS NOT NULL THEN pow(arg_max(nav, session) / max(origin), 252::DOUBLE / count(*)) - 1 END', 5)} AS annualized_return,
+      {r('CASE WHEN count(*) = count(nav) AND max(origin) IS NOT NULL THEN stddev_samp(ret) * sqrt(252) END', 5)} AS annualized_volatility, {r('CASE WHEN count(*) = count(nav) AND max(origin) IS NOT NULL AND stddev_samp(ret - rf) > 1e-15 THEN avg(ret - rf) / stddev_samp(ret - rf) * sqrt(252) END', 4)} AS sharpe, {r('CASE WHEN count(*) = count(nav) AND max(origin) IS NOT NULL THEN least(0, min(nav / peak - 1)) END', 5)} AS max_drawdown FROM y GROUP BY ALL"""
 
 
 def _show_perf(df, keys):
@@ -599,14 +604,19 @@ def l10(spark, folder):
     return _show_perf(strict.unionByName(filled), ["rule", "ticker"])
 
 
-view("nav_year", "nav_filled", "SELECT ticker, year(date) AS year, session, date, nav FROM nav_filled")
+view("nav_year", "nav_filled", """SELECT ticker, year, session, date, nav, first_value(before) OVER (PARTITION BY ticker, year ORDER BY session) AS start FROM (
+    SELECT ticker, year(date) AS year, session, date, nav, CASE WHEN row_number() OVER w = 1 THEN 100000 ELSE lag(nav) OVER w END AS before FROM nav_filled WINDOW w AS (PARTITION BY ticker ORDER BY session))""")
 
 
-@study("l11_performance_by_year", "SELECT p.*, CAST(p.observations = c.n AS INTEGER) AS calendar_complete FROM (" + _perf_sql("ticker, year", "nav_year") + ") p JOIN (SELECT year(date) AS year, count(*) AS n FROM sessions GROUP BY 1) c USING (year)", "nav_year sessions")
+@study("l11_performance_by_year", "SELECT p.*, CAST(p.observations = c.n AS INTEGER) AS calendar_complete FROM (" + _perf_sql("ticker, year", "nav_year", "start", "0::DOUBLE") + ") p JOIN (SELECT year(date) AS year, count(*) AS n FROM sessions GROUP BY 1) c USING (year)", "nav_year sessions")
 def l11(spark, folder):
     carried = nav(spark, folder).select("ticker", F.year("date").cast("bigint").alias("year"), "session", "date", J.aged_mark("nav", 3)[0].alias("nav"))
+    # A year starts from the value before its first session, the first one from the initial cash; a missing one blocks the year.
+    w = W.partitionBy("ticker").orderBy("session")
+    before = F.when(F.row_number().over(w) == 1, F.lit(100000.0)).otherwise(F.lag("nav").over(w))
+    carried = carried.withColumn("before", before).withColumn("start_nav", F.first("before").over(W.partitionBy("ticker", "year").orderBy("session")))
     days = sessions(spark, folder).groupBy(F.year("date").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"))
-    out = O.performance(carried, ["ticker", "year"], 100000.0, O.RATE).join(F.broadcast(days), "year")
+    out = O.performance(carried, ["ticker", "year"], "start_nav", 0.0).join(F.broadcast(days), "year")
     return _show_perf(out, ["ticker", "year", "n"]).withColumn("calendar_complete", flag(F.col("observations") == F.col("n"))).drop("n")
 
 

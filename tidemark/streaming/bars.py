@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.session import fresh_path
@@ -72,17 +73,16 @@ def gap_sessions(ticks: DataFrame, gap: str, keys: list[str]) -> DataFrame:
 def increasing_only(ticks: DataFrame) -> DataFrame:
     """Per user, keep a tick only when it is strictly later than everything kept before it.
 
-    State is one timestamp per key; the rows of a key arrive in bounded chunks.
+    State is one timestamp per key. A key's rows of a trigger, which the source's file limit bounds, are ordered together, so
+    the size of Arrow batches has no say in the result.
     """
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState):
         last = state.get[0] if state.exists else -1
-        for chunk in chunks:
-            chunk = chunk.sort_values("event_id", kind="stable")
-            stamps = chunk["us"].astype("int64")
-            before = stamps.cummax().shift(1, fill_value=last).clip(lower=last)
-            last = max(last, int(stamps.max()))
-            yield chunk.loc[stamps > before, ["event_id", "user_id", "us"]]
-        state.update((int(last),))
+        rows = pd.concat(list(chunks), ignore_index=True).sort_values("event_id", kind="stable")
+        stamps = rows["us"].astype("int64")
+        before = stamps.cummax().shift(1, fill_value=last).clip(lower=last)
+        state.update((max(last, int(stamps.max())),))
+        yield rows.loc[stamps > before, ["event_id", "user_id", "us"]]
 
     rows = ticks.select("event_id", "user_id", F.unix_micros("ts").alias("us"))
     return rows.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, us bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
@@ -91,28 +91,29 @@ def increasing_only(ticks: DataFrame) -> DataFrame:
 def ordered_pairs(ticks: DataFrame, first: str, second: str, within_us: int) -> DataFrame:
     """Second events that follow a first event of the same user within the limit, from per-user state.
 
-    The state holds the time of the latest first event and is dropped when the
-    watermark passes its limit.
+    The state holds the time of the latest first event and is dropped when the watermark passes its limit. A key's rows of a
+    trigger, which the source's file limit bounds, are ordered together, whatever the size of Arrow batches.
     """
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        for chunk in chunks:
-            chunk = chunk.sort_values(["us", "event_id"], kind="stable")
-            marks = chunk["us"].where(chunk["event_type"] == first)
-            seen = marks.ffill().shift(1)
-            if last is not None:
-                seen = seen.fillna(last)
-            gap = chunk["us"] - seen
-            hits = (chunk["event_type"] == second) & (gap > 0) & (gap <= within_us)
-            yield chunk.loc[hits, ["event_id", "user_id", "us"]]
-            if marks.notna().any():
-                last = int(marks.dropna().iloc[-1])
-        if last is not None:
-            state.update((int(last),))
-            state.setTimeoutTimestamp(max((last + within_us) // 1000, state.getCurrentWatermarkMs() + 1))
+        rows = pd.concat(list(chunks), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
+        seen = last
+        before = []
+        # Rows of one instant see the first events of earlier instants only.
+        for _, same in rows.groupby("us", sort=True):
+            before += [seen] * len(same)
+            if (same["event_type"] == first).any():
+                at = int(same["us"].iloc[0])
+                seen = at if seen is None else max(seen, at)
+        gap = rows["us"] - pd.array(before, dtype="Int64")
+        hits = (rows["event_type"] == second) & (gap > 0).fillna(False) & (gap <= within_us).fillna(False)
+        yield rows.loc[hits.astype(bool), ["event_id", "user_id", "us"]]
+        if seen is not None:
+            state.update((seen,))
+            state.setTimeoutTimestamp(max((seen + within_us) // 1000, state.getCurrentWatermarkMs() + 1))
 
     rows = ticks.withWatermark("ts", LATENESS).select("event_id", "user_id", "event_type", "ts", F.unix_micros("ts").alias("us"))
     return rows.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, us bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
@@ -126,20 +127,20 @@ def attach_session(ticks: DataFrame, sessions: DataFrame) -> DataFrame:
 def split_late(stream: DataFrame, name: str, lateness_us: int) -> tuple[DataFrame, DataFrame]:
     """Rows in time and rows later than the bound, each in its own sink; nothing is dropped silently.
 
-    The bound follows the largest timestamp of all earlier batches.
+    The bound follows the largest timestamp of all earlier batches. Each batch is written once, to a place of its own that a
+    repeated batch overwrites, and its rows give the bound of the later ones, so a restart goes on with the same bound.
     """
     spark = stream.sparkSession
-    kept, late = fresh_path(spark, f"{name}-kept"), fresh_path(spark, f"{name}-late")
-    seen = {"high": None}
-
-    def handle(batch: DataFrame, _: int) -> None:
-        high = seen["high"]
-        bound = F.lit(False) if high is None else F.unix_micros("ts") < high - lateness_us
-        batch.where(~bound).write.mode("append").parquet(kept)
-        batch.where(bound).write.mode("append").parquet(late)
-        peak = batch.agg(F.max(F.unix_micros("ts")).alias("m")).first()["m"]
-        if peak is not None:
-            seen["high"] = peak if high is None else max(high, peak)
+    sink = fresh_path(spark, name)
+    schema = T.StructType([*stream.schema.fields, T.StructField("late", T.BooleanType()), T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], schema.fromJson({**schema.jsonValue(), "fields": schema.jsonValue()["fields"][:-1]})).write.mode("append").parquet(f"{sink}/batch=-1")
+
+    def handle(batch: DataFrame, number: int) -> None:
+        earlier = spark.read.schema(schema).parquet(sink).where(F.col("batch") < number)
+        high = earlier.agg(F.max(F.unix_micros("ts")).alias("m")).first()["m"]
+        late = F.lit(False) if high is None else F.coalesce(F.unix_micros("ts") < high - lateness_us, F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     drain_batches(stream, name, handle)
-    return spark.read.schema(stream.schema).parquet(kept), spark.read.schema(stream.schema).parquet(late)
+    rows = spark.read.schema(schema).parquet(sink)
+    return rows.where("not late").select(*stream.columns), rows.where("late").select(*stream.columns)
