@@ -1,9 +1,10 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line, cut every 256 code points. Its 40-bit key is added to one cell in each of three sub-tables; a cell holds the
+A paragraph is a line, cut every 512 code points. Its 40-bit key is added to one cell in each of three sub-tables; a cell holds the
 count, the sum of keys and the sum of check values. Two versions' cells are subtracted, so common paragraphs cancel, and peeling
 recovers the differing keys: a cell whose sums are its count times one key and that key's check value gives the key up, which is
-then taken out of its other cells. If cells are left over, the versions are sketched again over more blocks of cells. Counts are
+then taken out of its other cells. If cells are left over, the versions are sketched again over as many blocks of cells as their keys
+need, and the keys of blocks that still fail once more, hashed anew. Counts are
 signed multiplicities, so repeated paragraphs need no special case.
 
 All of it is expressions over a row's arrays; text is shuffled once, to bring a document and the one after it together.
@@ -15,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-PARAGRAPH = r"[^\n]{1,256}"
+PARAGRAPH = r"[^\n]{1,512}"
 SUBTABLES, WIDTH = 3, 8  # cells of a block: sub-tables x width; positions take 3 bits of a key's hash each
-BLOCKS = (1, 8, 64, 512, 4096)  # the fingerprint itself, then the retries
+RETRIES = 8
+PER_BLOCK = 8  # keys a block on average when an attempt is repeated
 PER_BUCKET = 256  # documents ordered together, up to MAX_BUCKETS buckets
 MAX_BUCKETS = 65536
 LOWEST = -(2**63)
+_REST = "array<struct<k:bigint,s:bigint>>"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -32,27 +35,33 @@ def keys(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p).bitwiseAND(F.lit(2**40 - 1)))
 
 
-def _entries(column: str, blocks: int) -> str:
-    """Keys with the hash that places them; every size of sketch hashes anew."""
-    return f"transform({column}, x -> named_struct('k', x, 'w', xxhash64(x, {blocks})))"
+def _signed(column: str, sign: int) -> str:
+    return f"transform({column}, x -> named_struct('k', x, 's', {sign}L))"
 
 
-def _position(w: str, i: str) -> str:
-    return f"(shiftright({w}, cast({SUBTABLES} * ({i} div {WIDTH}) as int)) & {WIDTH - 1})"
+def _places(w: str) -> str:
+    """Check value and cell of each sub-table, from a key's hash."""
+    cells = ", ".join(f"'q{j}', cast({WIDTH * j} + (shiftright({w}, {3 * j}) & {WIDTH - 1}) as int)" for j in range(SUBTABLES))
+    return f"'h', shiftright({w}, 40) & 16777215L, {cells}"
 
 
-def _check(w: str) -> str:
-    return f"(shiftright({w}, 40) & 16777215L)"
+def _entries(rest: str, salt: str, blocks: str = "1") -> str:
+    """Signed keys with check value, cells and block; every salt hashes anew."""
+    hashed = f"transform({rest}, e -> named_struct('k', e.k, 's', e.s, 'w', xxhash64(e.k, {salt})))"
+    return f"transform({hashed}, e -> named_struct('k', e.k, 's', e.s, 'at', pmod(shiftright(e.w, 9) & 1073741823L, {blocks}), {_places('e.w')}))"
 
 
 def _sketch(entries: str) -> str:
-    return (f"transform(sequence(0, {SUBTABLES * WIDTH - 1}), i -> aggregate(filter({entries}, e -> {_position('e.w', 'i')} = i % {WIDTH}), "
-            f"named_struct('c', 0L, 'k', 0L, 'h', 0L), (s, e) -> named_struct('c', s.c + 1L, 'k', s.k + e.k, 'h', s.h + {_check('e.w')})))")
+    """Cells (c, k, h): sums of sign, signed key and signed check value."""
+    add = "named_struct('c', t.c + e.s, 'k', t.k + e.s * e.k, 'h', t.h + e.s * e.h)"
+    tables = [f"transform(sequence({WIDTH * j}, {WIDTH * j + WIDTH - 1}), i -> aggregate({entries}, named_struct('c', 0L, 'k', 0L, 'h', 0L), (t, e) -> if(e.q{j} = i, {add}, t)))"
+              for j in range(SUBTABLES)]
+    return f"concat({', '.join(tables)})"
 
 
 def sketch(column: str) -> Column:
     """The cells of a column of keys: array of (c, k, h)."""
-    return F.expr(_let(_entries(column, BLOCKS[0]), "es", _sketch("es")))
+    return F.expr(_let(_entries(_signed(column, 1), "0"), "es", _sketch("es")))
 
 
 def written(column: str) -> Column:
@@ -64,41 +73,45 @@ def _subtract(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (p, q) -> named_struct('c', p.c - q.c, 'k', p.k - q.k, 'h', p.h - q.h))"
 
 
-def _peel(cells: str, blocks: int) -> str:
+def _peel(cells: str, salt: str) -> str:
     """(ok, a, b): whether all cells came out empty, and how many paragraphs only the first and only the second version has."""
-    left = "exists({}, z -> z.c <> 0 or z.k <> 0 or z.h <> 0)"
-    w = f"xxhash64(z.k div z.c, {blocks})"
-    # Sub-tables take turns, so one step never recovers the same key from two cells.
-    pure = (f"transform(filter(slice(s.cells, cast({WIDTH} * (r % {SUBTABLES}) + 1 as int), {WIDTH}), z -> if(z.c = 0, false, if(z.k % z.c = 0 and z.k div z.c >= 0, {_check(w)} * z.c = z.h, false))), "
-            f"z -> named_struct('c', z.c, 'k', z.k, 'h', z.h, 'w', {w}))")
-    cleared = (f"transform(s.cells, (z, i) -> aggregate(filter(ps, p -> {_position('p.w', 'i')} = i % {WIDTH}), z, "
-               f"(t, p) -> named_struct('c', t.c - p.c, 'k', t.k - p.k, 'h', t.h - p.h)))")
-    step = _let(pure, "ps", f"if(size(ps) = 0, s, named_struct('cells', {cleared}, 'a', s.a + aggregate(ps, 0L, (n, p) -> n + greatest(p.c, 0L)), "
-                            f"'b', s.b + aggregate(ps, 0L, (n, p) -> n + greatest(-p.c, 0L))))")
-    return (f"aggregate(sequence(0, {SUBTABLES * 8 - 1}), named_struct('cells', {cells}, 'a', 0L, 'b', 0L), (s, r) -> if({left.format('s.cells')}, {step}, s), "
-            f"s -> named_struct('ok', not {left.format('s.cells')}, 'a', s.a, 'b', s.b))")
-
-
-def _larger(a: str, b: str, blocks: int) -> str:
-    """The difference from sketches of that many blocks; a block that can't be peeled ends the attempt."""
-    here = f"(shiftright(e.w, 9) & {blocks - 1}) = block"
-    cells = _subtract(_sketch(f"filter(ea, e -> {here})"), _sketch(f"filter(eb, e -> {here})"))
-    one = _let(_peel(cells, blocks), "d", "named_struct('ok', t.ok and d.ok, 'a', t.a + d.a, 'b', t.b + d.b)")
-    total = f"aggregate(sequence(0, {blocks - 1}), named_struct('ok', true, 'a', 0L, 'b', 0L), (t, block) -> if(t.ok, {one}, t))"
-    return _let(_entries(a, blocks), "ea", _let(_entries(b, blocks), "eb", total))
-
-
-def _exact(a: str, b: str) -> str:
-    """The same difference without a sketch, for keys that no size separated."""
-    only = "aggregate(array_distinct({0}), 0L, (n, x) -> n + greatest(size(filter({0}, y -> y = x)) - size(filter({1}, y -> y = x)), 0))"
-    return f"named_struct('ok', true, 'a', {only.format(a, b)}, 'b', {only.format(b, a)})"
+    w = f"xxhash64(z.k div z.c, {salt})"
+    # Sub-tables take turns, so one step never recovers the same key from two cells; three steps without a key end the peeling.
+    one_key = f"if(z.c = 0, false, if(z.k % z.c = 0 and z.k div z.c >= 0, (shiftright({w}, 40) & 16777215L) * z.c = z.h, false))"
+    pure = (f"transform(transform(filter(slice(s.cells, cast({WIDTH} * (r % {SUBTABLES}) + 1 as int), {WIDTH}), z -> {one_key}), z -> named_struct('c', z.c, 'k', z.k, 'z', z.h, 'w', {w})), "
+            f"z -> named_struct('c', z.c, 'k', z.k, 'z', z.z, {_places('z.w')}))")
+    cleared = ("aggregate(ps, s.cells, (cs, p) -> transform(cs, (z, i) -> if(i = p.q0 or i = p.q1 or i = p.q2, named_struct('c', z.c - p.c, 'k', z.k - p.k, 'h', z.h - p.z), z)))")
+    found = (f"named_struct('cells', {cleared}, 'a', s.a + aggregate(ps, 0L, (n, p) -> n + greatest(p.c, 0L)), "
+             f"'b', s.b + aggregate(ps, 0L, (n, p) -> n + greatest(-p.c, 0L)), 'idle', 0)")
+    step = _let(pure, "ps", f"if(size(ps) = 0, named_struct('cells', s.cells, 'a', s.a, 'b', s.b, 'idle', s.idle + 1), {found})")
+    return (f"aggregate(sequence(0, {SUBTABLES * 12 - 1}), named_struct('cells', {cells}, 'a', 0L, 'b', 0L, 'idle', 0), (s, r) -> if(s.idle < {SUBTABLES}, {step}, s), "
+            f"s -> named_struct('ok', not exists(s.cells, z -> z.c <> 0 or z.k <> 0 or z.h <> 0), 'a', s.a, 'b', s.b))")
+
+
+def _retried(rest: str) -> str:
+    """(a, b) of the signed keys, sketched over as many blocks as they need; the keys of blocks that can't be peeled try again, hashed anew.
+
+    Both versions' keys enter a block's cells with opposite signs, which is their subtraction.
+    """
+    merged = "if(d.ok, named_struct('rest', t.rest, 'a', t.a + d.a, 'b', t.b + d.b), named_struct('rest', concat(t.rest, transform(part, e -> named_struct('k', e.k, 's', e.s))), 'a', t.a, 'b', t.b))"
+    block = _let("filter(es, e -> e.at = block)", "part", f"if(size(part) = 0, t, {_let(_peel(_sketch('part'), 'turn'), 'd', merged)})")
+    empty = f"cast(array() as {_REST})"
+    blocks = f"(size(u.rest) div {PER_BLOCK} + 1)"
+    attempt = _let(_entries("u.rest", "turn", blocks), "es",
+                   f"aggregate(sequence(0, cast({blocks} - 1 as int)), named_struct('rest', {empty}, 'a', u.a, 'b', u.b), (t, block) -> {block})")
+    # Keys that no hashing separated are counted without a sketch.
+    net = "aggregate(filter(u.rest, e -> e.k = x), 0L, (n, e) -> n + e.s)"
+    kinds = "array_distinct(transform(u.rest, e -> e.k))"
+    last = f"named_struct('a', u.a + aggregate({kinds}, 0L, (m, x) -> m + greatest({net}, 0L)), 'b', u.b + aggregate({kinds}, 0L, (m, x) -> m + greatest(-{net}, 0L)))"
+    return (f"aggregate(sequence(1, {RETRIES}), named_struct('rest', cast({rest} as {_REST}), 'a', 0L, 'b', 0L), "
+            f"(u, turn) -> if(size(u.rest) = 0, u, {attempt}), u -> {last})")
 
 
 def likeness(keys_a: str, cells_a: str, keys_b: str, cells_b: str) -> Column:
     """Common paragraphs over all paragraphs of two versions, repeats counted, from the recovered difference; two empty ones are alike."""
-    tries = [_let(_peel(_subtract(cells_a, cells_b), BLOCKS[0]), "d", "if(d.ok, d, null)")]
-    tries += [_let(_larger(keys_a, keys_b, n), "d", "if(d.ok, d, null)") for n in BLOCKS[1:]]
-    difference = f"coalesce({', '.join([*tries, _exact(keys_a, keys_b)])})"
+    first = _peel(_subtract(cells_a, cells_b), "0")
+    again = _retried(f"concat({_signed(keys_a, 1)}, {_signed(keys_b, -1)})")
+    difference = _let(first, "f", f"if(f.ok, named_struct('a', f.a, 'b', f.b), {again})")
     whole = f"(size({keys_a}) + d.b)"
     return F.expr(_let(difference, "d", f"if({whole} = 0, 1.0D, (size({keys_a}) - d.a) / cast({whole} as double))"))
 
