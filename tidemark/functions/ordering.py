@@ -50,6 +50,13 @@ def _same_keys(keys: list[str]) -> Column:
     return condition
 
 
+def with_totals(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """df with the sums of its group on every row: added per group and joined back, so no group has to fit one task."""
+    totals = df.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    joined = df.alias("l").join(totals.alias("r"), _same_keys(keys), "inner")
+    return joined.select("l.*", *[F.col(f"r.{n}").alias(n) for n in sums])
+
+
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """(keys, value, name) with average ranks for ties, one row per distinct value."""
     return positioned(value_counts(df, keys, value), keys, value).select(

@@ -92,18 +92,18 @@ def spearman(long: DataFrame, cell: Sequence[str]) -> DataFrame:
 
 def leave_one_range(sums: DataFrame, keys: Sequence[str], total: str, count: str) -> DataFrame:
     """Range of the mean when each part is left out: total minus part, no recomputation."""
-    w = W.partitionBy(*keys)
-    rest = F.try_divide(F.sum(total).over(w) - F.col(total), F.sum(count).over(w) - F.col(count))
-    return sums.withColumn("_rest", rest).groupBy(*keys).agg(
+    whole = ordering.with_totals(sums, list(keys), {"_total": F.col(total), "_size": F.col(count)})
+    rest = F.try_divide(F.col("_total") - F.col(total), F.col("_size") - F.col(count))
+    return whole.withColumn("_rest", rest).groupBy(*keys).agg(
         (F.sum(total) / F.sum(count)).alias("mean"), F.min("_rest").alias("leave_one_low"),
         F.max("_rest").alias("leave_one_high"), F.count(F.lit(1)).alias("parts"))
 
 
 def leave_one_correlation(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Range of the correlation when each part is left out, from moment differences."""
-    w = W.partitionBy(*keys)
-    rest = correlation(*[F.sum(m).over(w) - F.col(m) for m in MOMENTS])
-    return parts.withColumn("_rest", rest).groupBy(*keys).agg(F.min("_rest").alias("leave_one_low"), F.max("_rest").alias("leave_one_high"))
+    whole = ordering.with_totals(parts, list(keys), {f"_all_{m}": F.col(m) for m in MOMENTS})
+    rest = correlation(*[F.col(f"_all_{m}") - F.col(m) for m in MOMENTS])
+    return whole.withColumn("_rest", rest).groupBy(*keys).agg(F.min("_rest").alias("leave_one_low"), F.max("_rest").alias("leave_one_high"))
 
 
 def distribution(rows: DataFrame, keys: Sequence[str], value: str, tail: float) -> DataFrame:
@@ -149,7 +149,8 @@ def flag_distance_correlation(rows: DataFrame, keys: Sequence[str], x: str, y: s
     inside = sides.groupBy(*keys, x).agg(spread(size).alias("w"), F.sum(size).alias("m")).groupBy(*keys).agg(
         F.sum("w").alias("within"), F.sum(F.when(F.col(x) != 0, F.col("m")).otherwise(0)).alias("n1"),
         F.sum(F.when(F.col(x) == 0, F.col("m")).otherwise(0)).alias("n0"))
-    mass = F.sum(size * F.col(y)).over(W.partitionBy(*keys))
+    whole = ordering.with_totals(whole, keys, {"_mass": size * F.col(y)})
+    mass = F.col("_mass")
     after = F.col("_total") - F.col("_before") - size
     row_sum = F.col(y) * F.col("_before") - F.col("_sum_before") + (mass - F.col("_sum_before") - size * F.col(y)) - F.col(y) * after
     reach = stage(whole.select(*keys, y, F.col("_total").alias("n"), (row_sum / F.col("_total")).alias("_b"), size, "_before", "_total"), "reach")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import ordering
+
 
 def _name(i: int, j: int) -> str:
     return f"g_{min(i, j)}_{max(i, j)}"
@@ -44,9 +46,9 @@ def pooled(grams: DataFrame, keys: Sequence[str], size: int, weight: Column | No
 
 def without_each(grams: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     """Pooled products with one group left out, per group: total minus part."""
-    w = W.partitionBy(*keys)
     names = ["n"] + [_name(i, j) for i in range(size) for j in range(i, size)]
-    return grams.withColumns({c: F.sum(c).over(w) - F.col(c) for c in names})
+    whole = ordering.with_totals(grams, list(keys), {f"_all_{c}": F.col(c) for c in names})
+    return whole.withColumns({c: F.col(f"_all_{c}") - F.col(c) for c in names}).drop(*[f"_all_{c}" for c in names])
 
 
 def solve(grams: DataFrame, keys: Sequence[str], regressors: Sequence[str], limit: float = 1e10) -> DataFrame:

@@ -211,11 +211,10 @@ def a2(spark, folder):
 
 @study("a3_spearman", f"""
 WITH k AS (SELECT feature, lag, kind, horizon, rank() OVER (PARTITION BY feature, lag, kind, horizon ORDER BY x) + (count(*) OVER (PARTITION BY feature, lag, kind, horizon, x) - 1) / 2 AS x,
-  rank() OVER (PARTITION BY feature, lag, kind, horizon ORDER BY y) + (count(*) OVER (PARTITION BY feature, lag, kind, horizon, y) - 1) / 2 AS y FROM cells WHERE horizon = 5 AND lag = 0)
+  rank() OVER (PARTITION BY feature, lag, kind, horizon ORDER BY y) + (count(*) OVER (PARTITION BY feature, lag, kind, horizon, y) - 1) / 2 AS y FROM cells)
 SELECT feature, lag, kind, horizon, {r(corr_sql())} AS spearman FROM (SELECT feature, lag, kind, horizon, {_N} FROM k GROUP BY ALL)""", "cells")
 def a3(spark, folder):
-    rows = flag_rows(spark, folder)
-    return E.spearman(rows, CELL).withColumn("spearman", rounded("spearman"))
+    return E.spearman(long(spark, folder), CELL).withColumn("spearman", rounded("spearman"))
 
 
 @study("a4_within_date", f"""
@@ -227,7 +226,10 @@ def a4(spark, folder):
 
 
 GATED = f"""
-WITH d AS (SELECT feature, lag, kind, horizon, date, {_N} FROM cells GROUP BY ALL),
+WITH k AS (SELECT feature, lag, kind, horizon, rank() OVER (PARTITION BY feature, lag, kind, horizon ORDER BY x) + (count(*) OVER (PARTITION BY feature, lag, kind, horizon, x) - 1) / 2 AS x,
+  rank() OVER (PARTITION BY feature, lag, kind, horizon ORDER BY y) + (count(*) OVER (PARTITION BY feature, lag, kind, horizon, y) - 1) / 2 AS y FROM cells),
+q AS (SELECT feature, lag, kind, horizon, {corr_sql()} AS spearman FROM (SELECT feature, lag, kind, horizon, {_N} FROM k GROUP BY ALL)),
+d AS (SELECT feature, lag, kind, horizon, date, {_N} FROM cells GROUP BY ALL),
 w AS (SELECT feature, lag, kind, horizon, avg({corr_sql()}) AS within_date FROM d GROUP BY ALL),
 c AS (SELECT feature, lag, kind, horizon, {_N}, count(DISTINCT date) AS dates, count(DISTINCT ticker) AS issuers, count_if(x <> 0) AS positive_rows,
   count(DISTINCT CASE WHEN x <> 0 THEN ticker END) AS positive_issuers, count(DISTINCT CASE WHEN x <> 0 THEN date END) AS positive_dates, min(x) < max(x) AND min(y) < max(y) AS varies FROM cells GROUP BY ALL),
@@ -235,8 +237,8 @@ g AS (SELECT f.feature, l.lag, k.kind, h.horizon FROM (VALUES {', '.join(f"('{f}
 s AS (SELECT g.*, coalesce(c.n, 0) AS rows, coalesce(dates, 0) AS dates, coalesce(issuers, 0) AS issuers, coalesce(positive_rows, 0) AS positive_rows, coalesce(positive_issuers, 0) AS positive_issuers, coalesce(positive_dates, 0) AS positive_dates,
   CASE WHEN coalesce(c.n, 0) < 60 OR NOT coalesce(varies, false) THEN 'Too few rows or no feature/target variation' WHEN positive_rows < 8 OR positive_issuers < 3 THEN 'Insufficient event/issuer support' END AS reason, {corr_sql('c.n')} AS pearson, within_date
   FROM g LEFT JOIN c USING (feature, lag, kind, horizon) LEFT JOIN w USING (feature, lag, kind, horizon))
-SELECT feature, lag, kind, horizon, rows, dates, issuers, positive_rows, positive_issuers, positive_dates, reason, CASE WHEN reason IS NULL THEN 'measured' ELSE 'inconclusive' END AS status,
-  {r('CASE WHEN reason IS NULL THEN pearson END')} AS pearson, {r('CASE WHEN reason IS NULL THEN within_date END')} AS within_date FROM s"""
+SELECT feature, lag, kind, horizon, rows, dates, issuers, positive_rows, positive_issuers, positive_dates, reason, {r('CASE WHEN reason IS NULL THEN spearman END')} AS spearman, CASE WHEN reason IS NULL THEN 'measured' ELSE 'inconclusive' END AS status,
+  {r('CASE WHEN reason IS NULL THEN pearson END')} AS pearson, {r('CASE WHEN reason IS NULL THEN within_date END')} AS within_date FROM s LEFT JOIN q USING (feature, lag, kind, horizon)"""
 
 
 def planned_cells(spark, features, lags, targets):
@@ -253,9 +255,9 @@ def planned_cells(spark, features, lags, targets):
 def c1(spark, folder):
     cells = E.cell_table(long(spark, folder), CELL)
     grid = planned_cells(spark, FEATURES, LAGS, TARGETS)
-    full = grid.join(cells, CELL, "left").na.fill(0, ["rows", "dates", "issuers", "positive_rows", "positive_issuers", "positive_dates"])
+    full = grid.join(cells, CELL, "left").join(E.spearman(long(spark, folder), CELL), CELL, "left").na.fill(0, ["rows", "dates", "issuers", "positive_rows", "positive_issuers", "positive_dates"])
     gated = G.support_gate(full)
-    shown = [rounded(F.when(F.col("status") == "measured", F.col(c))).alias(c) for c in ("pearson", "within_date")]
+    shown = [rounded(F.when(F.col("status") == "measured", F.col(c))).alias(c) for c in ("pearson", "within_date", "spearman")]
     return gated.select(*CELL, "rows", "dates", "issuers", "positive_rows", "positive_issuers", "positive_dates", "reason", "status", *shown)
 
 
