@@ -127,6 +127,8 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     idf = np.log((1 + total[0]["rows"]) / (1 + np.asarray(total[0]["df"], np.float64))).astype(np.float32) + np.float32(0.1)
     by_lang = docs.where(~held_out(id_column)).groupBy(F.col(lang_column).alias("lang")).agg(F.count(F.lit(1)).alias("n")).where("lang is not null")
     share = by_lang.select(F.col("lang").cast("string").alias("lang"), F.least(F.lit(1.0), sample / F.col("n")).alias("share"))
+    # One row per language; a label column that is no taxonomy falls back to a plain join.
+    share = F.broadcast(share) if by_lang.count() <= 10_000 else share
     rank = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.join(share, "lang").where(rank < F.col("share")).select("lang", "text")
 
