@@ -30,7 +30,7 @@ def texts():
 def test_fingerprints(spark, texts):
     got = queries.op1_document_fingerprints(spark, FOLDER).toPandas()
     order = sorted(texts, reverse=True)
-    paragraphs = lambda t: Counter(re.findall(r"[^\n]{1,256}", t))
+    paragraphs = lambda t: Counter(re.findall(r"[^\n]{1,512}", t))
 
     def like(a, b):
         a, b = paragraphs(a), paragraphs(b)
@@ -203,6 +203,25 @@ def test_paraphrased_leaks_and_answers(spark, texts):
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 7), (1, 8), (4, 7), (4, 8)}
 
 
+def test_candidates_reach_items_with_two_in_five_words_changed(spark, texts):
+    rng = np.random.default_rng(8)
+    block = decontaminate.block_of(rows("benchmark", "item_id, text"))
+    index = spark.createDataFrame([(np.array([block.vocabulary.get(w, -1) for w in decontaminate.words(t)], "<i2").tobytes(),) for t in texts.values()], "terms binary")
+    decontaminate.fit(index, block)
+    other = np.array([block.vocabulary.get(w, -1) for t in texts.values() for w in decontaminate.words(t)])
+    found = []
+    for width, stride, least, members in decontaminate.length_classes(block):
+        for i in members:
+            item = block.terms[i].copy()
+            at = rng.choice(len(item), int(0.4 * len(item)), replace=False)
+            item[at] = rng.choice(other, len(at))
+            sequence = np.concatenate([rng.choice(other, 60), item, rng.choice(other, 60)])
+            windows = [sequence[s:s + width] for s in range(0, len(sequence) - width + 1, stride)]
+            z = np.array([block.weighted[w[w >= 0]].sum(axis=0) for w in windows])
+            found.append(((z @ block.vectors[i]) / np.maximum(np.linalg.norm(z, axis=1), 1e-12)).max() >= decontaminate.COSINE)
+    assert np.mean(found) >= 0.95
+
+
 def test_common_words_is_the_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(60):
