@@ -14,7 +14,7 @@ from tidemark.plans.inference import date_losses
 from tidemark.plans.market import CATEGORIES, study_panel
 from tidemark.plans.registry import study
 from tidemark.plans.sqlviews import r, view
-from tidemark.session import snapshot
+from tidemark.session import snapshot, stage
 from tidemark.sources import tables as T
 
 MARKET = ["past_return_5", "past_return_20", "past_vol_20", "past_log_volume", "market_past_return_5"]
@@ -186,30 +186,38 @@ def c18(spark, folder):
 
 # ---------------------------------------------------------------- text and annotation
 
-def term_vectors(spark, folder, terms=256, min_documents=3):
-    """TF-IDF vectors of one- and two-word terms; vocabulary and weights from the labelled documents only."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
-
-    docs = T.table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    train = docs.join(T.table(spark, folder, "labels").select("doc_id"), "doc_id", "left_semi")
-    steps = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"), NGram(n=2, inputCol="words", outputCol="pairs"),
-             SQLTransformer(statement="SELECT doc_id, text, concat(words, pairs) AS terms FROM __THIS__"),
-             CountVectorizer(inputCol="terms", outputCol="counts", minDF=min_documents, vocabSize=terms), IDF(inputCol="counts", outputCol="tfidf")]
-    return Pipeline(stages=steps).fit(train).transform(docs).select("doc_id", "text", "tfidf")
+# Fixed values of the text features.
+TERMS, MIN_DOCUMENTS, COMPONENTS = 20_000, 2, 64
+_TERM = r"[\p{L}\p{N}_]{2,}"
 
 
 def term_weights(spark, folder):
-    """(doc_id, missing_text, term, weight): length-one rows of the term matrix in coordinate form."""
+    """(doc_id, term, position, weight): rows of length one over one- and two-word terms; vocabulary and weights from the labelled documents only."""
     def build(s, f):
-        from pyspark.ml.functions import vector_to_array
-        rows = term_vectors(s, f).select("doc_id", (F.trim("text") == "").cast("int").alias("missing_text"), F.posexplode(vector_to_array("tfidf")).alias("term", "raw")).where("raw > 0")
+        found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_TERM), F.lit(0))
+        pairs = F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda x, y: F.when(y.isNotNull(), F.concat_ws(" ", x, y)))
+        terms = T.table(s, f, "documents").select("doc_id", found.alias("words")).select("doc_id", F.explode(F.concat("words", F.filter(pairs, lambda p: p.isNotNull()))).alias("term"))
+        counts = stage(terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+        train = T.table(s, f, "labels").select("doc_id").distinct()
+        size = T.table(s, f, "documents").join(train, "doc_id", "left_semi").agg(F.count_distinct("doc_id")).scalar()
+        known = counts.join(train, "doc_id", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+        # TERMS rows at most: small enough for one window and for every task.
+        chosen = known.where(F.col("df") >= MIN_DOCUMENTS).orderBy(F.desc("total"), "term").limit(TERMS)
+        chosen = chosen.withColumn("position", F.row_number().over(W.orderBy(F.desc("total"), "term")) - 1)
+        raw = F.col("tf") * (F.ln((1.0 + size) / (1 + F.col("df"))) + 1)
+        rows = stage(counts.join(F.broadcast(chosen), "term").select("doc_id", "term", "position", raw.alias("raw")), "term-raw")
         norm = rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-        return rows.join(norm, "doc_id").select("doc_id", "missing_text", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+        return rows.join(norm, "doc_id").select("doc_id", "term", "position", (F.col("raw") / F.col("norm")).alias("weight"))
     return snapshot(spark, folder, "term-weights", build)
 
 
-@study("x1_term_weights")
+@study("x1_term_weights", f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_TERM}') AS w FROM documents),
+t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS n FROM documents SEMI JOIN labels USING (doc_id)),
+v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c SEMI JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) >= {MIN_DOCUMENTS} ORDER BY total DESC, term LIMIT {TERMS}),
+x AS (SELECT doc_id, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM c JOIN v USING (term) CROSS JOIN n)
+SELECT doc_id, count(*) AS terms, {r('max(raw) / sqrt(sum(raw * raw))')} AS top_weight FROM x GROUP BY 1""")
 def x1(spark, folder):
     return term_weights(spark, folder).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), rounded(F.max("weight")).alias("top_weight"))
 
@@ -217,16 +225,15 @@ def x1(spark, folder):
 @study("x2_text_components")
 def x2(spark, folder):
     """Truncated SVD of the term matrix; documents are projected by joining the small term basis."""
-    from pyspark.ml.functions import vector_to_array
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     weights = term_weights(spark, folder)
-    rows = weights.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("w"))
-    matrix = RowMatrix(rows.select("w").rdd.map(lambda x: Vectors.sparse(256, x["w"])), 0, 256)
-    basis = matrix.computeSVD(8).V.toArray()
-    table = spark.createDataFrame([(i, [float(v) for v in basis[i]]) for i in range(basis.shape[0])], "term int, basis array<double>")
-    parts = weights.join(F.broadcast(table), "term").select("doc_id", F.posexplode(F.transform("basis", lambda b: b * F.col("weight"))).alias("component", "v"))
+    rows = weights.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("position", "weight"))).alias("w"))
+    matrix = RowMatrix(rows.select("w").rdd.map(lambda x: Vectors.sparse(TERMS, x["w"])), 0, TERMS)
+    basis = matrix.computeSVD(COMPONENTS).V.toArray()
+    table = spark.createDataFrame([(i, [float(v) for v in basis[i]]) for i in range(basis.shape[0])], "position int, basis array<double>")
+    parts = weights.join(F.broadcast(table), "position").select("doc_id", F.posexplode(F.transform("basis", lambda b: b * F.col("weight"))).alias("component", "v"))
     scores = parts.groupBy("doc_id", "component").agg(F.sum("v").alias("v"))
     energy = scores.groupBy("doc_id").agg(F.count(F.lit(1)).alias("components"), rounded(F.sum(F.col("v") * F.col("v")), 4).alias("captured"))
     docs = T.table(spark, folder, "documents").select("doc_id", flag(F.trim(F.coalesce("text", F.lit(""))) == "").alias("missing_text"))
