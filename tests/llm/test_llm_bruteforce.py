@@ -362,6 +362,26 @@ def test_links_join_chains_and_large_groups(spark):
     assert all(got.get(v, v) == values[root(i)] for i, v in enumerate(values))
 
 
+def test_checked_links_match_all_pairs(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(10_000, texts[min(texts)] + " and one more"), (10_001, "alpha beta gamma delta"), (10_002, "alpha beta gamma delta")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, radius=6, check=True).collect()}
+    both = {r.doc_id: (int.from_bytes(simhash.fingerprint(r.text.encode()), "big"), int.from_bytes(simhash.fingerprint(r.text.encode(), 5, 43), "big")) for r in docs.collect()}
+    parent = {i: i for i in both}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    order = sorted(both)
+    for k, a in enumerate(order):
+        for b in order[k + 1:]:
+            if (both[a][0] ^ both[b][0]).bit_count() <= 6 and (both[a][1] ^ both[b][1]).bit_count() <= simhash.CHECK_RADIUS:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    assert got == {i: root(i) for i in order}
+
+
 def test_language_accuracy(spark, texts):
     got = queries.op10_language_id(spark, FOLDER).toPandas()
     truth = dict(rows("documents", "doc_id, lang"))
@@ -386,7 +406,7 @@ def test_pipeline(spark, texts):
         kept.append(docs)
     language, near, clean, redacted, packed = kept
     assert language.count() == len(texts)
-    groups = simhash.near_duplicates(language).toPandas()
+    groups = simhash.near_duplicates(language, radius=corpus_pipeline.RADIUS, check=True).toPandas()
     survivors = {r.doc_id for r in near.collect()}
     assert survivors == set(groups.component_id)
     bad = {r.doc_id for r in queries.op6_benchmark_leaks(spark, FOLDER).collect()}
