@@ -439,7 +439,9 @@ def a30(spark, folder):
     return outcome_grid(spark, folder).groupBy(*GRID).agg(F.count_if(good).alias("measured"), F.count_if(~good).alias("missing"), F.count_distinct(F.when(good, F.col("ticker"))).alias("issuers"), rounded(F.avg("net_return")).alias("mean"))
 
 
-@study("j11_strategy_baseline", f"""SELECT a.ticker, a.pair_session, a.role, a.horizon, a.delay, a.costs, {r('a.net_return - b.net_return')} AS difference, {r('a.net_return - a.stock_return')} AS over_stock FROM outcome_grid a JOIN outcome_grid b USING (ticker, pair_session, role, horizon, delay, costs) WHERE a.shape = 'covered_call' AND b.shape = 'protective_put' AND a.status = 'measured' AND b.status = 'measured'""", "outcome_grid")
+@study("j11_strategy_baseline", f"""SELECT ticker, pair_session, role, horizon, delay, costs, {r('a - b')} AS difference, {r('a - s')} AS over_stock FROM (
+  SELECT ticker, pair_session, role, horizon, delay, costs, max(net_return) FILTER (WHERE shape = 'covered_call') AS a, max(net_return) FILTER (WHERE shape = 'protective_put') AS b,
+    max(stock_return) FILTER (WHERE shape = 'covered_call') AS s FROM outcome_grid WHERE status = 'measured' GROUP BY ALL) WHERE a IS NOT NULL AND b IS NOT NULL""", "outcome_grid")
 def j11(spark, folder):
     rows = outcome_grid(spark, folder).where("status = 'measured'")
     keys = [*KEY, "horizon", "delay", "costs"]
