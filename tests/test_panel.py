@@ -83,3 +83,20 @@ def test_year_starts_from_the_value_before_it(spark):
     nav = spark.createDataFrame(rows, "ticker string, year long, session int, date string, nav double, first double").selectExpr("ticker", "year", "session", "cast(date as date) date", "nav", "first")
     got = {r.year: r for r in O.performance(nav, ["ticker", "year"], "first", 0.0).collect()}
     assert got[2001].annualized_return > 1 and got[2002].annualized_return == 0 and got[2003].annualized_return is None and got[2003].status == "inconclusive"
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tidemark.session import shared_folder
+
+    def session(master):
+        context = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda key: None), getCheckpointDir=lambda: None, setCheckpointDir=lambda folder: None, master=master)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+
+    assert shared_folder(session("local[8]")).startswith("/tmp/")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master))
