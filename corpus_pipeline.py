@@ -12,6 +12,9 @@ from tidemark.llm import decontaminate, langid, packing, secrets, simhash
 from tidemark.llm.common import table
 from tidemark.session import fresh_path, stage
 
+SIMILAR = 0.8  # Jaccard similarity of five-word shingles from which near copies link
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID does not reject; null texts and texts without letters go. Rows are judged one by one."""
     judged = langid.classify(docs, langid.fit(docs), prefix="__language_")
@@ -21,9 +24,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the least id. Rows that repeat that id give one row, the first by text.
 
-    Rows without an id can't stand for a group; of those, one of each equal text stays.
+    Texts link within op9's four bits, or at SIMILAR whatever their fingerprints. Rows without an id can't stand for a group; of those, one of each equal text stays.
     """
-    groups = simhash.near_duplicates(docs).where(F.col("component_id").isNotNull()).groupBy(F.col("component_id").alias("__keep"))
+    groups = simhash.near_duplicates(docs, similar=SIMILAR).where(F.col("component_id").isNotNull()).groupBy(F.col("component_id").alias("__keep"))
     kept = stage(groups.agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("__times")), "pipeline-representatives")
     single = docs.join(kept.where("__times = 1"), F.col("doc_id") == F.col("__keep"), "left_semi")
     # Ids are unique but for repeated rows; only those and rows without an id are compared as wholes.

@@ -382,6 +382,47 @@ def test_checked_links_match_all_pairs(spark, texts):
     assert got == {i: root(i) for i in order}
 
 
+def test_pipeline_links_all_pairs_of_similarity_08(spark, texts):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    every = [f"term{i}" for i in range(3000)]
+    rows_ = list(texts.items())
+    for k in range(60):  # spread edits, so that the fingerprints move far at similarities around 0.8
+        base = [str(x) for x in rng.choice(every, 150 + 5 * k)]
+        edited = list(base)
+        for at in rng.choice(len(base), 1 + len(base) * (k % 6) // 150, replace=False):
+            edited[at] = "changed"
+        rows_ += [(10_000 + 2 * k, " ".join(base)), (10_001 + 2 * k, " ".join(edited))]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars")
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()}
+
+    def grams(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = {i: grams(t) for i, t in rows_}
+    prints = {i: int.from_bytes(simhash.fingerprint(t.encode()), "big") for i, t in rows_}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    wide = 0
+    order = sorted(sets)
+    for k, a in enumerate(order):
+        for b in order[k + 1:]:
+            like = len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+            apart = (prints[a] ^ prints[b]).bit_count()
+            wide += like >= 0.8 and apart > 4
+            if like >= 0.8 or apart <= 4:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    assert wide > 5 and got == {root(i) for i in order}
+
+
 def test_language_accuracy(spark, texts):
     got = queries.op10_language_id(spark, FOLDER).toPandas()
     truth = dict(rows("documents", "doc_id, lang"))

@@ -8,6 +8,11 @@ pass links each fingerprint once it is reached: the links that come out are a sp
 
 A wider radius can ask for a second fingerprint, of five-word shingles under another seed, that must be near as well. It stands for
 a similarity of about 0.8 and keeps chance links away, whose number grows with the square of the corpus.
+
+Fingerprints of texts at a Jaccard similarity of 0.8 differ in about 10 of 64 bits, up to 18: no mask covers that and still tells texts apart.
+With `similar` the sets of five-word shingles are compared as well: BANDS keys of ROWS minimum hashes each bring a pair at 0.8
+together but for 3 pairs in a million, and those that meet are linked if the exact similarity of their sets reaches `similar`.
+Only buckets that span several components are compared, first over a few bands and then over the rest.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import digest
 from tidemark.llm.components import components
 from tidemark.session import stage
 
@@ -29,6 +35,10 @@ SHINGLE = 4
 SEED = 42
 CHECK_SHINGLE, CHECK_SEED, CHECK_RADIUS = 5, 43, 18  # 18 of 64 bits: what a Jaccard similarity of 0.8 (9.7 bits) stays within, with three deviations
 PIECE = 1 << 16  # shingles held as bits at a time
+BANDS, ROWS, FIRST = 32, 5, 4  # (1 - 0.8^5)^32 = 3e-6; the bands of the first round link most, so few buckets are left to the second
+MARKS = 1 << 27  # places that mark the texts to be compared, 16 MB; when they fill up, more texts are read than need be
+_DRAWS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
+_TURN, _TIMES = _DRAWS[0], _DRAWS[1] | np.uint64(1)
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -138,19 +148,152 @@ def _fingerprints(check: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, check: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def shingles(text: bytes | None, shingle: int = CHECK_SHINGLE) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted; words as in `fingerprint`, a shorter text is one shingle."""
+    words = (text or b"").lower().split()
+    joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)] if words else [])
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, joined, repeat(CHECK_SEED))), np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The keys of a set's minimum hashes, none for an empty set."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, hashes.size, 1 << 12):
+        least = np.minimum(least, ((hashes[None, at:at + (1 << 12)] ^ _TURN) * _TIMES).min(axis=1))
+    keys = [xxhash.xxh64_digest(row.tobytes(), seed=i) for i, row in enumerate(least.reshape(BANDS, ROWS))] if hashes.size else []
+    return np.frombuffer(b"".join(keys), np.int64).tolist()
+
+
+def similar_forest(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """Places of linked sets (from, to): all pairs of at least that Jaccard similarity are joined, at most one link into each."""
+    out, rest = [], np.arange(len(sets))
+    size = np.array([len(x) for x in sets])
+    places = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
+    mark = np.zeros(int(max(p.max() for p in places)) + 1, np.int32)
+    laid: np.ndarray | None = None
+    while rest.size > 1:
+        queue, rest, laid = [rest[0]], rest[1:], None
+        while queue and rest.size:
+            x = queue.pop()
+            if laid is None:
+                laid, starts = np.concatenate([places[i] for i in rest]), np.r_[0, np.cumsum(size[rest])[:-1]]
+            mark[places[x]] = 1
+            common = np.add.reduceat(mark[laid], starts)
+            mark[places[x]] = 0
+            near = common / (size[x] + size[rest] - common) >= similar
+            if near.any():
+                found, rest, laid = rest[near], rest[~near], None
+                out += [(int(x), int(y)) for y in found]
+                queue.extend(found)
+    return out
+
+
+def _with_sets(check: bool):
+    prints = _fingerprints(check)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sids, keys = [], []
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                hashes = shingles(text)
+                sids.append(int.from_bytes(xxhash.xxh64_digest(hashes.tobytes()), "big", signed=True))
+                keys.append(bands(hashes))
+            for found in prints(iter([batch])):
+                yield pa.RecordBatch.from_arrays([*found.columns, batch.column("key"), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                                                 names=[*found.schema.names, "key", "sid", "bands"])
+
+    return run
+
+
+def _group_links(similar: float):
+    def within(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        roots = [r for r, _ in rows]
+        ends = [(roots[a], roots[b]) for a, b in similar_forest([shingles(t) for _, t in rows], similar)] if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in range(2)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group."""
+        held, group = [], None
+        for batch in batches:
+            for g, root, text in zip(batch.column("group").to_pylist(), batch.column("root").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                if g != group and held:
+                    yield within(held)
+                    held = []
+                group = g
+                held.append((root, text))
+        if held:
+            yield within(held)
+
+    return run
+
+
+def _marked(handle):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = handle.value
+        for batch in batches:
+            place = batch.column("place").to_numpy(zero_copy_only=False) - 1
+            yield batch.filter(pa.array((marks[place >> 3] >> (place & 7)) & 1 == 1)).select(["key", "text"])
+
+    return run
+
+
+def _place(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MARKS)) + 1
+
+
+def _similar_roots(docs: DataFrame, nodes: DataFrame, similar: float, text_column: str) -> DataFrame:
+    """nodes: (node, key, bands, root), one row per fingerprint and set of shingles, key the digest of one of its texts. Gives them with the roots of joined components."""
+    spark = docs.sparkSession
+    for first, count in ((1, FIRST), (FIRST + 1, BANDS - FIRST)):
+        dealt = nodes.select("node", "root", F.posexplode(F.slice("bands", first, count)).alias("band", "bucket"))
+        spans = dealt.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"),
+                                                    F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
+        # Buckets of the same members are compared once.
+        spans = spans.where("low != high").select("band", "bucket", F.xxhash64("n", "x", "s").alias("group"))
+        members = stage(dealt.join(spans, ["band", "bucket"]).select("group", "node", "root").distinct(), "similar-members")
+        wanted = stage(members.select("node").distinct().join(nodes.select("node", "key"), "node"), "similar-wanted")
+        parts = wanted.select(_place("key").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()  # 4,096 rows at most
+        if not parts:
+            continue
+        marks = np.zeros(MARKS >> 3, np.uint8)
+        for r in parts:
+            marks[(r["b"] - 1) << 12:r["b"] << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        texts = docs.select(digest(F.col(text_column)).alias("key"), F.col(text_column).alias("text")).withColumn("place", _place("key"))
+        texts = texts.mapInArrow(_marked(spark.sparkContext.broadcast(marks)), "key binary, text string").join(wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
+        groups = members.join(texts, "node").select("group", "root", "text").repartition("group").sortWithinPartitions("group")
+        joined = components(groups.mapInArrow(_group_links(similar), "u long, v long").distinct())
+        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("__root"))
+        nodes = stage(nodes.join(joined, "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root"), "similar-nodes")
+    return nodes
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, check: bool = False, id_column: str = "doc_id", text_column: str = "text",
+                    similar: float | None = None) -> DataFrame:
     """(id, fingerprint, component_id), one row per input row; component_id is the least id that links can reach.
 
-    With `check` linked texts must also be near in the second fingerprint. Null, empty and blank texts have fingerprint zero and link like
+    With `check` linked texts must also be near in the second fingerprint. With `similar` texts link as well if the Jaccard similarity of
+    their five-word shingles reaches it, however far their fingerprints are apart. Null, empty and blank texts have fingerprint zero and link like
     any other. Repeated rows share a component. Null ids keep their rows; a component of null ids only has a null component_id. An
     empty table gives no rows; other columns are not read.
     """
     names = ["fp", "ck"] if check else ["fp"]
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    rows = stage(rows.mapInArrow(_fingerprints(check), ", ".join([f"id {kind}", *(f"{n} long" for n in names)])), "simhash-rows")
-    nodes = stage(rows.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", _node("", check)), "simhash-nodes")
-    nodes = nodes.join(components(links(nodes.select(*names), radius, check)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if similar is not None:
+        rows = rows.withColumn("key", digest(F.col("text")))
+    schema = ", ".join([f"id {kind}", *(f"{n} long" for n in names)])
+    if similar is None:
+        rows = stage(rows.mapInArrow(_fingerprints(check), schema), "simhash-rows")
+        nodes = rows.groupBy(*names).agg(F.min("id").alias("least"))
+    else:
+        names = [*names, "sid"]
+        rows = stage(rows.mapInArrow(_with_sets(check), schema + ", key binary, sid long, bands array<long>"), "simhash-rows")
+        nodes = rows.groupBy(*names).agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("bands").alias("bands"))
+    nodes = stage(nodes.withColumn("node", _node("", check)), "simhash-nodes")
+    prints = nodes.select(*(n for n in names if n != "sid"))
+    nodes = nodes.join(components(links(prints if similar is None else prints.distinct(), radius, check)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if similar is not None:
+        nodes = _similar_roots(docs, stage(nodes.withColumn("node", F.xxhash64(*names)), "simhash-roots"), similar, text_column)
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     found = stage(nodes.join(least, "root").select(*names, "component_id"), "simhash-components")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
