@@ -222,6 +222,21 @@ def test_candidates_reach_items_with_two_in_five_words_changed(spark, texts):
     assert np.mean(found) >= 0.95
 
 
+def test_full_block_loses_no_item(spark):
+    rng = np.random.default_rng(12)
+    every = np.array([f"w{i}" for i in (6000 * rng.random(40_000) ** 2).astype(int)])
+    draw = lambda n: [str(x) for x in rng.choice(every, n)]
+    items = [draw(int(n)) for n in rng.integers(20, 60, decontaminate.ITEMS)]
+    docs = []
+    for i, item in enumerate(items):
+        share = (0.0, 0.2, 0.4)[i % 3]
+        at = rng.choice(len(item) - max(3, math.ceil(len(item) / 5)), int(share * len(item)), replace=False)
+        changed = [f"other{k}" if k in set(at.tolist()) else x for k, x in enumerate(item)]  # the answer stays
+        docs.append((i, " ".join([*draw(40), *changed, *draw(40)])))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
+    assert {(i, i) for i in range(len(items))} <= {(r.doc_id, r.item_id) for r in got}
+
+
 def test_common_words_is_the_longest_common_subsequence():
     rng = np.random.default_rng(5)
     for _ in range(60):

@@ -2,11 +2,11 @@
 
 Passages of documents and benchmark items are TF-IDF vectors over the items' words. A randomised SVD (one distributed pass for
 the product of the Gram matrix with a random test matrix, Nystroem reconstruction on the driver from matrices as tall as the items' vocabulary) gives
-a latent space; windows of every document are compared with the items by cosine there. A candidate is a leak if the longest common
+a latent space, in which a leak's cosine to its item is given. It picks no windows: few directions for many items would lose even whole copies.
+A window is a candidate if it has as many of the item's words as the subsequence needs, which loses nothing. It is a leak if the longest common
 subsequence of words covers enough of the item, or covers somewhat less and also keeps the item's answer, its closing words.
 
-Windows overlap so far that any passage of an item's length lies whole in one. A window with fewer item words than the subsequence needs
-is passed over, which loses nothing. Items are taken in blocks, so no task holds more than a block however many there are.
+Windows overlap so far that any passage of an item's length lies whole in one. Items are taken in blocks, so no task holds more than a block however many there are.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ ITEMS = 2000  # benchmark items held at once
 PASSAGE = 48  # words a passage of the fit
 RANK, OVERSAMPLE, SEED = 32, 8, 7
 MAX_SHARE, MAX_LEAST = 0.1, 100  # words in over this share of the passages, and in over so many, carry no weight in the latent space
-COSINE = 0.6  # items with two words in five changed still reach 0.68 (tests)
+COSINE = 0.6  # what most items with two words in five changed reach (tests); no window is passed over for less
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.6
 ANSWER_PART = 0.2  # of an item's words, at its end
 MIN_WORDS = 8  # items with fewer words say too little
@@ -234,9 +234,6 @@ def _search(handle, id_type: pa.DataType):
         gap = max(w for w, *_ in classes)
         tails = [t[-max(3, int(np.ceil(len(t) * ANSWER_PART))):] for t in block.terms]
         needed = np.array([int(np.ceil(LCS_WITH_ANSWER * len(t))) for t in block.terms])
-        weighs = np.abs(block.weighted).sum(axis=1) > 0
-        blind = ~block.vectors.any(axis=1)  # items of weightless words only: every window is a candidate
-        by_word = np.ascontiguousarray(block.weighted.T)
         holds = np.zeros((len(block.terms), len(block.vocabulary)), np.int8)
         for i, t in enumerate(block.terms):
             holds[i, t] = 1
@@ -245,9 +242,6 @@ def _search(handle, id_type: pa.DataType):
             best: dict[tuple[int, int], tuple] = {}
             item_words = terms[terms >= 0]
             before = np.r_[0, np.cumsum(terms >= 0)]
-            heavy = (terms >= 0) & weighs[terms]
-            heavy_before = np.r_[0, np.cumsum(heavy)]
-            sums: np.ndarray | None = None
             for width, stride, least, members in classes:
                 # Every document's windows start with it, whatever lies around it.
                 each = -(-lengths // stride)
@@ -258,19 +252,10 @@ def _search(handle, id_type: pa.DataType):
                 if not len(kept):
                     continue
                 begin, low, high, own = begin[kept], low[kept], high[kept], own[kept]
-                if sums is None:
-                    sums = np.zeros((block.weighted.shape[1], heavy_before[-1] + 1))
-                    np.cumsum(by_word[:, terms[heavy]], axis=1, dtype=np.float64, out=sums[:, 1:])
-                z = (sums[:, heavy_before[np.minimum(begin + width, len(terms))]] - sums[:, heavy_before[begin]]).astype(np.float32)
-                z /= np.maximum(np.sqrt(np.einsum("ij,ij->j", z, z)), 1e-12)
-                cos = block.vectors[members] @ z
-                near = (cos >= COSINE) | blind[members][:, None]
-                for m in np.flatnonzero(near.any(axis=1)):
-                    item, at_windows = int(members[m]), np.flatnonzero(near[m])
-                    if len(at_windows) > 4:
-                        # A subsequence takes no more words than the window has of the item's: that bound is exact and cheap for many windows.
-                        shared = np.r_[0, np.cumsum(holds[item][item_words], dtype=np.int32)]
-                        at_windows = at_windows[shared[high[at_windows]] - shared[low[at_windows]] >= needed[item]]
+                for item in members.tolist():
+                    # A subsequence takes no more words than the window has of the item's. That bound loses nothing, so it alone picks the windows.
+                    shared = np.r_[0, np.cumsum(holds[item][item_words], dtype=np.int32)]
+                    at_windows = np.flatnonzero(shared[high] - shared[low] >= needed[item])
                     n = len(block.terms[item])
                     for k in at_windows.tolist():
                         window = item_words[low[k]:high[k]].tolist()
@@ -280,7 +265,9 @@ def _search(handle, id_type: pa.DataType):
                         answer = common_words(tail_masks[item], len(tails[item]), window) / len(tails[item])
                         if share >= LCS_ALONE or answer >= ANSWER:
                             row = int(own[k])
-                            found = (share, answer, float(cos[m, k]), -int(begin[k] - starts[row]) - rows[row][-1])
+                            z = block.weighted[window].sum(axis=0)
+                            cosine = float(block.vectors[item] @ z / max(np.linalg.norm(z), 1e-12))
+                            found = (share, answer, cosine, -int(begin[k] - starts[row]) - rows[row][-1])
                             best[row, item] = max(best.get((row, item), found), found)
             if best:
                 keys = sorted(best)
