@@ -64,14 +64,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._stage_path = path
+    out._stage_paths = [path]
     return out
 
 
+def resting_on(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, which from now on stands for the stage tables that it reads: to discard it is to discard them."""
+    df._stage_paths = [path for t in (df, *tables) for path in vars(t).get("_stage_paths", [])]
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables written by `stage` that nothing will read again. Other frames are passed over."""
+    """Delete stage tables that nothing will read again, also those that a frame rests on. Other frames are passed over."""
     for df in tables:
-        if name := vars(df).pop("_stage_path", None):
+        for name in vars(df).pop("_stage_paths", []):
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
