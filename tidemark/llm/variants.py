@@ -95,27 +95,29 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, label, next): from every place of a word, with and without a letter passed unread."""
-    for batch in batches:
-        x = Letters(batch.column("word").to_pylist())
-        rows = []
-        for passed in (0, 1):
-            left = x.length[x.word] - x.place - passed
-            low = x.place + passed
-            rows.append((x.node(x.word, x.place), x.label(x.word, low, left, passed), x.node(x.word, low + stride(left))))
-        yield pa.RecordBatch.from_arrays([_signed(np.concatenate(c)) for c in zip(*rows)], names=["node", "label", "next"])
+def _edges(kinds: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, label, next): from every place of a word, with (1) or without (0) a letter passed unread."""
+        for batch in batches:
+            x = Letters(batch.column("word").to_pylist())
+            rows = []
+            for passed in kinds:
+                left = x.length[x.word] - x.place - passed
+                low = x.place + passed
+                rows.append((x.node(x.word, x.place), x.label(x.word, low, left, passed), x.node(x.word, low + stride(left))))
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(c)) for c in zip(*rows)], names=["node", "label", "next"])
+
+    return run
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, own, node, labels): one edit spent at every place. own is the node that an unread letter equal to the word's own leads to."""
+    """(word, own, node, labels): one edit spent at every place, but for the last letter left out. own is the node that an unread letter equal to the word's own leads to."""
     for batch in batches:
         x = Letters(batch.column("word").to_pylist())
         ident = x.node(np.arange(len(x.length)), x.length)
-        last = np.r_[x.codes[1:], 0] != x.codes
-        last |= x.place == x.length[x.word] - 1
+        last = (np.r_[x.codes[1:], 0] != x.codes) & (x.place < x.length[x.word] - 1)
         for passed in (0, 1):
-            # Leaving out any letter of a run of equal ones gives the same: the last one stands for the run.
+            # Leaving out any letter of a run of equal ones gives the same: the last one stands for the run. (At the end of a word that is the last letter.)
             at = np.flatnonzero(last) if not passed else np.arange(len(x.word))
             word, low = x.word[at], x.place[at] + 1
             left = x.length[word] - low
@@ -145,7 +147,8 @@ def _identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = Letters(batch.column("word").to_pylist())
         ident = x.node(np.arange(len(x.length)), x.length)
-        yield pa.RecordBatch.from_arrays([_signed(ident), batch.column("word"), batch.column("n")], names=["node", "word", "n"])
+        shorter = x.node(np.arange(len(x.length)), np.maximum(x.length - 1, 0))
+        yield pa.RecordBatch.from_arrays([_signed(ident), _signed(shorter), batch.column("word"), batch.column("n")], names=["node", "shorter", "word", "n"])
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -156,20 +159,26 @@ def near_words(words: DataFrame) -> DataFrame:
         written.append(stage(df, name))
         return written[-1]
 
-    named = held(words.mapInArrow(_identified, "node long, word string, n long"), "variant-words")
-    edges = held(words.select("word").mapInArrow(_edges, "node long, label long, next long").distinct(), "variant-edges")
-    frontier = held(words.select("word").mapInArrow(_starts, "word long, own long, node long, labels array<long>"), "variant-frontier")
-    ends = None
+    def edges(*kinds: int) -> DataFrame:
+        """(key, next), dealt out by key for the join that follows."""
+        found = words.select("word").mapInArrow(_edges(kinds), "node long, label long, next long")
+        return found.select(F.xxhash64("node", "label").alias("key"), "next").repartition("key").dropDuplicates(["key", "next"])
+
+    def facing(states: DataFrame, own: str) -> DataFrame:
+        """States before their next edge: its key, and the labels after it."""
+        return states.select("word", F.col(own).alias("own"), F.xxhash64("node", F.element_at("labels", 1)).alias("key"), F.slice("labels", 2, F.size("labels")).alias("labels"))
+
+    named = held(words.mapInArrow(_identified, "node long, shorter long, word string, n long"), "variant-words")
+    ends = named.select(F.col("node").alias("word"), F.col("shorter").alias("other"))
+    walking, kinds = facing(words.select("word").mapInArrow(_starts, "word long, own long, node long, labels array<long>"), "own"), (0, 1)
     while True:
-        done = frontier.where(F.size("labels") == 0).select("word", F.col("node").alias("other"))
-        ends = done if ends is None else ends.unionByName(done)
-        walking = frontier.where(F.size("labels") > 0)
-        if walking.isEmpty():
+        step = walking.join(edges(*kinds), "key").where(F.col("next") != F.col("own"))
+        frontier = held(step.select("word", F.col("next").alias("node"), "labels"), "variant-frontier")
+        ends = ends.unionByName(frontier.where(F.size("labels") == 0).select("word", F.col("node").alias("other")))
+        left = frontier.where(F.size("labels") > 0)
+        if left.isEmpty():
             break
-        walking = walking.withColumn("label", F.element_at("labels", 1))
-        step = walking.join(edges, ["node", "label"]).where(F.col("next") != F.col("own"))
-        frontier = held(step.select("word", F.lit(0).cast("long").alias("own"), F.col("next").alias("node"),
-                                    F.slice("labels", 2, F.size("labels")).alias("labels")), "variant-frontier")
+        walking, kinds = facing(left.withColumn("own", F.lit(0).cast("long")), "own"), (0,)  # the edit is spent
     pairs = ends.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).where("a != b").distinct()
     a, b = (named.select(F.col("node").alias(k), F.col("word").alias(f"{k}_word"), F.col("n").alias(f"{k}_n")) for k in "ab")
     # An end may be a node inside the trie; it then is no word's and finds no partner here.
