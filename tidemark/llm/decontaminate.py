@@ -2,15 +2,17 @@
 
 Passages of documents and benchmark items are TF-IDF vectors over the items' words. A randomised SVD (one distributed pass for
 the product of the Gram matrix with a random test matrix, Nystroem reconstruction on the driver from matrices as tall as the items' vocabulary) gives
-a latent space, in which a leak's cosine to its item is given. It picks no windows: few directions for many items would lose even whole copies.
-A window is a candidate if it has as many of the item's words as the subsequence needs, which loses nothing. It is a leak if the longest common
-subsequence of words covers enough of the item, or covers somewhat less and also keeps the item's answer, its closing words.
+a latent space whose rank grows with the items of a block. Windows of documents are searched there: a window is a candidate for the items whose cosine to it reaches a low
+gate. Items that the space represents badly, by the share of their vector that is left after projection, have no gate: all their windows with as many of the item's words
+as the subsequence needs are candidates, which loses nothing. A candidate is a leak if the longest common subsequence of words covers enough of the
+item, or covers somewhat less and also keeps the item's answer, its closing words. Short items are found as whole sequences.
 
 Windows overlap so far that any passage of an item's length lies whole in one. Items are taken in blocks, so no task holds more than a block however many there are.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,12 +30,14 @@ from tidemark.session import stage
 WORD = re.compile(r"[^\W_]+")
 ITEMS = 2000  # benchmark items held at once
 PASSAGE = 48  # words a passage of the fit
-RANK, OVERSAMPLE, SEED = 32, 8, 7
+RANK, RANK_SHARE, OVERSAMPLE, SEED = 48, 0.25, 8, 7  # latent directions: so many, or this share of a block's items if that is more
 MAX_SHARE, MAX_LEAST = 0.1, 100  # words in over this share of the passages, and in over so many, carry no weight in the latent space
-COSINE = 0.6  # what most items with two words in five changed reach (tests); no window is passed over for less
+COSINE = 0.3  # of a window that may hold an item; recall is measured in the tests
+REPRESENTED = 0.35  # least share of an item's norm that the space must keep for the cosine to tell
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.6
 ANSWER_PART = 0.2  # of an item's words, at its end
-MIN_WORDS = 8  # items with fewer words say too little
+MIN_WORDS = 8  # items with fewer words count only where they stand as they are: as a sequence, or, under PHRASE words, as a whole text
+PHRASE = 3
 CLASS_RATIO = 1.5  # item lengths that share a window
 SEGMENT = 48_000  # words worked on at a time, a whole number of passages
 
@@ -51,6 +55,7 @@ class Block:
     vocabulary: dict[str, int]
     weighted: np.ndarray | None = None  # a row per word: its inverse document frequency times its latent direction
     vectors: np.ndarray | None = None  # a unit row per item
+    gated: np.ndarray | None = None  # items that the latent space represents well
 
 
 def block_of(rows: list[tuple]) -> Block:
@@ -58,7 +63,7 @@ def block_of(rows: list[tuple]) -> Block:
     ids, terms = [], []
     for ident, text in rows:
         w = words(text)
-        if len(w) >= MIN_WORDS:
+        if w:
             ids.append(ident)
             terms.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int32))
     return Block(ids, terms, vocabulary)
@@ -145,10 +150,10 @@ def _gram_product(passage: np.ndarray, term: np.ndarray, count: np.ndarray, idf:
     return out
 
 
-def _products(size: int, handle):
+def _products(size: int, rank: int, handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = handle.value
-        test = test_matrix(size).astype(np.float32)
+        test = test_matrix(size, rank).astype(np.float32)
         total = np.zeros(test.shape)
         for *_, terms in _segments(batches, size, 0, 0, PASSAGE):
             total += _gram_product(*_passages(terms, size, idf), idf, test)
@@ -157,8 +162,12 @@ def _products(size: int, handle):
     return run
 
 
-def test_matrix(size: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((size, min(size, RANK + OVERSAMPLE)))
+def rank_of(block: Block) -> int:
+    return max(RANK, math.ceil(RANK_SHARE * len(block.terms)))
+
+
+def test_matrix(size: int, rank: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((size, min(size, rank + OVERSAMPLE)))
 
 
 def leading(product: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
@@ -180,8 +189,9 @@ def fit(index: DataFrame, block: Block) -> Block:
     idf = np.log((1 + n + len(block.terms)) / (1 + df)) + 0.05
     idf[df > max(MAX_LEAST, MAX_SHARE * n)] = 0
     handle = index.sparkSession.sparkContext.broadcast(idf)  # a number a word of the block
-    product = summed(index.select("terms").mapInArrow(_products(size, handle), "sums binary"))
-    test = test_matrix(size)
+    rank = rank_of(block)
+    product = summed(index.select("terms").mapInArrow(_products(size, rank, handle), "sums binary"))
+    test = test_matrix(size, rank)
     own = np.zeros(test.shape)
     for terms in block.terms:
         t, c = np.unique(terms[idf[terms] > 0], return_counts=True)
@@ -189,15 +199,18 @@ def fit(index: DataFrame, block: Block) -> Block:
     if product is not None and product.any():
         product = product.reshape(test.shape)
         own = own / np.linalg.norm(own) + product / np.linalg.norm(product)
-    block.weighted = (leading(own, test, RANK) * idf[:, None]).astype(np.float32)
+    block.weighted = (leading(own, test, rank) * idf[:, None]).astype(np.float32)
     z = np.array([block.weighted[t].sum(axis=0) for t in block.terms])
-    block.vectors = (z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]).astype(np.float32)
+    kept = np.linalg.norm(z, axis=1)
+    block.vectors = (z / np.maximum(kept, 1e-12)[:, None]).astype(np.float32)
+    whole = np.array([np.linalg.norm(np.bincount(t, minlength=size) * idf) for t in block.terms])
+    block.gated = kept >= REPRESENTED * np.maximum(whole, 1e-12)
     return block
 
 
 def length_classes(block: Block) -> list[tuple[int, int, int, np.ndarray]]:
     """(window, stride, least item words in a window, items): items of like length share windows that hold any of their occurrences whole."""
-    order = sorted(range(len(block.terms)), key=lambda i: len(block.terms[i]))
+    order = sorted((i for i in range(len(block.terms)) if len(block.terms[i]) >= MIN_WORDS), key=lambda i: len(block.terms[i]))
     out, at = [], 0
     while at < len(order):
         least = len(block.terms[order[at]])
@@ -227,21 +240,51 @@ def _places(terms: np.ndarray) -> dict[int, int]:
     return out
 
 
+def _sequences(block: Block) -> dict[int, dict[int, list[int]]]:
+    """Short items by length and hash."""
+    out: dict[int, dict[int, list[int]]] = {}
+    for i, t in enumerate(block.terms):
+        if len(t) < MIN_WORDS:
+            out.setdefault(len(t), {}).setdefault(int(_grams(t, len(t))[0]), []).append(i)
+    return out
+
+
+def _grams(terms: np.ndarray, size: int) -> np.ndarray:
+    """A number for every run of so many words; equal runs have equal ones."""
+    out = np.zeros(max(0, len(terms) - size + 1), np.int64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = out * np.int64(1_000_003) + terms[k:len(terms) - size + 1 + k] + 2
+    return out
+
+
 def _search(handle, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = handle.value
         classes = length_classes(block)
-        gap = max(w for w, *_ in classes)
+        gap = max([MIN_WORDS, *(w for w, *_ in classes)])
         tails = [t[-max(3, int(np.ceil(len(t) * ANSWER_PART))):] for t in block.terms]
         needed = np.array([int(np.ceil(LCS_WITH_ANSWER * len(t))) for t in block.terms])
-        holds = np.zeros((len(block.terms), len(block.vocabulary)), np.int8)
-        for i, t in enumerate(block.terms):
-            holds[i, t] = 1
+        size = len(block.vocabulary)
+        holds = [np.unique(t) for t in block.terms]
         masks, tail_masks = [_places(t) for t in block.terms], [_places(t) for t in tails]
-        for rows, starts, lengths, terms in _segments(batches, len(block.vocabulary), gap, gap):
+        short = _sequences(block)
+        for rows, starts, lengths, terms in _segments(batches, size, gap, gap):
             best: dict[tuple[int, int], tuple] = {}
             item_words = terms[terms >= 0]
             before = np.r_[0, np.cumsum(terms >= 0)]
+            latent = np.zeros((len(item_words) + 1, block.weighted.shape[1]), np.float32)
+            np.cumsum(block.weighted[item_words], axis=0, out=latent[1:])
+            marked = np.zeros(size, np.int8)
+            for n, items in short.items():
+                grams = _grams(terms, n)
+                for at in np.flatnonzero(np.isin(grams, np.fromiter(items, np.int64))).tolist():
+                    for item in items[int(grams[at])]:
+                        row = int(np.searchsorted(starts, at, "right")) - 1
+                        whole = n >= PHRASE or lengths[row] == n and rows[row][-1] == 0
+                        if whole and np.array_equal(terms[at:at + n], block.terms[item]):
+                            found = (1.0, 1.0, 1.0 if block.vectors[item].any() else 0.0, -int(at - starts[row]) - rows[row][-1])
+                            best[row, item] = max(best.get((row, item), found), found)
             for width, stride, least, members in classes:
                 # Every document's windows start with it, whatever lies around it.
                 each = -(-lengths // stride)
@@ -252,12 +295,22 @@ def _search(handle, id_type: pa.DataType):
                 if not len(kept):
                     continue
                 begin, low, high, own = begin[kept], low[kept], high[kept], own[kept]
-                for item in members.tolist():
-                    # A subsequence takes no more words than the window has of the item's. That bound loses nothing, so it alone picks the windows.
-                    shared = np.r_[0, np.cumsum(holds[item][item_words], dtype=np.int32)]
-                    at_windows = np.flatnonzero(shared[high] - shared[low] >= needed[item])
+                z = latent[high] - latent[low]
+                near = z @ block.vectors[members].T >= COSINE * np.linalg.norm(z, axis=1)[:, None] - 1e-4
+                near |= ~block.gated[members]
+                for place in np.flatnonzero(near.any(axis=0)).tolist():
+                    item = int(members[place])
+                    windows = np.flatnonzero(near[:, place])
+                    marked[holds[item]] = 1
+                    # A subsequence takes no more words than the window has of the item's.
+                    if len(windows) * width < len(item_words):
+                        shared = np.array([int(marked[item_words[a:b]].sum()) for a, b in zip(low[windows].tolist(), high[windows].tolist())])
+                    else:
+                        sums = np.r_[0, np.cumsum(marked[item_words], dtype=np.int32)]
+                        shared = sums[high[windows]] - sums[low[windows]]
+                    marked[holds[item]] = 0
                     n = len(block.terms[item])
-                    for k in at_windows.tolist():
+                    for k in windows[shared >= needed[item]].tolist():
                         window = item_words[low[k]:high[k]].tolist()
                         share = common_words(masks[item], n, window) / n
                         if share < LCS_WITH_ANSWER:
@@ -265,8 +318,8 @@ def _search(handle, id_type: pa.DataType):
                         answer = common_words(tail_masks[item], len(tails[item]), window) / len(tails[item])
                         if share >= LCS_ALONE or answer >= ANSWER:
                             row = int(own[k])
-                            z = block.weighted[window].sum(axis=0)
-                            cosine = float(block.vectors[item] @ z / max(np.linalg.norm(z), 1e-12))
+                            v = block.weighted[window].sum(axis=0)
+                            cosine = float(block.vectors[item] @ v / max(np.linalg.norm(v), 1e-12))
                             found = (share, answer, cosine, -int(begin[k] - starts[row]) - rows[row][-1])
                             best[row, item] = max(best.get((row, item), found), found)
             if best:
@@ -283,7 +336,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     """(id, item id, cosine, lcs, answer, word, text_key): one row per id, text and item that the text holds, at its best passage.
 
     lcs and answer are the shares of the item's words, and of its closing words, in the passage in order; word is where its window
-    starts. Null and empty texts hold nothing; items that are null or under MIN_WORDS words match nothing; repeated rows count once;
+    starts. Null and empty texts hold nothing; items without words match nothing, those of under MIN_WORDS words only where they stand
+    as a whole sequence, those of under PHRASE words only as a whole text; repeated rows count once;
     repeated items give a row each. Ties go to the earliest passage. Empty tables give no rows; other columns are not read.
     """
     spark = docs.sparkSession
