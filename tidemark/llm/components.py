@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import stage
+from tidemark.session import discard, resting_on, stage
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -27,9 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = _smallest(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = _smallest(large)  # u is the larger end of every link here
         small = down.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        edges = stage(small.distinct(), "component-edges")
+        older, edges = edges, stage(small.distinct(), "component-edges")
+        discard(older)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return resting_on(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), edges)
         before = now

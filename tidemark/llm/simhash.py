@@ -12,11 +12,12 @@ a similarity of about 0.8 and keeps chance links away, whose number grows with t
 Fingerprints of texts at a Jaccard similarity of 0.8 differ in about 10 of 64 bits, up to 18: no mask covers that and still tells texts apart.
 With `similar` the sets of five-word shingles are compared as well: BANDS keys of ROWS minimum hashes each bring a pair at 0.8
 together but for 3 pairs in a million, and those that meet are linked if the exact similarity of their sets reaches `similar`.
-Only buckets that span several components are compared, first over a few bands and then over the rest.
+Only buckets that span several components are compared, first over a few bands and then over the rest: as stars, then as groups.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import digest
 from tidemark.llm.components import components
-from tidemark.session import stage
+from tidemark.session import discard, resting_on, stage
 
 RADIUS = 4
 SHINGLE = 4
@@ -36,6 +37,7 @@ SEED = 42
 CHECK_SHINGLE, CHECK_SEED, CHECK_RADIUS = 5, 43, 18  # 18 of 64 bits: what a Jaccard similarity of 0.8 (9.7 bits) stays within, with three deviations
 PIECE = 1 << 16  # shingles held as bits at a time
 BANDS, ROWS, FIRST = 32, 5, 4  # (1 - 0.8^5)^32 = 3e-6; the bands of the first round link most, so few buckets are left to the second
+STAR = 2000  # texts held against a centre in one task
 MARKS = 1 << 27  # places that mark the texts to be compared, 16 MB; when they fill up, more texts are read than need be
 _DRAWS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
 _TURN, _TIMES = _DRAWS[0], _DRAWS[1] | np.uint64(1)
@@ -193,14 +195,15 @@ def _with_sets(check: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sids, keys = [], []
+            sids, sizes, keys = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 hashes = shingles(text)
                 sids.append(int.from_bytes(xxhash.xxh64_digest(hashes.tobytes()), "big", signed=True))
+                sizes.append(hashes.size)
                 keys.append(bands(hashes))
             for found in prints(iter([batch])):
-                yield pa.RecordBatch.from_arrays([*found.columns, batch.column("key"), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                                                 names=[*found.schema.names, "key", "sid", "bands"])
+                yield pa.RecordBatch.from_arrays([*found.columns, batch.column("key"), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                                                 names=[*found.schema.names, "key", "sid", "size", "bands"])
 
     return run
 
@@ -227,12 +230,38 @@ def _group_links(similar: float):
     return run
 
 
+def _star_links(similar: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by star and chunk, its centre first; every other row is held against the centre alone."""
+        star, centre, centre_root = None, None, None
+        for batch in batches:
+            u, v = [], []
+            stars = zip(batch.column("star").to_pylist(), batch.column("chunk").to_pylist())
+            for name, far, root, text in zip(stars, *(batch.column(c).to_pylist() for c in ("far", "root")), batch.column("text").cast(pa.binary()).to_pylist()):
+                hashes = shingles(text)
+                if not far:
+                    star, centre, centre_root = name, hashes, root
+                elif name == star and min(hashes.size, centre.size) >= similar * max(hashes.size, centre.size):
+                    few, many = (hashes, centre) if hashes.size < centre.size else (centre, hashes)
+                    at = np.minimum(np.searchsorted(many, few), many.size - 1)
+                    common = int((many[at] == few).sum()) if many.size else 0
+                    if common >= similar * (few.size + many.size - common):
+                        u.append(centre_root)
+                        v.append(root)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
 def _marked(handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = handle.value
         for batch in batches:
             place = batch.column("place").to_numpy(zero_copy_only=False) - 1
-            yield batch.filter(pa.array((marks[place >> 3] >> (place & 7)) & 1 == 1)).select(["key", "text"])
+            found = batch.filter(pa.array((marks[place >> 3] >> (place & 7)) & 1 == 1)).select(["key", "text"])
+            # Copies within a batch go out once.
+            first = {k: i for i, k in reversed(list(enumerate(found.column("key").to_pylist())))}
+            yield found.take(pa.array(sorted(first.values()), pa.int64()))
 
     return run
 
@@ -241,29 +270,69 @@ def _place(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(MARKS)) + 1
 
 
-def _similar_roots(docs: DataFrame, nodes: DataFrame, similar: float, text_column: str) -> DataFrame:
-    """nodes: (node, key, bands, root), one row per fingerprint and set of shingles, key the digest of one of its texts. Gives them with the roots of joined components."""
+def _with_texts(docs: DataFrame, wanted: DataFrame, text_column: str) -> DataFrame:
+    """wanted rows, each with the text of its `key`. Only texts that may be wanted are moved, each once."""
     spark = docs.sparkSession
+    parts = wanted.select(_place("key").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()  # 4,096 rows at most
+    marks = np.zeros(MARKS >> 3, np.uint8)
+    for r in parts:
+        marks[(r["b"] - 1) << 12:r["b"] << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    texts = docs.select(digest(F.col(text_column)).alias("key"), F.col(text_column).alias("text")).withColumn("place", _place("key"))
+    texts = texts.mapInArrow(_marked(spark.sparkContext.broadcast(marks)), "key binary, text string").dropDuplicates(["key"])
+    return wanted.join(texts, "key")
+
+
+def _joined(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """nodes with the roots that the links (u, v) between their roots give."""
+    links = stage(found.distinct(), "similar-links")
+    if links.isEmpty():
+        discard(links)
+        return nodes
+    stars = components(links)
+    joined = stars.select(F.col("node").alias("root"), F.col("root").alias("__root"))
+    out = stage(nodes.join(joined, "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root"), "similar-nodes")
+    discard(links, nodes, stars)
+    return out
+
+
+def _similar_roots(docs: DataFrame, nodes: DataFrame, similar: float, text_column: str) -> DataFrame:
+    """nodes: (node, key, bands, root), one row per fingerprint and set of shingles, key the digest of one of its texts. Gives them with the roots of joined components.
+
+    Every bucket that spans several components is a star first: its least node is its centre, and the others are held against that one. A node's text goes
+    to a centre once, however many buckets they share, and a star of any size is split, the centre going along. Buckets that still span several
+    components, whose texts are less alike, are then compared as groups.
+    """
     for first, count in ((1, FIRST), (FIRST + 1, BANDS - FIRST)):
-        dealt = nodes.select("node", "root", F.posexplode(F.slice("bands", first, count)).alias("band", "bucket"))
-        spans = dealt.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"),
-                                                    F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
-        # Buckets of the same members are compared once.
-        spans = spans.where("low != high").select("band", "bucket", F.xxhash64("n", "x", "s").alias("group"))
-        members = stage(dealt.join(spans, ["band", "bucket"]).select("group", "node", "root").distinct(), "similar-members")
-        wanted = stage(members.select("node").distinct().join(nodes.select("node", "key"), "node"), "similar-wanted")
-        parts = wanted.select(_place("key").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()  # 4,096 rows at most
-        if not parts:
-            continue
-        marks = np.zeros(MARKS >> 3, np.uint8)
-        for r in parts:
-            marks[(r["b"] - 1) << 12:r["b"] << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
-        texts = docs.select(digest(F.col(text_column)).alias("key"), F.col(text_column).alias("text")).withColumn("place", _place("key"))
-        texts = texts.mapInArrow(_marked(spark.sparkContext.broadcast(marks)), "key binary, text string").join(wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
-        groups = members.join(texts, "node").select("group", "root", "text").repartition("group").sortWithinPartitions("group")
-        joined = components(groups.mapInArrow(_group_links(similar), "u long, v long").distinct())
-        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("__root"))
-        nodes = stage(nodes.join(joined, "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root"), "similar-nodes")
+        dealt = nodes.select("node", "root", "size", F.explode(F.slice("bands", first, count)).alias("bucket"))
+        spans = dealt.groupBy("bucket").agg(F.min(F.struct("node", "root", "size")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        pairs = dealt.join(spans.select("bucket", F.col("c.node").alias("star"), F.col("c.root").alias("centre"), F.col("c.size").alias("most")), "bucket").where("root != centre")
+        pairs = pairs.where(F.least("size", "most") >= (similar - 1e-9) * F.greatest("size", "most"))
+        pairs = stage(pairs.select("star", "centre", "node", "root").distinct(), "similar-pairs")
+        sizes = pairs.groupBy("star", "centre").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("chunks"))
+        far = pairs.join(sizes, ["star", "centre"]).select("star", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.lit(True).alias("far"), "node", "root")
+        near = sizes.select("star", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("far"), F.col("star").alias("node"), F.col("centre").alias("root"))
+        members = stage(far.unionByName(near).join(nodes.select("node", "key"), "node"), "similar-members")
+        if not members.isEmpty():
+            rows = _with_texts(docs, members, text_column).select("star", "chunk", "far", "root", "text")
+            rows = rows.repartition("star", "chunk").sortWithinPartitions("star", "chunk", "far")
+            nodes = _joined(nodes, rows.mapInArrow(_star_links(similar), "u long, v long"))
+        discard(pairs, members)
+    dealt = nodes.select("node", "root", "size", F.explode("bands").alias("bucket"))
+    spans = dealt.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    # Sets that are alike enough are so in size: they share one of two neighbouring classes. A bucket of two has been compared, as a star.
+    size_class = F.floor(F.log("size") / math.log(1.0001 / similar))
+    dealt = dealt.join(spans.where("low != high and n > 2").select("bucket"), "bucket")
+    dealt = dealt.select("node", "root", F.explode(F.array(F.xxhash64("bucket", size_class), F.xxhash64("bucket", size_class + 1))).alias("bucket"))
+    spans = dealt.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"),
+                                        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s"))
+    # Buckets of the same members are compared once.
+    spans = spans.where("low != high").select("bucket", F.xxhash64("n", "x", "s").alias("group"))
+    members = dealt.join(spans, "bucket").select("group", "node", "root").distinct().join(nodes.select("node", "key"), "node")
+    members = stage(members, "similar-members")
+    if not members.isEmpty():
+        groups = _with_texts(docs, members, text_column).select("group", "root", "text").repartition("group").sortWithinPartitions("group")
+        nodes = _joined(nodes, groups.mapInArrow(_group_links(similar), "u long, v long"))
+    discard(members)
     return nodes
 
 
@@ -287,14 +356,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, check: bool = False,
         nodes = rows.groupBy(*names).agg(F.min("id").alias("least"))
     else:
         names = [*names, "sid"]
-        rows = stage(rows.mapInArrow(_with_sets(check), schema + ", key binary, sid long, bands array<long>"), "simhash-rows")
-        nodes = rows.groupBy(*names).agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("bands").alias("bands"))
-    nodes = stage(nodes.withColumn("node", _node("", check)), "simhash-nodes")
-    prints = nodes.select(*(n for n in names if n != "sid"))
-    nodes = nodes.join(components(links(prints if similar is None else prints.distinct(), radius, check)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = stage(rows.mapInArrow(_with_sets(check), schema + ", key binary, sid long, size int, bands array<long>"), "simhash-rows")
+        nodes = rows.groupBy(*names).agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    prints = stage(nodes.withColumn("node", _node("", check)), "simhash-nodes")
+    distinct = prints.select(*(n for n in names if n != "sid"))
+    stars = components(links(distinct if similar is None else distinct.distinct(), radius, check))
+    nodes = prints.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if similar is not None:
-        nodes = _similar_roots(docs, stage(nodes.withColumn("node", F.xxhash64(*names)), "simhash-roots"), similar, text_column)
+        nodes = stage(nodes.withColumn("node", F.xxhash64(*names)), "simhash-roots")
+        discard(prints, stars)
+        nodes = _similar_roots(docs, nodes, similar, text_column)
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     found = stage(nodes.join(least, "root").select(*names, "component_id"), "simhash-components")
+    discard(nodes, prints, stars)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(found, names).select(F.col("id").alias(id_column), hexed.alias("fingerprint"), "component_id")
+    return resting_on(rows.join(found, names).select(F.col("id").alias(id_column), hexed.alias("fingerprint"), "component_id"), rows, found)
