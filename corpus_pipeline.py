@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, packing, secrets, simhash
 from tidemark.llm.common import table
-from tidemark.session import fresh_path, stage
+from tidemark.session import discard, fresh_path, stage
 
 SIMILAR = 0.8  # Jaccard similarity of five-word shingles from which near copies link
 
@@ -26,8 +26,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts link within op9's four bits, or at SIMILAR whatever their fingerprints. Rows without an id can't stand for a group; of those, one of each equal text stays.
     """
-    groups = simhash.near_duplicates(docs, similar=SIMILAR).where(F.col("component_id").isNotNull()).groupBy(F.col("component_id").alias("__keep"))
+    found = simhash.near_duplicates(docs, similar=SIMILAR)
+    groups = found.where(F.col("component_id").isNotNull()).groupBy(F.col("component_id").alias("__keep"))
     kept = stage(groups.agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("__times")), "pipeline-representatives")
+    discard(found)
     single = docs.join(kept.where("__times = 1"), F.col("doc_id") == F.col("__keep"), "left_semi")
     # Ids are unique but for repeated rows; only those and rows without an id are compared as wholes.
     again = docs.join(kept.where("__times > 1"), F.col("doc_id") == F.col("__keep")).groupBy("__keep")
