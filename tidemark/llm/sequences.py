@@ -16,6 +16,7 @@ import heapq
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,7 +36,10 @@ PER_CHUNK = 50_000  # ranked together
 CACHE = 1_000_000  # words whose ids a worker keeps
 LONG_WORD = 64  # longer words are not kept
 
-# Characters that are their own normal form and not white space beyond ASCII's, and the vocabulary's special tokens.
+# The vocabulary's pattern for such texts, the characters that are their own normal form and not white space beyond ASCII's, and the special tokens.
+LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+NUMBER = "0-9²³¹¼½¾"
+PART = re.compile(f"[{LETTER}]+|[{NUMBER}]|'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|[^\\s{LETTER}{NUMBER}]+")
 PLAIN = re.compile("[\t-\r -~¡-ĩı-ɏ‐-‧‰-⁞₠-₿]*")
 SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
@@ -51,17 +55,19 @@ def tokenizer(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
-_KEPT: dict[str, bytes] = {}
+_KEPT: dict[str, bytes] = {}  # by word as it stands
+_PARTS: dict[str, bytes] = {}  # by part of a word in lower case
 
 
 def _library_ids(texts: list[str], name: str) -> list[bytes]:
-    return [np.array(e.ids, np.uint32).tobytes() for e in tokenizer(name).encode_batch(texts, add_special_tokens=False)]
+    return [array("I", e.ids).tobytes() for e in tokenizer(name).encode_batch(texts, add_special_tokens=False)]
 
 
 def token_ids(texts: list[str | None], name: str = VOCABULARY) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
-    No token crosses white space, so the library is asked once for each new word, and for whole texts where normalising could move word ends.
+    No token crosses the parts that the vocabulary's pattern cuts, so the library is asked once for each new part, and for whole texts where
+    normalising could move the cuts.
     """
     texts = [t or "" for t in texts]
     out: list[bytes | None] = [None] * len(texts)
@@ -76,8 +82,18 @@ def token_ids(texts: list[str | None], name: str = VOCABULARY) -> list[bytes]:
                     out[i] = b"".join(map(ids, words))
                 except KeyError:
                     later.append((i, words))
-        more = list(set().union(*(words for _, words in later)).difference(_KEPT))
-        _KEPT.update(zip(more, _library_ids(more, name)))
+        if len(_PARTS) > CACHE:
+            _PARTS.clear()
+        more = set().union(*(words for _, words in later)).difference(_KEPT)
+        cut = [PART.findall(w) for w in more]
+        lower = [[x.lower() for x in parts] for parts in cut]
+        new = list(set().union(*lower).difference(_PARTS))
+        _PARTS.update(zip(new, _library_ids(new, name)))
+        part_ids = _PARTS.__getitem__
+        _KEPT.update(zip(more, [b"".join(map(part_ids, parts)) for parts in lower]))
+        for x in new:
+            if len(x) > LONG_WORD:
+                del _PARTS[x]
         for i, words in later:
             out[i] = b"".join(map(ids, words))
         for w in more:
