@@ -20,14 +20,14 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
 
 
-def positioned(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Add _before (rows with a smaller value), _sum_before (their sum) and _total (rows of the group)."""
+def positioned(counts: DataFrame, keys: list[str], value: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Add _before (rows with a smaller value), _sum_before (their sum) and _total (rows of the group); `carried` columns stay."""
     grid = F.array(*[F.lit((i + 1) / SPLITS) for i in range(SPLITS - 1)])
     splits = counts.groupBy(*keys).agg(
         F.percentile_approx(value, grid, 1000).alias("_splits"), F.sum("_count").alias("_total"))
     on = _same_keys(keys)
     tagged = counts.alias("l").join(splits.alias("r"), on, "inner").select(
-        *[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{value}").alias(value), "_count", "_total",
+        *[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{value}").alias(value), "_count", "_total", *carried,
         F.size(F.filter("_splits", lambda s: s < F.col(f"l.{value}"))).alias("_range"))
     weighted = F.col("_count") * F.col(value)
     sizes = tagged.groupBy(*keys, "_range").agg(F.sum("_count").alias("_rows"), F.sum(weighted).alias("_mass"))
@@ -38,7 +38,7 @@ def positioned(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     local = tagged.withColumns({"_local": F.coalesce(F.sum("_count").over(inside), F.lit(0)),
                                 "_mass_local": F.coalesce(F.sum(weighted).over(inside), F.lit(0))})
     joined = local.alias("l").join(offsets.alias("r"), on & (F.col("l._range") == F.col("r._range")), "inner")
-    return joined.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{value}").alias(value), "_count",
+    return joined.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{value}").alias(value), "_count", *carried,
                          "_total", (F.col("_offset") + F.col("_local")).alias("_before"),
                          (F.col("_mass_offset") + F.col("_mass_local")).alias("_sum_before"))
 

@@ -77,16 +77,27 @@ def cell_table(long: DataFrame, cell: Sequence[str], issuer: str = "ticker") ->
     return (by_issuer.join(by_date, list(cell)).withColumn("pearson", correlation()).withColumnRenamed("n", "rows"))
 
 
+FEW_VALUES = 100_000  # ranks of x that may be sent to every task
+
+
 def spearman(long: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """Rank correlation per cell with average ranks for ties."""
+    """Rank correlation per cell with average ranks for ties.
+
+    Rows are counted by (cell, x, y) once. The ranks of y meet, per value of y, the sum of the ranks of x there, so y is ranked without a join of ranks
+    to rows. The ranks of x are joined to the counts; where x has few values, as flags have, they are few enough to be sent along.
+    """
     keys = list(cell)
-    ranks_x = ordering.average_ranks(long, keys, "x", "rx")
-    ranks_y = ordering.average_ranks(long, keys, "y", "ry")
-    pairs = long.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("c"))
-    ranked = pairs.join(ranks_x, [*keys, "x"]).join(ranks_y, [*keys, "y"])
-    c, a, b = F.col("c"), F.col("rx"), F.col("ry")
-    sums = ranked.groupBy(*keys).agg(F.sum(c).alias("n"), F.sum(c * a).alias("sx"), F.sum(c * b).alias("sy"),
-                                     F.sum(c * a * a).alias("sxx"), F.sum(c * b * b).alias("syy"), F.sum(c * a * b).alias("sxy"))
+    pairs = stage(long.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("c")), "rank-pairs")
+    values = stage(pairs.groupBy(*keys, "x").agg(F.sum("c").alias("_count")), "rank-values")
+    ranks_x = stage(ordering.positioned(values, keys, "x").select(*keys, "x", (F.col("_before") + (F.col("_count") + 1) / 2.0).alias("rx")), "ranks-x")
+    if ranks_x.count() <= FEW_VALUES:
+        ranks_x = F.broadcast(ranks_x)
+    c, a, b = F.col("c"), F.col("rx"), F.col("_before") + (F.col("_count") + 1) / 2.0
+    met = pairs.join(ranks_x, [*keys, "x"]).groupBy(*keys, "y").agg(F.sum(c).alias("_count"), F.sum(c * a).alias("_x"), F.sum(c * a * a).alias("_xx"))
+    placed = ordering.positioned(met, keys, "y", ("_x", "_xx"))
+    n = F.col("_count")
+    sums = placed.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum("_x").alias("sx"), F.sum(n * b).alias("sy"), F.sum("_xx").alias("sxx"),
+                                     F.sum(n * b * b).alias("syy"), F.sum(F.col("_x") * b).alias("sxy"))
     return sums.select(*keys, correlation().alias("spearman"))
 
 

@@ -72,86 +72,6 @@ def implied_measures(spot: Column, strike: Column, dte: Column, call: Column, pu
             ratio(call - put, premium).alias("asymmetry"), (ratio(strike, spot) - 1).alias("moneyness")]
 
 
-def fees(stock: Column, option: Column, costs: Column, has_option: Column) -> Column:
-    return costs * (100 * stock * STOCK_FRICTION + F.when(has_option, 100 * option * OPTION_FRICTION + OPTION_FEE).otherwise(0.0))
-
-
-def holding_paths(records: DataFrame, marks: DataFrame, actions: DataFrame, retries: int = RETRIES) -> DataFrame:
-    """One row per record and session from entry to the last retry, with marks and actions of that session.
-
-    A record expands to horizon + retries + 1 rows and no more.
-    """
-    last = F.col("entry_session") + F.col("horizon") + retries
-    rows = records.withColumn("session", F.explode(F.sequence(F.col("entry_session"), last)))
-    return rows.join(marks, ["ticker", "session"]).join(actions, ["ticker", "session"], "left")
-
-
-def settle(paths: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Earliest settlement of every record: (session, priority) decides among the candidate rules.
-
-    Order inside a session: unsupported action, early assignment, expiry, scheduled exit.
-    """
-    w = W.partitionBy(*key).orderBy("session")
-    rows = paths.withColumns({"prev_stock": F.lag("stock").over(w), "prev_option": F.lag("option").over(w), "prev_date": F.lag("date").over(w)})
-    after = F.col("session") > F.col("entry_session")
-    option = ~F.col("stock_only")
-    target = F.col("entry_session") + F.col("horizon")
-    assigned = (option & (F.col("sign") == -1) & (F.col("style") == "american") & (F.col("cash") > 0) & (F.col("declared") <= F.col("prev_date"))
-                & (F.col("prev_stock") > F.col("strike")) & (F.col("prev_option") - (F.col("prev_stock") - F.col("strike")) < F.col("cash")))
-    expired = option & (F.col("session") >= F.col("expiry_session"))
-    in_money = F.when(F.col("sign") == -1, F.col("stock") > F.col("strike")).otherwise(F.col("stock") < F.col("strike"))
-    traded = F.col("stock").isNotNull() & (F.col("stock_only") | F.col("option").isNotNull())
-    rule = (F.when(F.col("unsupported"), F.struct(F.lit(0).alias("p"), F.lit("unsupported_dividend_cashflow").alias("why"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("o")))
-            .when(assigned, F.struct(F.lit(1).alias("p"), F.lit("modelled_early_assignment").alias("why"), F.col("strike").alias("s"), F.lit(0.0).alias("o")))
-            .when(expired & F.col("stock").isNull(), F.struct(F.lit(2).alias("p"), F.lit("missing_expiry_stock").alias("why"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("o")))
-            .when(expired, F.struct(F.lit(2).alias("p"), F.when(in_money, "modelled_physical_expiry").otherwise("expiry_worthless").alias("why"), F.when(in_money, F.col("strike")).otherwise(F.col("stock")).alias("s"), F.lit(0.0).alias("o")))
-            .when((F.col("session") >= target) & traded, F.struct(F.lit(3).alias("p"), F.lit("scheduled_exit").alias("why"), F.col("stock").alias("s"), F.when(F.col("stock_only"), 0.0).otherwise(F.col("option")).alias("o"))))
-    found = rows.withColumn("rule", F.when(after, rule))
-    first = found.groupBy(*key).agg(F.min(F.when(F.col("rule").isNotNull(), F.struct("session", "rule.p", "rule.why", "rule.s", "rule.o"))).alias("x"))
-    return first.select(*key, F.col("x.session").alias("exit_session"), F.coalesce("x.why", F.lit("unfilled_exit_after_retries")).alias("exit_reason"),
-                        F.col("x.s").alias("stock_exit"), F.col("x.o").alias("option_exit"))
-
-
-def outcomes(records: DataFrame, paths: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Status, profit parts, net return and downside of every record."""
-    settled = settle(paths, key)
-    joined = records.join(settled, list(key), "left")
-    costs, option = F.col("cost_multiplier"), ~F.col("stock_only")
-    opening = fees(F.col("stock_entry"), F.col("option_entry"), costs, option)
-    closing = fees(F.col("stock_exit"), F.col("option_exit"), costs, option)
-    ends = settled.select(*key, "exit_session", "exit_reason")
-    walk = paths.join(ends, list(key))
-    held = F.col("session").between(F.col("entry_session") + 1, F.col("exit_session")) & ~((F.col("exit_reason") == "modelled_early_assignment") & (F.col("session") == F.col("exit_session")))
-    w = W.partitionBy(*key).orderBy("session")
-    cash = F.sum(F.when(F.col("session") > F.col("entry_session"), 100 * F.coalesce(F.col("cash"), F.lit(0.0))).otherwise(0.0)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    s = F.coalesce(F.col("stock"), F.lag("stock").over(w))
-    o = F.when(F.col("stock_only"), 0.0).otherwise(F.coalesce(F.col("option"), F.lag("option").over(w)))
-    sign = F.when(F.col("stock_only"), 0).otherwise(F.col("sign"))
-    marked = walk.withColumns({"ms": s, "mo": o, "accrued": cash})
-    value = 100 * (F.col("ms") - F.col("stock_entry")) + sign * 100 * (F.col("mo") - F.col("option_entry")) + F.col("accrued") - fees(
-        F.col("stock_entry"), F.col("option_entry"), costs, option) - fees(F.col("ms"), F.col("mo"), costs, option)
-    inside = F.col("session") < F.col("exit_session")
-    path = marked.groupBy(*key).agg(F.sum(F.when(held, 100 * F.coalesce(F.col("cash"), F.lit(0.0))).otherwise(0.0)).alias("dividends"),
-                                    F.min(F.when(inside, value / (100 * F.col("stock_entry")))).alias("lowest"),
-                                    F.count_if(inside & (F.col("ms").isNull() | F.col("mo").isNull())).alias("mark_gaps"))
-    out = joined.join(path, list(key), "left")
-    done = F.col("stock_exit").isNotNull()
-    status = F.when(F.col("ineligible").isNotNull(), F.col("ineligible")).when(done, "completed").otherwise("initiated_unresolved")
-    stock_pnl = 100 * (F.col("stock_exit") - F.col("stock_entry"))
-    option_pnl = F.when(F.col("stock_only"), 0.0).otherwise(F.col("sign") * 100 * (F.col("option_exit") - F.col("option_entry")))
-    net = stock_pnl + option_pnl + F.col("dividends") - opening - closing
-    target = F.col("entry_session") + F.col("horizon")
-    early = (F.col("exit_session") < target) & (F.col("exit_reason") == "modelled_early_assignment")
-    final = out.withColumn("status", status).withColumns({
-        "stock_pnl": F.when(F.col("status") == "completed", stock_pnl), "option_pnl": F.when(F.col("status") == "completed", option_pnl),
-        "net_pnl": F.when(F.col("status") == "completed", net)})
-    final = final.withColumn("net_return", F.col("net_pnl") / (100 * F.col("stock_entry")))
-    return final.withColumns({
-        "path_complete": F.coalesce((F.col("status") == "completed") & (F.col("mark_gaps") == 0), F.lit(False)),
-        "evaluation_aligned": F.coalesce((F.col("status") == "completed") & ((F.col("exit_session") == target) | early), F.lit(False))}).withColumn(
-        "downside_loss", F.when(F.col("path_complete"), F.greatest(F.lit(0.0), -F.least("lowest", "net_return"))))
-
-
 def net_value(positions: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Daily value of a fixed position table: running cash plus quantity times mark; a held but unmarked day is NULL."""
     w = W.partitionBy(*keys).orderBy("session").rowsBetween(W.unboundedPreceding, 0)

@@ -13,6 +13,7 @@ from tidemark.operators import joins as J
 from tidemark.operators import options as O
 from tidemark.operators import panel as P
 from tidemark.operators import series as Z
+from tidemark.operators import settlement as S
 from tidemark.plans.association import trades
 from tidemark.plans.basics import option_dense
 from tidemark.plans.events import MAX_AGE, asof_quotes, dividend_days, features, labelled, matched
@@ -237,7 +238,10 @@ def a29(spark, folder):
 # ---------------------------------------------------------------- holding-period outcomes
 
 HORIZON = 10
-view("actions", "dividends sessions", """SELECT v.ticker, s.session, sum(CASE WHEN currency = 'USD' THEN cash END) AS cash, max(declared) AS declared, bool_or(currency <> 'USD') AS unsupported FROM dividends v ASOF JOIN sessions s ON v.ex_date <= s.date GROUP BY 1, 2""")
+view("dividend_rows", "dividends sessions", """SELECT v.ticker, s.session, v.accession, v.declared, p.date AS previous_date, v.cash, v.currency FROM dividends v ASOF JOIN sessions s ON v.ex_date <= s.date LEFT JOIN sessions p ON p.session = s.session - 1""")
+view("split_days", "splits sessions", """SELECT v.ticker, s.session, product(CASE WHEN split_to > 0 AND split_from > 0 THEN split_to::DOUBLE / split_from ELSE 1 END) AS factor, bool_and(split_to > 0 AND split_from > 0) AS ratio_known FROM splits v ASOF JOIN sessions s ON v.execution_date <= s.date GROUP BY 1, 2""")
+view("actions", "dividend_rows split_days", """SELECT coalesce(c.ticker, f.ticker) AS ticker, coalesce(c.session, f.session) AS session, c.cash, coalesce(c.unsupported, false) AS unsupported, f.factor, f.ratio_known
+    FROM (SELECT ticker, session, sum(CASE WHEN currency = 'USD' THEN cash END) AS cash, bool_or(currency <> 'USD') AS unsupported FROM dividend_rows GROUP BY 1, 2) c FULL JOIN split_days f ON f.ticker = c.ticker AND f.session = c.session""")
 view("records", "option_anchors standard option_dense sessions", f"""WITH x AS (SELECT *, 'covered_call' AS shape, -1 AS sign FROM ({_leg_sql('call', 1.02, 0.25)}) UNION ALL SELECT *, 'protective_put', 1 FROM ({_leg_sql('put', 0.98, 0.25)}))
     SELECT x.ticker, x.pair_session, x.role, x.shape, h.stock_only, x.sign, x.session + 1 AS entry_session, {HORIZON} AS horizon, x.strike, x.style, x.dte, (SELECT max(session) FROM sessions s WHERE s.date <= x.expiry) AS expiry_session, 1 AS cost_multiplier,
       d.date AS decision_date, e.stock AS stock_entry, CASE x.shape WHEN 'covered_call' THEN e.call ELSE e.put END AS option_entry, (CASE x.shape WHEN 'covered_call' THEN d.call ELSE d.put END) / d.stock AS premium_ratio, CASE x.shape WHEN 'covered_call' THEN x.strike / d.stock - 1 ELSE 1 - x.strike / d.stock END AS achieved_otm,
@@ -249,8 +253,12 @@ _RK = ", ".join(RKEY)
 
 
 def actions(spark, folder):
-    rows = P.align_forward(T.dividends(spark, folder), sessions(spark, folder), "ex_date").where("session is not null")
-    return rows.groupBy("ticker", "session").agg(F.sum(F.when(F.col("currency") == "USD", F.col("cash"))).alias("cash"), F.max("declared").alias("declared"), F.bool_or(F.col("currency") != "USD").alias("unsupported"))
+    """Dividends and splits by the session on or after their day, with the date of the session before."""
+    days = sessions(spark, folder)
+    before = days.select((F.col("session") + 1).alias("session"), F.col("date").alias("previous_date"))
+    paid = P.align_forward(T.dividends(spark, folder), days, "ex_date").where("session is not null").join(F.broadcast(before), "session", "left")
+    split = P.align_forward(T.splits(spark, folder), days, "execution_date").where("session is not null")
+    return S.action_days(paid, split)
 
 
 def records(spark, folder):
@@ -277,50 +285,60 @@ def records(spark, folder):
     return snapshot(spark, folder, "outcome-records", build)
 
 
-view("paths", "records option_dense actions", f"""SELECT r.*, o.session, o.date, o.stock, CASE r.shape WHEN 'covered_call' THEN o.call ELSE o.put END AS "option", a.cash, a.declared, coalesce(a.unsupported, false) AS unsupported FROM records r
+view("paths", "records option_dense actions", f"""SELECT r.*, o.session, o.date, o.stock, CASE r.shape WHEN 'covered_call' THEN o.call ELSE o.put END AS "option", a.cash, coalesce(a.unsupported, false) AS unsupported, a.factor, a.ratio_known FROM records r
     JOIN option_dense o ON o.ticker = r.ticker AND o.session BETWEEN r.entry_session AND r.entry_session + r.horizon + 5 LEFT JOIN actions a ON a.ticker = o.ticker AND a.session = o.session WHERE r.ineligible IS NULL""")
 
 
-def paths(spark, folder):
+def settled(spark, folder):
     def build(s, f):
-        marks = option_dense(s, f).select("ticker", "session", "date", "stock", "call", "put")
-        rows = O.holding_paths(records(s, f).where("ineligible is null"), marks, actions(s, f))
-        return rows.withColumns({"option": F.when(F.col("shape") == "covered_call", F.col("call")).otherwise(F.col("put")), "unsupported": F.coalesce("unsupported", F.lit(False))}).drop("call", "put")
-    return snapshot(spark, folder, "holding-paths", build)
+        marks = option_dense(s, f).select("ticker", "session", "stock", "call", "put")
+        rows = S.paths(records(s, f).where("ineligible is null"), marks, actions(s, f))
+        rows = rows.withColumn("option", F.when(F.col("shape") == "covered_call", F.col("call")).otherwise(F.col("put"))).drop("call", "put")
+        return S.settle(rows, RKEY)
+    return snapshot(spark, folder, "settled-records", build)
 
 
 _ITM = "(CASE WHEN sign = -1 THEN stock > strike ELSE stock < strike END)"
-view("candidates", "paths", f"""WITH p AS (SELECT *, lag(stock) OVER w AS prev_stock, lag("option") OVER w AS prev_option, lag(date) OVER w AS prev_date FROM paths WINDOW w AS (PARTITION BY {_RK} ORDER BY session))
-    SELECT {_RK}, session, 0 AS priority, 'unsupported_dividend_cashflow' AS why, NULL::DOUBLE AS s, NULL::DOUBLE AS o FROM p WHERE session > entry_session AND unsupported
-    UNION ALL SELECT {_RK}, session, 1, 'modelled_early_assignment', strike, 0 FROM p WHERE session > entry_session AND NOT stock_only AND sign = -1 AND style = 'american' AND cash > 0 AND declared <= prev_date AND prev_stock > strike AND prev_option - (prev_stock - strike) < cash
-    UNION ALL SELECT {_RK}, session, 2, CASE WHEN stock IS NULL THEN 'missing_expiry_stock' WHEN {_ITM} THEN 'modelled_physical_expiry' ELSE 'expiry_worthless' END, CASE WHEN stock IS NULL THEN NULL WHEN {_ITM} THEN strike ELSE stock END, CASE WHEN stock IS NOT NULL THEN 0 END FROM p WHERE session > entry_session AND NOT stock_only AND session >= expiry_session
-    UNION ALL SELECT {_RK}, session, 3, 'scheduled_exit', stock, CASE WHEN stock_only THEN 0 ELSE "option" END FROM p WHERE session >= entry_session + horizon AND stock IS NOT NULL AND (stock_only OR "option" IS NOT NULL)""")
-view("settled", "candidates records", f"""SELECT {', '.join('r.' + k for k in RKEY)}, x.session AS exit_session, coalesce(x.why, 'unfilled_exit_after_retries') AS exit_reason, x.s AS stock_exit, x.o AS option_exit FROM records r LEFT JOIN (
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_RK} ORDER BY session, priority) AS k FROM candidates) WHERE k = 1) x USING ({_RK}) WHERE r.ineligible IS NULL""")
-
-
-@study("l1_settlement", f"SELECT {_RK}, CAST(exit_session AS INTEGER) AS exit_session, exit_reason, stock_exit FROM settled", "settled")
+view("held_days", "paths", f"""SELECT *, lag(stock) OVER w AS prev_stock, lag("option") OVER w AS prev_option, 100 * coalesce(product(CASE WHEN session > entry_session AND ratio_known THEN factor ELSE 1 END) OVER w, 1) AS shares FROM paths WINDOW w AS (PARTITION BY {_RK} ORDER BY session)""")
+view("called", "held_days dividend_rows", f"""SELECT {_RK}, session, min(accession) AS accession FROM held_days p JOIN dividend_rows v USING (ticker, session) WHERE p.session > entry_session AND NOT stock_only AND sign = -1 AND style = 'american' AND v.declared <= v.previous_date AND prev_stock > strike
+    AND v.currency = 'USD' AND prev_option - (prev_stock - strike) < v.cash GROUP BY ALL""")
+view("candidates", "held_days called", f"""SELECT {_RK}, session, 0 AS priority, CASE WHEN NOT ratio_known THEN 'unknown_share_split_ratio' WHEN NOT stock_only THEN 'adjusted_option_deliverable_unknown' ELSE 'fractional_share_cash_in_lieu_unknown' END AS why, NULL::DOUBLE AS s, NULL::DOUBLE AS o FROM held_days
+      WHERE session > entry_session AND factor IS NOT NULL AND (NOT ratio_known OR NOT stock_only OR abs(shares - round(shares)) > 1e-9)
+    UNION ALL SELECT {_RK}, session, 1, 'unsupported_dividend_cashflow', NULL, NULL FROM held_days WHERE session > entry_session AND unsupported
+    UNION ALL SELECT {_RK}, session, 2, 'modelled_early_assignment', strike, 0 FROM held_days JOIN called USING ({_RK}, session)
+    UNION ALL SELECT {_RK}, session, 3, CASE WHEN stock IS NULL THEN 'missing_expiry_stock' WHEN {_ITM} THEN 'modelled_physical_expiry' ELSE 'expiry_worthless' END, CASE WHEN stock IS NULL THEN NULL WHEN {_ITM} THEN strike ELSE stock END, CASE WHEN stock IS NOT NULL THEN 0 END FROM held_days WHERE session > entry_session AND NOT stock_only AND session >= expiry_session
+    UNION ALL SELECT {_RK}, session, 4, 'scheduled_exit', stock, CASE WHEN stock_only THEN 0 ELSE "option" END FROM held_days WHERE session > entry_session AND session >= entry_session + horizon AND stock IS NOT NULL AND (stock_only OR "option" IS NOT NULL)""")
+view("settled", "candidates records held_days", f"""SELECT {', '.join('r.' + k for k in RKEY)}, x.session AS exit_session, coalesce(x.why, 'unfilled_exit_after_retries') AS exit_reason, x.s AS stock_exit, x.o AS option_exit, coalesce(h.shares, z.shares) AS shares_exit FROM records r LEFT JOIN (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_RK} ORDER BY session, priority) AS k FROM candidates) WHERE k = 1) x USING ({_RK}) LEFT JOIN held_days h ON {' AND '.join(f'h.{k} = r.{k}' for k in RKEY)} AND h.session = x.session
+    LEFT JOIN (SELECT {_RK}, arg_max(shares, session) AS shares FROM held_days GROUP BY ALL) z ON {' AND '.join(f'z.{k} = r.{k}' for k in RKEY)} WHERE r.ineligible IS NULL""")
+
+
+@study("l1_settlement", f"SELECT {_RK}, CAST(exit_session AS INTEGER) AS exit_session, exit_reason, stock_exit, {r('shares_exit')} AS shares_exit FROM settled", "settled")
 def l1(spark, folder):
-    return O.settle(paths(spark, folder), RKEY).select(*RKEY, "exit_session", "exit_reason", "stock_exit")
+    return settled(spark, folder).select(*RKEY, "exit_session", "exit_reason", "stock_exit", rounded("shares_exit").alias("shares_exit"))
 
 
-def fee(s: str, o: str) -> str:
-    return f"(100 * {s} * 0.0006::DOUBLE + CASE WHEN stock_only THEN 0::DOUBLE ELSE 100 * {o} * 0.05::DOUBLE + 0.65::DOUBLE END)"
+def fee(shares: str, s: str, o: str) -> str:
+    return f"({shares} * {s} * 0.0006::DOUBLE + CASE WHEN stock_only THEN 0::DOUBLE ELSE 100 * {o} * 0.05::DOUBLE + 0.65::DOUBLE END)"
 
 
-view("outcomes", "records settled paths", f"""WITH w AS (SELECT p.*, exit_session, exit_reason, coalesce(stock, lag(stock) OVER k) AS ms, CASE WHEN stock_only THEN 0 ELSE coalesce("option", lag("option") OVER k) END AS mo, sum(CASE WHEN session > entry_session THEN 100 * coalesce(cash, 0) ELSE 0 END) OVER k AS accrued
-      FROM paths p JOIN settled USING ({_RK}) WINDOW k AS (PARTITION BY {_RK} ORDER BY session)),
-    v AS (SELECT *, (100 * (ms - stock_entry) + CASE WHEN stock_only THEN 0 ELSE sign * 100 * (mo - option_entry) END + accrued - {fee('stock_entry', 'option_entry')} - {fee('ms', 'mo')}) / (100 * stock_entry) AS net FROM w),
-    g AS (SELECT {_RK}, coalesce(sum(100 * cash) FILTER (WHERE session > entry_session AND session <= exit_session AND NOT (exit_reason = 'modelled_early_assignment' AND session = exit_session)), 0) AS dividends, min(net) FILTER (WHERE session < exit_session) AS lowest, count_if(session < exit_session AND (ms IS NULL OR mo IS NULL)) AS mark_gaps FROM v GROUP BY ALL),
-    f AS (SELECT r.*, s.exit_session, s.exit_reason, CASE WHEN r.ineligible IS NOT NULL THEN r.ineligible WHEN s.stock_exit IS NOT NULL THEN 'completed' ELSE 'initiated_unresolved' END AS status, 100 * (stock_exit - stock_entry) AS stock_pnl, CASE WHEN stock_only THEN 0 ELSE sign * 100 * (option_exit - option_entry) END AS option_pnl, g.dividends, g.lowest, g.mark_gaps,
-      {fee('stock_entry', 'option_entry')} AS opening, {fee('stock_exit', 'option_exit')} AS closing FROM records r LEFT JOIN settled s USING ({_RK}) LEFT JOIN g USING ({_RK})),
+view("outcomes", "records settled held_days called dividend_rows", f"""WITH w AS (SELECT p.*, exit_session, exit_reason, coalesce(stock, lag(stock) OVER k) AS ms, CASE WHEN stock_only THEN 0 ELSE coalesce("option", lag("option") OVER k) END AS mo,
+        sum(CASE WHEN session > entry_session THEN shares * coalesce(cash, 0) ELSE 0 END) OVER k AS accrued
+      FROM held_days p JOIN settled USING ({_RK}) WINDOW k AS (PARTITION BY {_RK} ORDER BY session)),
+    v AS (SELECT *, (shares * ms - 100 * stock_entry + CASE WHEN stock_only THEN 0 ELSE sign * 100 * (mo - option_entry) END + accrued - {fee('100', 'stock_entry', 'option_entry')} - {fee('shares', 'ms', 'mo')}) / (100 * stock_entry) AS net FROM w),
+    first_paid AS (SELECT {', '.join('c.' + k for k in RKEY)}, coalesce(sum(v.cash), 0) AS paid FROM (SELECT * FROM called JOIN settled USING ({_RK}) WHERE session = exit_session AND exit_reason = 'modelled_early_assignment') c LEFT JOIN dividend_rows v ON v.ticker = c.ticker AND v.session = c.session AND v.accession < c.accession GROUP BY ALL),
+    g AS (SELECT {_RK}, coalesce(sum(shares * cash) FILTER (WHERE session > entry_session AND (exit_session IS NULL OR session < exit_session OR session = exit_session AND exit_reason NOT IN ('modelled_early_assignment', 'unknown_share_split_ratio', 'adjusted_option_deliverable_unknown', 'fractional_share_cash_in_lieu_unknown', 'unsupported_dividend_cashflow'))), 0)
+        + 100 * coalesce(any_value(paid), 0) AS dividends,
+      min(net) FILTER (WHERE exit_session IS NULL OR session < exit_session) AS lowest, count_if((exit_session IS NULL OR session < exit_session) AND (ms IS NULL OR mo IS NULL)) AS mark_gaps FROM v LEFT JOIN first_paid USING ({_RK}) GROUP BY ALL),
+    f AS (SELECT r.*, s.exit_session, s.exit_reason, s.shares_exit, CASE WHEN r.ineligible IS NOT NULL THEN r.ineligible WHEN s.stock_exit IS NOT NULL THEN 'completed' ELSE 'initiated_unresolved' END AS status, shares_exit * stock_exit - 100 * stock_entry AS stock_pnl, CASE WHEN stock_only THEN 0 ELSE sign * 100 * (option_exit - option_entry) END AS option_pnl, g.dividends, g.lowest, g.mark_gaps,
+      {fee('100', 'stock_entry', 'option_entry')} AS opening, {fee('shares_exit', 'stock_exit', 'option_exit')} AS closing FROM records r LEFT JOIN settled s USING ({_RK}) LEFT JOIN g USING ({_RK})),
     n AS (SELECT *, CASE WHEN status = 'completed' THEN stock_pnl + option_pnl + dividends - opening - closing END AS net_pnl FROM f)
     SELECT *, net_pnl / (100 * stock_entry) AS net_return, coalesce(status = 'completed' AND mark_gaps = 0, false) AS path_complete, coalesce(status = 'completed' AND (exit_session = entry_session + horizon OR (exit_session < entry_session + horizon AND exit_reason = 'modelled_early_assignment')), false) AS evaluation_aligned,
       CASE WHEN status = 'completed' AND mark_gaps = 0 THEN greatest(0::DOUBLE, -least(lowest, net_pnl / (100 * stock_entry))) END AS downside_loss FROM n""")
 
 
 def outcomes(spark, folder):
-    return snapshot(spark, folder, "outcomes", lambda s, f: O.outcomes(records(s, f), paths(s, f), RKEY))
+    return snapshot(spark, folder, "outcomes", lambda s, f: S.outcomes(records(s, f), settled(s, f), RKEY))
 
 
 @study("l2_net_return", f"SELECT {_RK}, status, {r('net_pnl', 4)} AS net_pnl, {r('net_return')} AS net_return, {r('dividends', 5)} AS dividends FROM outcomes", "outcomes")
@@ -334,8 +352,8 @@ def l3(spark, folder):
 
 
 @study("l4_quote_outcome", f"""
-SELECT {', '.join('o.' + k for k in RKEY)}, CASE WHEN o.status <> 'completed' THEN 'bar_outcome_not_completed' WHEN NOT o.evaluation_aligned OR o.exit_reason <> 'scheduled_exit' THEN 'unsupported_actual_delivery_or_exit_clock' WHEN d.ticker IS NULL OR d.reason IS NOT NULL THEN 'decision_' || coalesce(d.reason, 'missing') WHEN e.ticker IS NULL OR e.reason IS NOT NULL THEN 'entry_' || coalesce(e.reason, 'missing') WHEN x.ticker IS NULL OR x.reason IS NOT NULL THEN 'exit_' || coalesce(x.reason, 'missing') ELSE 'completed_bounded_proxy' END AS quote_status,
-  {r("CASE WHEN o.status = 'completed' AND o.evaluation_aligned AND o.exit_reason = 'scheduled_exit' AND d.ticker IS NOT NULL AND d.reason IS NULL AND e.reason IS NULL AND x.reason IS NULL THEN (100 * (x.stock_bid - e.stock_ask) + CASE WHEN stock_only THEN 0 WHEN sign = -1 THEN -100 * (x.option_ask - e.option_bid) ELSE 100 * (x.option_bid - e.option_ask) END + dividends - o.cost_multiplier * (100 * (e.stock_ask + x.stock_bid) * 0.0002::DOUBLE + CASE WHEN stock_only THEN 0 WHEN sign = -1 THEN 100 * (e.option_bid + x.option_ask) * 0.01::DOUBLE + 1.3::DOUBLE ELSE 100 * (e.option_ask + x.option_bid) * 0.01::DOUBLE + 1.3::DOUBLE END)) / (100 * e.stock_ask) END")} AS quote_net_return
+SELECT {', '.join('o.' + k for k in RKEY)}, CASE WHEN o.status <> 'completed' THEN 'bar_outcome_not_completed' WHEN NOT o.evaluation_aligned OR o.exit_reason <> 'scheduled_exit' OR o.shares_exit <> 100 THEN 'unsupported_actual_delivery_or_exit_clock' WHEN d.ticker IS NULL OR d.reason IS NOT NULL THEN 'decision_' || coalesce(d.reason, 'missing') WHEN e.ticker IS NULL OR e.reason IS NOT NULL THEN 'entry_' || coalesce(e.reason, 'missing') WHEN x.ticker IS NULL OR x.reason IS NOT NULL THEN 'exit_' || coalesce(x.reason, 'missing') ELSE 'completed_bounded_proxy' END AS quote_status,
+  {r("CASE WHEN o.status = 'completed' AND o.evaluation_aligned AND o.exit_reason = 'scheduled_exit' AND o.shares_exit = 100 AND d.ticker IS NOT NULL AND d.reason IS NULL AND e.reason IS NULL AND x.reason IS NULL THEN (100 * (x.stock_bid - e.stock_ask) + CASE WHEN stock_only THEN 0 WHEN sign = -1 THEN -100 * (x.option_ask - e.option_bid) ELSE 100 * (x.option_bid - e.option_ask) END + dividends - o.cost_multiplier * (100 * (e.stock_ask + x.stock_bid) * 0.0002::DOUBLE + CASE WHEN stock_only THEN 0 WHEN sign = -1 THEN 100 * (e.option_bid + x.option_ask) * 0.01::DOUBLE + 1.3::DOUBLE ELSE 100 * (e.option_ask + x.option_bid) * 0.01::DOUBLE + 1.3::DOUBLE END)) / (100 * e.stock_ask) END")} AS quote_net_return
 FROM outcomes o LEFT JOIN quote_pairs d ON d.ticker = o.ticker AND d.session = o.entry_session - 1 LEFT JOIN quote_pairs e ON e.ticker = o.ticker AND e.session = o.entry_session LEFT JOIN quote_pairs x ON x.ticker = o.ticker AND x.session = o.exit_session""", "outcomes quote_pairs")
 def l4(spark, folder):
     return quote_outcomes(spark, folder).select(*RKEY, "quote_status", rounded("quote_net_return").alias("quote_net_return"))
@@ -348,7 +366,7 @@ def quote_outcomes(spark, folder):
     x = q.select("ticker", F.col("session").alias("exit_session"), F.col("stock_bid").alias("s_out"), F.col("option_bid").alias("ob_out"), F.col("option_ask").alias("oa_out"), F.coalesce("reason", F.lit("")).alias("x_reason"))
     d = q.select("ticker", (F.col("session") + 1).alias("entry_session"), F.coalesce("reason", F.lit("")).alias("d_reason"))
     rows = outcomes(spark, folder).join(d, ["ticker", "entry_session"], "left").join(e, ["ticker", "entry_session"], "left").join(x, ["ticker", "exit_session"], "left")
-    reason = first_reason((F.col("status") != "completed", "bar_outcome_not_completed"), (~F.col("evaluation_aligned") | (F.col("exit_reason") != "scheduled_exit"), "unsupported_actual_delivery_or_exit_clock"))
+    reason = first_reason((F.col("status") != "completed", "bar_outcome_not_completed"), (~F.col("evaluation_aligned") | (F.col("exit_reason") != "scheduled_exit") | (F.col("shares_exit") != 100), "unsupported_actual_delivery_or_exit_clock"))
     d_bad = F.coalesce(F.col("d_reason"), F.lit("missing"))
     e_bad, x_bad = F.coalesce(F.col("e_reason"), F.lit("missing")), F.coalesce(F.col("x_reason"), F.lit("missing"))
     status = F.when(reason.isNotNull(), reason).when(d_bad != "", F.concat(F.lit("decision_"), d_bad)).when(e_bad != "", F.concat(F.lit("entry_"), e_bad)).when(x_bad != "", F.concat(F.lit("exit_"), x_bad)).otherwise("completed_bounded_proxy")

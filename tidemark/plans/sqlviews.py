@@ -102,5 +102,7 @@ view("quotes", "", """SELECT 'T' || n_regionkey AS ticker, CASE WHEN l_returnfla
       l_quantity AS bid_size, 51 - l_quantity AS ask_size
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""")
 view("dividends", "filings", """SELECT ticker, filing_date AS declared, filing_date + 10 AS ex_date, amount * 1e-5 AS cash,
-      CASE WHEN accession % 17 = 0 THEN 'CAD' ELSE 'USD' END AS currency
+      CASE WHEN accession % 17 = 0 THEN 'CAD' ELSE 'USD' END AS currency, accession
     FROM filings WHERE category = '5-LOW' AND amount > 480000""")
+view("splits", "filings", """SELECT ticker, filing_date + 20 AS execution_date, CAST(2 + accession % 2 AS INTEGER) AS split_to, CASE WHEN accession % 7 = 0 THEN 0 WHEN accession % 5 = 0 THEN 7 WHEN accession % 3 = 0 THEN 2 ELSE 1 END AS split_from
+    FROM filings WHERE category = '1-URGENT' QUALIFY row_number() OVER (PARTITION BY ticker, year(filing_date) ORDER BY amount DESC, accession DESC) = 1""")

@@ -142,11 +142,20 @@ def quotes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dividends(spark: SparkSession, folder: str) -> DataFrame:
-    """(ticker, declared, ex_date, cash, currency): large filings of the low priority class."""
+    """(ticker, declared, ex_date, cash, currency, accession): large filings of the low priority class."""
     return (filings(spark, folder).where((F.col("category") == "5-LOW") & (F.col("amount") > 480000))
             .select("ticker", F.col("filing_date").alias("declared"), F.date_add("filing_date", 10).alias("ex_date"),
                     (F.col("amount") * 1e-5).alias("cash"),
-                    F.when(F.col("accession") % 17 == 0, "CAD").otherwise("USD").alias("currency")))
+                    F.when(F.col("accession") % 17 == 0, "CAD").otherwise("USD").alias("currency"), "accession"))
+
+
+def splits(spark: SparkSession, folder: str) -> DataFrame:
+    """(ticker, execution_date, split_to, split_from): the largest urgent filing of a ticker and year; some ratios are unknown (0) or break shares."""
+    urgent = filings(spark, folder).where(F.col("category") == "1-URGENT").withColumn("year", F.year("filing_date"))
+    best = urgent.groupBy("ticker", "year").agg(F.max(F.struct("amount", "accession", "filing_date")).alias("f"))
+    number = F.col("f.accession")
+    parts = F.when(number % 7 == 0, 0).when(number % 5 == 0, 7).when(number % 3 == 0, 2).otherwise(1)
+    return best.select("ticker", F.date_add("f.filing_date", 20).alias("execution_date"), (2 + number % 2).cast("int").alias("split_to"), parts.alias("split_from"))
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
