@@ -88,3 +88,20 @@ def earlier_in_window(grid: DataFrame, first: str, second: str, window: int, key
     frame = by_session(*keys).rowsBetween(-window, -1)
     latest = F.max(F.when(F.col(first) > 0, F.col("session"))).over(frame)
     return grid.select("*", F.coalesce(F.sum(first).over(frame), F.lit(0)).alias("earlier"), latest.alias("latest_session")).where(F.col(second) > 0)
+
+
+def nearest_listed(goals: DataFrame, listed: DataFrame, keys: Sequence[str], goal: str, value: str, distance) -> DataFrame:
+    """goals plus `near`, the listed row of equal keys whose value is nearest to the goal; of equal distances the lower one, null without any.
+
+    listed has one row per (keys, value). distance(row, near) is the distance of a goal's row to a listed row's value; it must grow
+    with the difference on either side. Goals and listed values pass in one order, so no goal meets every value.
+    """
+    one = goals.select(*keys, F.col(goal).alias("_x"), F.lit(1).alias("_kind"), F.struct(*goals.columns).alias("_row"), F.lit(None).alias("_listed"))
+    two = listed.select(*keys, F.col(value).alias("_x"), F.lit(0).alias("_kind"), F.lit(None).alias("_row"), F.struct(*listed.columns).alias("_listed"))
+    both = one.unionByName(two)
+    up = W.partitionBy(*keys).orderBy("_x", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*keys).orderBy(F.col("_x").desc(), F.col("_kind").desc()).rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("_low", F.last("_listed", ignorenulls=True).over(up)).withColumn("_high", F.last("_listed", ignorenulls=True).over(down)).where("_kind = 1")
+    low, high = F.col("_low"), F.col("_high")
+    better = F.when(low.isNull(), high).when(high.isNull(), low).when(distance(F.col("_row"), high) < distance(F.col("_row"), low), high).otherwise(low)
+    return found.select("_row.*", better.alias("near"))

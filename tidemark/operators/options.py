@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import first_reason, ratio
+from tidemark.operators.joins import nearest_listed
 
 # Maturity buckets (days: lowest, highest, target), rate, shapes and their signed legs, costs.
 BUCKETS = {"short": (21, 45, 30), "middle": (46, 80, 60), "long": (90, 180, 120)}
@@ -35,26 +36,33 @@ def in_term(anchors: DataFrame, listings: DataFrame, shortest: int, longest: int
 
 
 def pair_by_bucket(anchors: DataFrame, pairs: DataFrame, key: Sequence[str]) -> DataFrame:
-    """One call/put pair per anchor and maturity bucket; an empty bucket keeps its row and reason."""
-    found = in_term(anchors, pairs, min(b[0] for b in BUCKETS.values()), max(b[1] for b in BUCKETS.values()))
+    """One call/put pair per anchor and maturity bucket; an empty bucket keeps its row and reason.
+
+    The expiry is chosen among a ticker's distinct ones, then the strike by order within that expiry.
+    """
+    expiries = pairs.select("ticker", "expiry").distinct()
+    found = in_term(anchors, expiries, min(b[0] for b in BUCKETS.values()), max(b[1] for b in BUCKETS.values()))
     bucket, target = None, None
     for name, (low, high, goal) in BUCKETS.items():
         inside = F.col("dte").between(low, high)
         bucket = F.when(inside, name) if bucket is None else bucket.when(inside, name)
         target = F.when(inside, goal) if target is None else target.when(inside, goal)
     rows = found.withColumn("bucket", bucket).withColumn("target", target).where("bucket is not null")
-    order = F.struct(F.abs(F.col("dte") - F.col("target")).alias("a"), F.col("expiry"), F.abs(F.col("strike") / F.col("spot") - 1).alias("m"), F.col("strike"))
-    best = rows.groupBy(*key, "bucket").agg(F.min_by(F.struct("expiry", "strike", "dte", "call", "put"), order).alias("p"))
+    chosen = rows.groupBy(*key, "bucket").agg(F.first("spot").alias("spot"), F.min_by(F.struct("expiry", "dte"), F.struct(F.abs(F.col("dte") - F.col("target")).alias("a"), F.col("expiry"))).alias("e"))
+    placed = nearest_listed(chosen.select(*key, "bucket", "spot", "e.*"), pairs, ["ticker", "expiry"], "spot", "strike", lambda row, near: F.abs(near["strike"] / row["spot"] - 1))
+    best = placed.select(*key, "bucket", F.struct("expiry", "near.strike", "dte", "near.call", "near.put").alias("p"))
     planned = anchors.withColumn("bucket", F.explode(F.array(*[F.lit(b) for b in BUCKETS])))
     return planned.join(best, [*key, "bucket"], "left").select(*anchors.columns, "bucket", "p.*", F.when(F.col("p").isNull(), "no_pair_in_maturity_bucket").alias("reason"))
 
 
 def nearest_leg(anchors: DataFrame, contracts: DataFrame, key: Sequence[str], side: str, moneyness: float, days: int, tolerance: float) -> DataFrame:
     """Expiry nearest to `days` first, then the strike nearest to spot * moneyness; rejected beyond the tolerance."""
-    rows = in_term(anchors, contracts.where(F.col("contract_type") == side), 7, 90)
-    goal = F.col("spot") * moneyness
-    order = F.struct(F.abs(F.col("dte") - days).alias("a"), F.col("expiry"), F.abs(F.col("strike") - goal).alias("d"), F.col("strike"), F.col("contract"))
-    best = rows.groupBy(*key).agg(F.min_by(F.struct("contract", "expiry", "strike", "dte", "style"), order).alias("p"))
+    listed = contracts.where(F.col("contract_type") == side).groupBy("ticker", "expiry", "strike").agg(F.min(F.struct("contract", "style")).alias("c")).select("ticker", "expiry", "strike", "c.*")
+    found = in_term(anchors, listed.select("ticker", "expiry").distinct(), 7, 90)
+    chosen = found.groupBy(*key).agg(F.first("spot").alias("spot"), F.min_by(F.struct("expiry", "dte"), F.struct(F.abs(F.col("dte") - days).alias("a"), F.col("expiry"))).alias("e"))
+    goals = chosen.select(*key, (F.col("spot") * moneyness).alias("goal"), "e.*")
+    placed = nearest_listed(goals, listed, ["ticker", "expiry"], "goal", "strike", lambda row, near: F.abs(near["strike"] - row["goal"]))
+    best = placed.select(*key, F.struct("near.contract", "expiry", "near.strike", "dte", "near.style").alias("p"))
     off = F.abs(F.col("p.strike") / (F.col("spot") * moneyness) - 1)
     reason = first_reason((F.col("p").isNull(), "no_contract_in_term"), (off > tolerance, "strike_outside_tolerance"))
     return anchors.join(best, list(key), "left").select(*anchors.columns, F.lit(side).alias("contract_type"), "p.*", reason.alias("reason"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ordering
 from tidemark.functions.scalars import big, first_reason, flag, ratio, rounded
+from tidemark.operators import contracts as C
 from tidemark.operators import estimators as E
 from tidemark.operators import gates as G
 from tidemark.operators import joins as J
@@ -181,34 +182,34 @@ def k9(spark, folder):
     return aged_marks(spark, folder).select("ticker", "session", *[flag(F.col(f"call_{k}").isNotNull() & F.col(f"put_{k}").isNotNull()).alias(n) for k, n in ((0, "same_session"), (1, "within_1"), (3, "within_3"))])
 
 
-view("spot_paths", "bucket_pairs option_dense", """SELECT b.ticker, b.pair_session, b.role, b.dte, g.k, o.call + o.put AS premium, CASE WHEN b.strike * exp(-0.04::DOUBLE * (b.expiry - o.date) / 365.25::DOUBLE) + o.call - o.put > 0 THEN b.strike * exp(-0.04::DOUBLE * (b.expiry - o.date) / 365.25::DOUBLE) + o.call - o.put END AS s
-    FROM bucket_pairs b CROSS JOIN generate_series(0, 10) g(k) JOIN option_dense o ON o.ticker = b.ticker AND o.session = b.session + g.k WHERE b.reason IS NULL AND b.bucket = 'long'""")
+view("spot_paths", "bucket_pairs option_dense", """SELECT b.ticker, b.pair_session, b.role, b.bucket, b.dte, g.k, o.call + o.put AS premium, CASE WHEN b.strike * exp(-0.04::DOUBLE * (b.expiry - o.date) / 365.25::DOUBLE) + o.call - o.put > 0 THEN b.strike * exp(-0.04::DOUBLE * (b.expiry - o.date) / 365.25::DOUBLE) + o.call - o.put END AS s
+    FROM bucket_pairs b CROSS JOIN generate_series(0, 10) g(k) JOIN option_dense o ON o.ticker = b.ticker AND o.session = b.session + g.k WHERE b.reason IS NULL""")
 
 
 @study("k10_premium_features", f"""
-WITH l AS (SELECT *, ln(s / lag(s) OVER (PARTITION BY ticker, pair_session, role ORDER BY k)) AS move FROM spot_paths),
-g AS (SELECT ticker, pair_session, role, any_value(dte) AS dte, max(premium) FILTER (WHERE k = 0) AS p0, max(premium) FILTER (WHERE k = 5) AS p5, max(s) FILTER (WHERE k = 0) AS s0, max(s) FILTER (WHERE k = 5) AS s5, min(s) FILTER (WHERE k <= 5) AS early, min(s) FILTER (WHERE k >= 5) AS late,
-  count(s) FILTER (WHERE k <= 5) AS n5, count(s) AS n10, sqrt(avg(move * move) FILTER (WHERE k BETWEEN 1 AND 5)) AS rms FROM l GROUP BY 1, 2, 3)
-SELECT ticker, pair_session, role, CASE WHEN n5 = 6 THEN 'measured' ELSE 'incomplete_five_session_same_contract_path' END AS status, {r('CASE WHEN n5 = 6 THEN ln(p5 / p0) END')} AS premium_log_change, {r('CASE WHEN n5 = 6 THEN s5 / s0 - 1 END')} AS synthetic_return, {r('CASE WHEN n5 = 6 THEN rms END')} AS rms,
+WITH l AS (SELECT *, ln(s / lag(s) OVER (PARTITION BY ticker, pair_session, role, bucket ORDER BY k)) AS move FROM spot_paths),
+g AS (SELECT ticker, pair_session, role, bucket, any_value(dte) AS dte, max(premium) FILTER (WHERE k = 0) AS p0, max(premium) FILTER (WHERE k = 5) AS p5, max(s) FILTER (WHERE k = 0) AS s0, max(s) FILTER (WHERE k = 5) AS s5, min(s) FILTER (WHERE k <= 5) AS early, min(s) FILTER (WHERE k >= 5) AS late,
+  count(s) FILTER (WHERE k <= 5) AS n5, count(s) AS n10, sqrt(avg(move * move) FILTER (WHERE k BETWEEN 1 AND 5)) AS rms FROM l GROUP BY 1, 2, 3, 4)
+SELECT ticker, pair_session, role, bucket, CASE WHEN n5 = 6 THEN 'measured' ELSE 'incomplete_five_session_same_contract_path' END AS status, {r('CASE WHEN n5 = 6 THEN ln(p5 / p0) END')} AS premium_log_change, {r('CASE WHEN n5 = 6 THEN s5 / s0 - 1 END')} AS synthetic_return, {r('CASE WHEN n5 = 6 THEN rms END')} AS rms,
   {r('CASE WHEN n5 = 6 THEN greatest(0::DOUBLE, 1 - early / s0) END')} AS early_downside, {r('CASE WHEN n10 = 11 THEN greatest(0::DOUBLE, 1 - late / s5) END')} AS late_downside,
   {r('CASE WHEN n10 = 11 THEN (greatest(0::DOUBLE, 1 - early / s0) - greatest(0::DOUBLE, 1 - late / s5)) / (p0 / s0 / sqrt(dte / 365.25::DOUBLE) * sqrt(5 / 252::DOUBLE)) END', 5)} AS concentration FROM g""", "spot_paths")
 def k10(spark, folder):
-    rows = bucket_pairs(spark, folder).where("reason is null and bucket = 'long'").select(*KEY, "session", "strike", "expiry", "dte", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"))
+    rows = bucket_pairs(spark, folder).where("reason is null").select(*KEY, "bucket", "session", "strike", "expiry", "dte", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"))
     marks = option_dense(spark, folder).select("ticker", F.col("session").alias("at"), F.col("date").alias("day"), "call", "put")
     walk = rows.withColumn("at", F.col("session") + F.col("k")).join(marks, ["ticker", "at"]).withColumn(
         "s", O.parity_spot(F.col("strike"), F.datediff("expiry", "day"), F.col("call"), F.col("put"))).withColumn("premium", F.col("call") + F.col("put"))
-    walk = walk.withColumn("move", F.log(F.col("s") / F.lag("s").over(W.partitionBy(*KEY).orderBy("k"))))
+    walk = walk.withColumn("move", F.log(F.col("s") / F.lag("s").over(W.partitionBy(*KEY, "bucket").orderBy("k"))))
 
     def at(k, c):
         return F.max(F.when(F.col("k") == k, F.col(c)))
 
-    g = walk.groupBy(*KEY).agg(F.first("dte").alias("dte"), at(0, "premium").alias("p0"), at(5, "premium").alias("p5"), at(0, "s").alias("s0"), at(5, "s").alias("s5"),
+    g = walk.groupBy(*KEY, "bucket").agg(F.first("dte").alias("dte"), at(0, "premium").alias("p0"), at(5, "premium").alias("p5"), at(0, "s").alias("s0"), at(5, "s").alias("s5"),
                                F.min(F.when(F.col("k") <= 5, F.col("s"))).alias("low_early"), F.min(F.when(F.col("k") >= 5, F.col("s"))).alias("low_late"),
                                F.count(F.when(F.col("k") <= 5, F.col("s"))).alias("n5"), F.count("s").alias("n10"), F.sqrt(F.avg(F.when(F.col("k").between(1, 5), F.col("move") * F.col("move")))).alias("rms"))
     five, ten = F.col("n5") == 6, F.col("n10") == 11
     early, late = F.greatest(F.lit(0.0), 1 - F.col("low_early") / F.col("s0")), F.greatest(F.lit(0.0), 1 - F.col("low_late") / F.col("s5"))
     norm = F.col("p0") / F.col("s0") / F.sqrt(F.col("dte") / O.YEAR) * F.sqrt(F.lit(5 / 252))
-    return g.select(*KEY, F.when(five, "measured").otherwise("incomplete_five_session_same_contract_path").alias("status"), rounded(F.when(five, F.log(F.col("p5") / F.col("p0")))).alias("premium_log_change"),
+    return g.select(*KEY, "bucket", F.when(five, "measured").otherwise("incomplete_five_session_same_contract_path").alias("status"), rounded(F.when(five, F.log(F.col("p5") / F.col("p0")))).alias("premium_log_change"),
                     rounded(F.when(five, F.col("s5") / F.col("s0") - 1)).alias("synthetic_return"), rounded(F.when(five, F.col("rms"))).alias("rms"), rounded(F.when(five, early)).alias("early_downside"),
                     rounded(F.when(ten, late)).alias("late_downside"), rounded(F.when(ten, (early - late) / norm), 5).alias("concentration"))
 
@@ -378,47 +379,107 @@ def quote_outcomes(spark, folder):
     return rows.withColumn("quote_status", status).withColumn("quote_net_return", F.when(F.col("quote_status") == "completed_bounded_proxy", net / (100 * F.col("s_in"))))
 
 
+MARK_AGE = 63  # sessions that a contract's last mark may be old
+LEG_TOLERANCE = 0.25
+WINGS = [("upper_call", "call", 1.05), ("lower_put", "put", 0.95)]
 _SIGNS = [(s, leg, q) for s, legs in O.SHAPES.items() for leg, q in legs.items()]
-view("leg_cash", "bucket_pairs quote_pairs", f"""SELECT b.ticker, b.pair_session, b.role, b.strike, v.shape, v.leg, v.sign, -v.sign * 100 * ((option_bid + option_ask) / 2 + sign(v.sign) * (option_ask - option_bid) / 2 * c.m) - abs(v.sign) * 0.65::DOUBLE * c.m AS cash, c.m AS costs
-    FROM bucket_pairs b JOIN quote_pairs q ON q.ticker = b.ticker AND q.session = b.session AND q.reason IS NULL CROSS JOIN (VALUES {', '.join(f"('{s}', '{leg}', {q})" for s, leg, q in _SIGNS)}) v(shape, leg, sign) CROSS JOIN (VALUES (1), (2)) c(m) WHERE b.reason IS NULL AND b.bucket = 'long'""")
+_SELECTED = "ticker, pair_session, role, bucket"
+view("contract_marks", "contract_days sessions", "SELECT contract, s.session, price, volume, q.bid AS bid, q.ask AS ask FROM contract_days JOIN sessions s USING (date)")
+view("leg_contracts", "bucket_pairs listed_pairs", f"""WITH g AS (SELECT ticker, pair_session, role, bucket, session, spot, expiry, strike, call, put FROM bucket_pairs WHERE reason IS NULL),
+    w AS (SELECT {_SELECTED}, {', '.join(f"arg_min(struct_pack(contract := p.{side}, strike := p.strike), (abs(p.strike - g.spot * {m}::DOUBLE), p.strike)) AS {leg}" for leg, side, m in WINGS)} FROM g JOIN listed_pairs p USING (ticker, expiry) GROUP BY ALL)
+    SELECT {_SELECTED}, session, spot, strike, 'atm_call' AS leg, call AS contract, strike AS leg_strike FROM g UNION ALL SELECT {_SELECTED}, session, spot, strike, 'atm_put', put, strike FROM g
+    {' '.join(f"UNION ALL SELECT {_SELECTED}, session, spot, strike, '{leg}', CASE WHEN abs({leg}.strike / (spot * {m}::DOUBLE) - 1) <= {LEG_TOLERANCE} THEN {leg}.contract END, {leg}.strike FROM g JOIN w USING ({_SELECTED})" for leg, _, m in WINGS)}""")
+view("shape_legs", "leg_contracts contract_marks", f"""SELECT l.*, v.shape, v.sign, m.bid, m.ask, m.session AS marked FROM leg_contracts l JOIN (VALUES {', '.join(f"('{s}', '{leg}', {q})" for s, leg, q in _SIGNS)}) v(shape, leg, sign) USING (leg)
+    ASOF LEFT JOIN contract_marks m ON m.contract = l.contract AND l.session >= m.session""")
+_PRICED = f"(bid IS NOT NULL AND session - marked <= {MARK_AGE})"
+view("shape_cash", "shape_legs", f"""SELECT {_SELECTED}, shape, c.m AS costs, count(*) AS legs, count(*) FILTER (WHERE {_PRICED}) AS priced, count(*) FILTER (WHERE contract IS NULL) AS absent, any_value(CASE shape WHEN 'cash_secured_put' THEN leg_strike ELSE strike END) AS reserve_strike, any_value(spot) AS spot,
+      CAST(sum(CAST(round((-sign * 100 * ((bid + ask) / 2 + sign(sign) * (ask - bid) / 2 * c.m) - abs(sign) * 0.65::DOUBLE * c.m) * 1000000) AS BIGINT)) FILTER (WHERE {_PRICED}) AS DOUBLE) / 1000000 AS cash
+    FROM shape_legs CROSS JOIN (VALUES (1), (2)) c(m) GROUP BY ALL""")
+
+
+def contract_marks(spark, folder):
+    """(contract, session, price, volume, bid, ask): every contract's own trading days on the session grid."""
+    def build(s, f):
+        return T.contract_days(s, f).join(F.broadcast(sessions(s, f).select("date", "session")), "date").select("contract", "session", "price", "volume", "bid", "ask")
+    return snapshot(spark, folder, "contract-marks", build)
+
+
+def leg_contracts(spark, folder):
+    """One row per anchor and maturity bucket with a pair; `legs` maps each leg to its own (contract, strike). A wing's strike is the listed one nearest to its goal."""
+    def build(s, f):
+        rows = bucket_pairs(s, f).where("reason is null").select(*KEY, "bucket", "session", "spot", "expiry", "strike", "call", "put")
+        listed = J.call_put_pairs(standard(s, f)).select("ticker", "expiry", "strike", "call", "put")
+        legs = {"atm_call": F.struct(F.col("call").alias("contract"), F.col("strike").alias("strike")), "atm_put": F.struct(F.col("put").alias("contract"), F.col("strike").alias("strike"))}
+        for leg, side, moneyness in WINGS:
+            rows = rows.withColumn("goal", F.col("spot") * moneyness)
+            rows = J.nearest_listed(rows, listed, ["ticker", "expiry"], "goal", "strike", lambda row, near: F.abs(near["strike"] - row["goal"]))
+            fits = F.abs(F.col("near.strike") / F.col("goal") - 1) <= LEG_TOLERANCE
+            rows = rows.withColumn(leg, F.struct(F.when(fits, F.col(f"near.{side}")).alias("contract"), F.col("near.strike").alias("strike"))).drop("near", "goal")
+            legs[leg] = F.col(leg)
+        pairs = [x for name, column in legs.items() for x in (F.lit(name), column)]
+        return rows.select(*KEY, "bucket", "session", "spot", "strike", F.create_map(*pairs).alias("legs"))
+    return snapshot(spark, folder, "leg-contracts", build)
+
+
+def shape_cash(spark, folder):
+    """Opening cash of every shape from each leg's own last quote, bid/ask friction counted once; no cash unless every leg is priced."""
+    def build(s, f):
+        legs = C.expand(leg_contracts(s, f), O.SHAPES)
+        rows = C.latest(legs, contract_marks(s, f), MARK_AGE, ["bid", "ask"]).withColumn("costs", F.explode(F.array(F.lit(1), F.lit(2))))
+        cash = C.leg_cash(F.col("sign"), F.col("mark.bid"), F.col("mark.ask"), F.col("costs"))
+        strike = F.when(F.col("shape") == "cash_secured_put", F.col("leg_strike")).otherwise(F.col("strike"))
+        return rows.groupBy(*KEY, "bucket", "shape", "costs").agg(
+            F.count(F.lit(1)).alias("legs"), F.count("mark").alias("priced"), F.count_if(F.col("contract").isNull()).alias("absent"), F.first(strike).alias("reserve_strike"), F.first("spot").alias("spot"),
+            (F.sum(F.round(cash * 1000000).cast("bigint")) / 1000000).alias("cash"))
+    return snapshot(spark, folder, "shape-cash", build)
+
 
+_CASH_STATUS = "CASE WHEN absent > 0 THEN 'required_leg_unavailable' WHEN priced < legs THEN 'required_leg_quote_missing' ELSE 'priced' END"
 
-def leg_cash(spark, folder):
-    """Signed opening cash of every leg of every shape, bid/ask friction counted once."""
-    rows = bucket_pairs(spark, folder).where("reason is null and bucket = 'long'").join(quote_pairs(spark, folder).where("reason is null").drop("reason"), ["ticker", "session"])
-    grid = F.array(*[F.struct(F.lit(s).alias("shape"), F.lit(leg).alias("leg"), F.lit(q).alias("sign"), F.lit(m).alias("costs")) for s, leg, q in _SIGNS for m in (1, 2)])
-    legs = rows.select(*KEY, "strike", "option_bid", "option_ask", F.explode(grid).alias("g")).select("*", "g.*")
-    mid, half = (F.col("option_bid") + F.col("option_ask")) / 2, (F.col("option_ask") - F.col("option_bid")) / 2
-    cash = -F.col("sign") * 100 * (mid + F.signum("sign") * half * F.col("costs")) - F.abs("sign") * O.OPTION_FEE * F.col("costs")
-    return legs.select(*KEY, "strike", "shape", "leg", "sign", cash.alias("cash"), "costs")
 
+def with_cash_status(rows):
+    status = first_reason((F.col("absent") > 0, "required_leg_unavailable"), (F.col("priced") < F.col("legs"), "required_leg_quote_missing"))
+    return rows.withColumn("status", F.coalesce(status, F.lit("priced"))).withColumn("cash", F.when(F.col("status") == "priced", F.col("cash")))
 
-@study("l5_leg_cash_flow", f"SELECT ticker, pair_session, role, shape, costs, count(*) AS legs, CAST(sum(CAST(round(cash * 1000000) AS BIGINT)) AS DOUBLE) / 1000000 AS opening_cash FROM leg_cash GROUP BY 1, 2, 3, 4, 5", "leg_cash")
+
+@study("l5_leg_cash_flow", f"SELECT {_SELECTED}, shape, costs, legs, priced, {_CASH_STATUS} AS status, CASE WHEN priced = legs THEN cash END AS opening_cash FROM shape_cash", "shape_cash")
 def l5(spark, folder):
-    return leg_cash(spark, folder).groupBy(*KEY, "shape", "costs").agg(F.count(F.lit(1)).alias("legs"), (F.sum(F.round(F.col("cash") * 1000000).cast("bigint")) / 1000000).alias("opening_cash"))
+    return with_cash_status(shape_cash(spark, folder)).select(*KEY, "bucket", "shape", "costs", "legs", "priced", "status", F.col("cash").alias("opening_cash"))
+
+
+_GROWTH = "(exp(0.04::DOUBLE * 14 / 365.25::DOUBLE) - 1)"
 
 
-@study("l6_reserve_interest", f"""SELECT ticker, pair_session, role, shape, costs, {r('100 * any_value(strike)', 5)} AS reserve, {r('(100 * any_value(strike) + sum(cash)) * (exp(0.04::DOUBLE * 14 / 365.25::DOUBLE) - 1)', 4)} AS interest, {r('sum(cash) / (100 * any_value(strike))')} AS collateral_return FROM leg_cash GROUP BY 1, 2, 3, 4, 5""", "leg_cash")
+@study("l6_reserve_interest", f"""SELECT {_SELECTED}, shape, costs, {_CASH_STATUS} AS status, {r('100 * reserve_strike', 5)} AS reserve, {r(f'CASE WHEN priced = legs THEN (100 * reserve_strike + cash) * {_GROWTH} END', 4)} AS interest, {r('CASE WHEN priced = legs THEN cash / (100 * reserve_strike) END')} AS collateral_return FROM shape_cash""", "shape_cash")
 def l6(spark, folder):
-    funding = 100 * F.first("strike")
-    return leg_cash(spark, folder).groupBy(*KEY, "shape", "costs").agg(rounded(funding, 5).alias("reserve"), rounded((funding + F.sum("cash")) * F.expm1(F.lit(O.RATE * 14 / O.YEAR)), 4).alias("interest"), rounded(F.sum("cash") / funding).alias("collateral_return"))
+    funding = 100 * F.col("reserve_strike")
+    return with_cash_status(shape_cash(spark, folder)).select(*KEY, "bucket", "shape", "costs", "status", rounded(funding, 5).alias("reserve"), rounded((funding + F.col("cash")) * F.expm1(F.lit(O.RATE * 14 / O.YEAR)), 4).alias("interest"),
+                                                              rounded(F.col("cash") / funding).alias("collateral_return"))
 
 
 HAIRCUTS = [0.0, 0.01, 0.05]
+_AGED = f"CASE WHEN m.session >= x.at - {MARK_AGE} THEN m.{{}} END"
 
 
 @study("l7_mark_scenario", f"""
-SELECT b.ticker, b.pair_session, b.role, h.haircut, CASE WHEN e.call IS NULL OR x.call IS NULL OR e.put IS NULL OR x.put IS NULL THEN 'inconclusive' ELSE 'measured' END AS status,
-  {r('(100 * ((x.call - e.call) - (x.put - e.put)) - 100 * h.haircut * (e.call + x.call + e.put + x.put) - 4 * 0.65::DOUBLE) / (100 * b.spot)')} AS scenario_return
-FROM bucket_pairs b CROSS JOIN (SELECT unnest([0::DOUBLE, 0.01::DOUBLE, 0.05::DOUBLE]) AS haircut) h JOIN option_dense e ON e.ticker = b.ticker AND e.session = b.session + 1 JOIN option_dense x ON x.ticker = b.ticker AND x.session = b.session + 11 WHERE b.reason IS NULL AND b.bucket = 'long'""", "bucket_pairs option_dense")
+WITH x AS (SELECT {_SELECTED}, spot, leg, contract, t.offset_ AS step, session + t.offset_ AS at FROM leg_contracts CROSS JOIN (VALUES (1), (11)) t(offset_) WHERE leg IN ('atm_call', 'atm_put')),
+m AS (SELECT x.*, {_AGED.format('price')} AS price, x.at - {_AGED.format('session')} AS age FROM x ASOF LEFT JOIN contract_marks m ON m.contract = x.contract AND x.at >= m.session),
+w AS (SELECT {_SELECTED}, any_value(spot) AS spot, max(age) AS oldest, {', '.join(f"max(price) FILTER (WHERE leg = 'atm_{side}' AND step = {k}) AS {side[0]}{k}" for side in ('call', 'put') for k in (1, 11))} FROM m GROUP BY ALL)
+SELECT {_SELECTED}, haircut, CASE WHEN c1 + p1 + c11 + p11 IS NULL THEN 'inconclusive' ELSE 'measured' END AS status, CASE WHEN c1 + p1 + c11 + p11 IS NOT NULL THEN CAST(oldest AS INTEGER) END AS oldest_mark,
+  {r('(100 * ((c11 - c1) - (p11 - p1)) - 100 * haircut * (c1 + c11 + p1 + p11) - 4 * 0.65::DOUBLE) / (100 * spot)')} AS scenario_return FROM w CROSS JOIN (SELECT unnest([0::DOUBLE, 0.01::DOUBLE, 0.05::DOUBLE]) AS haircut) h""", "leg_contracts contract_marks")
 def l7(spark, folder):
-    e = option_dense(spark, folder).select("ticker", (F.col("session") - 1).alias("session"), F.col("call").alias("c0"), F.col("put").alias("p0"))
-    x = option_dense(spark, folder).select("ticker", (F.col("session") - 11).alias("session"), F.col("call").alias("c1"), F.col("put").alias("p1"))
-    pairs = bucket_pairs(spark, folder).where("reason is null and bucket = 'long'").select(*KEY, "session", "spot")
-    rows = pairs.join(e, ["ticker", "session"]).join(x, ["ticker", "session"]).select("*", F.explode(F.array(*[F.lit(h) for h in HAIRCUTS])).alias("haircut"))
-    change = 100 * ((F.col("c1") - F.col("c0")) - (F.col("p1") - F.col("p0"))) - 100 * F.col("haircut") * (F.col("c0") + F.col("c1") + F.col("p0") + F.col("p1")) - 4 * O.OPTION_FEE
+    legs = leg_contracts(spark, folder).select(*KEY, "bucket", "spot", "session", F.explode(F.map_filter("legs", lambda k, v: k.isin("atm_call", "atm_put"))).alias("leg", "l"))
+    asked = legs.select(*KEY, "bucket", "spot", "leg", F.col("l.contract").alias("contract"), "session", F.explode(F.array(F.lit(1), F.lit(11))).alias("step")).withColumn("session", F.col("session") + F.col("step"))
+    rows = C.latest(asked, contract_marks(spark, folder), MARK_AGE, ["price"])
+
+    def at(side, k):
+        return F.max(F.when((F.col("leg") == f"atm_{side}") & (F.col("step") == k), F.col("mark.price"))).alias(f"{side[0]}{k}")
+
+    wide = rows.groupBy(*KEY, "bucket").agg(F.first("spot").alias("spot"), F.max(F.col("session") - F.col("mark.session")).alias("oldest"), *[at(side, k) for side in ("call", "put") for k in (1, 11)])
+    wide = wide.withColumn("haircut", F.explode(F.array(*[F.lit(h) for h in HAIRCUTS])))
+    change = 100 * ((F.col("c11") - F.col("c1")) - (F.col("p11") - F.col("p1"))) - 100 * F.col("haircut") * (F.col("c1") + F.col("c11") + F.col("p1") + F.col("p11")) - 4 * O.OPTION_FEE
     value = change / (100 * F.col("spot"))
-    return rows.select(*KEY, "haircut", F.when(value.isNull(), "inconclusive").otherwise("measured").alias("status"), rounded(value).alias("scenario_return"))
+    return wide.select(*KEY, "bucket", "haircut", F.when(value.isNull(), "inconclusive").otherwise("measured").alias("status"), F.when(value.isNotNull(), F.col("oldest")).cast("int").alias("oldest_mark"), rounded(value).alias("scenario_return"))
 
 
 view("outcome_grid", "option_anchors option_dense", f"""SELECT a.ticker, a.pair_session, a.role, g.horizon, g.delay, g.costs, g.shape, CASE WHEN e.stock IS NULL OR x.stock IS NULL OR (CASE g.shape WHEN 'covered_call' THEN e.call ELSE e.put END) IS NULL OR (CASE g.shape WHEN 'covered_call' THEN x.call ELSE x.put END) IS NULL THEN 'inconclusive' ELSE 'measured' END AS status,

@@ -101,6 +101,9 @@ view("quotes", "", """SELECT 'T' || n_regionkey AS ticker, CASE WHEN l_returnfla
         * (1 + l_tax / 2) AS ask,
       l_quantity AS bid_size, 51 - l_quantity AS ask_size
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""")
+view("contract_days", "", """SELECT 'C-' || l_partkey || '-' || CASE l_returnflag WHEN 'A' THEN 'call' ELSE 'put' END AS contract, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 / sum(l_quantity) * 0.05::DOUBLE AS price, sum(l_quantity) AS volume,
+      arg_max(struct_pack(bid := l_extendedprice / l_quantity * 0.05::DOUBLE * (1 - l_discount / 2), ask := l_extendedprice / l_quantity * 0.05::DOUBLE * (1 + l_tax / 2)), (l_orderkey, l_linenumber)) AS q
+    FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2""")
 view("dividends", "filings", """SELECT ticker, filing_date AS declared, filing_date + 10 AS ex_date, amount * 1e-5 AS cash,
       CASE WHEN accession % 17 = 0 THEN 'CAD' ELSE 'USD' END AS currency, accession
     FROM filings WHERE category = '5-LOW' AND amount > 480000""")

@@ -120,6 +120,20 @@ def option_bars(spark: SparkSession, folder: str) -> DataFrame:
         "ticker", "s.contract_type", "date", "s.close", "s.volume").where("close is not null")
 
 
+def contract_days(spark: SparkSession, folder: str) -> DataFrame:
+    """(contract, date, price, volume, bid, ask): one row per contract and day with trades, from the lines of its part and side.
+
+    Price is volume-weighted; bid and ask are those of the day's last line.
+    """
+    side = F.when(F.col("l_returnflag") == "A", "call").when(F.col("l_returnflag") == "R", "put")
+    mid = F.col("l_extendedprice") / F.col("l_quantity") * OPTION_SCALE
+    last = F.struct(F.col("l_orderkey"), F.col("l_linenumber"), (mid * (1 - F.col("l_discount") / 2)).alias("bid"), (mid * (1 + F.col("l_tax") / 2)).alias("ask"))
+    lines = table(spark, folder, "lineitem").where(side.isNotNull()).select(
+        F.concat_ws("-", F.lit("C"), F.col("l_partkey").cast("string"), side).alias("contract"), F.to_date("l_shipdate").alias("date"), cents("l_extendedprice").alias("amount"), "l_quantity", last.alias("last"))
+    days = lines.groupBy("contract", "date").agg(F.sum("amount").alias("amount"), F.sum("l_quantity").alias("volume"), F.max("last").alias("last"))
+    return days.select("contract", "date", (F.col("amount") / 100.0 / F.col("volume") * OPTION_SCALE).alias("price"), "volume", "last.bid", "last.ask")
+
+
 def quotes(spark: SparkSession, folder: str) -> DataFrame:
     """(ticker, leg, ts_ns, sequence, bid, ask, bid_size, ask_size) with a nanosecond clock.
 
