@@ -482,24 +482,41 @@ def l7(spark, folder):
     return wide.select(*KEY, "bucket", "haircut", F.when(value.isNull(), "inconclusive").otherwise("measured").alias("status"), F.when(value.isNotNull(), F.col("oldest")).cast("int").alias("oldest_mark"), rounded(value).alias("scenario_return"))
 
 
-view("outcome_grid", "option_anchors option_dense", f"""SELECT a.ticker, a.pair_session, a.role, g.horizon, g.delay, g.costs, g.shape, CASE WHEN e.stock IS NULL OR x.stock IS NULL OR (CASE g.shape WHEN 'covered_call' THEN e.call ELSE e.put END) IS NULL OR (CASE g.shape WHEN 'covered_call' THEN x.call ELSE x.put END) IS NULL THEN 'inconclusive' ELSE 'measured' END AS status,
-      (100 * (x.stock - e.stock) + CASE g.shape WHEN 'covered_call' THEN -100 * (x.call - e.call) ELSE 100 * (x.put - e.put) END - g.costs * (100 * (e.stock + x.stock) * 0.0006::DOUBLE + 100 * (CASE g.shape WHEN 'covered_call' THEN e.call + x.call ELSE e.put + x.put END) * 0.05::DOUBLE + 1.3::DOUBLE)) / (100 * e.stock) AS net_return, (x.stock - e.stock) / e.stock AS stock_return
-    FROM option_anchors a CROSS JOIN (SELECT * FROM (VALUES (5), (10), (21)) h(horizon), (VALUES (1), (3)) d(delay), (VALUES (1), (2)) c(costs), (VALUES ('covered_call'), ('protective_put')) s(shape)) g LEFT JOIN option_dense e ON e.ticker = a.ticker AND e.session = a.session + g.delay LEFT JOIN option_dense x ON x.ticker = a.ticker AND x.session = a.session + g.delay + g.horizon""")
+# Units of stock, call and put that a shape holds; the synthetic long is every other one's baseline.
+UNITS = {"synthetic_long": (0, 1, -1), "covered_call": (1, -1, 0), "protective_put": (1, 0, 1), "cash_secured_put": (0, 0, -1)}
+BASELINE = "synthetic_long"
+
+
+def _held(units: str, text: str) -> str:
+    return f"CASE WHEN {units} = 0 THEN 0::DOUBLE ELSE {text} END"
+
+
+view("outcome_grid", "option_anchors option_dense", f"""SELECT *, CASE WHEN net_return IS NULL THEN 'inconclusive' ELSE 'measured' END AS status FROM (SELECT a.ticker, a.pair_session, a.role, g.horizon, g.delay, g.costs, g.shape,
+      (100 * (g.su * (x.stock - e.stock) + {_held('g.cu', 'g.cu * (x.call - e.call)')} + {_held('g.pu', 'g.pu * (x.put - e.put)')}) - g.costs * (100 * g.su * (e.stock + x.stock) * 0.0006::DOUBLE
+        + 100 * ({_held('g.cu', 'e.call + x.call')} + {_held('g.pu', 'e.put + x.put')}) * 0.05::DOUBLE + 1.3::DOUBLE * (abs(g.cu) + abs(g.pu)))) / (100 * e.stock) AS net_return, (x.stock - e.stock) / e.stock AS stock_return
+    FROM option_anchors a CROSS JOIN (SELECT * FROM (VALUES (5), (10), (21)) h(horizon), (VALUES (1), (3)) d(delay), (VALUES (1), (2)) c(costs), (VALUES {', '.join(f"('{k}', {u[0]}, {u[1]}, {u[2]})" for k, u in UNITS.items())}) s(shape, su, cu, pu)) g
+      LEFT JOIN option_dense e ON e.ticker = a.ticker AND e.session = a.session + g.delay LEFT JOIN option_dense x ON x.ticker = a.ticker AND x.session = a.session + g.delay + g.horizon)""")
 
 
 def outcome_grid(spark, folder):
     def build(s, f):
-        grid = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(d).alias("delay"), F.lit(c).alias("costs"), F.lit(p).alias("shape")) for h in (5, 10, 21) for d in (1, 3) for c in (1, 2) for p in ("covered_call", "protective_put")])
-        rows = anchors(s, f).select(*KEY, "session", F.explode(grid).alias("g")).select(*KEY, "session", "g.*").withColumns({"at0": F.col("session") + F.col("delay"), "at1": F.col("session") + F.col("delay") + F.col("horizon")})
+        shapes = [F.struct(F.lit(k).alias("shape"), *[F.lit(u).alias(n) for n, u in zip(("su", "cu", "pu"), units)]) for k, units in UNITS.items()]
+        clocks = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(d).alias("delay")) for h in (5, 10, 21) for d in (1, 3)])
+        rows = anchors(s, f).select(*KEY, "session", F.explode(clocks).alias("g")).select(*KEY, "session", "g.*").withColumns({"at0": F.col("session") + F.col("delay"), "at1": F.col("session") + F.col("delay") + F.col("horizon")})
         m = option_dense(s, f)
         e = m.select("ticker", F.col("session").alias("at0"), F.col("stock").alias("s0"), F.col("call").alias("c0"), F.col("put").alias("p0"))
         x = m.select("ticker", F.col("session").alias("at1"), F.col("stock").alias("s1"), F.col("call").alias("c1"), F.col("put").alias("p1"))
+        # Marks meet a clock once; shapes and costs are laid out afterwards.
         j = rows.join(e, ["ticker", "at0"], "left").join(x, ["ticker", "at1"], "left")
-        call = F.col("shape") == "covered_call"
-        o0, o1 = F.when(call, F.col("c0")).otherwise(F.col("p0")), F.when(call, F.col("c1")).otherwise(F.col("p1"))
-        pnl = 100 * (F.col("s1") - F.col("s0")) + F.when(call, -100 * (o1 - o0)).otherwise(100 * (o1 - o0))
-        cost = F.col("costs") * (100 * (F.col("s0") + F.col("s1")) * O.STOCK_FRICTION + 100 * (o0 + o1) * O.OPTION_FRICTION + 2 * O.OPTION_FEE)
-        net = (pnl - cost) / (100 * F.col("s0"))
+        j = j.withColumn("z", F.explode(F.array(*shapes))).select("*", "z.*").withColumn("costs", F.explode(F.array(F.lit(1), F.lit(2))))
+
+        def held(units, value):
+            return F.when(F.col(units) == 0, 0.0).otherwise(value)
+
+        change = F.col("su") * (F.col("s1") - F.col("s0")) + held("cu", F.col("cu") * (F.col("c1") - F.col("c0"))) + held("pu", F.col("pu") * (F.col("p1") - F.col("p0")))
+        traded = held("cu", F.col("c0") + F.col("c1")) + held("pu", F.col("p0") + F.col("p1"))
+        cost = F.col("costs") * (100 * F.col("su") * (F.col("s0") + F.col("s1")) * O.STOCK_FRICTION + 100 * traded * O.OPTION_FRICTION + 2 * O.OPTION_FEE * (F.abs("cu") + F.abs("pu")))
+        net = (100 * change - cost) / (100 * F.col("s0"))
         return j.select(*KEY, "horizon", "delay", "costs", "shape", F.when(net.isNull(), "inconclusive").otherwise("measured").alias("status"), net.alias("net_return"), ((F.col("s1") - F.col("s0")) / F.col("s0")).alias("stock_return"))
     return snapshot(spark, folder, "outcome-grid", build)
 
@@ -518,15 +535,15 @@ def a30(spark, folder):
     return outcome_grid(spark, folder).groupBy(*GRID).agg(F.count_if(good).alias("measured"), F.count_if(~good).alias("missing"), F.count_distinct(F.when(good, F.col("ticker"))).alias("issuers"), rounded(F.avg("net_return")).alias("mean"))
 
 
-@study("j11_strategy_baseline", f"""SELECT ticker, pair_session, role, horizon, delay, costs, {r('a - b')} AS difference, {r('a - s')} AS over_stock FROM (
-  SELECT ticker, pair_session, role, horizon, delay, costs, max(net_return) FILTER (WHERE shape = 'covered_call') AS a, max(net_return) FILTER (WHERE shape = 'protective_put') AS b,
-    max(stock_return) FILTER (WHERE shape = 'covered_call') AS s FROM outcome_grid WHERE status = 'measured' GROUP BY ALL) WHERE a IS NOT NULL AND b IS NOT NULL""", "outcome_grid")
+@study("j11_strategy_baseline", f"""SELECT a.ticker, a.pair_session, a.role, a.horizon, a.delay, a.costs, a.shape, {r('a.net_return - b.net_return')} AS difference, {r('a.net_return - a.stock_return')} AS over_stock
+  FROM outcome_grid a JOIN outcome_grid b USING (ticker, pair_session, role, horizon, delay, costs) WHERE a.status = 'measured' AND b.status = 'measured' AND b.shape = '{BASELINE}' AND a.shape <> '{BASELINE}'""", "outcome_grid")
 def j11(spark, folder):
-    rows = outcome_grid(spark, folder).where("status = 'measured'")
+    """Every shape less the synthetic long of the same anchor, clock and cost; both come from one group, so nothing is joined."""
     keys = [*KEY, "horizon", "delay", "costs"]
-    a = rows.where("shape = 'covered_call'").select(*keys, F.col("net_return").alias("a"), "stock_return")
-    b = rows.where("shape = 'protective_put'").select(*keys, F.col("net_return").alias("b"))
-    return a.join(b, keys).select(*keys, rounded(F.col("a") - F.col("b")).alias("difference"), rounded(F.col("a") - F.col("stock_return")).alias("over_stock"))
+    rows = outcome_grid(spark, folder).where("status = 'measured'").groupBy(*keys).agg(
+        F.max(F.when(F.col("shape") == BASELINE, F.col("net_return"))).alias("b"), F.collect_list(F.when(F.col("shape") != BASELINE, F.struct("shape", "net_return", "stock_return"))).alias("own"))
+    rows = rows.where("b is not null").select(*keys, "b", F.explode("own").alias("o"))
+    return rows.select(*keys, "o.shape", rounded(F.col("o.net_return") - F.col("b")).alias("difference"), rounded(F.col("o.net_return") - F.col("o.stock_return")).alias("over_stock"))
 
 
 # ---------------------------------------------------------------- quartets and effects
