@@ -3,9 +3,10 @@
 Passages of documents and benchmark items are TF-IDF vectors over the items' words. A randomised SVD (one distributed pass for
 the product of the Gram matrix with a random test matrix, Nystroem reconstruction on the driver from matrices as tall as the items' vocabulary) gives
 a latent space whose rank grows with the items of a block. Windows of documents are searched there: a window is a candidate for the items whose cosine to it reaches a low
-gate. Items that the space represents badly, by the share of their vector that is left after projection, have no gate: all their windows with as many of the item's words
-as the subsequence needs are candidates, which loses nothing. A candidate is a leak if the longest common subsequence of words covers enough of the
-item, or covers somewhat less and also keeps the item's answer, its closing words. Short items are found as whole sequences.
+gate. It is taken for windows with some of the item's rarest words only: whoever keeps 60 % of an item's words keeps so many of any larger part of them, so nothing is lost by that.
+Items that the space represents badly, by the share of their vector that is left after projection, have no gate. A candidate with as many of the item's words as
+needed is a leak if the longest common subsequence of words covers enough of the item, or covers somewhat less and also keeps the item's answer, its
+closing words. Short items are found as whole sequences.
 
 Windows overlap so far that any passage of an item's length lies whole in one. Items are taken in blocks, so no task holds more than a block however many there are.
 """
@@ -56,6 +57,7 @@ class Block:
     weighted: np.ndarray | None = None  # a row per word: its inverse document frequency times its latent direction
     vectors: np.ndarray | None = None  # a unit row per item
     gated: np.ndarray | None = None  # items that the latent space represents well
+    df: np.ndarray | None = None  # passages that hold a word
 
 
 def block_of(rows: list[tuple]) -> Block:
@@ -186,6 +188,7 @@ def fit(index: DataFrame, block: Block) -> Block:
     df, n = (counted[:-1].copy(), counted[-1]) if counted is not None else (np.zeros(size), 0.0)
     for terms in block.terms:
         df[np.unique(terms)] += 1
+    block.df = df
     idf = np.log((1 + n + len(block.terms)) / (1 + df)) + 0.05
     idf[df > max(MAX_LEAST, MAX_SHARE * n)] = 0
     handle = index.sparkSession.sparkContext.broadcast(idf)  # a number a word of the block
@@ -258,6 +261,51 @@ def _grams(terms: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def rare_words(block: Block, item: int) -> tuple[np.ndarray, int]:
+    """(words, hits): an item's rarest words, and how many of their places any window must hold that keeps LCS_WITH_ANSWER of the item's."""
+    terms = block.terms[item]
+    lost = len(terms) - int(np.ceil(LCS_WITH_ANSWER * len(terms)))
+    hits = max(1, len(terms) // 8)
+    order = terms[np.lexsort((terms, block.df[terms]))]
+    # All places of a chosen word count, so the number of places grows with repeated words, and with it what must be held.
+    words = np.unique(order[:lost + hits])
+    return words, int(np.isin(terms, words).sum()) - lost
+
+
+def _by_word(block: Block, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, items, hits): the items of a class by rare word, those of word w at first[w] to first[w + 1]; hits by item."""
+    pairs, hits = [], np.zeros(len(block.terms), np.int64)
+    for item in members.tolist():
+        words, hits[item] = rare_words(block, item)
+        pairs += [(w, item) for w in words.tolist()]
+    pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return np.searchsorted(pairs[:, 0], np.arange(len(block.vocabulary) + 1)), pairs[:, 1], hits
+
+
+def _candidates(terms: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int, stride: int, index: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(item, row, begin) of the windows with enough of an item's rare words. Every document's windows start with it."""
+    first, items, hits = index
+    at = np.flatnonzero(terms >= 0)
+    many = first[terms[at] + 1] - first[terms[at]]
+    at, many = at[many > 0], many[many > 0]
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 3
+    own = np.repeat(at, many)
+    item = items[np.repeat(first[terms[at]] - (np.cumsum(many) - many), many) + np.arange(len(own))]
+    row = np.searchsorted(starts, own, "right") - 1
+    place = own - starts[row]
+    low = np.maximum(-((width - 1 - place) // stride), 0)
+    high = np.minimum(place // stride, (np.maximum(lengths[row], 1) - 1) // stride)
+    count = np.maximum(high - low + 1, 0)
+    window = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    most = int(lengths.max()) // stride + 1
+    key, held = np.unique((np.repeat(item, count) * len(starts) + np.repeat(row, count)) * most + window, return_counts=True)
+    window, rest = key % most, key // most
+    item, row = rest // len(starts), rest % len(starts)
+    kept = held >= hits[item]
+    return item[kept], row[kept], starts[row[kept]] + window[kept] * stride
+
+
 def _search(handle, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = handle.value
@@ -266,16 +314,12 @@ def _search(handle, id_type: pa.DataType):
         tails = [t[-max(3, int(np.ceil(len(t) * ANSWER_PART))):] for t in block.terms]
         needed = np.array([int(np.ceil(LCS_WITH_ANSWER * len(t))) for t in block.terms])
         size = len(block.vocabulary)
-        holds = [np.unique(t) for t in block.terms]
+        members = {i: set(t.tolist()) for i, t in enumerate(block.terms)}
         masks, tail_masks = [_places(t) for t in block.terms], [_places(t) for t in tails]
         short = _sequences(block)
+        indexes = [_by_word(block, items) for *_, items in classes]
         for rows, starts, lengths, terms in _segments(batches, size, gap, gap):
             best: dict[tuple[int, int], tuple] = {}
-            item_words = terms[terms >= 0]
-            before = np.r_[0, np.cumsum(terms >= 0)]
-            latent = np.zeros((len(item_words) + 1, block.weighted.shape[1]), np.float32)
-            np.cumsum(block.weighted[item_words], axis=0, out=latent[1:])
-            marked = np.zeros(size, np.int8)
             for n, items in short.items():
                 grams = _grams(terms, n)
                 for at in np.flatnonzero(np.isin(grams, np.fromiter(items, np.int64))).tolist():
@@ -285,43 +329,28 @@ def _search(handle, id_type: pa.DataType):
                         if whole and np.array_equal(terms[at:at + n], block.terms[item]):
                             found = (1.0, 1.0, 1.0 if block.vectors[item].any() else 0.0, -int(at - starts[row]) - rows[row][-1])
                             best[row, item] = max(best.get((row, item), found), found)
-            for width, stride, least, members in classes:
-                # Every document's windows start with it, whatever lies around it.
-                each = -(-lengths // stride)
-                own = np.repeat(np.arange(len(starts)), each)
-                begin = starts[own] + (np.arange(len(own)) - (np.cumsum(each) - each)[own]) * stride
-                low, high = before[begin], before[np.minimum(begin + width, len(terms))]
-                kept = np.flatnonzero(high - low >= least)
-                if not len(kept):
-                    continue
-                begin, low, high, own = begin[kept], low[kept], high[kept], own[kept]
-                z = latent[high] - latent[low]
-                near = z @ block.vectors[members].T >= COSINE * np.linalg.norm(z, axis=1)[:, None] - 1e-4
-                near |= ~block.gated[members]
-                for place in np.flatnonzero(near.any(axis=0)).tolist():
-                    item = int(members[place])
-                    windows = np.flatnonzero(near[:, place])
-                    marked[holds[item]] = 1
+            for (width, stride, *_), index in zip(classes, indexes):
+                seen: dict[int, tuple[list[int], np.ndarray]] = {}
+                for item, row, begin in zip(*(x.tolist() for x in _candidates(terms, starts, lengths, width, stride, index))):
+                    if begin not in seen:
+                        window = terms[begin:begin + width]
+                        window = window[window >= 0]
+                        seen[begin] = window.tolist(), block.weighted[window].sum(axis=0)
+                    window, z = seen[begin]
+                    cosine = float(block.vectors[item] @ z / max(float(np.sqrt(z @ z)), 1e-12))
+                    if block.gated[item] and cosine < COSINE:
+                        continue
                     # A subsequence takes no more words than the window has of the item's.
-                    if len(windows) * width < len(item_words):
-                        shared = np.array([int(marked[item_words[a:b]].sum()) for a, b in zip(low[windows].tolist(), high[windows].tolist())])
-                    else:
-                        sums = np.r_[0, np.cumsum(marked[item_words], dtype=np.int32)]
-                        shared = sums[high[windows]] - sums[low[windows]]
-                    marked[holds[item]] = 0
+                    if sum(map(members[item].__contains__, window)) < needed[item]:
+                        continue
                     n = len(block.terms[item])
-                    for k in windows[shared >= needed[item]].tolist():
-                        window = item_words[low[k]:high[k]].tolist()
-                        share = common_words(masks[item], n, window) / n
-                        if share < LCS_WITH_ANSWER:
-                            continue
-                        answer = common_words(tail_masks[item], len(tails[item]), window) / len(tails[item])
-                        if share >= LCS_ALONE or answer >= ANSWER:
-                            row = int(own[k])
-                            v = block.weighted[window].sum(axis=0)
-                            cosine = float(block.vectors[item] @ v / max(np.linalg.norm(v), 1e-12))
-                            found = (share, answer, cosine, -int(begin[k] - starts[row]) - rows[row][-1])
-                            best[row, item] = max(best.get((row, item), found), found)
+                    share = common_words(masks[item], n, window) / n
+                    if share < LCS_WITH_ANSWER:
+                        continue
+                    answer = common_words(tail_masks[item], len(tails[item]), window) / len(tails[item])
+                    if share >= LCS_ALONE or answer >= ANSWER:
+                        found = (share, answer, cosine, -int(begin - starts[row]) - rows[row][-1])
+                        best[row, item] = max(best.get((row, item), found), found)
             if best:
                 keys = sorted(best)
                 kinds = {"id": id_type, "text_key": pa.binary(), "item": pa.int32(), "lcs": pa.float64(), "answer": pa.float64(), "cosine": pa.float64(), "word": pa.int64()}
