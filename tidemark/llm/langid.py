@@ -1,11 +1,13 @@
 """Language identification: the nearest of several centroids per language, by cosine of normalised TF-IDF n-gram vectors.
 
 Vectors are hashed counts of two- and three-byte grams of the lower-cased letters. Document frequencies come from all training rows;
-the centroids of a language are clustered (spherical k-means) on a bounded, hashed sample of its training rows.
+the centroids of a language are clustered (spherical k-means) on a bounded, hashed sample of its distinct training texts, in which copies count once and
+every language has a text. A text is rejected by its distance: under a share of what nearly all training rows of its language and length reach, counted over all of them.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,14 +17,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
+from tidemark.session import discard, stage
 
 DIMS = 8192
 CENTROIDS = 4
-SAMPLE = 2000  # training rows a language at about which the centroids are fitted
+SAMPLE = 2000  # distinct training texts a language, at most, on which the centroids are fitted
 ROUNDS = 8
+MOST_SENT = 1_000_000  # rows of the sample that may be sent to every task
 ADDERS = 64  # tasks that add the document frequencies of the scanning tasks
-REJECT_BELOW = 0.02  # cosine to the nearest centroid under which a text is taken for no known language
+LOW_SHARE, MARGIN = 0.01, 0.6  # a text is rejected under MARGIN times the cosine that all but LOW_SHARE of the training rows reach
+FEW = 30  # training rows that a bound is taken from, at least
+FLOOR = 0.02  # the bound where nothing else is known
+BINS = 200  # of the counted cosines
+CLASSES = 24  # lengths by powers of two
 UNKNOWN = "und"
 BLOCK = 128  # texts vectorised at a time
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -102,11 +111,43 @@ def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return np.vstack([c, mean / max(np.linalg.norm(mean), 1e-12)])
 
 
+def length_class(text: str | None) -> int:
+    return min(len(text or "").bit_length(), CLASSES - 1)
+
+
+def bounds(found: list[tuple[str, int, int, int]]) -> dict[str, list[float]]:
+    """Least cosines from counts (language, length class, bin, rows).
+
+    A length with few rows counts with the next shorter ones; longer texts say nothing about it. Where that is not enough, the least bound of the other
+    languages at that length holds, and at last the floor.
+    """
+    counts: dict[str, np.ndarray] = {}
+    for lang, size, b, n in found:
+        counts.setdefault(lang, np.zeros((CLASSES, BINS), np.int64))[size, b] += n
+    own_bounds: dict[str, list[float | None]] = {}
+    for lang, own in counts.items():
+        own_bounds[lang] = []
+        for size in range(CLASSES):
+            pool = np.zeros(BINS, np.int64)
+            for near in range(size, -1, -1):
+                if pool.sum() < FEW:
+                    pool += own[near]
+            enough = pool.sum() >= FEW
+            own_bounds[lang].append(max(FLOOR, MARGIN * int(np.searchsorted(np.cumsum(pool), LOW_SHARE * pool.sum(), "right")) / BINS) if enough else None)
+    least = [min((b for b in known if b is not None), default=FLOOR) for known in zip(*own_bounds.values())]
+    return {lang: [x if b is None else b for b, x in zip(own_bounds[lang], least)] for lang in sorted(own_bounds)}
+
+
 @dataclass
 class Model:
     langs: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
+    bounds: dict[str, list[float]]  # least cosine by language and length class
+
+    def least(self, lang: str, size: int) -> float:
+        own = self.bounds.get(lang)
+        return own[min(size, len(own) - 1)] if own else FLOOR
 
 
 def held_out(id_column: str) -> Column:
@@ -123,30 +164,55 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     # One row per task; added in two steps so that no task reads them all.
     total = parts.repartition(ADDERS).mapInArrow(_added, schema).coalesce(1).mapInArrow(_added, schema).collect()  # one row
     if not total:
-        return Model([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32))
+        return Model([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), {})
     idf = np.log((1 + total[0]["rows"]) / (1 + np.asarray(total[0]["df"], np.float64))).astype(np.float32) + np.float32(0.1)
-    by_lang = docs.where(~held_out(id_column)).groupBy(F.col(lang_column).alias("lang")).agg(F.count(F.lit(1)).alias("n")).where("lang is not null")
-    share = by_lang.select(F.col("lang").cast("string").alias("lang"), F.least(F.lit(1.0), sample / F.col("n")).alias("share"))
-    # One row per language; a label column that is no taxonomy falls back to a plain join.
-    share = F.broadcast(share) if by_lang.count() <= 10_000 else share
-    rank = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(share, "lang").where(rank < F.col("share")).select("lang", "text")
+    keyed = rows.select("lang", "text", F.xxhash64("text").alias("key"))
+    order = W.partitionBy("lang").orderBy("key")
+    # Spark keeps the first rows of a language before and after the shuffle, so none of its groups is larger than the sample.
+    chosen = keyed.groupBy("lang", "key").agg(F.lit(1).alias("one")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    chosen = stage(chosen.select("lang", "key"), "language-sample")
+    wanted = F.broadcast(chosen) if chosen.count() <= MOST_SENT else chosen
+    texts = keyed.join(wanted, ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
 
     def fitted(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(part["text"])
         x = np.vstack([vectors(texts[at:at + BLOCK], idf) for at in range(0, len(texts), BLOCK)])
         return pd.DataFrame({"lang": key[0], "centroid": [c.astype(np.float32).tobytes() for c in cluster(x, k)]})
 
-    found = chosen.groupBy("lang").applyInPandas(fitted, "lang string, centroid binary").collect()  # languages x (k + 1) rows
+    found = texts.groupBy("lang").applyInPandas(fitted, "lang string, centroid binary").collect()  # languages x (k + 1) rows
+    discard(chosen)
     found.sort(key=lambda r: (r["lang"], r["centroid"]))
-    return Model([r["lang"] for r in found], np.array([np.frombuffer(r["centroid"], np.float32) for r in found]).reshape(-1, DIMS), idf)
+    model = Model([r["lang"] for r in found], np.array([np.frombuffer(r["centroid"], np.float32) for r in found]).reshape(-1, DIMS), idf, {})
+    counted = rows.select("lang", "text").mapInArrow(_cosines(docs.sparkSession.sparkContext.broadcast(model)), "lang string, size int, bin int, n long")
+    counted = counted.groupBy("lang", "size", "bin").agg(F.sum("n").alias("n")).collect()  # languages x CLASSES x BINS rows at most
+    model.bounds = bounds([tuple(r) for r in counted])
+    return model
+
+
+def _cosines(handle):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Training rows by language, length and cosine to the nearest centroid of their own language, added per task."""
+        m, found = handle.value, Counter()
+        own = {lang: np.array([x == lang for x in m.langs]) for lang in set(m.langs)}
+        for batch in batches:
+            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            for at in range(0, len(texts), BLOCK):
+                cos = vectors(texts[at:at + BLOCK], m.idf) @ m.centroids.T
+                for row, (text, lang) in enumerate(zip(texts[at:at + BLOCK], langs[at:at + BLOCK])):
+                    if lang in own:
+                        found[lang, length_class(text), min(int(max(float(cos[row][own[lang]].max()), 0) * BINS), BINS - 1)] += 1
+        keys = sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.string()), *(pa.array([x[i] for x in keys], pa.int32()) for i in (1, 2)), pa.array([found[x] for x in keys], pa.int64())],
+                                         names=["lang", "size", "bin", "n"])
+
+    return run
 
 
 def classify(docs: DataFrame, model: Model, text_column: str = "text", prefix: str = "") -> DataFrame:
     """docs with lang_pred, score and rejected (names after `prefix`) added to every row.
 
     score is the cosine to the nearest centroid, 0 to 1. Null texts and texts without a letter get "und", score 0 and are rejected,
-    as is everything when no language was learned; a known language under REJECT_BELOW is rejected too but keeps its name. Ties go to
+    as is everything when no language was learned; a known language under its bound for the text's length is rejected too but keeps its name. Ties go to
     the first language by name. Repeated rows and extra columns pass through; an empty table stays empty.
     """
     names = [prefix + n for n in ("lang_pred", "score", "rejected")]
@@ -171,7 +237,7 @@ def classify(docs: DataFrame, model: Model, text_column: str = "text", prefix: s
                 else:
                     langs += [UNKNOWN] * len(part)
                     scores += [0.0] * len(part)
-            rejected = [lang == UNKNOWN or s < REJECT_BELOW for lang, s in zip(langs, scores)]
+            rejected = [lang == UNKNOWN or s < m.least(lang, length_class(text)) for text, lang, s in zip(texts, langs, scores)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
