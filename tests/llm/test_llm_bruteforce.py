@@ -3,7 +3,9 @@
 import hashlib
 import heapq
 import math
+import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -13,7 +15,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import decontaminate, fingerprints, licences, main_text, packing, queries, secrets, shards, simhash, url_filter
+from tidemark.llm import decontaminate, fingerprints, langid, licences, main_text, packing, queries, secrets, shards, simhash, url_filter
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -174,13 +176,29 @@ def test_secret_spans(spark, texts):
 
 def test_ownership_separates_copied_examples(spark):
     shared, own = "Zx9Qw7Er5Ty3Ui1Op0As2Df4Gh6", "Lk8Jh6Gf4Ds2Aq1Wz3Ex5Cr7Vt9"
-    docs = spark.createDataFrame([(i, f"key {shared} end", "en", f"owner{i}") for i in range(5)] + [(9, f"mine {own} and {shared}\nassign: password=hunter2hunter2", "en", "owner9")],
+    docs = spark.createDataFrame([(i, f"key {shared} end {i}", "en", f"owner{i}") for i in range(5)] + [(9, f"mine {own} and {shared}\nassign: password=hunter2hunter2", "en", "owner9")],
                                  "doc_id long, text string, lang string, source string")
     got = secrets.find(docs).toPandas().set_index("doc_id")
     assert (got.spans.drop(9) == "").all() and (got.n_shared == 1).all()
     assert got.spans[9] == "token:5:32,assign:73:96" and got.n_live[9] == 2
     clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
-    assert clean[0] == f"key {shared} end" and clean[9] == f"mine [secret] and {shared}\nassign: [secret]"
+    assert clean[0] == f"key {shared} end 0" and clean[9] == f"mine [secret] and {shared}\nassign: [secret]"
+
+
+def test_copies_of_one_text_have_one_owner(spark):
+    own = "Lk8Jh6Gf4Ds2Aq1Wz3Ex5Cr7Vt9"
+    docs = spark.createDataFrame([(i, f"key {own} password=hunter2hunter2", lang, f"owner{i}") for i, lang in enumerate(["en", "de", "fr", "es"])], "doc_id long, text string, lang string, source string")
+    assert all(r.n_live == 2 and r.n_shared == 0 and r.spans == "token:4:31,assign:32:55" for r in secrets.find(docs).collect())
+    assert {r.text for r in secrets.redact(docs).collect()} == {"key [secret] [secret]"}
+
+
+def test_many_spans_in_linear_time():
+    text = "".join(f"{i:016x} Lk8Jh6Gf4Ds2Aq1Wz3Ex5Cr7V{i:05d} " for i in range(40_000))
+    began = time.time()
+    base = secrets.base_spans(text)
+    assert len(base) == 40_000 and len(secrets.token_spans(text, base)) == 40_000 and time.time() - began < 20
+    inside = "password=Lk8Jh6Gf4Ds2Aq1Wz3Ex5Cr7Vt90"
+    assert secrets.token_spans(inside, secrets.base_spans(inside)) == []
 
 
 def test_leaks(spark, texts):
@@ -446,6 +464,80 @@ def test_language_accuracy(spark, texts):
     assert np.mean([truth[i] == p for i, p in zip(held.doc_id, held.lang_pred)]) > 0.95 and not got.rejected.any()
 
 
+def plain_grams(text):
+    data = b" " + b" ".join(bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode()).split()) + b" "
+    found = Counter()
+    for n, high in ((2, 0), (3, 1 << 24)):
+        for i in range(len(data) - n + 1):
+            found[(int.from_bytes(data[i:i + n], "big") | high) * 2654435761 % 2**32 >> 32 - 13] += 1
+    return found
+
+
+def test_language_by_plain_loops(spark):
+    docs = [r for r in rows("documents", "doc_id, text, lang") if len(r[1] or "") < 3000][:120]
+    train = [(t, lang) for i, t, lang in docs if zlib.crc32(str(i).encode()) % 5]
+    df = Counter(g for t, _ in train for g in plain_grams(t))
+    idf = {g: np.log((1 + len(train)) / (1 + df[g])) + 0.1 for g in range(8192)}
+
+    def unit(v):
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {g: x / size for g, x in v.items()} if size else v
+
+    def vector(text):
+        return unit({g: c**0.5 * idf[g] for g, c in plain_grams(text).items()})
+
+    def dot(a, b):
+        return sum(x * b.get(g, 0.0) for g, x in a.items())
+
+    def mean(vs):
+        out = Counter()
+        for v in vs:
+            for g, x in v.items():
+                out[g] += x / len(vs)
+        return unit(out)
+
+    centres = []
+    for lang in sorted({x for _, x in train}):
+        vs = [vector(t) for t in sorted({t for t, x in train if x == lang})]
+        starts, near = [0], [dot(v, vs[0]) for v in vs]
+        while len(starts) < min(langid.CENTROIDS, len(vs)):
+            starts.append(min(range(len(vs)), key=lambda i: near[i]))
+            near = [max(a, dot(v, vs[starts[-1]])) for a, v in zip(near, vs)]
+        cs = [vs[i] for i in starts]
+        for _ in range(langid.ROUNDS):
+            own = [max(range(len(cs)), key=lambda j: dot(v, cs[j])) for v in vs]
+            cs = [mean([v for v, o in zip(vs, own) if o == j]) if j in own else c for j, c in enumerate(cs)]
+        centres += [(lang, c) for c in [*cs, mean(vs)]]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    same = 0
+    for i, t, _ in docs:
+        scores = [(dot(vector(t), c), lang) for lang, c in centres]
+        best = max(s for s, _ in scores)
+        assert abs(got[i].score - best) < 2e-3, (i, got[i].score, best)
+        same += got[i].lang_pred == max(scores)[1]
+    assert same >= len(docs) - 1
+
+
+def test_unknown_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")  # enough rows of short lengths for their bounds
+    model = langid.fit(docs)
+    rng = random.Random(1)
+    scripts = {"cyrillic": "абвгдежзийклмнопрстуфхцчшщ", "chinese": "的一是不了人我在有他这中大来上国个到说们", "consonants": "bcdfghjklmnpqrstvwxz", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+    odd = [(k, " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(n))) for k, letters in scripts.items() for n in (60, 400)]
+    out = langid.classify(spark.createDataFrame(odd, "name string, text string"), model).collect()
+    assert all(r.rejected for r in out), [(r.name, r.score, r.lang_pred) for r in out if not r.rejected]
+    assert langid.classify(docs, model).where("rejected").count() == 0
+
+
+def test_languages_of_few_texts_stay(spark):
+    few = [f"die kleine katze schläft heute {w} auf dem dach" for w in ("nicht", "lange", "wieder", "gern", "tief")]
+    docs = [(i, few[i % 5], "de") for i in range(4000)] + [(10_000 + i, f"the small cat {i} sleeps on the roof today", "en") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), sample=50)
+    assert set(model.langs) == {"de", "en"}
+    out = langid.classify(spark.createDataFrame([(few[0],), ("the cat sleeps on the roof",)], "text string"), model).collect()
+    assert [r.lang_pred for r in out] == ["de", "en"]
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline
     from tidemark.session import fresh_path
@@ -462,9 +554,23 @@ def test_pipeline(spark, texts):
         kept.append(docs)
     language, near, clean, redacted, packed = kept
     assert language.count() == len(texts)
-    groups = simhash.near_duplicates(language).toPandas()
     survivors = {r.doc_id for r in near.collect()}
-    assert survivors == set(groups.component_id)
+    # All pairs: within four bits of the fingerprint, or similar in their five-word shingles.
+    known = sorted(texts)
+    prints = np.array([int.from_bytes(simhash.fingerprint(texts[i].encode()), "big") for i in known], np.uint64)
+    sets = [set(simhash.shingles(texts[i].encode()).tolist()) for i in known]
+    up = list(range(len(known)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(known)):
+        for j in np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= 4).tolist() + [j for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]:
+            a, b = sorted((root(i), root(j)))
+            up[b] = a
+    assert survivors == {known[i] for i in range(len(known)) if up[i] == i}
     bad = {r.doc_id for r in queries.op6_benchmark_leaks(spark, FOLDER).collect()}
     left = {r.doc_id: r.text for r in clean.collect()}
     assert set(left) == survivors - bad
