@@ -190,3 +190,18 @@ def test_label_combinations(spark):
     assert df.select(X.combinations(F.col("labels"), 3).alias("c")).first()["c"] == ["&".join(c) for c in itertools.combinations("abcd", 3)]
     sets = N.itemsets(df.selectExpr("'I' as issuer", "1 as accession", "0 as session", "labels"), 4)
     assert {r["pattern"] for r in sets.collect()} == {"&".join(c) for k in (2, 3, 4) for c in itertools.combinations("abcd", k)}
+
+
+def test_block_sums_give_the_same_draws(spark):
+    from tidemark.operators import resample as R
+    from tidemark.operators.estimators import MOMENTS
+
+    rng = np.random.default_rng(9)
+    days = spark.createDataFrame([(i,) for i in range(97)], "session int")
+    rows = [(f, i, *map(float, rng.normal(size=5))) for f in ("a", "b") for i in range(97) if rng.random() < 0.8]
+    moments = spark.createDataFrame([(f, i, 3, sx, sy, 5 + sx * sx, 5 + sy * sy, sxy) for f, i, sx, sy, _, _, sxy in rows], "feature string, session int, n long, sx double, sy double, sxx double, syy double, sxy double")
+    assert MOMENTS == moments.columns[2:]
+    slow = R.weighted_correlations(moments, R.moving_block_weights(days, 60, 10, 3), ["feature"])
+    fast = R.block_correlations(moments, days, ["feature"], 60, 10, 3)
+    a, b = ({(r.feature, r.draw): r.estimate for r in d.collect()} for d in (slow, fast))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)

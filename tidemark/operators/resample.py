@@ -67,6 +67,32 @@ def weighted_correlations(date_moments: DataFrame, weights: DataFrame, cell: Seq
     return sums.select(*cell, "draw", correlation().alias("estimate"))
 
 
+def block_correlations(date_moments: DataFrame, sessions: DataFrame, cell: Sequence[str], draws: int, block: int, seed: int, first: int = 0) -> DataFrame:
+    """What `weighted_correlations` gives under `moving_block_weights`, for thousands of draws.
+
+    A draw is a list of block starts, and a block's moments are the same in every draw, so they are summed once for every start. Draws then meet one row a
+    block instead of one a session: `block` times fewer, and nothing is expanded to sessions. The last block is cut, so its sums are kept as well.
+    """
+    n = sessions.agg(F.count(F.lit(1)).cast("int")).scalar()
+    slots = F.ceil(n / block).cast("int")
+    grid = date_moments.select(*cell).distinct().withColumn("session", F.explode(F.sequence(F.lit(0), n - 1)))
+    dense = grid.join(date_moments, [*cell, "session"], "left").withColumns({m: F.coalesce(m, F.lit(0)) for m in MOMENTS})
+    within = W.partitionBy(*cell).orderBy("session")
+    # A cell's sessions are the calendar. The cut block is added up from the days of its start.
+    sums = dense.withColumns({f"{m}_block": F.sum(m).over(within.rowsBetween(0, block - 1)) for m in MOMENTS}).withColumns({f"{m}_days": F.collect_list(m).over(within.rowsBetween(0, block - 1)) for m in MOMENTS})
+    last = (n - (slots - 1) * block).cast("int")
+    sums = sums.withColumn("_last", last)
+    cut = {f"{m}_cut": F.aggregate(F.slice(f"{m}_days", F.lit(1), F.col("_last")), F.lit(0.0), lambda a, x: a + x) for m in MOMENTS}
+    sums = sums.withColumns(cut).select(*cell, F.col("session").alias("start"), *[f"{m}_{k}" for m in MOMENTS for k in ("block", "cut")])
+    size = sessions.agg(F.count(F.lit(1)).alias("n"))
+    starts = _draws(size, draws, first).withColumn("slot", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
+    start = (counter_draw(seed, F.lit("block"), "draw", "slot") % F.greatest(F.lit(1), F.col("n") - block + 1)).cast("int")
+    starts = starts.select("draw", start.alias("start"), (F.col("slot") == F.ceil(F.col("n") / block) - 1).alias("is_last"))
+    met = starts.join(sums, "start")
+    total = met.groupBy(*cell, "draw").agg(*[F.sum(F.when(F.col("is_last"), F.col(f"{m}_cut")).otherwise(F.col(f"{m}_block"))).alias(m) for m in MOMENTS])
+    return total.select(*cell, "draw", correlation().alias("estimate"))
+
+
 def weighted_means(sums: DataFrame, weights: DataFrame, cell: Sequence[str], on: Sequence[str], total: str, count: str) -> DataFrame:
     """Weighted mean of every cell under every draw, from (total, count) by the resampled unit."""
     joined = sums.join(weights, list(on))

@@ -17,11 +17,13 @@ from tidemark.session import snapshot
 from tidemark.sources import tables as T
 
 DRAWS, BLOCK, SEED = 99, 21, 5
+FAMILY_DRAWS = 4999  # a family interval needs 20 draws in each tail: 2 * 6 * 20 / 0.05 = 4800
 
 _D = "CAST(draw AS VARCHAR)"
 _S = "CAST(slot AS VARCHAR)"
-view("moving_weights", "sessions", f"""WITH n AS (SELECT count(*) AS n FROM sessions),
-    p AS (SELECT draw, slot, n, {draw("'5'", "'block'", _D, _S)} % greatest(1, n - {BLOCK} + 1) AS start FROM n CROSS JOIN generate_series(0, {DRAWS - 1}) d(draw) CROSS JOIN LATERAL (SELECT unnest(generate_series(0, CAST(ceil(n / {BLOCK}) AS BIGINT) - 1)) AS slot) s)
+for _name, _count in (("moving_weights", DRAWS), ("family_weights", FAMILY_DRAWS)):
+    view(_name, "sessions", f"""WITH n AS (SELECT count(*) AS n FROM sessions),
+    p AS (SELECT draw, slot, n, {draw("'5'", "'block'", _D, _S)} % greatest(1, n - {BLOCK} + 1) AS start FROM n CROSS JOIN generate_series(0, {_count - 1}) d(draw) CROSS JOIN LATERAL (SELECT unnest(generate_series(0, CAST(ceil(n / {BLOCK}) AS BIGINT) - 1)) AS slot) s)
     SELECT draw, start + step AS session, count(*) AS weight FROM p CROSS JOIN generate_series(0, {BLOCK - 1}) g(step) WHERE slot * {BLOCK} + step < n AND start + step < n GROUP BY 1, 2""")
 view("year_weights", "sessions", f"""WITH y AS (SELECT year(date) AS year, count(*) AS n, min(session) AS base FROM sessions GROUP BY 1),
     p AS (SELECT draw, slot, n, base, {draw("'5'", "'year'", _D, 'CAST(year AS VARCHAR)', _S)} % n AS start FROM y CROSS JOIN generate_series(0, {DRAWS - 1}) d(draw) CROSS JOIN LATERAL (SELECT unnest(generate_series(0, CAST(ceil(n / {BLOCK}) AS BIGINT) - 1)) AS slot) s)
@@ -63,8 +65,9 @@ def date_moments(spark, folder):
 
 _WM = ", ".join(f"sum(weight * {m}) AS {m}" for m in E.MOMENTS)
 _CORR = "CASE WHEN n >= 3 AND (sxx - sx * sx / n) > 1e-9 AND (syy - sy * sy / n) > 1e-9 THEN (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) END"
-view("correlation_draws", "cells moving_weights", f"""SELECT feature, draw, {_CORR} AS estimate FROM (SELECT feature, draw, {_WM} FROM (SELECT feature, session, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy
-    FROM cells WHERE lag = 0 AND kind = 'return' AND horizon = 5 GROUP BY 1, 2) JOIN moving_weights USING (session) GROUP BY 1, 2)""")
+for _name, _weights in (("correlation_draws", "moving_weights"), ("family_draws", "family_weights")):
+    view(_name, f"cells {_weights}", f"""SELECT feature, draw, {_CORR} AS estimate FROM (SELECT feature, draw, {_WM} FROM (SELECT feature, session, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy
+    FROM cells WHERE lag = 0 AND kind = 'return' AND horizon = 5 GROUP BY 1, 2) JOIN {_weights} USING (session) GROUP BY 1, 2)""")
 
 
 def correlation_draws(spark, folder):
@@ -178,9 +181,10 @@ def r9(spark, folder):
 
 
 @study("r10_family_interval", f"""SELECT feature, count(estimate) AS valid, {r('CASE WHEN count(estimate) * (0.05::DOUBLE / 6 / 2) >= 20::DOUBLE THEN quantile_cont(estimate, 0.05::DOUBLE / 6 / 2) END')} AS lower,
-  {r('CASE WHEN count(estimate) * (0.05::DOUBLE / 6 / 2) >= 20::DOUBLE THEN quantile_cont(estimate, 1 - 0.05::DOUBLE / 6 / 2) END')} AS upper, CASE WHEN count(estimate) * (0.05::DOUBLE / 6 / 2) >= 20::DOUBLE THEN 'resolved' ELSE 'unresolved_tail' END AS status FROM correlation_draws GROUP BY 1""", "correlation_draws")
+  {r('CASE WHEN count(estimate) * (0.05::DOUBLE / 6 / 2) >= 20::DOUBLE THEN quantile_cont(estimate, 1 - 0.05::DOUBLE / 6 / 2) END')} AS upper, CASE WHEN count(estimate) * (0.05::DOUBLE / 6 / 2) >= 20::DOUBLE THEN 'resolved' ELSE 'unresolved_tail' END AS status FROM family_draws GROUP BY 1""", "family_draws")
 def r10(spark, folder):
-    return R.family_interval(correlation_draws(spark, folder), ["feature"], 6, tail_draws=20).withColumns({"lower": rounded("lower"), "upper": rounded("upper")})
+    draws = R.block_correlations(date_moments(spark, folder), sessions(spark, folder), ["feature"], FAMILY_DRAWS, BLOCK, SEED)
+    return R.family_interval(draws, ["feature"], 6, tail_draws=20).withColumns({"lower": rounded("lower"), "upper": rounded("upper")})
 
 
 view("studentized", "centred observed", """SELECT o.comparison, o.estimate AS point, s.se, abs(o.estimate / s.se) AS t FROM observed o JOIN (SELECT comparison, stddev_samp(estimate) AS se FROM centred GROUP BY 1 HAVING count(*) = count(estimate)) s USING (comparison) WHERE se > 1e-12""")
