@@ -84,3 +84,36 @@ def test_late_bound_survives_a_repeated_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(out)
     kept, late = B.split_late(stream, "test", 3600 * 1_000_000)
     assert sorted(r.event_id for r in kept.collect()) == [0, 1, 3] and [r.event_id for r in late.collect()] == [2]
+
+
+def test_an_ended_stream_closes_its_own_bins(spark):
+    rows = ticks(spark)
+    bars = B.drain_to_end(arriving(spark, rows), lambda t: B.resampled(t, "1 hour", ["user_id"]), "bars")
+    want = rows.groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+    assert {(r.user_id, r.start, r.ticks) for r in bars.collect()} == {tuple(r) for r in want.collect()}
+    gaps = B.drain_to_end(arriving(spark, rows.where("event_id % 30 < 12")), lambda t: B.gap_sessions(t, "2 hours", ["user_id"]), "gaps")
+    assert sorted((r.user_id, r.ticks) for r in gaps.collect()) == [(u, 4) for u in (0, 0, 1, 1, 2, 2)]
+
+
+def test_crossings_carry_their_side_over_batches(spark):
+    values = [1.0, 2.0, 3.0, 2.0, 1.0, 0.0, 0.0, 5.0, 6.0, 1.0, 1.0, 1.0]
+    rows = spark.createDataFrame([(i, i * 3600, 1, "a", v) for i, v in enumerate(values)], "event_id bigint, s bigint, user_id bigint, event_type string, value double").select(
+        "event_id", F.timestamp_seconds(F.col("s") + 1704067200).alias("ts"), "user_id", "event_type", "value")
+    sink = fresh_path(spark, "means")
+    means = B.drain_to_end(arriving(spark, rows.withColumn("event_id", F.col("event_id") * 5)), lambda t: B.sliding_means(t, "3 hours", "1 hour", ["event_type"]), "means", sink)
+    again = fresh_path(spark, "means")  # one file a trigger, in the order of the windows
+    ordered = [r.start for r in means.orderBy("start").collect()]
+    for low in range(0, len(ordered), 5):
+        means.where(F.col("start").isin(ordered[low:low + 5])).coalesce(1).write.mode("append").parquet(again)
+        time.sleep(0.05)
+    stream = spark.readStream.schema(means.schema).option("maxFilesPerTrigger", 1).parquet(again)
+    got = [r.crossing for r in B.drain(B.crossings(stream, ["event_type"]), "crossings").orderBy("start").collect()]
+    want, last = [], 0
+    for end in range(1, len(values) + 3):
+        window = values[max(0, end - 3):min(end, len(values))]
+        fast = values[end - 1] if end <= len(values) else None
+        apart = 0 if fast is None else round(fast - sum(window) / len(window), 6)
+        side = (apart > 0) - (apart < 0) or last
+        want.append(side if side != last and last else 0)
+        last = side
+    assert got == want and 1 in want and -1 in want

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import rounded
 from tidemark.plans.registry import study
 from tidemark.plans.sqlviews import r
-from tidemark.session import fresh_path, stage
+from tidemark.session import fresh_path
 from tidemark.sources import tables as T
 from tidemark.streaming import bars as B
 
@@ -22,20 +22,6 @@ def arriving(spark, folder, repeats: bool = False):
     return ticks.unionByName(ticks) if repeats else ticks
 
 
-def closed_out(live, ticks, build, keys: list[str]):
-    """The closed bins of a stream whose source has ended, and the bins that its watermark left open, from the stored ticks."""
-    # Written first: merged sessions must not be planned into the join, which would cut them by its own keys.
-    rest = stage(build(ticks), "last-bins").join(live.select(*keys, "start"), [*keys, "start"], "left_anti")
-    return live.unionByName(rest)
-
-
-def last_ticks(spark, folder, hours: int):
-    """Stored ticks that a bin of that many hours, open at the end, can hold."""
-    rows = T.events(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    end = rows.agg(F.max("ts")).scalar()
-    return rows.where(F.col("ts") >= end - F.expr(f"INTERVAL {hours + 1} HOURS"))
-
-
 def stamp(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
@@ -66,32 +52,27 @@ def t3(spark, folder):
 @study("t4_resampled_bars", f"""SELECT event_type, strftime(time_bucket(INTERVAL 60 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS start, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS ticks, {r('sum(value)', 4)} AS volume
 FROM events GROUP BY event_type, time_bucket(INTERVAL 60 MINUTE, ts)""")
 def t4(spark, folder):
-    def build(ticks):
-        return B.resampled(ticks, "60 minutes", ["event_type"])
-
-    out = closed_out(B.drain(build(arriving(spark, folder)), "t4"), last_ticks(spark, folder, 1), build, ["event_type"])
+    out = B.drain_to_end(arriving(spark, folder), lambda ticks: B.resampled(ticks, "60 minutes", ["event_type"]), "t4")
     return out.select("event_type", stamp("start").alias("start"), "open", "high", "low", "close", "ticks", rounded("volume", 4).alias("volume"))
 
 
-@study("t5_sliding_means", f"""WITH b AS (SELECT event_type, value, time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL (k * 2) HOUR AS start FROM events CROSS JOIN generate_series(0, 2) g(k))
-SELECT event_type, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, {r('avg(value)')} AS mean, count(*) AS ticks FROM b GROUP BY event_type, b.start""")
+@study("t5_sliding_means", f"""WITH b AS (SELECT event_type, ts, value, time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL (k * 2) HOUR AS start FROM events CROSS JOIN generate_series(0, 2) g(k)),
+m AS (SELECT event_type, start, avg(value) AS mean, avg(value) FILTER (WHERE ts >= start + INTERVAL 4 HOUR) AS fast, count(*) AS ticks FROM b GROUP BY event_type, b.start),
+s AS (SELECT *, nullif(sign(round(fast - mean, 6)), 0) AS side FROM m),
+h AS (SELECT *, last_value(side IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY start ROWS UNBOUNDED PRECEDING) AS held, last_value(side IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+SELECT event_type, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, {r('mean')} AS mean, {r('fast')} AS fast, ticks, CAST(CASE WHEN held <> before THEN held ELSE 0 END AS INTEGER) AS crossing FROM h""")
 def t5(spark, folder):
-    def build(ticks):
-        return B.sliding_means(ticks, "6 hours", "2 hours", ["event_type"])
-
-    out = closed_out(B.drain(build(arriving(spark, folder)), "t5"), last_ticks(spark, folder, 6), build, ["event_type"])
-    return out.select("event_type", stamp("start").alias("start"), rounded("mean").alias("mean"), "ticks")
+    """Two stateful steps, the second one reading the first one's closed windows as they come."""
+    sink = fresh_path(spark, "t5-means")
+    means = B.drain_to_end(arriving(spark, folder), lambda ticks: B.sliding_means(ticks, "6 hours", "2 hours", ["event_type"]), "t5", sink)
+    out = B.drain(B.crossings(spark.readStream.schema(means.schema).parquet(sink), ["event_type"]), "t5-crossings")
+    return out.select("event_type", stamp("start").alias("start"), rounded("mean").alias("mean"), rounded("fast").alias("fast"), "ticks", "crossing")
 
 
 @study("t6_gap_sessions", f"""WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 4 HOUR THEN 1 ELSE 0 END AS cut FROM events), g AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS ticks, {r('sum(value)', 4)} AS volume FROM g GROUP BY user_id, k""")
 def t6(spark, folder):
-    def build(ticks):
-        return B.gap_sessions(ticks, "4 hours", ["user_id"])
-
-    # A session has no bound on its length, so open ones are taken from all stored ticks.
-    stored = T.events(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = closed_out(B.drain(build(arriving(spark, folder)), "t6"), stored, build, ["user_id"])
+    out = B.drain_to_end(arriving(spark, folder), lambda ticks: B.gap_sessions(ticks, "4 hours", ["user_id"]), "t6")
     return out.select("user_id", stamp("start").alias("start"), "ticks", rounded("volume", 4).alias("volume"))
 
 

@@ -6,6 +6,7 @@ DataFrame; `drain` runs a stream to the end of its input and returns the sink.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,6 +36,30 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+END = dt.datetime(2200, 1, 1)  # later than any tick
+
+
+def drain_to_end(ticks: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, sink: str | None = None) -> DataFrame:
+    """`build` over a stream of ticks whose source ends: every bin is closed by the stream itself.
+
+    A second source carries marks. When the ticks are drained, one mark with a late time and no key arrives; it moves the watermark past all open
+    bins, which the query, going on from its own checkpoint, then emits. The mark's own bin stays open, so it is in no result.
+    """
+    spark = ticks.sparkSession
+    marks, out, state = fresh_path(spark, f"{name}-marks"), sink or fresh_path(spark, name), fresh_path(spark, f"{name}-state")
+    spark.createDataFrame([], ticks.schema).write.parquet(marks)
+    stream = build(ticks.unionByName(spark.readStream.schema(ticks.schema).parquet(marks)))
+
+    def run() -> None:
+        query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state)
+        query.trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    spark.createDataFrame([tuple(END if c == "ts" else None for c in ticks.columns)], ticks.schema).write.mode("append").parquet(marks)
+    run()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def drain_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int], None]) -> None:
     query = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", fresh_path(stream.sparkSession, f"{name}-state"))
              .trigger(availableNow=True).start())
@@ -61,8 +86,32 @@ def resampled(ticks: DataFrame, width: str, keys: list[str]) -> DataFrame:
 
 
 def sliding_means(ticks: DataFrame, width: str, slide: str, keys: list[str]) -> DataFrame:
-    return ticks.withWatermark("ts", LATENESS).groupBy(*keys, F.window("ts", width, slide).alias("bin")).agg(
-        F.avg("value").alias("mean"), F.count(F.lit(1)).alias("ticks")).select(*keys, F.col("bin.start").alias("start"), "mean", "ticks")
+    """Sliding windows with the mean of the whole window and of its last slide (fast, null without a tick there)."""
+    late = F.col("ts") >= F.col("bin.end") - F.expr(f"INTERVAL {slide}")
+    bins = ticks.withWatermark("ts", LATENESS).select(*keys, "ts", "value", F.window("ts", width, slide).alias("bin"))
+    return bins.groupBy(*keys, "bin").agg(F.avg("value").alias("mean"), F.avg(F.when(late, F.col("value"))).alias("fast"), F.count(F.lit(1)).alias("ticks")).select(
+        *keys, F.col("bin.start").alias("start"), "mean", "fast", "ticks")
+
+
+def crossings(means: DataFrame, keys: list[str]) -> DataFrame:
+    """A stream of closed sliding windows plus `crossing`: 1 where fast crosses the mean upwards, -1 downwards, else 0.
+
+    Triggers must bring windows in their order, as one that takes all closed windows does; within a trigger they are put in order. The state keeps each key's last side. A window without a side (equal means,
+    or no tick in its last slide) keeps the side before it.
+    """
+    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState):
+        last = state.get[0] if state.exists else 0
+        rows = pd.concat(list(chunks), ignore_index=True).sort_values("start", kind="stable")
+        apart = (rows["fast"] - rows["mean"]).round(6)
+        side = apart.gt(0).astype(int) - apart.lt(0).astype(int)
+        held = side.where(side != 0).ffill().fillna(last).astype(int)
+        before = held.shift(1, fill_value=last)
+        rows["crossing"] = held.where((held != before) & (before != 0), 0).astype(int)
+        state.update((int(held.iloc[-1]),))
+        yield rows
+
+    schema = T.StructType([*means.schema.fields, T.StructField("crossing", T.IntegerType())])
+    return means.groupBy(*keys).applyInPandasWithState(step, schema, "side int", "append", GroupStateTimeout.NoTimeout)
 
 
 def gap_sessions(ticks: DataFrame, gap: str, keys: list[str]) -> DataFrame:
@@ -127,19 +176,25 @@ def attach_session(ticks: DataFrame, sessions: DataFrame) -> DataFrame:
 def split_late(stream: DataFrame, name: str, lateness_us: int) -> tuple[DataFrame, DataFrame]:
     """Rows in time and rows later than the bound, each in its own sink; nothing is dropped silently.
 
-    The bound follows the largest timestamp of all earlier batches. Each batch is written once, to a place of its own that a
-    repeated batch overwrites, and its rows give the bound of the later ones, so a restart goes on with the same bound.
+    The bound follows the largest timestamp of all earlier batches. Each batch and its largest time are written once, to places of their own that a
+    repeated batch overwrites, so a restart goes on with the same bound.
     """
     spark = stream.sparkSession
     sink = fresh_path(spark, name)
     schema = T.StructType([*stream.schema.fields, T.StructField("late", T.BooleanType()), T.StructField("batch", T.LongType())])
     spark.createDataFrame([], schema.fromJson({**schema.jsonValue(), "fields": schema.jsonValue()["fields"][:-1]})).write.mode("append").parquet(f"{sink}/batch=-1")
 
+    highs = f"{sink}-highs"
+    high_schema = "high bigint, batch bigint"
+    spark.createDataFrame([], "high bigint").write.mode("append").parquet(f"{highs}/batch=-1")
+
     def handle(batch: DataFrame, number: int) -> None:
-        earlier = spark.read.schema(schema).parquet(sink).where(F.col("batch") < number)
-        high = earlier.agg(F.max(F.unix_micros("ts")).alias("m")).first()["m"]
+        # One small row a batch holds its largest time, so a batch does not read the rows of all earlier ones.
+        high = spark.read.schema(high_schema).parquet(highs).where(F.col("batch") < number).agg(F.max("high").alias("m")).first()["m"]
         late = F.lit(False) if high is None else F.coalesce(F.unix_micros("ts") < high - lateness_us, F.lit(False))
         batch.withColumn("late", late).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        own = spark.read.schema(schema).parquet(f"{sink}/batch={number}")
+        own.agg(F.max(F.unix_micros("ts")).alias("high")).coalesce(1).write.mode("overwrite").parquet(f"{highs}/batch={number}")
 
     drain_batches(stream, name, handle)
     rows = spark.read.schema(schema).parquet(sink)
