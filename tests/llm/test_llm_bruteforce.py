@@ -598,3 +598,27 @@ def test_pipeline_stages_take_odd_rows(spark):
     assert corpus_pipeline.without_secrets(spark, docs, FOLDER).count() == len(rows_)
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, docs.limit(0), FOLDER).count() == 0
+
+
+PARAGRAPHS = [f"Paragraph number {i}, with a fair amount of words, commas, and sense in it, so that it scores." for i in range(4)]
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="content no-sidebar">%s</div>', '<div class="has-sidebar">%s</div>', '<div class="with-comments">%s</div>', '<div class="page-header-fixed">%s</div>',
+                                     '<div class="entry-content share">%s</div>', '<form id="aspnetForm">%s</form>',
+                                     '<div class="has-sidebar"><div class="site-header">Site name</div><article>%s</article><div class="sidebar-left">Other <a href=x>links</a> here</div></div>'])
+def test_wrappers_named_like_boilerplate_keep_their_article(wrapper):
+    inner = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    page = f"<html><body><nav>menu</nav>{wrapper % inner}<div class='site-footer'>Copyright</div></body></html>"
+    assert main_text.main_text(page) == "\n\n".join(PARAGRAPHS)
+
+
+def test_long_comments_and_teasers_stay_out():
+    inner = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    page = f"<body><article>{inner}</article><section class='comments'>{inner * 5}</section><div class='related-posts'><article>A teaser</article></div><form class=signup-form>Your address</form></body>"
+    assert main_text.main_text(page) == "\n\n".join(PARAGRAPHS)
+
+
+def test_stray_tags_in_linear_time():
+    began = time.time()
+    assert main_text.main_text("<b>" * 3000 + "</i>" * 200_000 + "<hr>" * 100_000 + "text") == "text"
+    assert time.time() - began < 20

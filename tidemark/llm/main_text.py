@@ -3,11 +3,15 @@
 Paragraphs pass points for their length and commas to their ancestors, halved at every step beyond the parent and discounted by the
 share of the text that is link text. The best container and those siblings that score near it, or hold long unlinked paragraphs,
 are kept. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are taken out first.
+
+A name that merely contains a boilerplate word, one beside a name of main content, and a form may also belong to a wrapper of the whole page. Such an
+element stays if it holds most of the page's unlinked text, or an article or main element with much of it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,23 +37,25 @@ TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.IGNORECASE)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 SIBLING_SHARE = 0.2
+MOST, MUCH = 0.5, 0.25  # of the page's unlinked text: what makes a wrapper of an element, and of one around an article
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "likely", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "likely", "doubtful", "block", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, likely: bool = False) -> None:
-        self.tag, self.parent, self.dropped, self.likely = tag, parent, dropped, likely
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, likely: bool = False, doubtful: bool = False) -> None:
+        self.tag, self.parent, self.dropped, self.likely, self.doubtful = tag, parent, dropped, likely, doubtful
+        self.block: Node = parent.block if parent is not None and tag in INLINE else self  # the nearest element that is not inline
         self.children: list[Node | str] = []
         self.score = 0.0
         self.chars = self.linked = 0
 
 
-def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(boilerplate, likely main) by name and attributes."""
-    if tag in DROPPED:
-        return True, False
-    dropped = likely = False
+def _unwanted(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(boilerplate, likely main, boilerplate unless it wraps the main text) by name and attributes."""
+    if tag in DROPPED and tag != "form":
+        return True, False, False
+    dropped = likely = named = partly = False
     if attributes and not attributes.isspace():
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
@@ -57,18 +63,30 @@ def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
                 dropped = True
             elif name in ("class", "id", "role"):
                 likely = likely or bool(MAIN.search(value))
-                # An article is boilerplate only by a whole name (a reader's comment), not by a part such as "comments-open".
-                dropped = dropped or (any(BOILERPLATE.fullmatch(v) for v in value.split()) if tag == "article" else bool(BOILERPLATE.search(value)))
+                named = named or any(BOILERPLATE.fullmatch(v) for v in value.split())
+                partly = partly or bool(BOILERPLATE.search(value))
     if tag in ("html", "body", "main"):
-        return False, True
-    likely = likely or tag == "article"
-    return dropped, likely
+        return False, True, False
+    if tag == "article":  # boilerplate only by a whole name (a reader's comment), not by a part such as "comments-open"
+        return dropped or named, True, False
+    dropped = dropped or named and not likely
+    return dropped, likely, not dropped and (named or partly or tag == "form")
 
 
 def parse(html: str) -> Node:
     """A tree of any markup: stray end tags are passed over, open elements close with their container, paragraphs at the next block."""
     root = node = Node("#root", None, False)
     at, n = 0, len(html)
+    opened: Counter[str] = Counter()
+
+    def closed(here: Node, last: Node) -> Node:
+        """Closes all from `here` up to `last`; gives what is open then."""
+        while here is not last:
+            opened[here.tag] -= 1
+            here = here.parent
+        opened[last.tag] -= 1
+        return last.parent
+
     while at < n:
         m = TOKEN.search(html, at)
         end = m.start() if m else n
@@ -82,20 +100,18 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if opened[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = closed(node, up)
             elif tag == "p":
                 node.children.append(Node("p", node, False))  # as browsers do: an empty paragraph, which ends the block
             continue
         if tag not in INLINE:  # a block closes an open paragraph of the same container
-            up = node
-            while up.tag in INLINE and up is not root:
-                up = up.parent
+            up = node.block
             if up.tag == "p" or tag == up.tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option") or tag in ("dt", "dd") and up.tag in ("dt", "dd"):
-                node = up.parent
+                node = closed(node, up)
         new = Node(tag, node, *_unwanted(tag, m[3]))
         node.children.append(new)
         if tag in RAW:
@@ -103,9 +119,37 @@ def parse(html: str) -> Node:
             at = close.end() if close else n
         elif tag not in VOID and not m[3].endswith("/") or tag in PARAGRAPHS:
             node = new
+            opened[tag] += 1
+    _settle_doubts(root)
     return root
 
 
+def _settle_doubts(root: Node) -> None:
+    """Drop the doubtful elements that wrap no main text."""
+    order, stack, doubts = [], [(root, False)], False
+    text: dict[int, int] = {}
+    while stack:
+        node, in_link = stack.pop()
+        in_link = in_link or node.tag == "a"
+        order.append(node)
+        doubts = doubts or node.doubtful
+        text[id(node)] = 0 if in_link else sum(len(c) for c in node.children if isinstance(c, str) and not c.isspace())
+        stack.extend((c, in_link) for c in node.children if not isinstance(c, str) and not c.dropped)
+    if not doubts:
+        return
+    largest: dict[int, int] = {}  # text of the largest article or main element at or below a node
+    for node in reversed(order):
+        if node.tag in ("article", "main"):
+            largest[id(node)] = text[id(node)]
+        if node.parent is not None:
+            text[id(node.parent)] += text[id(node)]
+            largest[id(node.parent)] = max(largest.get(id(node.parent), 0), largest.get(id(node), 0))
+    total = text[id(root)]
+    for node in order:
+        if node.doubtful:
+            node.dropped = not (text[id(node)] > MOST * total or largest.get(id(node), 0) > MUCH * total)
+
+
 def blocks(node: Node) -> list[tuple[Node, str]]:
     """(block element, text) in page order; white space is one space, references are decoded, dropped elements are left out."""
     out: list[tuple[Node, str]] = []
@@ -209,14 +253,11 @@ def main_text(html: str | None) -> str:
             paragraph = c.tag in PARAGRAPHS and c.chars and _density(c) < 0.25
             if good or paragraph:
                 chosen.add(id(c))
-    inside: list[str] = []
-    for owner, text in kept:
-        up = owner
-        while up is not None and id(up) not in chosen:
-            up = up.parent
-        if up is not None:
-            inside.append(text)
-    return "\n\n".join(inside)
+    held: set[int] = set()
+    for node in order:  # parents first
+        if id(node) in chosen or node.parent is not None and id(node.parent) in held:
+            held.add(id(node))
+    return "\n\n".join(text for owner, text in kept if id(owner) in held)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
