@@ -94,11 +94,15 @@ def _retried(rest: str) -> str:
     Both versions' keys enter a block's cells with opposite signs, which is their subtraction.
     """
     merged = "if(d.ok, named_struct('rest', t.rest, 'a', t.a + d.a, 'b', t.b + d.b), named_struct('rest', concat(t.rest, transform(part, e -> named_struct('k', e.k, 's', e.s))), 'a', t.a, 'b', t.b))"
-    block = _let("filter(es, e -> e.at = block)", "part", f"if(size(part) = 0, t, {_let(_peel(_sketch('part'), 'turn'), 'd', merged)})")
+    # Keys are put in the order of their blocks once; a block then is a slice.
+    part = "transform(slice(es, starts[j] + 1, coalesce(get(starts, j + 1), size(es)) - starts[j]), x -> x.e)"
+    block = _let(part, "part", _let(_peel(_sketch("part"), "turn"), "d", merged))
     empty = f"cast(array() as {_REST})"
     blocks = f"(size(u.rest) div {PER_BLOCK} + 1)"
-    attempt = _let(_entries("u.rest", "turn", blocks), "es",
-                   f"aggregate(sequence(0, cast({blocks} - 1 as int)), named_struct('rest', {empty}, 'a', u.a, 'b', u.b), (t, block) -> {block})")
+    walked = f"aggregate(sequence(0, size(starts) - 1), named_struct('rest', {empty}, 'a', u.a, 'b', u.b), (t, j) -> {block})"
+    starts = "filter(transform(es, (x, i) -> if(i = 0, 0, if(x.at <> get(es, i - 1).at, i, -1))), i -> i >= 0)"
+    ordered = f"array_sort(transform({_entries('u.rest', 'turn', blocks)}, e -> named_struct('at', e.at, 'e', e)))"
+    attempt = _let(ordered, "es", _let(starts, "starts", walked))
     # Keys that no hashing separated are counted without a sketch.
     net = "aggregate(filter(u.rest, e -> e.k = x), 0L, (n, e) -> n + e.s)"
     kinds = "array_distinct(transform(u.rest, e -> e.k))"
