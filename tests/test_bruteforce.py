@@ -205,3 +205,19 @@ def test_block_sums_give_the_same_draws(spark):
     fast = R.block_correlations(moments, days, ["feature"], 60, 10, 3)
     a, b = ({(r.feature, r.draw): r.estimate for r in d.collect()} for d in (slow, fast))
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_sweep_equals_residual_correlation(spark):
+    from tidemark.operators import linear as L
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6))
+    x[:, 4] = x[:, 2] + x[:, 3]  # a control that the others explain
+    x[:, 0] += x[:, 2] - 2 * x[:, 5]
+    x[:, 1] += 0.5 * x[:, 0] + x[:, 3]
+    df = spark.createDataFrame([("k", *map(float, row)) for row in x], "k string, " + ", ".join(f"c{i} double" for i in range(6)))
+    grams = L.within(L.products(df, ["k"], [f"c{i}" for i in range(6)]), ["k"], 6)
+    got = L.swept(grams, 6, [2, 3, 4, 5]).select(L.partial(0, 1).alias("r")).first()["r"]
+    design = np.column_stack([np.ones(300), x[:, 2:]])
+    left = [v - design @ np.linalg.lstsq(design, v, rcond=None)[0] for v in (x[:, 0], x[:, 1])]
+    assert abs(got - np.corrcoef(*left)[0, 1]) < 1e-9

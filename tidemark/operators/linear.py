@@ -51,6 +51,27 @@ def without_each(grams: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     return whole.withColumns({c: F.col(f"_all_{c}") - F.col(c) for c in names}).drop(*[f"_all_{c}" for c in names])
 
 
+PIVOT = 1e-10  # of a control's own product, under which the controls before it explain it
+
+
+def swept(grams: DataFrame, size: int, controls: Sequence[int]) -> DataFrame:
+    """Products that are left of all columns once the controls are taken out, one elimination step a control; any number of them, inside the JVM.
+
+    A control that those before it explain adds nothing and is passed over.
+    """
+    out = grams.withColumns({f"_d_{k}": F.col(_name(k, k)) for k in controls})
+    for k in controls:
+        good = F.col(_name(k, k)) > PIVOT * F.col(f"_d_{k}")
+        out = out.withColumns({_name(i, j): F.when(good, F.col(_name(i, j)) - F.col(_name(i, k)) * F.col(_name(j, k)) / F.col(_name(k, k))).otherwise(F.col(_name(i, j)))
+                               for i in range(size) for j in range(i, size) if k not in (i, j)})
+    return out.drop(*[f"_d_{k}" for k in controls])
+
+
+def partial(i: int, j: int) -> Column:
+    """Correlation of what is left of two columns."""
+    return F.col(_name(i, j)) / F.sqrt(F.col(_name(i, i)) * F.col(_name(j, j)))
+
+
 def solve(grams: DataFrame, keys: Sequence[str], regressors: Sequence[str], limit: float = 1e10) -> DataFrame:
     """(keys, name, coef, condition): one row per regressor; NULL coef on deficient rank or bad conditioning.
 

@@ -18,7 +18,7 @@ from tidemark.plans.events import DATA_EXCLUSION, NAMES, complete, component_mat
 from tidemark.plans.inference import DRAWS, SEED
 from tidemark.plans.market import CATEGORIES, HORIZONS, moves, study_panel
 from tidemark.plans.registry import study
-from tidemark.plans.sqlviews import r, view
+from tidemark.plans.sqlviews import gram_name, gram_sql, r, swept_sql, view
 from tidemark.session import snapshot
 from tidemark.sources import tables as T
 
@@ -34,30 +34,23 @@ def c2(spark, folder):
     return info.join(distance, ["feature", "kind"]).withColumns({c: rounded(c, 5) for c in ("mutual_information", "distance_correlation")})
 
 
-def _pc(a: str, b: str, c: str) -> str:
-    return f"(({a}) - ({b}) * ({c})) / sqrt((1 - ({b}) * ({b})) * (1 - ({c}) * ({c})))"
+PARTIAL_CONTROLS = ["past_return_5", "past_return_20", "past_vol_20", "past_log_volume", "market_past_return_5"]
+_PARTIAL = [f'"{EVENT}"', "return_5", *PARTIAL_CONTROLS]
+_SIZE = len(_PARTIAL)
+_PAIRS = [(i, j) for i in range(_SIZE) for j in range(i, _SIZE)]
 
 
 @study("c3_partial_correlation", f"""
-WITH d AS (SELECT ticker, "event__1-URGENT" - avg("event__1-URGENT") OVER k AS x, return_5 - avg(return_5) OVER k AS y, past_return_5 - avg(past_return_5) OVER k AS z, past_vol_20 - avg(past_vol_20) OVER k AS v
-  FROM panel WHERE return_5 IS NOT NULL WINDOW k AS (PARTITION BY ticker)),
-c AS (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(x, v) AS xv, corr(y, z) AS yz, corr(y, v) AS yv, corr(z, v) AS zv, count(*) AS rows FROM d),
-p AS (SELECT rows, {_pc('xy', 'xz', 'yz')} AS xy, {_pc('xv', 'xz', 'zv')} AS xv, {_pc('yv', 'yz', 'zv')} AS yv FROM c)
-SELECT 'event__1-URGENT' AS feature, rows, {r(_pc('xy', 'xv', 'yv'))} AS partial FROM p""", "panel")
+WITH g AS ({gram_sql(_PARTIAL, "1", "(SELECT * FROM panel WHERE return_5 IS NOT NULL)", "ticker").replace("SELECT 1, ticker", "SELECT ticker").replace("GROUP BY 1, ticker", "GROUP BY ticker")}),
+t AS (SELECT 'event__1-URGENT' AS feature, CAST(sum(n) AS BIGINT) AS n, {', '.join(f'sum({gram_name(i, j)}) AS {gram_name(i, j)}' for i, j in _PAIRS)} FROM g)
+SELECT feature, n AS rows, {r('g_0_1 / sqrt(g_0_0 * g_1_1)')} AS partial FROM {swept_sql('t', 'feature', _SIZE, list(range(2, _SIZE)))}""", "panel")
 def c3(spark, folder):
+    """Event and outcome within issuers, all controls taken out one after the other."""
     rows = study_panel(spark, folder).where("return_5 is not null").withColumn("feature", F.lit(EVENT))
-    columns = [EVENT, "return_5", *CONTROLS]
-    grams = L.within(L.products(rows, ["feature", "ticker"], columns), ["feature", "ticker"], 4)
-    g = L.pooled(grams, ["feature"], 4)
-
-    def c(i, j):
-        return F.col(f"g_{i}_{j}") / F.sqrt(F.col(f"g_{i}_{i}") * F.col(f"g_{j}_{j}"))
-
-    def partial(a, b, d):
-        return (a - b * d) / F.sqrt((1 - b * b) * (1 - d * d))
-
-    xy, xv, yv = partial(c(0, 1), c(0, 2), c(1, 2)), partial(c(0, 3), c(0, 2), c(2, 3)), partial(c(1, 3), c(1, 2), c(2, 3))
-    return g.select("feature", big("n").alias("rows"), rounded(partial(xy, xv, yv)).alias("partial"))
+    columns = [EVENT, "return_5", *PARTIAL_CONTROLS]
+    grams = L.within(L.products(rows, ["feature", "ticker"], columns), ["feature", "ticker"], len(columns))
+    left = L.swept(L.pooled(grams, ["feature"], len(columns)), len(columns), range(2, len(columns)))
+    return left.select("feature", big("n").alias("rows"), rounded(L.partial(0, 1)).alias("partial"))
 
 
 def _unpivot(panel, horizons=HORIZONS):
@@ -65,14 +58,38 @@ def _unpivot(panel, horizons=HORIZONS):
     return panel.select("*", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"return_{h}").alias("y")) for h in horizons])).alias("o")).select("*", "o.*").where("y is not null")
 
 
-@study("c4_fixed_effects")
+_UNPIVOTED = " UNION ALL ".join(f"SELECT *, {h} AS horizon, return_{h} AS y FROM panel WHERE return_{h} IS NOT NULL" for h in HORIZONS)
+def _effect_ctes(columns: list[str], source: str = "u") -> str:
+    """g, t and w: products by horizon and issuer, of all issuers, and without each issuer (ticker '' stands for all)."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    return f"""g AS ({gram_sql(columns, 'horizon', source, 'ticker')}),
+t AS (SELECT horizon, sum(n) AS n, {', '.join(f'sum({gram_name(i, j)}) AS {gram_name(i, j)}' for i, j in pairs)} FROM g GROUP BY 1),
+w AS (SELECT horizon, '' AS ticker, * EXCLUDE (horizon) FROM t UNION ALL SELECT g.horizon, g.ticker, t.n - g.n, {', '.join(f't.{gram_name(i, j)} - g.{gram_name(i, j)}' for i, j in pairs)} FROM g JOIN t USING (horizon))"""
+
+
+def _effect_sql(size: int, focus: int) -> str:
+    """Coefficient of one regressor once the others are taken out; the outcome is the last column."""
+    coef = f"{gram_name(focus, size - 1)} / {gram_name(focus, focus)}"
+    return f"""horizon, CAST(max(n) FILTER (WHERE ticker = '') AS BIGINT) AS rows, count(*) FILTER (WHERE ticker <> '') AS issuers, {r(f"max({coef}) FILTER (WHERE ticker = '')")} AS coef, {r(f"min({coef}) FILTER (WHERE ticker <> '')")} AS leave_one_low,
+  {r(f"max({coef}) FILTER (WHERE ticker <> '')")} AS leave_one_high FROM {swept_sql('w', 'horizon, ticker', size, [k for k in range(size - 1) if k != focus])} GROUP BY horizon"""
+
+
+_C4 = [f'"{EVENT}"', *CONTROLS, "y"]
+
+
+@study("c4_fixed_effects", f"WITH u AS ({_UNPIVOTED}), {_effect_ctes(_C4)} SELECT {_effect_sql(len(_C4), 0)}", "panel")
 def c4(spark, folder):
     rows = _unpivot(study_panel(spark, folder))
     out = L.fixed_effects(rows, ["horizon"], "ticker", [EVENT, *CONTROLS], "y", EVENT)
     return out.select("horizon", "rows", "issuers", *[rounded(c).alias(c) for c in ("coef", "leave_one_low", "leave_one_high")])
 
 
-@study("c5_sequence_interaction")
+_C5 = ["recent_a", '"event__2-HIGH"', 'recent_a * "event__2-HIGH"', "y"]
+
+
+@study("c5_sequence_interaction", f"""
+WITH u AS ({_UNPIVOTED}), g AS ({gram_sql(_C5, 'horizon', 'u')})
+""" + " UNION ALL ".join(f"SELECT horizon, '{name}' AS name, {r(f'{gram_name(k, 3)} / {gram_name(k, k)}')} AS coef FROM {swept_sql('g', 'horizon', 4, [x for x in range(3) if x != k])}" for k, name in enumerate(["recent_a", "b", "a_b"])), "panel")
 def c5(spark, folder):
     second = F.col("`event__2-HIGH`")
     rows = _unpivot(study_panel(spark, folder)).withColumns({"b": second, "a_b": F.col("recent_a") * second})
@@ -99,7 +116,14 @@ def f13(spark, folder):
     return out.select("ticker", "session", *[rounded(f"z_{n}").alias(f"z_{n}") for n in CONTROLS])
 
 
-@study("c6_event_control_interactions")
+_C6 = ["event", "z1", "z2", "event_x_return", "event_x_vol", "y"]
+_Z = "({0} - m{1}) / coalesce(nullif(s{1}, 0), 1)"
+
+
+@study("c6_event_control_interactions", f"""WITH u0 AS ({_UNPIVOTED}),
+e AS (SELECT avg(past_return_5) AS m1, stddev_samp(past_return_5) AS s1, avg(past_vol_20) AS m2, stddev_samp(past_vol_20) AS s2 FROM u0 WHERE session < (SELECT max(session) FROM u0) * 0.4::DOUBLE),
+z AS (SELECT horizon, ticker, y, "{EVENT}" AS event, {_Z.format('past_return_5', 1)} AS z1, {_Z.format('past_vol_20', 2)} AS z2 FROM u0 CROSS JOIN e), u AS (SELECT *, event * z1 AS event_x_return, event * z2 AS event_x_vol FROM z),
+{_effect_ctes(_C6)} SELECT 'event_x_return' AS focus, {_effect_sql(len(_C6), 3)} UNION ALL SELECT 'event_x_vol', {_effect_sql(len(_C6), 4)}""", "panel")
 def c6(spark, folder):
     rows = early_standardized(_unpivot(study_panel(spark, folder)), CONTROLS)
     event = F.col(f"`{EVENT}`")

@@ -109,3 +109,23 @@ view("dividends", "filings", """SELECT ticker, filing_date AS declared, filing_d
     FROM filings WHERE category = '5-LOW' AND amount > 480000""")
 view("splits", "filings", """SELECT ticker, filing_date + 20 AS execution_date, CAST(2 + accession % 2 AS INTEGER) AS split_to, CASE WHEN accession % 7 = 0 THEN 0 WHEN accession % 5 = 0 THEN 7 WHEN accession % 3 = 0 THEN 2 ELSE 1 END AS split_from
     FROM filings WHERE category = '1-URGENT' QUALIFY row_number() OVER (PARTITION BY ticker, year(filing_date) ORDER BY amount DESC, accession DESC) = 1""")
+
+
+def gram_name(i: int, j: int) -> str:
+    return f"g_{min(i, j)}_{max(i, j)}"
+
+
+def gram_sql(columns: list[str], keys: str, source: str, inside: str | None = None) -> str:
+    """n and the products of columns around their means by key; `inside` is a column in whose groups the means are taken, and which is summed over."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    by = f"{keys}, {inside}" if inside else keys
+    one = ", ".join(f"sum({columns[i]} * {columns[j]}) - sum({columns[i]}) * sum({columns[j]}) / count(*) AS {gram_name(i, j)}" for i, j in pairs)
+    return f"SELECT {by}, count(*) AS n, {one} FROM {source} GROUP BY {by}"
+
+
+def swept_sql(source: str, keys: str, size: int, controls: list[int]) -> str:
+    """Gram products once the controls are taken out, step by step."""
+    for k in controls:
+        parts = ", ".join(f"{gram_name(i, j)} - {gram_name(i, k)} * {gram_name(j, k)} / {gram_name(k, k)} AS {gram_name(i, j)}" for i in range(size) for j in range(i, size) if k not in (i, j) and not (set(controls[:controls.index(k)]) & {i, j}))
+        source = f"(SELECT {keys}, n, {parts} FROM {source})"
+    return source
