@@ -42,7 +42,7 @@ _PAIRS = [(i, j) for i in range(_SIZE) for j in range(i, _SIZE)]
 
 @study("c3_partial_correlation", f"""
 WITH g AS ({gram_sql(_PARTIAL, "1", "(SELECT * FROM panel WHERE return_5 IS NOT NULL)", "ticker").replace("SELECT 1, ticker", "SELECT ticker").replace("GROUP BY 1, ticker", "GROUP BY ticker")}),
-t AS (SELECT 'event__1-URGENT' AS feature, CAST(sum(n) AS BIGINT) AS n, {', '.join(f'sum({gram_name(i, j)}) AS {gram_name(i, j)}' for i, j in _PAIRS)} FROM g)
+t AS (SELECT 'event__1-URGENT' AS feature, CAST(sum(n) AS BIGINT) AS n, {', '.join(f'sum({gram_name(i, j)}) AS {gram_name(i, j)}' for i, j in _PAIRS)} FROM g HAVING count(*) > 0)
 SELECT feature, n AS rows, {r('g_0_1 / sqrt(g_0_0 * g_1_1)')} AS partial FROM {swept_sql('t', 'feature', _SIZE, list(range(2, _SIZE)))}""", "panel")
 def c3(spark, folder):
     """Event and outcome within issuers, all controls taken out one after the other."""
