@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Clause rules and term lists.
 CLAUSE_BREAK = r"(?<=[.!?;])\s+"
@@ -30,6 +33,22 @@ def normalized(value: Column) -> Column:
     return F.lower(squeezed(value))
 
 
+def _percent(value: float | None) -> str | None:
+    if value is None:
+        return None
+    if not math.isfinite(value):
+        return f"{value}%"
+    return f"{math.copysign(math.floor(abs(value) * 1e6 + 0.5) / 1e6, value):.2f}%"
+
+
+def percent(value: Column) -> Column:
+    """A double, rounded to six decimals, as a percentage with two: by its exact binary value, a half to the even digit, and with the sign of a negative zero.
+
+    Spark's own format rounds the shortest decimal form half up, and its round drops the sign.
+    """
+    return F.udf(_percent, StringType())(value)
+
+
 def clauses(value: Column) -> Column:
     return F.split(value, CLAUSE_BREAK)
 
