@@ -45,3 +45,14 @@ def test_percentages_at_halves(spark):
     con = duckdb.connect()
     sql = con.execute("SELECT format('{:.2f}%', round(v, 6)) FROM (SELECT unnest(?::DOUBLE[]) AS v, unnest(range(?)) AS i) ORDER BY i", [values, len(values)]).fetchall()
     assert [r.p for r in got.orderBy("i").collect()] == [s for s, in sql]
+
+
+@pytest.mark.parametrize("nations", [None, 3])
+def test_contrast_of_few_pairs(spark, tmp_path, nations):
+    """c13: with events on every session no pair is left, and SQL still has its one row; then pairs of one ticker only."""
+    if nations is None:
+        folder = changed(tmp_path, part="SELECT * REPLACE (CASE p_partkey % 2 WHEN 0 THEN 'Brand#7' ELSE 'Brand#12' END AS p_brand) FROM part",
+                         orders="SELECT * FROM orders", lineitem="SELECT * REPLACE (l_partkey + i AS l_partkey) FROM lineitem, range(2) r(i)")
+    else:
+        folder = changed(tmp_path, customer="SELECT * REPLACE (CAST(3 AS INTEGER) AS c_nationkey) FROM customer", supplier="SELECT * FROM supplier")
+    against_sql(spark, "c13_paired_contrast", folder)

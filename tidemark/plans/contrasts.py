@@ -234,12 +234,14 @@ view("pairs5", "matched features", """SELECT m.ticker, m.session, e.return_5 - c
 WITH s AS (SELECT ticker, sum(difference) AS s, count(*) AS n FROM pairs5 GROUP BY 1), l AS (SELECT (sum(s) OVER () - s) / (sum(n) OVER () - n) AS rest FROM s)
 SELECT (SELECT count(*) FROM pairs5) AS pairs, {r('(SELECT avg(difference) FROM pairs5)')} AS mean, {r('(SELECT quantile_cont(difference, 0.5) FROM pairs5)')} AS median, {r('min(rest)')} AS leave_one_low, {r('max(rest)')} AS leave_one_high FROM l""", "pairs5")
 def c13(spark, folder):
+    """One row, also without a pair. Pairs of one ticker only have no mean without it: not a number, as in SQL."""
     rows = paired(spark, folder).withColumn("all", F.substring("ticker", 1, 1))
     sums = rows.groupBy("all", "ticker").agg(F.sum("difference").alias("s"), F.count(F.lit(1)).alias("n"))
-    span = E.leave_one_range(sums, ["all"], "s", "n")
+    ends = {c: F.when(F.col("parts") == 1, float("nan")).otherwise(F.col(c)) for c in ("leave_one_low", "leave_one_high")}
+    span = E.leave_one_range(sums, ["all"], "s", "n").withColumns(ends)
     middle = ordering.quantiles(rows, ["all"], "difference", {"median": 0.5})
-    total = rows.groupBy("all").agg(F.count(F.lit(1)).alias("pairs"))
-    out = span.join(middle, "all").join(total, "all")
+    total = rows.agg(F.count(F.lit(1)).alias("pairs"), F.max("all").alias("all"))
+    out = total.join(span, "all", "left").join(middle, "all", "left")
     return out.select("pairs", *[rounded(c).alias(c) for c in ("mean", "median", "leave_one_low", "leave_one_high")])
 
 
