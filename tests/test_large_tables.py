@@ -3,12 +3,14 @@
 import os
 
 import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.functions import text as X
+from tidemark.plans import forecast
 from tools import check
 
 FOLDER = "/root/testdata/sf0.001"
@@ -56,3 +58,22 @@ def test_contrast_of_few_pairs(spark, tmp_path, nations):
     else:
         folder = changed(tmp_path, customer="SELECT * REPLACE (CAST(3 AS INTEGER) AS c_nationkey) FROM customer", supplier="SELECT * FROM supplier")
     against_sql(spark, "c13_paired_contrast", folder)
+
+
+def test_text_components_match_numpy(spark):
+    """x2 and x1: one row a document with its terms in it, projected where it stands."""
+    rng = np.random.default_rng(3)
+    dense = rng.random((300, 240)) * (rng.random((300, 240)) < 0.2) + 0.01 * np.outer(rng.random(300), rng.random(240))
+    rows = [(i, [(j, float(x)) for j, x in enumerate(r) if x]) for i, r in enumerate(dense)]
+    weights = spark.createDataFrame(rows, "doc_id bigint, terms array<struct<position:int,weight:double>>")
+    got = {r.doc_id: (r.components, r.captured) for r in forecast.text_components(weights, 240, 7).collect()}
+    basis = np.linalg.svd(dense, full_matrices=False)[2][:7].T
+    assert got == {i: (7, pytest.approx(float(((r @ basis) ** 2).sum()), rel=1e-6)) for i, r in enumerate(dense)}
+
+
+def test_term_weights_of_repeated_documents(spark, tmp_path):
+    """x1: rows of one id count together, wherever they lie."""
+    folder = changed(tmp_path, documents="SELECT * REPLACE (doc_id // 2 AS doc_id) FROM documents")
+    against_sql(spark, "x1_term_weights", folder)
+    weights = forecast.term_weights(spark, folder)
+    assert weights.columns == ["doc_id", "terms"] and weights.count() == weights.select("doc_id").distinct().count()
