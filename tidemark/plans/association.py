@@ -380,20 +380,28 @@ p AS (SELECT combo || '@' || f.category || '@' || f.issuer AS pattern, string_ag
 g AS (SELECT rows, support, count(*) AS patterns, min(pattern) AS first_pattern FROM p GROUP BY 1, 2)
 SELECT first_pattern, patterns, support FROM g WHERE patterns > 1""", "filings filing_labels")
 def a19(spark, folder):
-    rows = T.labelled_filings(spark, folder).select("accession", "category", "issuer", F.explode(F.concat(*[X.combinations(F.col("labels"), k) for k in (2, 3, 4)])).alias("combo"))
-    rows = rows.select("accession", F.concat_ws("@", "combo", "category", "issuer").alias("pattern"))
-    return alias_groups(rows, "pattern", "accession")
+    sets = F.concat(*[X.combinations(F.col("labels"), k) for k in (2, 3, 4)])
+    rows = T.labelled_filings(spark, folder).where(F.size("labels") > 1).select("category", "issuer", sets.alias("sets"), *row_draws("accession"))
+    return alias_groups(rows.select(F.explode("sets").alias("combo"), "category", "issuer", *DRAWS), ["combo", "category", "issuer"])
 
 
-def alias_groups(activations, pattern: str, row: str):
-    """Patterns active on exactly the same rows, by an order-free fingerprint of the row ids.
+DRAWS = ["_a", "_b", "_c"]
+
+
+def row_draws(row: str):
+    """Independent 32-bit draws of a row, taken once for all of its patterns."""
+    return [counter_draw(i, row).alias(n) for i, n in enumerate(DRAWS, 1)]
+
+
+def alias_groups(activations, pattern: list[str]):
+    """Patterns active on exactly the same rows, by an order-free fingerprint of the rows' draws.
 
     Two sums and an exclusive-or of independent 32-bit draws merge like any
-    other partial aggregate, so no activation set is ever collected.
+    other partial aggregate, so no activation set is ever collected. A pattern's
+    text is written once, after its rows are added.
     """
-    marks = activations.groupBy(pattern).agg(F.count(F.lit(1)).alias("support"), F.sum(counter_draw(1, row)).alias("a"),
-                                             F.sum(counter_draw(2, row)).alias("b"), F.bit_xor(counter_draw(3, row)).alias("c"))
-    groups = marks.groupBy("support", "a", "b", "c").agg(F.count(F.lit(1)).alias("patterns"), F.min(pattern).alias("first_pattern"))
+    marks = activations.groupBy(*pattern).agg(F.count(F.lit(1)).alias("support"), F.sum("_a").alias("a"), F.sum("_b").alias("b"), F.bit_xor("_c").alias("c"))
+    groups = marks.groupBy("support", "a", "b", "c").agg(F.count(F.lit(1)).alias("patterns"), F.min(F.concat_ws("@", *pattern)).alias("first_pattern"))
     return groups.where("patterns > 1").select("first_pattern", "patterns", "support")
 
 
