@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.functions import text as X
-from tidemark.plans import forecast
+from tidemark.operators import joins as J
+from tidemark.plans import events, forecast
 from tools import check
 
 FOLDER = "/root/testdata/sf0.001"
@@ -77,3 +78,29 @@ def test_term_weights_of_repeated_documents(spark, tmp_path):
     against_sql(spark, "x1_term_weights", folder)
     weights = forecast.term_weights(spark, folder)
     assert weights.columns == ["doc_id", "terms"] and weights.count() == weights.select("doc_id").distinct().count()
+
+
+def test_quotes_shrink_before_they_move(spark):
+    """k8, l4: a task keeps one quote a cutoff, so the shuffle doesn't grow with the quotes."""
+    cuts = spark.createDataFrame([("a", i, (i + 1) * 10**9) for i in range(3)], "k string, id int, cutoff_ns bigint")
+    quotes = spark.range(5000).select(F.lit("a").alias("k"), (F.col("id") * 300000).alias("ts_ns"), F.col("id").alias("sequence"))
+    found = J.latest_quote(cuts, quotes, ["k"], 10**9)
+    assert "partial_max" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.sequence) for r in found.collect()} == {(0, 3333), (1, 4999), (2, None)}
+
+
+def test_event_filings_are_those_of_the_label_arrays(spark):
+    """j12, k4, j22: only lines of the event labels are shuffled, for the same filings."""
+    rows = events.labelled(spark, FOLDER).where("session is not null").select("accession", "labels").collect()
+    first, second = events.A, events.B
+    assert "labels" not in events.event_filings(spark, FOLDER).columns
+    assert {r.accession for r in events.cohort(spark, FOLDER).collect()} == {r.accession for r in rows if first in r.labels and second in r.labels}
+    assert {r.accession for r in events.component(spark, FOLDER).collect()} == {r.accession for r in rows if first in r.labels and second not in r.labels}
+
+
+def test_draws_are_taken_before_the_patterns(spark):
+    """a19: a filing's draws are not taken again for each of its patterns."""
+    plan = entry.queries()["a19_alias_patterns"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    made, used = plan.split("Generate explode", 1)
+    assert "md5" not in made and "md5" in used
+    against_sql(spark, "a19_alias_patterns", FOLDER)
