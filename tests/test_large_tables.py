@@ -1,6 +1,7 @@
 """What only larger or denser tables than the supplied ones show."""
 
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -12,6 +13,7 @@ import __spark_entry__ as entry
 from tidemark.functions import text as X
 from tidemark.operators import joins as J
 from tidemark.plans import events, forecast
+from tidemark.streaming import bars as B
 from tools import check
 
 FOLDER = "/root/testdata/sf0.001"
@@ -104,3 +106,14 @@ def test_draws_are_taken_before_the_patterns(spark):
     made, used = plan.split("Generate explode", 1)
     assert "md5" not in made and "md5" in used
     against_sql(spark, "a19_alias_patterns", FOLDER)
+
+
+def test_pairs_of_a_busy_user_take_no_loop(spark, tmp_path):
+    """t7: ticks without a time and of other types have no say, and one user's rows of a trigger are not walked one by one."""
+    ticks = spark.range(60000).select(F.col("id").alias("event_id"), F.when(F.col("id") != 7, F.timestamp_micros(F.col("id") * 1000 + 10**15)).alias("ts"), F.lit(1).cast("bigint").alias("user_id"),
+                                      F.when(F.col("id") % 3 == 0, "click").when(F.col("id") % 3 == 1, "purchase").otherwise("view").alias("event_type"))
+    ticks.write.parquet(str(tmp_path / "ticks"))
+    start = time.time()
+    got = B.drain(B.ordered_pairs(B.tick_source(spark, str(tmp_path / "ticks"), ticks.schema), "click", "purchase", 1000), "pairs").collect()
+    assert {r.event_id for r in got} == {i for i in range(60000) if i % 3 == 1 and i != 7}
+    assert time.time() - start < 60

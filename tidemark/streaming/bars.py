@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.session import fresh_path
 
 LATENESS = "1 hour"
+NEVER = -(1 << 61)  # microseconds before any tick
 LAST_TICK = "ts timestamp, user_id bigint, kept boolean"
 
 
@@ -147,24 +149,23 @@ def ordered_pairs(ticks: DataFrame, first: str, second: str, within_us: int) ->
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
-        seen = last
-        before = []
-        # Rows of one instant see the first events of earlier instants only.
-        for _, same in rows.groupby("us", sort=True):
-            before += [seen] * len(same)
-            if (same["event_type"] == first).any():
-                at = int(same["us"].iloc[0])
-                seen = at if seen is None else max(seen, at)
-        gap = rows["us"] - pd.array(before, dtype="Int64")
-        hits = (rows["event_type"] == second) & (gap > 0).fillna(False) & (gap <= within_us).fillna(False)
-        yield rows.loc[hits.astype(bool), ["event_id", "user_id", "us"]]
-        if seen is not None:
-            state.update((seen,))
-            state.setTimeoutTimestamp(max((seen + within_us) // 1000, state.getCurrentWatermarkMs() + 1))
-
-    rows = ticks.withWatermark("ts", LATENESS).select("event_id", "user_id", "event_type", "ts", F.unix_micros("ts").alias("us"))
+        parts = list(chunks)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        us, kind = rows["us"].to_numpy(), rows["event_type"].to_numpy()
+        firsts = np.sort(us[kind == first])
+        # Rows of one instant see the first events of earlier instants only, and the one of the state.
+        seen = np.concatenate([[state.get[0] if state.exists else NEVER], firsts]).astype(np.int64)
+        seen = np.maximum.accumulate(seen)
+        gap = us - seen[np.searchsorted(firsts, us, side="left")]
+        hits = (kind == second) & (gap > 0) & (gap <= within_us)
+        if hits.any():
+            yield rows.loc[hits, ["event_id", "user_id", "us"]]
+        if seen[-1] != NEVER:
+            state.update((int(seen[-1]),))
+            state.setTimeoutTimestamp(max((int(seen[-1]) + within_us) // 1000, state.getCurrentWatermarkMs() + 1))
+
+    rows = ticks.withWatermark("ts", LATENESS).where(F.col("ts").isNotNull() & F.col("event_type").isin(first, second))
+    rows = rows.select("event_id", "user_id", "event_type", "ts", F.unix_micros("ts").alias("us"))
     return rows.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, us bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
