@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.functions import text as X
+from tidemark.llm import packing
 from tidemark.operators import joins as J
 from tidemark.plans import events, forecast
 from tidemark.streaming import bars as B
@@ -117,3 +118,16 @@ def test_pairs_of_a_busy_user_take_no_loop(spark, tmp_path):
     got = B.drain(B.ordered_pairs(B.tick_source(spark, str(tmp_path / "ticks"), ticks.schema), "click", "purchase", 1000), "pairs").collect()
     assert {r.event_id for r in got} == {i for i in range(60000) if i % 3 == 1 and i != 7}
     assert time.time() - start < 60
+
+
+def test_islands_beat_best_fit(spark):
+    """op4, pipeline: on sizes just under a third and a half of a sequence best fit misses the least number of bins; the search with its own parameters finds fewer."""
+    rng = np.random.default_rng(1)
+    first = rng.integers(520, 900, 150)
+    second = rng.integers(520, 900, 150)
+    sizes = np.concatenate([first, second, packing.LIMIT - first - second])
+    greedy = packing.fitness(packing.best_fit(np.full(len(sizes), -1), sizes, np.argsort(-sizes, kind="stable"), packing.LIMIT), sizes, packing.LIMIT)
+    pool = packing.evolve(sizes, [], packing.LIMIT, seed=5)
+    assert greedy[0] > 150 and packing.fitness(pool[0], sizes, packing.LIMIT)[0] < greedy[0]
+    least = packing.evolve(np.full(8, 1024), [], packing.LIMIT, seed=5)
+    assert len(least) == 1  # a first solution that can't be bettered needs no others

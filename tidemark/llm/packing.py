@@ -26,10 +26,10 @@ from tidemark.session import stage
 LIMIT = 2048
 END_ID = 0
 BLOCK = 8192  # pieces packed together
-ISLANDS = 2
-EPOCHS = 2
-GENERATIONS = 3
-POPULATION = 4
+ISLANDS = 4
+EPOCHS = 3
+GENERATIONS = 20
+POPULATION = 8
 ELITES = 1
 
 # The public pattern of the vocabulary (runs that never give back what they took), and its one special token.
@@ -169,12 +169,12 @@ def mutate(own: np.ndarray, sizes: np.ndarray, limit: int, rng: np.random.Genera
 
 
 def evolve(sizes: np.ndarray, seeds: list[np.ndarray], limit: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> list[np.ndarray]:
-    """One island's epoch: its population after some generations, best first. A solution that can't be better ends it early."""
+    """One island's epoch: its population after some generations, best first. A solution with the least number of bins that the sizes allow ends it early."""
     rng = np.random.default_rng(seed)
     least = math.ceil(int(sizes.sum()) / limit)
     rank = lambda s: fitness(s, sizes, limit)
-    pool = list(seeds)
-    while len(pool) < population:
+    pool = sorted(seeds, key=rank)
+    while len(pool) < population and not (pool and rank(pool[0])[0] <= least):
         noise = sizes * (1 if not pool else rng.uniform(0.9, 1.1, len(sizes)))
         pool.append(best_fit(np.full(len(sizes), -1, np.int64), sizes, np.argsort(-noise, kind="stable"), limit))
     pool.sort(key=rank)
@@ -195,7 +195,7 @@ def _epoch(limit: int, epoch: int):
     def run(key: tuple, rows: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         rows = _ordered(rows)
         seeds = [np.frombuffer(g, np.int32).astype(np.int64) for g in sent["genome"]] if len(sent) else []
-        pool = evolve(rows["length"].to_numpy(), seeds, limit, seed=int(key[0]) * 64 + int(key[1]) * 8 + epoch)
+        pool = evolve(rows["length"].to_numpy(), seeds, limit, seed=int(key[0]) * 1024 + int(key[1]) * 32 + epoch)
         keep = pool[:POPULATION if epoch < EPOCHS - 1 else 1]
         ranks = [fitness(s, rows["length"].to_numpy(), limit) for s in keep]
         return pd.DataFrame({"block": key[0], "island": key[1], "place": range(len(keep)), "bins": [r[0] for r in ranks],
