@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.functions import text as X
-from tidemark.llm import packing
+from tidemark.llm import packing, secrets
 from tidemark.operators import joins as J
 from tidemark.plans import events, forecast
 from tidemark.streaming import bars as B
@@ -131,3 +131,15 @@ def test_islands_beat_best_fit(spark):
     assert greedy[0] > 150 and packing.fitness(pool[0], sizes, packing.LIMIT)[0] < greedy[0]
     least = packing.evolve(np.full(8, 1024), [], packing.LIMIT, seed=5)
     assert len(least) == 1  # a first solution that can't be bettered needs no others
+
+
+def test_secrets_that_go_beyond_a_base_span():
+    """op5: a mixed token around a run of hex digits is found whole, a linear pass also over many of them."""
+    token = "Zx9QpLw" + "0123456789abcdef" + "TgRkVbNmYh7"
+    text = f"see {token} and my_token={'Ab3' * 8}x"
+    base = secrets.base_spans(text)
+    assert [s[1] for s in base] == [2, 0]
+    assert [(s, e) for s, _, e, _ in secrets.token_spans(text, base)] == [(4, 4 + len(token))]
+    start = time.time()
+    assert len(secrets.token_spans(f"{token} " * 20000, secrets.base_spans(f"{token} " * 20000))) == 20000
+    assert time.time() - start < 20
