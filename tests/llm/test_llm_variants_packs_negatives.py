@@ -65,6 +65,20 @@ def test_variants_of_the_table(spark):
     assert {tuple(r) for r in got} == plain_variants(docs.select("doc_id", "text").collect())
 
 
+def test_variants_send_no_table_to_the_driver(spark, monkeypatch):
+    """Tables that grow with the vocabulary are joined by sorting, also where Spark sizes them below its broadcast limit."""
+    plans, stage = [], variants.stage
+
+    def planned(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(variants, "stage", planned)
+    out = queries.op11_spelling_variants(spark, FOLDER)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 6 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_variants_of_random_and_long_words(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abé") for _ in range(rng.randrange(7, 12))) for _ in range(400)]

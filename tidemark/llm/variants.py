@@ -9,6 +9,9 @@ the first case seen from the other side. What follows must be read letter for le
 An edge reads the greatest power of two of the letters left, so the levels grow with the logarithm of the longest word and the first
 one already tells most candidates apart; it also asks for the number of letters left. Nodes and labels are hashes of prefixes and substrings; edges
 of equal hash only add candidates, and those are held against the words themselves in the end.
+
+Spark sizes a table behind mapInArrow or explode as if each row gave one row, and a stage table by its compressed files; states, edges and words, which grow
+with the vocabulary, are therefore joined by sorting (`_joined`), never broadcast by such a size.
 """
 
 from __future__ import annotations
@@ -151,6 +154,10 @@ def _identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_signed(ident), _signed(shorter), batch.column("word"), batch.column("n")], names=["node", "shorter", "word", "n"])
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """words: (word, n), distinct. Gives (word, n, other, other_n), both ways, for words that differ by exactly one code point inserted, deleted or replaced."""
     written = []
@@ -172,7 +179,7 @@ def near_words(words: DataFrame) -> DataFrame:
     ends = named.select(F.col("node").alias("word"), F.col("shorter").alias("other"))
     walking, kinds = facing(words.select("word").mapInArrow(_starts, "word long, own long, node long, labels array<long>"), "own"), (0, 1)
     while True:
-        step = walking.join(edges(*kinds), "key").where(F.col("next") != F.col("own"))
+        step = _joined(walking, edges(*kinds), "key").where(F.col("next") != F.col("own"))
         frontier = held(step.select("word", F.col("next").alias("node"), "labels"), "variant-frontier")
         ends = ends.unionByName(frontier.where(F.size("labels") == 0).select("word", F.col("node").alias("other")))
         left = frontier.where(F.size("labels") > 0)
@@ -182,7 +189,7 @@ def near_words(words: DataFrame) -> DataFrame:
     pairs = ends.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).where("a != b").distinct()
     a, b = (named.select(F.col("node").alias(k), F.col("word").alias(f"{k}_word"), F.col("n").alias(f"{k}_n")) for k in "ab")
     # An end may be a node inside the trie; it then is no word's and finds no partner here.
-    found = pairs.join(a, "a").join(b, "b").where(F.levenshtein("a_word", "b_word", 1) == 1)
+    found = _joined(_joined(pairs, a, "a"), b, "b").where(F.levenshtein("a_word", "b_word", 1) == 1)
     both = F.explode(F.array(*[F.struct(F.col(f"{x}_word").alias("word"), F.col(f"{x}_n").alias("n"), F.col(f"{y}_word").alias("other"), F.col(f"{y}_n").alias("other_n"))
                                for x, y in ("ab", "ba")]))
     out = stage(found.select(both.alias("p")).select("p.*"), "variant-pairs")
@@ -195,7 +202,7 @@ def roots(forms: DataFrame) -> DataFrame:
     here = stage(forms.select("word", F.coalesce("form", "word").alias("root")), "variant-roots")
     while True:
         ahead = here.select(F.col("word").alias("root"), F.col("root").alias("ahead"))
-        after = stage(here.join(ahead, "root").select("word", F.col("ahead").alias("root"), (F.col("ahead") != F.col("root")).alias("moved")), "variant-roots")
+        after = stage(_joined(here, ahead, "root").select("word", F.col("ahead").alias("root"), (F.col("ahead") != F.col("root")).alias("moved")), "variant-roots")
         discard(here)
         here = after.select("word", "root")
         if after.where("moved").isEmpty():
@@ -211,7 +218,7 @@ def variants(docs: DataFrame, ratio: int = RATIO, id_column: str = "doc_id", tex
     """
     words = stage(word_counts(docs, id_column=id_column, text_column=text_column, **options), "variant-counts")
     best = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min_by(F.struct("other", "other_n"), F.struct(-F.col("other_n"), "other")).alias("b"))
-    near = stage(words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-                                                         F.when(F.col("b.other_n") >= ratio * F.col("n"), F.col("b")).alias("b")), "variant-forms")
-    found = near.join(roots(near.select("word", F.col("b.other").alias("form"))), "word")
+    near = stage(_joined(words, best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+                                                             F.when(F.col("b.other_n") >= ratio * F.col("n"), F.col("b")).alias("b")), "variant-forms")
+    found = _joined(near, roots(near.select("word", F.col("b.other").alias("form"))), "word")
     return found.select("word", F.col("b.other").alias("form"), "root", "n", "n_near", F.col("b.other_n").alias("form_n"))
