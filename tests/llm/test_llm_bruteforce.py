@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import itertools
 import math
 import random
 import re
@@ -192,6 +193,30 @@ def test_copies_of_one_text_have_one_owner(spark):
     assert {r.text for r in secrets.redact(docs).collect()} == {"key [secret] [secret]"}
 
 
+def test_every_owner_of_a_copied_text_counts(spark):
+    """Copies add owners: whose copy a text counts for is the best choice, not the least name; a few texts copied by many still look live."""
+    keys = ["Zx9Qw7Er5Ty3Ui1Op0As2Df4Gh6", "Lk8Jh6Gf4Ds2Aq1Wz3Ex5Cr7Vt9", "Mn7Bv5Cx3Zl1Kj9Hg8Fd6Sa4Qw2"]
+    held = [[("t0", "a"), ("t0", "b"), ("t0", "c"), ("t1", "a"), ("t1", "b"), ("t2", "a")], [("t0", "a"), ("t0", "b"), ("t0", "c"), ("t1", "a"), ("t2", "a")], [("t0", "abcde"[i % 5]) for i in range(9)] + [("t1", "e")]]
+    rows = [(k, f"{keys[k]} in {text}", "en", owner) for k, pairs in enumerate(held) for text, owner in pairs]
+    got = secrets.find(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {(r.doc_id, r.n_live, r.n_shared, r.found[0].owners, r.found[0].repositories) for r in got} == {(0, 0, 1, 3, 3), (1, 1, 0, 3, 3), (2, 1, 0, 5, 5)}
+
+
+def test_spread_of_values_against_all_choices(spark):
+    rng = random.Random(5)
+    rows = {(value, b"%d" % rng.randrange(value % 5 + 2), f"o{rng.randrange(value % 7 + 1)}") for value in range(150) for _ in range(rng.randrange(1, 25))}
+    held = spark.createDataFrame([(str(v), t, o) for v, t, o in rows], "value string, text_key binary, owner string")
+    for enough in (1, 2, 3, 4):
+        # Koenig: there are so many pairs apart unless fewer texts and owners together cover all.
+        apart = set()
+        for value in range(150):
+            pairs = [(t, o) for v, t, o in rows if v == value]
+            ends = {("t", t) for t, _ in pairs} | {("o", o) for _, o in pairs}
+            if pairs and not any(all(("t", t) in cover or ("o", o) in cover for t, o in pairs) for size in range(enough) for cover in itertools.combinations(ends, size)):
+                apart.add(str(value))
+        assert {r.value for r in secrets.spread(held, "owner", enough).collect()} == apart
+
+
 def test_many_spans_in_linear_time():
     text = "".join(f"{i:016x} Lk8Jh6Gf4Ds2Aq1Wz3Ex5Cr7V{i:05d} " for i in range(40_000))
     began = time.time()
