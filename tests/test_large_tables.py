@@ -75,6 +75,18 @@ def test_text_components_match_numpy(spark):
     assert got == {i: (7, pytest.approx(float(((r @ basis) ** 2).sum()), rel=1e-6)) for i, r in enumerate(dense)}
 
 
+def test_text_components_take_rows_by_batch(spark, monkeypatch):
+    """x2: rows become vectors by batch; no Python function meets each row, also not for empty rows and other id types."""
+    monkeypatch.setattr(F, "udf", lambda *a, **b: pytest.fail("a function of each row"))
+    dense = np.random.default_rng(4).random((120, 110))
+    dense[7] = 0
+    rows = [(f"d{i}", [(j, float(x)) for j, x in enumerate(r) if x]) for i, r in enumerate(dense)]
+    weights = spark.createDataFrame(rows, "doc_id string, terms array<struct<position:int,weight:double>>")
+    got = {r.doc_id: (r.components, r.captured) for r in forecast.text_components(weights, 110, 5).collect()}
+    basis = np.linalg.svd(dense, full_matrices=False)[2][:5].T
+    assert got == {f"d{i}": (5, pytest.approx(float(((r @ basis) ** 2).sum()), rel=1e-6, abs=1e-9)) for i, r in enumerate(dense)}
+
+
 def test_term_weights_of_repeated_documents(spark, tmp_path):
     """x1: rows of one id count together, wherever they lie."""
     folder = changed(tmp_path, documents="SELECT * REPLACE (doc_id // 2 AS doc_id) FROM documents")
