@@ -5,6 +5,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,32 @@ def test_term_weights_of_repeated_documents(spark, tmp_path):
     assert weights.columns == ["doc_id", "terms"] and weights.count() == weights.select("doc_id").distinct().count()
 
 
+def test_term_counts_by_batch_match_a_plain_loop(monkeypatch):
+    """x1, x2: known words and pairs of a text and the weights of a document, in batches of any size."""
+    rng = np.random.default_rng(11)
+    texts = [[f"w{rng.integers(9)}" for _ in range(rng.integers(0, 30))] for _ in range(60)]
+    terms = ["w1", "w2 w2", "w3 w4", "w5", "absent", "w4 w3", "w7 absent"]
+    idf = np.arange(1.0, 8.0)
+    plain = []
+    for words in texts:
+        held = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        plain.append([(i, held.count(t)) for i, t in enumerate(terms) if t in held])
+    for size in (1, 40, 500_000):
+        monkeypatch.setattr(forecast, "_HELD", size)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts, pa.list_(pa.string()))], names=["doc_id", "words"])
+        got = [r for b in forecast._counted(terms)([batch]) for r in b.to_pylist()]
+        assert [(r["doc_id"], list(zip(r["positions"], r["counts"]))) for r in got] == [(i, p) for i, p in enumerate(plain) if p]
+        again = [[{"positions": [i for i, _ in p], "counts": [c for _, c in p]} for p in pair if p] for pair in zip(plain, plain[1:]) if any(pair)]
+        kind = pa.list_(pa.struct([("positions", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(again))), pa.array(again, kind)], names=["doc_id", "found"])
+        for row, pair in zip((r for b in forecast._weighted(idf)([batch]) for r in b.to_pylist()), again, strict=True):
+            raw = np.zeros(7)
+            for p in pair:
+                raw[p["positions"]] += np.array(p["counts"]) * idf[p["positions"]]
+            assert [t["position"] for t in row["terms"]] == list(np.flatnonzero(raw))
+            assert [t["weight"] for t in row["terms"]] == pytest.approx(list(raw[raw > 0] / np.linalg.norm(raw)))
+
+
 def test_quotes_shrink_before_they_move(spark):
     """k8, l4: a task keeps one quote a cutoff, so the shuffle doesn't grow with the quotes."""
     cuts = spark.createDataFrame([("a", i, (i + 1) * 10**9) for i in range(3)], "k string, id int, cutoff_ns bigint")
